@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quarryline.llm import exact_dedup, fingerprints, langid, mixing, packing, sharding, signature_join, toxicity
+from quarryline.llm import exact_dedup, fingerprints, langid, mixing, packing, secrets, sharding, signature_join, toxicity
 
-MODULES = (exact_dedup, fingerprints, langid, mixing, packing, sharding, signature_join, toxicity)
+MODULES = (exact_dedup, fingerprints, langid, mixing, packing, secrets, sharding, signature_join, toxicity)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: sql for m in MODULES for name, sql in m.SQL.items()}
