@@ -9,6 +9,7 @@ The second pass is DataFrame functions alone.
 from __future__ import annotations
 
 import base64
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -27,7 +28,7 @@ _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _WIDE = np.zeros(256, bool)
 _WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Longer pieces aren't remembered; the memory of pieces starts anew beyond this number.
-_LONGEST, _MOST = 64, 1_000_000
+_LONGEST, _MOST = 64, 500_000
 
 
 class Pieces:
@@ -49,18 +50,18 @@ class Pieces:
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
-        self.begin, self.size, self.flat = [], [], []
+        self.begin, self.size, self.flat = array("q"), array("q"), array("I")
 
     def _learn(self, piece: bytes) -> int:
         ids = self.fast(piece.decode())
         self.begin.append(len(self.flat))
         self.size.append(len(ids))
-        self.flat += ids
+        self.flat.extend(ids)
         return len(self.begin) - 1
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
-        if len(self.known) > _MOST:
+        if len(self.begin) > _MOST:
             self._forget()
         data, offsets = as_bytes(texts)
         space = _SPACE[data]
@@ -94,7 +95,7 @@ class Pieces:
                 if keep:
                     known[h] = at
             place[k] = at
-        begin, size, flat = np.array(self.begin, np.int64), np.array(self.size, np.int64), np.array(self.flat, np.uint32)
+        begin, size, flat = np.frombuffer(self.begin, np.int64), np.frombuffer(self.size, np.int64), np.frombuffer(self.flat, np.uint32)
         at = place[inverse]
         b, n = begin[at], size[at]
         if special:  # texts that hold a special token's string
