@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from quarryline.functions.text import SPACE, strip
 
@@ -37,9 +38,14 @@ def first_object(text: str | None) -> str | None:
         return None
 
 
-@F.pandas_udf("string")
-def extract_json(responses: pd.Series) -> pd.Series:
-    return responses.map(first_object)
+def extract_json(response: Column) -> Column:
+    """The first JSON object of each response, as text."""
+
+    @F.pandas_udf(StringType())
+    def run(responses: pd.Series) -> pd.Series:
+        return responses.map(first_object)
+
+    return run(response)
 
 
 def render(template: str, **columns: Column) -> Column:
