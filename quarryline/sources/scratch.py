@@ -17,8 +17,8 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written out and reread: what follows doesn't compute it again, nor does a retry."""
+def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    """``df`` written out and reread: its lineage ends there, so neither what follows nor a lost executor computes it again."""
     path = shared_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -1 +1 @@
-"""Spark jobs for retrieval over document collections and for building training corpora."""
+"""Empty: the source material has no streams. Session state and resumed runs are batch jobs, by turn and by ledger."""
