@@ -75,10 +75,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def keep_one_of_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     """``docs`` with one row for each text, all columns as they were."""
-    kept = exact_dedup(docs, keep=keep).where("kept").select("doc_id", F.unhex("text_sha256").alias("proof")).withColumnsRenamed({"doc_id": "_kept_id", "proof": "_kept_proof"})
-    proof = F.unhex(F.sha2(text_of(), 256))
-    one = Window.partitionBy("doc_id", "_proof").orderBy("_proof")
-    return docs.withColumn("_proof", proof).join(kept, F.col("doc_id").eqNullSafe(F.col("_kept_id")) & (F.col("_proof") == F.col("_kept_proof")), "left_semi").withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select(*docs.columns)
+    lowest = F.lit(-(2**63))
+    kept = exact_dedup(docs, keep=keep).where("kept").select(F.coalesce("doc_id", lowest).alias("_order"), F.unhex("text_sha256").alias("_proof"))
+    keyed = docs.withColumns({"_order": F.coalesce(F.col("doc_id").cast("long"), lowest), "_proof": F.unhex(F.sha2(text_of(), 256))})
+    # the window needs no shuffle beyond the join's
+    one = Window.partitionBy("_order", "_proof").orderBy("_order")
+    return keyed.join(kept, ["_order", "_proof"], "left_semi").withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select(*docs.columns)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
