@@ -23,7 +23,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def nearest(queries: DataFrame, corpus: DataFrame, k: int, id_col: str = "chunk_id", query_id: str = "query_id", vector: str = "embedding") -> DataFrame:
     """``<query>, <id>, score``: candidates for the ``k`` nearest by inner product. Each task multiplies its rows with a block of queries and keeps the
     ``k`` best of each query among the rows it has read, so only partial lists are shuffled. The queries are a given set, held on the driver."""
-    asked = [(r[0], r[1]) for r in queries.select(query_id, vector).toLocalIterator()]
+    asked = [(r[0], r[1]) for r in queries.select(query_id, vector).collect()]
     query_kind, id_kind = queries.schema[query_id].dataType.simpleString(), corpus.schema[id_col].dataType.simpleString()
     out: DataFrame | None = None
     for lo in range(0, max(1, len(asked)), QUERY_BLOCK):
