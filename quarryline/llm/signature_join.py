@@ -2,15 +2,16 @@
 
 A document's set is its distinct five-word shingles. Two documents link when their Jaccard similarity is 0.8 or more.
 
-1. One pass reads every text: the set's size and digest, and a sketch of how often shingles occur (a fixed number of counters).
+1. One pass reads every text: the set's size, digest and signature (a bitmap), and a sketch of how often shingles occur (a fixed number of counters).
 2. A second pass emits each set's prefix: the ``n - ceil(0.8 n) + 1`` shingles that come first when ordered by sketched
    frequency, rarest first. Sets that link share a shingle of both prefixes, whatever the order; rarest first keeps what many documents share out
    of the prefixes. Sets that share a prefix shingle meet in the bucket of the least of them.
-3. In a bucket, sets are compared with its least document first; those that link are in one component with it and needn't meet each
-   other. The rest meet all of the bucket through signature trees: nodes hold the OR of their sets' bitmaps and the range of their sizes, and
-   two trees are traversed together, dropping pairs of nodes whose greatest possible overlap is too small. A large bucket is
-   cut into blocks by size, and pairs of blocks are traversed in separate tasks.
-4. Links and equal sets are joined to components.
+3. Signature trees rule out what can't link in a bucket: nodes hold the OR of their sets' bitmaps and the range of their sizes, and trees are
+   traversed together, dropping pairs of nodes whose greatest possible overlap is too small.
+4. What is left is compared, whole set with whole set: with the bucket's least document first; those that link are in one component with
+   it and needn't meet each other. The rest meet all of the bucket through trees again. A large bucket is cut into blocks by size, and pairs of
+   blocks are traversed in separate tasks.
+5. Links and equal sets are joined to components.
 
 The test of a pair compares the sets whole.
 """
@@ -89,21 +90,30 @@ def _counter(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
 
 
+def signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each set's bitmap (a row of 64-bit words), and how many of its shingles share a bit with another of them."""
+    n = len(at) - 1
+    bits = np.zeros((n, BITS), bool)
+    bits[np.repeat(np.arange(n), np.diff(at)), (h & np.uint64(BITS - 1)).astype(np.int64)] = True
+    return np.packbits(bits, 1).view(np.uint64), np.diff(at) - bits.sum(1)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document (size and digest of its set), and one for each part of this partition's counters."""
-    names = ["doc_id", "n", "digest", "part", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    """A row for each document (size, digest and signature of its set), and one for each part of this partition's counters."""
+    names = ["doc_id", "n", "digest", "sign", "slack", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
     counts = np.zeros(COUNTERS, np.int32)
     any_ = False
     for ids, h, at in _sets(batches):
         any_ = True
         counts += np.bincount(_counter(h), minlength=COUNTERS).astype(np.int32)
         digests = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)]
+        signs, slack = signatures(h, at)
         none = [None] * len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, np.diff(at), digests, none, none), kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, np.diff(at), digests, [x.tobytes() for x in signs], slack, none, none), kinds, strict=True)], names)
     if any_:
         for i, some in enumerate(np.split(counts.astype("<u4"), PARTS)):
-            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((None, None, None, i, some.tobytes()), kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((None, None, None, None, None, i, some.tobytes()), kinds, strict=True)], names)
 
 
 def _added(key: tuple, table: pa.Table) -> pa.Table:
@@ -139,21 +149,20 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
 class SignatureTree:
     """Sets in the leaves; every node has the OR of the signatures below it and the least and greatest size."""
 
-    def __init__(self, sets: list[np.ndarray]) -> None:
-        self.sets = sets
-        sizes = np.array([len(s) for s in sets], np.int64)
-        signs = np.zeros((len(sets), BITS // 64), np.uint64)
-        for i, s in enumerate(sets):
-            bit = s & np.uint64(BITS - 1)
-            np.bitwise_or.at(signs[i], (bit >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bit & np.uint64(63)))
-        # a set's own bits may collide, so its overlap with a node is at most its set bits there plus what collided
-        self.slack = sizes - np.bitwise_count(signs).sum(1)
-        self.levels = [(signs, sizes, sizes, self.slack)]
+    def __init__(self, signs: np.ndarray, sizes: np.ndarray, slack: np.ndarray) -> None:
+        # a set's own bits may collide, so an overlap is at most the common bits and what collided
+        self.levels = [(signs, sizes, sizes, slack)]
         while len(self.levels[-1][1]) > 1:
             s, lo, hi, sl = self.levels[-1]
             cuts = np.arange(0, len(lo), FAN)
             self.levels.append((np.bitwise_or.reduceat(s, cuts, 0), np.minimum.reduceat(lo, cuts), np.maximum.reduceat(hi, cuts), np.maximum.reduceat(sl, cuts)))
 
+    @classmethod
+    def of(cls, sets: list[np.ndarray]) -> SignatureTree:
+        at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+        signs, slack = signatures(np.concatenate(sets) if sets else np.zeros(0, np.uint64), at)
+        return cls(signs, np.diff(at), slack)
+
     def top(self) -> int:
         return len(self.levels) - 1
 
@@ -208,11 +217,11 @@ def join_blocks(left: list[tuple[int, bool, np.ndarray]], right: list[tuple[int,
     for k, to_least, _ in [*left, *(right or ())]:
         if to_least:
             root[find(k)] = find(-1)
-    x = SignatureTree([s for _, _, s in left])
-    y = x if right is None else SignatureTree([s for _, _, s in right])
+    x = SignatureTree.of([s for _, _, s in left])
+    y = x if right is None else SignatureTree.of([s for _, _, s in right])
     for p, q in dual(x, y, percent, right is None):
         a, b = left[p][0], other[q][0]
-        if a != b and find(a) != find(b) and linked(x.sets[p], y.sets[q], percent):
+        if a != b and find(a) != find(b) and linked(left[p][2], other[q][2], percent):
             root[find(a)] = find(b)
             out.append((a, b))
     return out
@@ -238,13 +247,72 @@ def _prefixes(counts: np.ndarray, percent: int) -> Callable[[Iterator[pa.RecordB
     return run
 
 
+def groups(batches: Iterator[pa.RecordBatch], keys: int = 3) -> Iterator[list[tuple]]:
+    """The rows of each group, of rows sorted by their first ``keys`` columns."""
+    now, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if row[:keys] != now:
+                if rows:
+                    yield rows
+                now, rows = row[:keys], []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def traversals(members: DataFrame, percent: int) -> DataFrame:
+    """Which sets meet in which traversal: ``bucket, block, other, side, member, joined`` from ``bucket, member, n, joined``. A bucket of up to ``BLOCK``
+    sets is one block; a larger one is cut by size, and by hash where many sets are of one size. Pairs of blocks too far apart in size, or without a
+    set that hasn't joined yet, don't meet."""
+    rows = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("joined")).alias("loose")).where("loose > 0 AND rows > 1")
+    sized = written(members.join(rows, "bucket"), "members")
+    one = sized.where(F.col("rows") <= BLOCK).select("bucket", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), "member", "joined")
+    many = sized.where(F.col("rows") > BLOCK)
+    span = many.groupBy("bucket").agg(F.percentile_approx("n", [i / 64 for i in range(1, 64)], F.lit(256)).alias("cuts"))
+    banded = many.join(span, "bucket").withColumn("band", F.expr(f"size(filter(cuts, c -> c < n)) * least(64, ceil(rows / {BLOCK})) div 64"))
+    in_band = banded.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("in_band"))
+    blocks = written(banded.join(in_band, ["bucket", "band"]).select("bucket", "member", "n", "joined", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("member"), F.ceil(F.col("in_band") / BLOCK))).alias("block")), "blocks")
+    ranges = blocks.groupBy("bucket", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(~F.col("joined")).alias("has_loose"))
+    right = ranges.withColumnsRenamed({"block": "other", "lo": "lo2", "hi": "hi2", "has_loose": "loose2"})
+    tasks = ranges.join(right, "bucket").where("block <= other AND (has_loose OR loose2)").where(F.expr(f"100 * least(hi, hi2) >= {percent} * greatest(lo, lo2)")).select("bucket", "block", "other")
+    sides = tasks.select("bucket", "block", "other", F.explode(F.when(F.col("block") == F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")).withColumn("own", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")))
+    return one.unionByName(sides.join(blocks.withColumnRenamed("block", "own"), ["bucket", "own"]).select("bucket", "block", "other", "side", "member", "joined"))
+
+
+def screened(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """Of ``bucket, member`` those that may link to another of the bucket, by traversal of trees over signatures alone."""
+    members = pairs.unionByName(pairs.select("bucket", F.col("bucket").alias("member")).distinct()).join(signs.select(F.col("id").alias("member"), "n"), "member")
+    loaded = traversals(members.select("bucket", "member", "n", F.lit(False).alias("joined")), percent).join(signs.withColumnRenamed("id", "member"), "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches):
+            sides: list[list[tuple]] = [[], []]
+            for r in rows:
+                sides[r[3]].append(r)
+            same = rows[0][1] == rows[0][2]
+            trees = [SignatureTree(np.frombuffer(b"".join(r[7] for r in side), np.uint64).reshape(len(side), -1), np.array([r[5] for r in side], np.int64), np.array([r[6] for r in side], np.int64)) for side in sides if side]
+            if same or len(trees) == 2:
+                other = sides[0 if same else 1]
+                hits = {m for p, q in dual(trees[0], trees[0 if same else 1], percent, same) if sides[0][p][4] != other[q][4] for m in (sides[0][p][4], other[q][4])}
+                if hits:
+                    yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * len(hits), pa.int64()), pa.array(sorted(hits), pa.int64())], ["bucket", "member"])
+
+    met = loaded.select("bucket", "block", "other", "side", "member", "n", "slack", "sign").repartition("bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "n", "member")
+    return met.mapInArrow(run, "bucket long, member long").where("bucket <> member").distinct()
+
+
+#: Ids of candidates are broadcast up to this number, 8 bytes each; beyond it texts are shuffled to them.
+BROADCAST_IDS = 500_000
+
+
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Profiles (``doc_id, n, digest, rep``: the least id with an equal set) and links (``a, b``) between representatives."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), text_of(text_col).alias("text"))
-    profile = written(rows.mapInArrow(_profile, "doc_id long, n long, digest binary, part int, counts binary").withColumn("src", F.spark_partition_id().cast("long")), "profiles")
-    sets = profile.where("part IS NULL").select("doc_id", "n", "digest")
+    profile = written(rows.mapInArrow(_profile, "doc_id long, n long, digest binary, sign binary, slack long, part int, counts binary").withColumn("src", F.spark_partition_id().cast("long")), "profiles")
+    sets = profile.where("part IS NULL")
     reps = sets.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
-    known = written(sets.join(reps, ["n", "digest"]).select("doc_id", "n", "digest", "rep"), "known")
+    known = written(sets.select("doc_id", "n", "digest").join(reps, ["n", "digest"]), "known")
     counts = _sketch(profile.where("part IS NOT NULL").select("part", "src", "counts"))
     if counts is None:
         return known, known.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
@@ -265,11 +333,14 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .distinct()
     )
     pairs = written(pairs, "buckets")
+    signs = sets.select(F.col("doc_id").alias("id"), "n", "slack", "sign")
+    pairs = written(screened(pairs, signs, percent), "screened")
     # the texts of candidates alone
-    wanted = pairs.select(F.col("bucket").alias("doc_id")).unionByName(pairs.select(F.col("member").alias("doc_id"))).distinct()
-    some = written(rows.join(wanted, "doc_id", "left_semi").distinct().mapInArrow(_whole, "doc_id long, sets binary"), "sets")
+    wanted = written(pairs.select(F.col("bucket").alias("doc_id")).unionByName(pairs.select(F.col("member").alias("doc_id"))).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    some = written(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, n long, sets binary"), "sets")
     # first each member against its bucket's least
-    with_sets = pairs.join(some.withColumnsRenamed({"doc_id": "member", "sets": "own"}), "member").join(some.withColumnsRenamed({"doc_id": "bucket", "sets": "to"}), "bucket")
+    with_sets = pairs.join(some.select(F.col("doc_id").alias("member"), F.col("sets").alias("own")), "member").join(some.select(F.col("doc_id").alias("bucket"), F.col("sets").alias("to")), "bucket")
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -280,39 +351,25 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     star = written(with_sets.select("bucket", "member", "own", "to").mapInArrow(stars, "bucket long, member long, n long, joined boolean"), "star")
     links = star.where("joined").select(F.col("bucket").alias("a"), F.col("member").alias("b"))
     # then what didn't link to it against all members
-    total = star.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("joined")).alias("loose")).where("loose > 0 AND rows > 1")
-    open_ = star.join(total, "bucket")
-    # blocks of near sizes, cut by hash where many sets are of one size
-    span = open_.groupBy("bucket").agg(F.percentile_approx("n", [i / 64 for i in range(1, 64)], F.lit(256)).alias("cuts"))
-    banded = open_.join(span, "bucket").withColumn("band", F.expr(f"size(filter(cuts, c -> c < n)) * least(64, ceil(rows / {BLOCK})) div 64"))
-    in_band = banded.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("in_band"))
-    blocks = written(banded.join(in_band, ["bucket", "band"]).select("bucket", "member", "n", "joined", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("member"), F.ceil(F.col("in_band") / BLOCK))).alias("block")), "blocks")
-    range_ = blocks.groupBy("bucket", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(~F.col("joined")).alias("has_loose"))
-    right = range_.withColumnsRenamed({"block": "other", "lo": "lo2", "hi": "hi2", "has_loose": "loose2"})
-    tasks = (
-        range_.join(right, "bucket")
-        .where("block <= other AND (has_loose OR loose2)")
-        .where(F.expr(f"100 * least(hi, hi2) >= {percent} * greatest(lo, lo2)"))
-        .select("bucket", "block", "other")
-    )
-    sides = tasks.select("bucket", "block", "other", F.explode(F.when(F.col("block") == F.col("other"), F.array(F.lit(0))).otherwise(F.array(F.lit(0), F.lit(1)))).alias("side")).withColumn("own", F.when(F.col("side") == 0, F.col("block")).otherwise(F.col("other")))
-    members = sides.join(blocks.withColumnRenamed("block", "own"), ["bucket", "own"]).select("bucket", "block", "other", "side", "member", "joined")
-    loaded = members.join(some.withColumnRenamed("doc_id", "member"), "member")
-
-    def meet_blocks(key: tuple, table: pa.Table) -> pa.Table:
-        both: list[list] = [[], []]
-        for side, member, joined, raw in sorted(zip(*(table.column(c).to_pylist() for c in ("side", "member", "joined", "sets")), strict=True), key=lambda r: (len(r[3]), r[3][:8], r[1])):
-            both[side].append((member, joined, np.frombuffer(raw, np.uint64)))
-        found = join_blocks(both[0], None if key[1] == key[2] else both[1], percent) if both[0] and (both[1] or key[1] == key[2]) else []
-        return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
-
-    more = loaded.groupBy("bucket", "block", "other").applyInArrow(meet_blocks, "a long, b long")
+    loaded = traversals(star, percent).join(some.select(F.col("doc_id").alias("member"), "n", "sets"), "member")
+
+    def rest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in groups(batches):
+            both: list[list] = [[], []]
+            for _, _, _, side, member, joined, _, raw in found:
+                both[side].append((member, joined, np.frombuffer(raw, np.uint64)))
+            same = found[0][1] == found[0][2]
+            links = join_blocks(both[0], None if same else both[1], percent) if both[0] and (same or both[1]) else []
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+
+    more = loaded.select("bucket", "block", "other", "side", "member", "joined", "n", "sets").repartition("bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "n", "member").mapInArrow(rest, "a long, b long")
     return known, links.unionByName(more)
 
 
 def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, h, at in _sets(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "sets"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "n", "sets"])
 
 
 def _id(c: Column | str) -> Column:

@@ -84,7 +84,7 @@ def test_trees():
     rng = np.random.default_rng(2)
     base = [np.unique(rng.integers(0, 2**63, rng.integers(1, 300)).astype(np.uint64)) for _ in range(60)]
     sets = [np.unique(np.concatenate((b[rng.random(len(b)) > 0.05], rng.integers(0, 2**63, 3).astype(np.uint64)))) for b in base for _ in range(3)]
-    x, y = sj.SignatureTree(sets[:100]), sj.SignatureTree(sets[60:])
+    x, y = sj.SignatureTree.of(sets[:100]), sj.SignatureTree.of(sets[60:])
     want = {(i, j) for i in range(100) for j in range(len(sets) - 60) if sj.linked(sets[i], sets[60 + j])}
     assert want <= set(sj.dual(x, y)) and want
     assert {(i, j) for i in range(100) for j in range(i + 1, 100) if sj.linked(sets[i], sets[j])} <= set(sj.dual(x, x, same=True))
