@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import query_tokens, strip
 from quarryline.jobs import tables as t
-from quarryline.operators import chunking, export, toc
+from quarryline.operators import chunking, export, toc, verify
 
 
 def _page_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,3 +197,26 @@ def response_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     response = F.when(d % 4 == 0, F.concat_ws("，", a, b, c, a)).when(d % 4 == 1, F.concat(F.lit("see:\n"), b, F.lit(" , "), c, F.lit("\n2. title"))).when(d % 4 == 2, F.lit("无")).otherwise(F.concat(a, F.lit(". title")))
     picked = toc.named_numbers(response, 15)
     return t.table(spark, sf_dir, "documents").select("doc_id", F.array_join(picked.cast("array<string>"), ",").alias("picked"))
+
+
+def _selector():  # noqa: ANN202
+    """A completion function for tests: by the question's length it names the first path, two numbers or nothing."""
+
+    def ask(prompt: str) -> str:
+        question, *rest = prompt.split("\n")
+        kind = len(question) % 3
+        return f"see {rest[0].split('. ', 1)[1]}" if kind == 0 else "2,3" if kind == 1 else "unsure"
+
+    return ask
+
+
+@t.query("bookmark_evidence")
+def bookmark_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entries that a completion names from each question's catalogue, or keywords where it names none."""
+    # questions of one line, of 58 to 60 characters
+    cut = (58 + F.col("query_id") % 3).cast("int")
+    asked = _asked(spark, sf_dir).withColumn("question", F.replace(F.left("question", cut), F.lit("\n"), F.lit(" ")))
+    entries = toc.toc_paths(t.toc(spark, sf_dir)).withColumn("ord", F.struct("ord", "source_file")).withColumn("path", F.replace("path", F.lit("\n"), F.lit(" ")))
+    listed = toc.catalogue(entries.join(asked, "vehicle_model"), F.col("words"), 10).select("query_id", "position", "path", "title", "ord", "words", "question")
+    picked = verify.select_entries(listed, _selector)
+    return picked.select("query_id", "path", F.col("ord.ord").alias("ord"), F.col("ord.source_file").alias("source_file"), "picked_by")

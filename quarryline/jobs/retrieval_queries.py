@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
 from quarryline.jobs import tables as t
-from quarryline.operators import bm25, chunking, evaluation, fusion, routing, sessions, vectors
+from quarryline.operators import bm25, chunking, completion, evaluation, fusion, routing, sessions, vectors, verify
 from quarryline.operators.export import ordered
 
 
@@ -251,3 +251,49 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = t.table(spark, sf_dir, "embeddings")
     asked = _turns(spark, sf_dir).withColumn("vec_id", (F.col("session_id") * 13 + F.col("turn")) % 200).join(vecs, "vec_id").select("session_id", "turn", "embedding")
     return sessions.cache_reuse(_cache(spark, sf_dir), asked, vecs.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), 0.1)
+
+
+def _verifier():  # noqa: ANN202
+    """A completion function for tests: yes to chunks of numbers that three doesn't divide, an error where eleven does."""
+
+    def ask(prompt: str) -> str:
+        n = int(prompt.split("\n")[0])
+        if n % 11 == 0:
+            raise ValueError("no answer")
+        return "是" if n % 3 else "否\nnot about it"
+
+    return ask
+
+
+@t.query(
+    "verified_evidence",
+    f"""WITH {t.CHUNKS}, {t.QUESTIONS}, {t.BM25}, r AS (SELECT query_id, chunk_id, rank, round(score, 6) AS score, rank = 2 AS from_toc, chunk_id::BIGINT % 11 = 0 OR chunk_id::BIGINT % 3 <> 0 AS kept FROM btop WHERE rank <= 5),
+n AS (SELECT *, sum(kept::INT) OVER (PARTITION BY query_id) AS nk, row_number() OVER (PARTITION BY query_id, kept ORDER BY score DESC, rank) AS nth FROM r WHERE NOT from_toc),
+b AS (SELECT query_id, chunk_id, rank, 1 AS g FROM n WHERE kept OR nk = 0 OR nth <= 2 - nk UNION ALL SELECT query_id, chunk_id, rank, 0 FROM r WHERE from_toc)
+SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY g, rank))::INT AS position FROM b""",
+)
+def verified_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = bm25.search(t.questions(spark, sf_dir), t.chunks(spark, sf_dir), 5)
+    asked = rows.select("query_id", "chunk_id", F.col("rank").alias("pos"), F.round("score", 6).alias("score"), (F.col("rank") == 2).alias("from_toc"), completion.render("{id}\n{rank}", id=F.col("chunk_id"), rank=F.col("rank")).alias("prompt"))
+    return verify.verify_chunks(asked, _verifier, 2)
+
+
+@t.query(
+    "stage_counts",
+    f"""WITH {t.CHUNKS}, {t.QUESTIONS}, {t.BM25}, {t.VECTORS} SELECT query_id, 'bm25' AS stage, count(*) AS chunks FROM btop GROUP BY 1 UNION ALL SELECT query_id, 'vector', count(*) FROM vtop WHERE rank <= 20 GROUP BY 1
+UNION ALL SELECT query_id, 'near', count(*) FROM vtop WHERE rank <= 20 AND score >= 0.3 GROUP BY 1""",
+)
+def stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many chunks of each query come to each stage."""
+    near = _near(spark, sf_dir)
+    parts = {"bm25": bm25.search(t.questions(spark, sf_dir), t.chunks(spark, sf_dir)), "vector": near, "near": near.where("score >= 0.3")}
+    trace = [p.select("query_id", F.lit(stage).alias("stage")) for stage, p in parts.items()]
+    return fusion.stage_counts(trace[0].unionByName(trace[1]).unionByName(trace[2]))
+
+
+@t.query("model_names", "SELECT doc_id, CASE WHEN source IN ('src1', 'src2') THEN upper(source) ELSE source END AS display FROM documents")
+def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names for display: some models of the registry have one, the others show their id."""
+    rows = t.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("model_id"))
+    models = rows.select("model_id").distinct().select("model_id", F.when(F.col("model_id").isin("src1", "src2"), F.upper("model_id")).alias("name"))
+    return routing.display_names(rows, models).select("doc_id", "display")
