@@ -8,13 +8,18 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: What this process has written and not dropped.
+_PATHS: list[str] = []
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
     """A new path below the folder of ``spark.checkpoint.dir``; only where that is unset (tests) below a temporary one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    _PATHS.append(f"{base}/{name}-{uuid.uuid4().hex}")
+    return _PATHS[-1]
 
 
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -22,3 +27,12 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_written(spark: SparkSession) -> int:
+    """Deletes the intermediate tables of this process, once results that read them have been written; gives their number."""
+    conf, n = spark._jsc.hadoopConfiguration(), 0
+    while _PATHS:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_PATHS.pop())
+        n += bool(path.getFileSystem(conf).delete(path, True))
+    return n

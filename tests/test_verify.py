@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarryline.operators import verify
+from quarryline.sources import scratch
 
 
 def answers(table):
@@ -43,3 +44,9 @@ def test_select_entries(spark):
     # nothing named: by words, and as the path's length always counts two come for each
     assert ("B>Tyres", "keyword") in got["k"] and len(got["k"]) == 2 and len(got["x"]) == 2
     assert verify.select_entries(listed.where(F.lit(False)), answers(table)).count() == 0
+
+
+def test_scratch(spark):
+    scratch.drop_written(spark)
+    rows = scratch.written(spark.range(5), "five")
+    assert rows.count() == 5 and scratch.drop_written(spark) == 1 and scratch.drop_written(spark) == 0
