@@ -3,9 +3,10 @@
 A document's set is its distinct five-word shingles. Two documents link when their Jaccard similarity is 0.8 or more.
 
 1. One pass reads every text: the set's size, digest and signature (a bitmap), and a sketch of how often shingles occur (a fixed number of counters).
-2. A second pass emits each set's prefix: the ``n - ceil(0.8 n) + 1`` shingles that come first when ordered by sketched
-   frequency, rarest first. Sets that link share a shingle of both prefixes, whatever the order; rarest first keeps what many documents share out
-   of the prefixes. Sets that share a prefix shingle meet in the bucket of the least of them.
+2. A second pass emits each set's prefix: the ``n - ceil(0.8 n) + k`` shingles that come first when ordered by sketched
+   frequency, rarest first. Sets that link share k shingles of both prefixes, whatever the order; rarest first keeps what many documents share out
+   of the prefixes. A set fewer than k of whose keys any other set has links with nothing. Of the rest, sets that share a key meet in the
+   bucket of the least of them.
 3. Signature trees rule out what can't link in a bucket: nodes hold the OR of their sets' bitmaps and the range of their sizes, and trees are
    traversed together, dropping pairs of nodes whose greatest possible overlap is too small.
 4. What is left is compared, whole set with whole set: with the bucket's least document first; those that link are in one component with
@@ -98,22 +99,31 @@ def signatures(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(bits, 1).view(np.uint64), np.diff(at) - bits.sum(1)
 
 
+def _digest(h: np.ndarray) -> bytes:
+    return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
+
+
+def _sid(digest: bytes) -> int:
+    """The first 64 bits of a set's digest. Sets that share them are candidates together, so a collision loses nothing."""
+    return int.from_bytes(digest[:8], "big", signed=True)
+
+
 def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A row for each document (size, digest and signature of its set), and one for each part of this partition's counters."""
-    names = ["doc_id", "n", "digest", "sign", "slack", "part", "counts"]
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
+    names = ["doc_id", "n", "digest", "sid", "sign", "slack", "part", "counts"]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
     counts = np.zeros(COUNTERS, np.int32)
     any_ = False
     for ids, h, at in _sets(batches):
         any_ = True
         counts += np.bincount(_counter(h), minlength=COUNTERS).astype(np.int32)
-        digests = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(at, at[1:], strict=False)]
+        digests = [_digest(h[a:b]) for a, b in zip(at, at[1:], strict=False)]
         signs, slack = signatures(h, at)
         none = [None] * len(ids)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, np.diff(at), digests, [x.tobytes() for x in signs], slack, none, none), kinds, strict=True)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((ids, np.diff(at), digests, [_sid(d) for d in digests], [x.tobytes() for x in signs], slack, none, none), kinds, strict=True)], names)
     if any_:
         for i, some in enumerate(np.split(counts.astype("<u4"), PARTS)):
-            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((None, None, None, None, None, i, some.tobytes()), kinds, strict=True)], names)
+            yield pa.RecordBatch.from_arrays([pa.array([c], k) for c, k in zip((None, None, None, None, None, None, i, some.tobytes()), kinds, strict=True)], names)
 
 
 def _added(key: tuple, table: pa.Table) -> pa.Table:
@@ -136,8 +146,21 @@ def _sketch(parts: DataFrame) -> np.ndarray | None:
         parts = written(parts, "counters")
 
 
+def spare_keys(n: int, percent: int = PERCENT) -> int:
+    """By how much a prefix is longer than the shortest that shares a key with any set that links, and one."""
+    return 1 + (n - (n * percent + 99) // 100) // 2
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
-    return n - (n * percent + 99) // 100 + 1
+    """Two sets that link have ``ceil(percent n)`` shingles in common at least, n the size of either, so the first ``spare_keys`` of these lie among so
+    many first ones of that set."""
+    return n - (n * percent + 99) // 100 + spare_keys(n, percent)
+
+
+def common_keys(n: int, percent: int = PERCENT) -> int:
+    """How many keys of its prefix a set shares with any set that links: what the smallest such set can spare, as both prefixes hold the first
+    ``spare_keys`` of the smaller one."""
+    return spare_keys((n * percent + 99) // 100, percent)
 
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -230,19 +253,20 @@ def join_blocks(left: list[tuple[int, bool, np.ndarray]], right: list[tuple[int,
 def _prefixes(counts: np.ndarray, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # sets of this partition: copies needn't be sent again
-        for ids, h, at in _sets(batches):
+        for _, h, at in _sets(batches):
             # counts above, hashes below: rarest first, one order for all sets
             key = (np.minimum(counts[_counter(h)], 65535).astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
-            taken, who = [], []
-            for i, (a, b) in enumerate(zip(at.tolist(), at.tolist()[1:], strict=False)):
-                digest = hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest()
+            taken, who, need = [], [], []
+            for a, b in zip(at.tolist(), at.tolist()[1:], strict=False):
+                digest = _digest(h[a:b])
                 if b > a and digest not in seen:
                     seen.add(digest)
                     k = prefix_size(b - a, percent)
                     taken.append(h[a:b][np.argpartition(key[a:b], k - 1)[:k]])
-                    who.append(np.full(k, ids[i]))
+                    who.append(np.full(k, _sid(digest)))
+                    need.append(np.full(k, common_keys(b - a, percent), np.int32))
             if taken:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(taken).view(np.int64)), pa.array(np.concatenate(who).astype(np.int64))], ["shingle", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(taken).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(need))], ["shingle", "sid", "need"])
 
     return run
 
@@ -309,10 +333,10 @@ BROADCAST_IDS = 500_000
 def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """Profiles (``doc_id, n, digest, rep``: the least id with an equal set) and links (``a, b``) between representatives."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), text_of(text_col).alias("text"))
-    profile = written(rows.mapInArrow(_profile, "doc_id long, n long, digest binary, sign binary, slack long, part int, counts binary").withColumn("src", F.spark_partition_id().cast("long")), "profiles")
+    profile = written(rows.mapInArrow(_profile, "doc_id long, n long, digest binary, sid long, sign binary, slack long, part int, counts binary").withColumn("src", F.spark_partition_id().cast("long")), "profiles")
     sets = profile.where("part IS NULL")
     reps = sets.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
-    known = written(sets.select("doc_id", "n", "digest").join(reps, ["n", "digest"]), "known")
+    known = written(sets.select("doc_id", "n", "digest", "sid").join(reps, ["n", "digest"]), "known")
     counts = _sketch(profile.where("part IS NOT NULL").select("part", "src", "counts"))
     if counts is None:
         return known, known.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
@@ -321,17 +345,20 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _prefixes(shared.value, percent)(batches)
 
-    keys = rows.mapInArrow(prefixes, "shingle long, id long")
-    meet = Window.partitionBy("shingle").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    met = keys.withColumn("least", F.first("id").over(meet)).where("id <> least").select("least", "id").distinct()
-    name = known.select("doc_id", "rep").distinct()
-    pairs = (
-        met.join(name.withColumnsRenamed({"doc_id": "least", "rep": "bucket"}), "least")
-        .join(name.withColumnsRenamed({"doc_id": "id", "rep": "member"}), "id")
-        .where("bucket <> member")
-        .select("bucket", "member")
-        .distinct()
-    )
+    keys = rows.mapInArrow(prefixes, "shingle long, sid long, need int")
+    # equal sets of several partitions once, in the shuffle that the keys meet by
+    once = keys.repartition("shingle").groupBy("shingle", "sid").agg(F.min("need").alias("need"))
+    meet = Window.partitionBy("shingle").orderBy("sid")
+    some_other = F.lag("sid").over(meet).isNotNull() | F.lead("sid").over(meet).isNotNull()
+    own = Window.partitionBy("sid")
+    enough = once.withColumn("common", some_other).where("common").withColumn("keys", F.count(F.lit(1)).over(own)).where("keys >= need").select("shingle", "sid")
+    least = F.first("sid").over(meet.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    met = enough.withColumn("least", least).where("sid <> least").select("least", "sid").distinct()
+    name = known.where("n > 0").select("sid", "rep").distinct()
+    buckets = met.join(name.withColumnsRenamed({"sid": "least", "rep": "bucket"}), "least").join(name.withColumnRenamed("rep", "member"), "sid")
+    # sets that share a sid are one bucket as well
+    same = name.groupBy("sid").agg(F.min("rep").alias("bucket"), F.max("rep").alias("last")).where("bucket <> last").join(name.withColumnRenamed("rep", "member"), "sid")
+    pairs = buckets.select("bucket", "member").unionByName(same.select("bucket", "member")).where("bucket <> member").distinct()
     pairs = written(pairs, "buckets")
     signs = sets.select(F.col("doc_id").alias("id"), "n", "slack", "sign")
     pairs = written(screened(pairs, signs, percent), "screened")

@@ -91,6 +91,24 @@ def test_trees():
     assert len(list(sj.dual(x, y))) < 4000
 
 
+def test_prefixes():
+    """Sets that link share as many keys of their prefixes as either needs, also where one is far larger."""
+    rng = random.Random(12)
+    seen = 0
+    for _ in range(4000):
+        n = rng.randint(1, 120)
+        small = rng.sample(range(10_000), n)
+        big = small[: n - rng.randint(0, n // 9)] + rng.sample(range(10_000, 20_000), rng.randint(0, n // 4))
+        a, b = sorted(small, key=hash), sorted(set(big))
+        order = {x: rng.random() for x in {*a, *b}}
+        if 100 * len({*a} & {*b}) < 80 * len({*a} | {*b}):
+            continue
+        seen += 1
+        x, y = ({*sorted(s, key=order.get)[: sj.prefix_size(len(s))]} for s in (a, b))
+        assert len(x & y) >= max(sj.common_keys(len(a)), sj.common_keys(len(b)))
+    assert seen > 1000
+
+
 def test_graph(spark):
     rng = random.Random(4)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(1000 + i, 1001 + i) for i in range(40)]
