@@ -160,7 +160,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     share = F.create_map(*[F.lit(x) for r in sums for x in (r.lang, float(min(1.0, max(3 * size / r.chars, 30 / r.n))))])
     draw = F.crc32(F.concat(F.lit("lang:"), F.coalesce("id", F.lit("")))) / float(2**32)
     taken: dict[str, str] = {}
-    for r in sorted(rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).select("lang", "draw", "id", F.substring("text", 1, 4 * size).alias("text")).toLocalIterator(), key=lambda r: (r.lang, r.draw, r.id or "", r.text)):
+    for r in sorted(rows.withColumn("draw", draw).where(F.col("draw") < share[F.col("lang")]).select("lang", "draw", "id", F.substring("text", 1, 4 * size).alias("text")).collect(), key=lambda r: (r.lang, r.draw, r.id or "", r.text)):
         if len(taken.get(r.lang, "")) < size:
             taken[r.lang] = (taken.get(r.lang, "") + " " + r.text)[: size + 1]
     return tuple(sorted(taken.items()))
