@@ -223,9 +223,9 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """From ``sample`` documents, about: those with base spans and ``clean`` others."""
     n = docs.count()
     draw = F.crc32(F.concat(F.lit("secret:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))) / float(2**32)
-    rows = docs.where(draw < min(1.0, sample / max(1, n))).select(draw.alias("draw"), F.substring(text_of(text_col), 1, SAMPLE_CHARS).alias("text")).toLocalIterator()
+    rows = docs.where(draw < min(1.0, sample / max(1, n))).select(draw.alias("draw"), F.substring(text_of(text_col), 1, SAMPLE_CHARS).alias("text")).limit(2 * sample).collect()
     kept, others = [], []
-    for r in sorted(rows, key=lambda r: (r.draw, r.text))[: 2 * sample]:
+    for r in sorted(rows, key=lambda r: (r.draw, r.text)):
         spans = base_spans(r.text)
         (kept if spans else others).append((r.text, spans))
     kept = kept[:clean] + others[:clean]
