@@ -17,7 +17,8 @@ def text_lookup(needles: DataFrame, chunks: DataFrame, needle_id: str = "case_id
     asked = needles.select(needle_id, "needle").where(strip(F.col("needle")) != "")
     if (n := asked.count()) > NEEDLES:
         raise ValueError(f"{n} texts at once; look up {NEEDLES} at a time")
-    met = chunks.join(F.broadcast(asked), F.contains(F.lower("text"), F.lower("needle")))
+    # lower case once a row, not once a pair
+    met = chunks.withColumn("_low", F.lower("text")).join(F.broadcast(asked.withColumn("_asked", F.lower("needle"))), F.contains("_low", "_asked"))
     return met.select(needle_id, "chunk_id", "section_path", snippet(F.col("text"), F.col("needle")).alias("snippet"))
 
 
