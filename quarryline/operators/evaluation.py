@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,12 +15,13 @@ NEEDLES = 10_000
 
 def text_lookup(needles: DataFrame, chunks: DataFrame, needle_id: str = "case_id") -> DataFrame:
     """``<needle>, chunk_id, section_path, snippet``: chunks that hold the text, case ignored; a blank one is in none. The needles are a stated set,
-    broadcast; every task goes over its own chunks once."""
-    asked = needles.select(needle_id, "needle").where(strip(F.col("needle")) != "")
-    if (n := asked.count()) > NEEDLES:
-        raise ValueError(f"{n} texts at once; look up {NEEDLES} at a time")
-    # lower case once a row, not once a pair
-    met = chunks.withColumn("_low", F.lower("text")).join(F.broadcast(asked.withColumn("_asked", F.lower("needle"))), F.contains("_low", "_asked"))
+    broadcast in blocks of about ``NEEDLES``; every task goes over its own chunks once for each block."""
+    asked = needles.select(needle_id, "needle").where(strip(F.col("needle")) != "").withColumn("_asked", F.lower("needle"))
+    blocks = max(1, -(-asked.count() // NEEDLES))
+    low = chunks.withColumn("_low", F.lower("text"))  # once a row, not once a pair
+    block = F.pmod(F.xxhash64(F.col(needle_id), F.col("needle")), F.lit(blocks))
+    parts = [low.join(F.broadcast(asked.where(block == i) if blocks > 1 else asked), F.contains("_low", "_asked")) for i in range(blocks)]
+    met = reduce(DataFrame.unionByName, parts)
     return met.select(needle_id, "chunk_id", "section_path", snippet(F.col("text"), F.col("needle")).alias("snippet"))
 
 

@@ -193,3 +193,13 @@ def test_sessions(spark):
     assert {t: [c for u, _, c in rows if u == t] for t in want} == want
     found = turns.withColumn("found", F.when(F.col("turn") == 4, F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")))
     assert {r.turn: (r.active, r.needs_clarification) for r in routing.sticky(found).collect()} == {1: (None, True), 4: (["m"], False), 6: (["m"], False)}
+
+
+def test_lookup_in_blocks(spark, monkeypatch):
+    """More texts than one block holds are all looked up."""
+    monkeypatch.setattr(evaluation, "NEEDLES", 4)
+    needles = [(i, f"Word{i} ") for i in range(23)] + [(30, "WORD3 "), (31, " "), (32, None)]
+    texts = [(str(c), "s", " ".join(f"word{i} x" for i in range(c, 23, c + 2))) for c in range(6)]
+    got = evaluation.text_lookup(spark.createDataFrame(needles, "case_id long, needle string"), spark.createDataFrame(texts, "chunk_id string, section_path string, text string")).collect()
+    want = sorted((i, c) for i, n in needles if n and n.strip() for c, _, text in texts if n.lower() in text.lower())
+    assert sorted((r.case_id, r.chunk_id) for r in got) == want and len(want) > 23
