@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from quarryline.llm.buffers import _BYTE, as_bytes, mix64
 from quarryline.llm.common import documents, shuffle_partitions, text_of
 
-WIDTH, FRACTION = 16, 1 / 16
+#: Short and dense enough for texts of a few dozen bytes; the same for all texts.
+WIDTH, FRACTION = 8, 1 / 4
 _BLOCK = 1 << 16
 _FIRST = -(2**63)
 
