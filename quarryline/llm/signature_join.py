@@ -13,6 +13,8 @@ A document's set is its distinct five-word shingles. Two documents link when the
    it and needn't meet each other. The rest meet all of the bucket through trees again. A large bucket is cut into blocks by size, and pairs of
    blocks are traversed in separate tasks.
 5. Links and equal sets are joined to components.
+6. Where links are counted, all pairs of a bucket that the trees can't rule out are compared, each pair in one of the buckets that it shares, and
+   only each set's sum leaves the task.
 
 The test of a pair compares the sets whole.
 """
@@ -80,11 +82,11 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([h[:0], *out]), np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+def _sets(batches: Iterator[pa.RecordBatch], words: int = WORDS, rows: int = 1024) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
     for batch in batches:
         for lo in range(0, batch.num_rows, rows):
             some = batch.slice(lo, rows)
-            yield some.column(0).to_pylist(), *shingles(some.column(1))
+            yield some.column(0).to_pylist(), *shingles(some.column(1), words)
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -108,13 +110,13 @@ def _sid(digest: bytes) -> int:
     return int.from_bytes(digest[:8], "big", signed=True)
 
 
-def _profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _profile(batches: Iterator[pa.RecordBatch], words: int = WORDS) -> Iterator[pa.RecordBatch]:
     """A row for each document (size, digest and signature of its set), and one for each part of this partition's counters."""
     names = ["doc_id", "n", "digest", "sid", "sign", "slack", "part", "counts"]
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.binary()]
     counts = np.zeros(COUNTERS, np.int32)
     any_ = False
-    for ids, h, at in _sets(batches):
+    for ids, h, at in _sets(batches, words):
         any_ = True
         counts += np.bincount(_counter(h), minlength=COUNTERS).astype(np.int32)
         digests = [_digest(h[a:b]) for a, b in zip(at, at[1:], strict=False)]
@@ -250,10 +252,10 @@ def join_blocks(left: list[tuple[int, bool, np.ndarray]], right: list[tuple[int,
     return out
 
 
-def _prefixes(counts: np.ndarray, percent: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _prefixes(counts: np.ndarray, percent: int, words: int = WORDS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()  # sets of this partition: copies needn't be sent again
-        for _, h, at in _sets(batches):
+        for _, h, at in _sets(batches, words):
             # counts above, hashes below: rarest first, one order for all sets
             key = (np.minimum(counts[_counter(h)], 65535).astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
             taken, who, need = [], [], []
@@ -330,20 +332,21 @@ def screened(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
 BROADCAST_IDS = 500_000
 
 
-def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """Profiles (``doc_id, n, digest, rep``: the least id with an equal set) and links (``a, b``) between representatives."""
+def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
+    """Profiles (``doc_id, n, digest, rep``: the least id with an equal set), the buckets (``bucket, member``) of representatives that may link, and
+    their sets (``doc_id, n, digest, sets``); no buckets for an empty table."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), text_of(text_col).alias("text"))
-    profile = written(rows.mapInArrow(_profile, "doc_id long, n long, digest binary, sid long, sign binary, slack long, part int, counts binary").withColumn("src", F.spark_partition_id().cast("long")), "profiles")
+    profile = written(rows.mapInArrow(lambda batches: _profile(batches, words), "doc_id long, n long, digest binary, sid long, sign binary, slack long, part int, counts binary").withColumn("src", F.spark_partition_id().cast("long")), "profiles")
     sets = profile.where("part IS NULL")
     reps = sets.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
     known = written(sets.select("doc_id", "n", "digest", "sid").join(reps, ["n", "digest"]), "known")
     counts = _sketch(profile.where("part IS NOT NULL").select("part", "src", "counts"))
     if counts is None:
-        return known, known.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false")
+        return known, None, None
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _prefixes(shared.value, percent)(batches)
+        yield from _prefixes(shared.value, percent, words)(batches)
 
     keys = rows.mapInArrow(prefixes, "shingle long, sid long, need int")
     # equal sets of several partitions once, in the shuffle that the keys meet by
@@ -365,7 +368,12 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # the texts of candidates alone
     wanted = written(pairs.select(F.col("bucket").alias("doc_id")).unionByName(pairs.select(F.col("member").alias("doc_id"))).distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    some = written(rows.join(wanted, "doc_id", "left_semi").mapInArrow(_whole, "doc_id long, n long, sets binary"), "sets")
+    some = written(rows.join(wanted, "doc_id", "left_semi").mapInArrow(lambda batches: _whole(batches, words), "doc_id long, n long, digest binary, sets binary"), "sets")
+    return known, pairs, some
+
+
+def spanning_links(pairs: DataFrame, some: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (``a, b``) that keep every component whole; not all links."""
     # first each member against its bucket's least
     with_sets = pairs.join(some.select(F.col("doc_id").alias("member"), F.col("sets").alias("own")), "member").join(some.select(F.col("doc_id").alias("bucket"), F.col("sets").alias("to")), "bucket")
 
@@ -391,29 +399,106 @@ def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
     more = loaded.select("bucket", "block", "other", "side", "member", "joined", "n", "sets").repartition("bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "n", "member").mapInArrow(rest, "a long, b long")
-    return known, links.unionByName(more)
+    return links.unionByName(more)
+
+
+def similar_sets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
+    """Profiles (``doc_id, n, digest, rep``: the least id with an equal set) and links (``a, b``) between representatives, as many as keep every
+    component whole. ``link_counts`` counts all of them."""
+    known, pairs, some = candidates(docs, id_col, text_col, words, percent)
+    return known, _spanned(known, pairs, some, percent)
+
+
+def _spanned(known: DataFrame, pairs: DataFrame | None, some: DataFrame | None, percent: int) -> DataFrame:
+    return known.select(F.col("rep").alias("a"), F.col("rep").alias("b")).where("false") if pairs is None else spanning_links(pairs, some, percent)
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray], rows: list[int]) -> Iterator[np.ndarray]:
+    """For each of ``rows`` of ``left``, how many members its set has in common with each set of ``right``."""
+    values = np.concatenate(right)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], np.repeat(np.arange(len(right)), [len(s) for s in right])[order]
+    for p in rows:
+        lo, hi = np.searchsorted(values, left[p], "left"), np.searchsorted(values, left[p], "right")
+        n = hi - lo
+        at = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
+        yield np.bincount(owner[at], minlength=len(right))
+
+
+def block_counts(bucket: int, left: list[tuple], right: list[tuple] | None, percent: int = PERCENT) -> dict[tuple[int, bytes], int]:
+    """By (id, digest), how many documents link to a set of two blocks, or of one, of (id, digest, copies, buckets, set). A pair counts in the least bucket that both are in."""
+    same = right is None
+    other = left if same else right
+    sets, others = [r[4] for r in left], [r[4] for r in other]
+    x = SignatureTree.of(sets)
+    y = x if same else SignatureTree.of(others)
+    few: dict[int, list[int]] = {}
+    for p, q in dual(x, y, percent, same):
+        if left[p][0] != other[q][0]:
+            few.setdefault(p, []).append(q)
+    least, least2 = [min(r[3]) for r in left], [min(r[3]) for r in other]
+    out: dict[tuple[int, bytes], int] = {}
+    for (p, qs), both in zip(few.items(), overlaps(sets, others, list(few)), strict=True):
+        a = left[p]
+        for q, m in zip(qs, both[qs].tolist(), strict=True):
+            b = other[q]
+            if 100 * m >= percent * (len(a[4]) + len(b[4]) - m) and (bucket == max(least[p], least2[q]) or bucket == min(a[3] & b[3])):
+                out[a[:2]] = out.get(a[:2], 0) + b[2]
+                out[b[:2]] = out.get(b[:2], 0) + a[2]
+    return out
+
+
+def link_counts(known: DataFrame, pairs: DataFrame, some: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """``rep, digest, linked``: how many documents have another set that links to the representative's. Every pair of a bucket that the trees can't rule
+    out is compared. Ids are those of one text each; repeated rows count as copies."""
+    copies = known.groupBy(F.col("rep").alias("doc_id"), "n", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    members = written(pairs.unionByName(pairs.select("bucket", F.col("bucket").alias("member")).distinct()), "bucket-members")
+    homes = members.groupBy("member").agg(F.collect_set("bucket").alias("homes"))
+    nodes = written(some.dropDuplicates(["doc_id", "n", "digest"]).join(copies, ["doc_id", "n", "digest"]).withColumnRenamed("doc_id", "member").join(homes, "member"), "nodes")
+    met = traversals(members.join(nodes.select("member", "n"), "member").withColumn("joined", F.lit(False)), percent).drop("joined").join(nodes, "member")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in groups(batches):
+            both: list[list] = [[], []]
+            for _, _, _, side, member, _, digest, n_copies, buckets, raw in found:
+                both[side].append((member, digest, n_copies, frozenset(buckets), np.frombuffer(raw, np.uint64)))
+            same = found[0][1] == found[0][2]
+            sums = block_counts(found[0][0], both[0], None if same else both[1], percent) if both[0] and (same or both[1]) else {}
+            if sums:
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.int64()), pa.array([k[1] for k in sums], pa.binary()), pa.array(list(sums.values()), pa.int64())], ["rep", "digest", "linked"])
+
+    dealt = met.select("bucket", "block", "other", "side", "member", "n", "digest", "copies", "homes", "sets").repartition("bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "n", "member")
+    return dealt.mapInArrow(run, "rep long, digest binary, linked long").groupBy("rep", "digest").agg(F.sum("linked").alias("linked"))
 
 
-def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, h, at in _sets(batches):
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array([h[a:b].tobytes() for a, b in zip(at, at[1:], strict=False)], pa.binary())], ["doc_id", "n", "sets"])
+def _whole(batches: Iterator[pa.RecordBatch], words: int = WORDS) -> Iterator[pa.RecordBatch]:
+    for ids, h, at in _sets(batches, words):
+        sets = [h[a:b] for a, b in zip(at, at[1:], strict=False)]
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.diff(at)), pa.array([_digest(x) for x in sets], pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["doc_id", "n", "digest", "sets"])
 
 
 def _id(c: Column | str) -> Column:
     return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(-(2**63))).alias(c if isinstance(c, str) else "id")
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """One row a document: ``doc_id, n_shingles, component_id, set_copies`` (documents with an equal set).
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT, count_links: bool = False) -> DataFrame:
+    """One row a document: ``doc_id, n_shingles, component_id, set_copies`` (documents with an equal set), with ``count_links`` also ``n_links``: how many
+    other documents link to it, those with an equal set among them.
 
     Null and empty texts have no set and are alone in their component. Repeated rows are in one component. Null ids are one document, of the
     lowest id, shown as null. An empty table gives no rows; other columns are not read.
     """
-    known, links = similar_sets(docs, id_col, text_col, words, percent)
-    named = components(links)
+    known, pairs, some = candidates(docs, id_col, text_col, words, percent)
+    named = components(_spanned(known, pairs, some, percent))
     joined = known.withColumn("node", F.col("rep")).join(named, "node", "left")
     copies = known.groupBy("n", "digest").agg(F.count(F.lit(1)).alias("set_copies"))
-    return joined.join(copies, ["n", "digest"]).select(_id("doc_id"), F.col("n").alias("n_shingles"), _id(F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))).alias("component_id"), "set_copies")
+    rows = joined.join(copies, ["n", "digest"])
+    shown = [_id("doc_id"), F.col("n").alias("n_shingles"), _id(F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))).alias("component_id"), "set_copies"]
+    if count_links:
+        none = known.select("rep", "digest", F.lit(0).cast("long").alias("linked")).where("false")
+        rows = rows.join(none if pairs is None else written(link_counts(known, pairs, some, percent), "link-counts"), ["rep", "digest"], "left")
+        shown.append(F.when(F.col("n") > 0, F.col("set_copies") - 1 + F.coalesce("linked", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return rows.select(*shown)
 
 
 def keep_one_of_group(docs: DataFrame) -> DataFrame:
@@ -427,7 +512,7 @@ def keep_one_of_group(docs: DataFrame) -> DataFrame:
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    return jaccard_components(documents(spark, sf_dir), count_links=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op10_ngram_jaccard": op10_ngram_jaccard}

@@ -61,6 +61,22 @@ def test_components(spark, monkeypatch, block):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute(rows)
 
 
+@pytest.mark.parametrize("block", [4, 256])
+def test_links(spark, monkeypatch, block):
+    """Every link of a document counts once, in dense groups too; shingles are of as many words as asked."""
+    monkeypatch.setattr(sj, "BLOCK", block)
+    rows = copies(random.Random(5), 12, 25, 90) + [(10_001, None), (10_002, ""), (10_003, "one two"), (10_004, "ONE  two\n")]
+    sets = {i: plain_set(t) for i, t in rows}
+    want = {i: sum(1 for j, b in sets.items() if i != j and a and b and 100 * len(a & b) >= 80 * len(a | b)) for i, a in sets.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert {r.doc_id: r.n_links for r in sj.jaccard_components(docs, count_links=True).collect()} == want
+    assert max(want.values()) > 5 and sum(want.values()) > 2 * len(rows)
+    if block == 256:
+        got = {r.doc_id: r.n_shingles for r in sj.jaccard_components(docs, words=2).collect()}
+        pairs = lambda w: len(set(zip(w, w[1:], strict=False))) if len(w) > 1 else len(w)
+        assert got == {i: pairs((t or "").lower().split()) for i, t in rows}
+
+
 def test_odd(spark, odd, none):
     got = sj.jaccard_components(odd).collect()
     assert len(got) == odd.count()
