@@ -122,8 +122,9 @@ def toc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranges(spark, sf_dir).select("source_file", "ord", "page", "end_page")
 
 
-def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return t.questions(spark, sf_dir).select("query_id", "vehicle_model", F.left("question", F.lit(60)).alias("question")).withColumn("words", query_tokens(F.col("question"), F.lit(None).cast("string"), F.lit(None).cast("string")))
+def _asked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    asked = F.col("question") if whole else F.left("question", F.lit(60))
+    return t.questions(spark, sf_dir).select("query_id", "vehicle_model", asked.alias("question")).withColumn("words", query_tokens(F.col("question"), F.lit(None).cast("string"), F.lit(None).cast("string")))
 
 
 _ASKED = rf"""asked AS (SELECT query_id, vehicle_model, left(question, 60) AS question, list_distinct(list_filter({t.TOKENS.format("left(question, 60)")}, lambda x: length(x) >= 2)) AS words FROM questions),
@@ -134,9 +135,13 @@ best AS (SELECT *, round(m + length(path) * 0.01 - CASE WHEN contains(path, 'The
 sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, source_file) AS position FROM best WHERE nw > 0 AND score > 0) WHERE position <= 3)"""
 
 
-def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _whole_sql(name: str) -> str:
+    return t.SQL[name].replace("left(question, 60)", "question")
+
+
+def _selected(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
     # entries of many documents share a number here, so the file decides among them
-    met = _ranges(spark, sf_dir).withColumn("ord", F.struct("ord", "source_file")).join(_asked(spark, sf_dir), "vehicle_model")
+    met = _ranges(spark, sf_dir).withColumn("ord", F.struct("ord", "source_file")).join(_asked(spark, sf_dir, whole), "vehicle_model")
     return toc.keyword_match(met, F.col("words"), F.col("question"), 3, ["The"])
 
 
@@ -145,6 +150,11 @@ def bookmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(spark, sf_dir).select("query_id", "source_file", F.col("ord.ord").alias("ord"), "score", "position")
 
 
+@t.query("bookmark_scores_whole", _whole_sql("bookmark_scores"))
+def bookmark_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _selected(spark, sf_dir, True).select("query_id", "source_file", F.col("ord.ord").alias("ord"), "score", "position")
+
+
 @t.query(
     "bookmark_catalogue",
     f"""WITH RECURSIVE {t.TOC_PATHS}, {t.QUESTIONS}, {_ASKED}, flag AS (SELECT *, max(m) OVER (PARTITION BY query_id) > 0 AS any_hit FROM raw),
@@ -153,7 +163,16 @@ o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE kind WHEN
 SELECT query_id, source_file, ord, position::INT AS position FROM o WHERE position <= 80""",
 )
 def bookmark_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = toc.toc_paths(t.toc(spark, sf_dir)).withColumn("ord", F.struct("ord", "source_file")).join(_asked(spark, sf_dir), "vehicle_model")
+    return _listed(spark, sf_dir)
+
+
+@t.query("bookmark_catalogue_whole", _whole_sql("bookmark_catalogue"))
+def bookmark_catalogue_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listed(spark, sf_dir, True)
+
+
+def _listed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    met = toc.toc_paths(t.toc(spark, sf_dir)).withColumn("ord", F.struct("ord", "source_file")).join(_asked(spark, sf_dir, whole), "vehicle_model")
     return toc.catalogue(met, F.col("words")).select("query_id", "source_file", F.col("ord.ord").alias("ord"), "position")
 
 
@@ -172,6 +191,11 @@ def bookmark_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc.chunks_of_entries(_selected(spark, sf_dir), t.chunks(spark, sf_dir), 2, "vehicle_model")
 
 
+@t.query("bookmark_chunks_whole", _whole_sql("bookmark_chunks"))
+def bookmark_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toc.chunks_of_entries(_selected(spark, sf_dir, True), t.chunks(spark, sf_dir), 2, "vehicle_model")
+
+
 @t.query(
     "response_paths",
     f"""WITH RECURSIVE {t.TOC_PATHS}, r AS (SELECT doc_id::VARCHAR AS source_file, doc_id AS response_id, left(text, 400) AS response FROM documents), p AS (SELECT source_file, path, min(ord) AS ord FROM paths WHERE path <> '' GROUP BY 1, 2),
@@ -183,6 +207,12 @@ def response_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc.named_paths(responses, toc.toc_paths(t.toc(spark, sf_dir)))
 
 
+@t.query("response_paths_whole", t.SQL["response_paths"].replace("left(text, 400)", "text"))
+def response_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    responses = t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.col("doc_id").alias("response_id"), F.col("text").alias("response"))
+    return toc.named_paths(responses, toc.toc_paths(t.toc(spark, sf_dir)))
+
+
 @t.query(
     "response_indices",
     r"""WITH r AS (SELECT doc_id, (doc_id % 23)::VARCHAR AS a, (doc_id % 9)::VARCHAR AS b, (doc_id % 17)::VARCHAR AS c, doc_id % 4 AS k FROM documents),
@@ -213,10 +243,9 @@ def _selector():  # noqa: ANN202
 @t.query("bookmark_evidence")
 def bookmark_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that a completion names from each question's catalogue, or keywords where it names none."""
-    # questions of one line, of 58 to 60 characters
-    cut = (58 + F.col("query_id") % 3).cast("int")
-    asked = _asked(spark, sf_dir).withColumn("question", F.replace(F.left("question", cut), F.lit("\n"), F.lit(" ")))
+    # questions of one line
+    asked = _asked(spark, sf_dir, True).withColumn("question", F.replace("question", F.lit("\n"), F.lit(" ")))
     entries = toc.toc_paths(t.toc(spark, sf_dir)).withColumn("ord", F.struct("ord", "source_file")).withColumn("path", F.replace("path", F.lit("\n"), F.lit(" ")))
-    listed = toc.catalogue(entries.join(asked, "vehicle_model"), F.col("words"), 10).select("query_id", "position", "path", "title", "ord", "words", "question")
+    listed = toc.catalogue(entries.join(asked, "vehicle_model"), F.col("words")).select("query_id", "position", "path", "title", "ord", "words", "question")
     picked = verify.select_entries(listed, _selector)
     return picked.select("query_id", "path", F.col("ord.ord").alias("ord"), F.col("ord.source_file").alias("source_file"), "picked_by")

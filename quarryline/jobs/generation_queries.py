@@ -155,7 +155,11 @@ def leak_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @t.query("ungrounded_numbers", f"WITH {_ANSWERS} SELECT doc_id, array_to_string({_UNGROUNDED}, '|') AS numbers FROM an")
 def ungrounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir).select("doc_id", F.array_join(quality.ungrounded_numbers(F.col("output"), F.col("evidence"), UNITS), "|").alias("numbers"))
+    return _ungrounded(_answers(spark, sf_dir))
+
+
+def _ungrounded(answers: DataFrame) -> DataFrame:
+    return answers.select("doc_id", F.array_join(quality.ungrounded_numbers(F.col("output"), F.col("evidence"), UNITS), "|").alias("numbers"))
 
 
 @t.query(
@@ -168,13 +172,47 @@ def ungrounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT doc_id, reason FROM q""",
 )
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasons(spark, _answers(spark, sf_dir))
+
+
+def _reasons(spark: SparkSession, answers: DataFrame) -> DataFrame:
     most = spark.createDataFrame([(0, 400), (1, 500)], "task long, max_chars int")
-    rows = _answers(spark, sf_dir).withColumn("task", F.col("doc_id") % 3).join(F.broadcast(most), "task", "left")  # a setting for each task
+    rows = answers.withColumn("task", F.col("doc_id") % 3).join(F.broadcast(most), "task", "left")  # a setting for each task
     foreign = routing.route(F.col("instruction"), F.lit(None).cast("string"), [("other", "that the")])
     reason = quality.first_failure(F.col("instruction"), F.col("output"), F.col("evidence"), foreign, F.coalesce("max_chars", F.lit(800)), PROMISES, INSURANCE, DANGERS, GUARDS, UNITS)
     return rows.select("doc_id", reason.alias("reason"))
 
 
+#: Whole texts: the output is all that follows the instruction, the evidence the whole text of the next document.
+_WHOLE_ANSWERS = _ANSWERS.replace(
+    "SELECT doc_id, left(text, 30) AS instruction, substring(text, 31, 600) AS output0, substring(text, 631, 3000) AS evidence FROM documents WHERE text IS NOT NULL",
+    "SELECT d.doc_id, left(d.text, 30) AS instruction, substring(d.text, 31) AS output0, coalesce(e.text, '') AS evidence FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1 WHERE d.text IS NOT NULL",
+)
+
+
+def _whole_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t.table(spark, sf_dir, "documents")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("evidence"))
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(after, "doc_id", "left")
+    output = quality.strip_leaks(F.expr("substring(text, 31)"), [r"the[,.]?", r"\[\p{Nd}+\]"])
+    return rows.select("doc_id", F.left("text", F.lit(30)).alias("instruction"), output.alias("output"), F.coalesce("evidence", F.lit("")).alias("evidence"))
+
+
+@t.query("leak_strip_whole", t.SQL["leak_strip"].replace(_ANSWERS, _WHOLE_ANSWERS))
+def leak_strip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_answers(spark, sf_dir).select("doc_id", F.md5("output").alias("output_md5"))
+
+
+@t.query("ungrounded_numbers_whole", t.SQL["ungrounded_numbers"].replace(_ANSWERS, _WHOLE_ANSWERS))
+def ungrounded_numbers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ungrounded(_whole_answers(spark, sf_dir))
+
+
+@t.query("quality_gate_whole", t.SQL["quality_gate"].replace(_ANSWERS, _WHOLE_ANSWERS))
+def quality_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _reasons(spark, _whole_answers(spark, sf_dir))
+
+
 @t.query(
     "verify_floor",
     """WITH r AS (SELECT doc_id, 'q' || (doc_id // 6) AS query_id, doc_id % 6 AS pos, ((doc_id * 37) % 100)::DOUBLE AS score, coalesce(quality = 1, false) AND doc_id % 4 = 0 AS kept FROM documents LEFT JOIN labels USING (doc_id)),

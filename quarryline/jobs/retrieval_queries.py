@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
@@ -73,7 +73,17 @@ b AS (SELECT query_id, chunk_id, rank AS was, score * CASE WHEN len(list_filter(
 SELECT query_id, chunk_id, round(score, 9) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, was))::INT AS rank FROM b""",
 )
 def hybrid_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    asked = t.questions(spark, sf_dir).select("query_id", F.slice(tokens(F.col("question")), 1, 4).alias("words"))
+    return _boosted(spark, sf_dir, F.slice(tokens(F.col("question")), 1, 4))
+
+
+@t.query("hybrid_boosted_whole", t.SQL["hybrid_boosted"].replace("[1:4]", ""))
+def hybrid_boosted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All words of a question count."""
+    return _boosted(spark, sf_dir, tokens(F.col("question")))
+
+
+def _boosted(spark: SparkSession, sf_dir: str, words: Column) -> DataFrame:
+    asked = t.questions(spark, sf_dir).select("query_id", words.alias("words"))
     rows = _fused(spark, sf_dir).join(t.chunks(spark, sf_dir).select("chunk_id", "section_path"), "chunk_id").join(asked, "query_id")
     return fusion.section_boost(rows, F.col("section_path"), F.col("words"), 1.5).select("query_id", "chunk_id", F.round("score", 9).alias("score"), "rank")
 
@@ -173,6 +183,12 @@ def route_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("models"))
 
 
+@t.query("route_models_whole", t.SQL["route_models"].replace("left(text, 200)", "text"))
+def route_models_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = routing.route(F.col("text"), F.lit(None).cast("string"), ALIASES)
+    return t.table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("models"))
+
+
 @t.query(
     "file_models",
     "SELECT source AS file, count(*) AS docs, CASE WHEN source IN ('src3', 'src7') THEN NULL ELSE 'M-' || source END AS model_id FROM documents GROUP BY 1",
