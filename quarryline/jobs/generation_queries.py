@@ -249,6 +249,24 @@ def generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.report(accepted, rejected).withColumn("rate", F.round("rate", 6))
 
 
+_ACCEPT = ["strong", "single_chunk_full", "ok", "partial_ok"]
+
+
+@t.query(
+    "generation_report_whole",
+    f"""WITH {_TYPED}, {_GATE}, j AS (SELECT typed.*, verdict FROM typed JOIN gated ON doc_id = chunk_ord), a AS (SELECT * FROM j WHERE verdict IN ('strong', 'single_chunk_full', 'ok', 'partial_ok')), r AS (SELECT * FROM j WHERE verdict NOT IN ('strong', 'single_chunk_full', 'ok', 'partial_ok'))
+SELECT 'accept_tier' AS dimension, verdict AS value, count(*) AS n, NULL::DOUBLE AS rate FROM a GROUP BY 2 UNION ALL SELECT 'task_type', task_type, count(*), NULL FROM a GROUP BY 2 UNION ALL SELECT 'vehicle', vehicle_model, count(*), NULL FROM a GROUP BY 2
+UNION ALL SELECT 'reject_reason', verdict, count(*), NULL FROM r GROUP BY 2 UNION ALL SELECT 'pass_rate', 'all', (SELECT count(*) FROM a), round((SELECT count(*) FROM a)::DOUBLE / (SELECT count(*) FROM j), 6)""",
+)
+def generation_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row is accepted or rejected, by its verdict."""
+    rows = _typed(spark, sf_dir).join(_gated(spark, sf_dir).select(F.col("qid").alias("chunk_ord"), "verdict"), "chunk_ord")
+    good = F.col("verdict").isin(_ACCEPT)
+    accepted = rows.where(good).select(F.col("verdict").alias("accept_tier"), "task_type", F.col("vehicle_model").alias("model_id"))
+    rejected = rows.where(~good).select(F.col("verdict").alias("reject_reason"))
+    return export.report(accepted, rejected).withColumn("rate", F.round("rate", 6))
+
+
 @t.query("sample_meta", f"WITH {_TYPED} SELECT qid, chunk_id AS seed_chunk_id, md5(substring(replace({t.sql_strip('text')}, chr(10), ' '), 1, 50)) AS seed_preview, substring(sha256(text), 1, 12) AS text_print FROM typed")
 def sample_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir).select("qid", F.col("chunk_id").alias("seed_chunk_id"), F.md5(preview(F.col("text"))).alias("seed_preview"), fingerprint(F.col("text")).alias("text_print"))

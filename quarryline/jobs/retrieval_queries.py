@@ -269,6 +269,42 @@ def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.cache_reuse(_cache(spark, sf_dir), asked, vecs.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), 0.1)
 
 
+#: Ids over the whole table: multiplied by primes, so that few sessions too use chunks from all of it.
+_USED = "((session_id * 7919 + turn * 104729 + pos * 1299709) % (SELECT max(doc_id) + 1 FROM documents WHERE text IS NOT NULL))"
+
+
+def _whole_sql(name: str) -> str:
+    sql = t.SQL[name].replace("((session_id * 7 + turn * 3 + pos * 5) % 30)", _USED)
+    return sql.replace("(session_id * 13 + turn) % 200", "(session_id * 7919 + turn * 104729) % (SELECT max(vec_id) + 1 FROM embeddings)")
+
+
+def _whole_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = t.chunks(spark, sf_dir).agg((F.max("chunk_ord") + 1).alias("n_chunks"))
+    turns = _turns(spark, sf_dir)
+    used = (F.col("session_id") * 7919 + F.col("turn") * 104_729 + F.col("pos") * 1_299_709) % F.col("n_chunks")
+    uses = turns.select("session_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).join(F.broadcast(n)).withColumn("chunk_id", used.cast("string")).drop("n_chunks")  # n has one row
+    return sessions.cache_before(turns, uses, 6)
+
+
+@t.query("lru_cache_whole", _whole_sql("lru_cache"))
+def lru_cache_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _whole_cache(spark, sf_dir)
+
+
+@t.query("section_hints_whole", _whole_sql("section_hints"))
+def section_hints_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.section_hints(_whole_cache(spark, sf_dir), t.chunks(spark, sf_dir)).withColumn("hints", F.array_join("hints", "|"))
+
+
+@t.query("cache_reuse_whole", _whole_sql("cache_reuse"))
+def cache_reuse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vecs = t.table(spark, sf_dir, "embeddings")
+    n = vecs.agg((F.max("vec_id") + 1).alias("n_vectors"))
+    asked = _turns(spark, sf_dir).join(F.broadcast(n)).withColumn("vec_id", (F.col("session_id") * 7919 + F.col("turn") * 104_729) % F.col("n_vectors"))  # n has one row
+    asked = asked.join(vecs, "vec_id").select("session_id", "turn", "embedding")
+    return sessions.cache_reuse(_whole_cache(spark, sf_dir), asked, vecs.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), 0.1)
+
+
 def _verifier():  # noqa: ANN202
     """A completion function for tests: yes to chunks of numbers that three doesn't divide, an error where eleven does."""
 

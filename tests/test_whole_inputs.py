@@ -48,3 +48,31 @@ def test_questions(spark, sf):
     assert best.score > cut.score + 1  # 'head' lies past character 60
     assert Q["bookmark_chunks_whole"](spark, sf).count() > 0
     assert all(len(r.path) > 0 for r in Q["bookmark_evidence"](spark, sf).collect())
+
+
+def sessions_of(spark, path, n):
+    """Tables of n documents and vectors, and sessions of four turns."""
+    spark.range(n).selectExpr("id AS doc_id", "concat('The part', id, ' is') AS text", "'en' AS lang", "'src0' AS source").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    spark.range(n).selectExpr("id AS vec_id", "array(1.0f, cast(id AS float)) AS embedding").coalesce(1).write.parquet(f"{path}/embeddings.parquet")
+    spark.range(n).where("id % 2 = 0").selectExpr("id AS doc_id", "1 AS quality", "0 AS toxic").coalesce(1).write.parquet(f"{path}/labels.parquet")
+    said = [(c, k, "user" if k % 2 == 0 else "assistant", "x") for c in range(20) for k in range(8)]
+    spark.createDataFrame(said, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{path}/conversations.parquet")
+    return str(path)
+
+
+def test_sessions_reach_all_rows(spark, tmp_path):
+    path = sessions_of(spark, tmp_path, 300)
+    used = {(c * 7919 + k * 104729 + p * 1299709) % 300 for c in range(20) for k in (0, 2, 4) for p in range(4)}  # the last turn's aren't cached yet
+    cached = {int(r.chunk_id) for r in Q["lru_cache_whole"](spark, path).collect()}
+    assert cached <= used and len(cached) > 100 and max(cached) > 250
+    near = {int(r.chunk_id) for r in Q["cache_reuse_whole"](spark, path).collect()}
+    assert near <= cached and max(near) > 250
+    named = {int(h.split(">")[1][4:]) for r in Q["section_hints_whole"](spark, path).collect() for h in r.hints.split("|")}
+    assert named <= cached and max(named) > 250
+
+
+def test_report_has_every_row(spark, tmp_path):
+    path = sessions_of(spark, tmp_path, 300)
+    n = {(r.dimension, r.value): r.n for r in Q["generation_report_whole"](spark, path).collect()}
+    accepted, rejected = (sum(v for (d, _), v in n.items() if d == x) for x in ("accept_tier", "reject_reason"))
+    assert accepted + rejected == 300 and n["pass_rate", "all"] == accepted > 0 and rejected > 0
