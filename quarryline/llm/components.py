@@ -21,17 +21,15 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(links: DataFrame, rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """``node, component`` for every node of ``links`` (``a, b``); the component is named by its least node. Each round is
-    written out, so a lost executor costs one round. Stars are joined by node; a hub's rows are split by the skew join."""
+    written out, so a lost executor costs one round; the fixed point ends them. Stars are joined by node; a hub's rows are split by the skew join."""
     now = written(links.where("a <> b").distinct(), "links")
     mark = None
-    for _ in range(rounds):
+    while True:
         now = written(_star(_star(now, True), False), "stars")
         seen = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         if seen == mark:
             break
         mark = seen
-    else:
-        raise RuntimeError(f"no fixed point after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("component"))).distinct()

@@ -1,11 +1,11 @@
 """Exact deduplication by a tree merge of sorted digest runs.
 
-Every partition's digests form a run. In round r, runs are grouped ``fan_in`` at a time: the runs of a
-group exchange digests so that each holds one digit more of the digest space, sorts what it receives
-(a multiway merge) and keeps, of rows with the same verified digest, the winning identifier and the count.
-After ``log(cells) / log(fan_in)`` rounds each cell of the digest space is whole. No round sends
-a row to a root: the number of nodes is the same at every level, and after the first round a digest has one
-row for each group of source runs, however many copies it has. Only digests travel, never texts.
+Every partition's digests form a run, one row for each digest that it has. In round r, runs are grouped ``fan_in`` at a
+time: the runs of a group exchange digests so that each holds one digit more of the digest space; what a node receives is
+merged in the order of the digests, and a window over that order keeps, of neighbours with the same verified digest, the
+winning identifier, and adds their counts. After ``log(cells) / log(fan_in)`` rounds each cell of the digest space is
+whole. No round sends a row to a root: the number of nodes is the same at every level, and a digest has one row for each
+run, however many copies it has, so a node meets at most ``fan_in`` rows of it. Only digests travel, never texts.
 """
 
 from __future__ import annotations
@@ -25,12 +25,15 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def merge_runs(runs: DataFrame, keep: str = "smallest", fan_in: int = 4, cells: int | None = None) -> DataFrame:
-    """One row for each text: ``digest, proof, n_bytes, keep_id, group_size``.
+    """One row for each text: ``digest, proof, n_bytes, keep_id, keep_row, group_size``. ``runs`` has a ``row`` that tells its rows apart.
 
     Rows merge only when the 64-bit digest, the SHA-256 and the length agree (the verification), at every level.
-    ``keep`` is ``smallest`` or ``largest``. A null id loses against any other.
+    ``keep`` is ``smallest`` or ``largest``. A null id loses against any other; of rows with one id the first read wins.
     """
-    best = {"smallest": F.min, "largest": F.max}[keep]
+    if keep == "smallest":
+        best, better, winner = F.min, F.asc, F.struct(F.col("doc_id").isNull().alias("rank"), "doc_id", F.col("row").alias("row"))
+    else:
+        best, better, winner = F.max, F.desc, F.struct(F.col("doc_id").isNotNull().alias("rank"), "doc_id", (-F.col("row")).alias("row"))
     cells = cells or shuffle_partitions(runs.sparkSession)
     levels = 1
     while fan_in**levels < cells:
@@ -41,19 +44,37 @@ def merge_runs(runs: DataFrame, keep: str = "smallest", fan_in: int = 4, cells:
         runs.withColumn("cell", F.pmod("digest", F.lit(cells)))
         .withColumn("run", F.pmod(F.spark_partition_id(), F.lit(cells)).cast("long"))
         .groupBy("run", "cell", *key)
-        .agg(best("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+        .agg(best(winner).alias("winner"), F.count(F.lit(1)).alias("group_size"))
     )
     for r in range(1, levels + 1):
         node = F.concat_ws(":", F.expr(f"cell div {cells // fan_in**r}"), F.expr(f"run div {fan_in**r}"))
+        # both windows follow the merged order, so one sort serves them
+        equal = Window.partitionBy("node", *key).orderBy(better("winner"))
         level = (
-            level.withColumn("node", node)
-            .withColumn("run", F.expr(f"run div {fan_in**r} * {fan_in**r}"))
+            level.withColumns({"node": node, "run": F.expr(f"run div {fan_in**r} * {fan_in**r}")})
             .repartition("node")
-            .sortWithinPartitions("node", *key)
-            .groupBy("node", "run", "cell", *key)
-            .agg(best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+            .sortWithinPartitions("node", *key, better("winner"))
+            .withColumns({"nth": F.row_number().over(equal), "group_size": F.sum("group_size").over(equal.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))})
+            .where("nth = 1")
+            .drop("node", "nth")
         )
-    return level.select(*key, "keep_id", "group_size")
+    return level.select(*key, F.col("winner.doc_id").alias("keep_id"), F.abs("winner.row").alias("keep_row"), "group_size")
+
+
+#: Digests with more than this share of all rows are hot: fewer than its inverse, so they can be broadcast whatever the input.
+HOT_SHARE = 1 / 10_000
+
+
+def with_groups(runs: DataFrame, groups: DataFrame) -> DataFrame:
+    """``runs`` joined with ``groups`` by digest. Rows of hot digests meet them by broadcast, so no task gathers a large group of copies; the others by shuffle."""
+    key = ["digest", "proof", "n_bytes"]
+    groups = written(groups, "groups")
+    most = max(1, int(runs.count() * HOT_SHARE))
+    hot = groups.where(F.col("group_size") > most).select(*key, F.struct("keep_id", "keep_row", "group_size").alias("hot"))
+    marked = runs.join(F.broadcast(hot), key, "left")
+    met = marked.where("hot IS NOT NULL").select(*runs.columns, "hot.*")
+    rest = marked.where("hot IS NULL").drop("hot").join(groups.where(F.col("group_size") <= most), key)
+    return met.unionByName(rest)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan_in: int = 4) -> DataFrame:
@@ -63,14 +84,9 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null id is kept only where every copy of the text has a null id. An empty table gives no rows. Other columns of
     ``docs`` are not read.
     """
-    runs = written(digests(docs, id_col, text_col), "digests")
-    groups = merge_runs(runs, keep, fan_in)
-    one = Window.partitionBy("proof", "doc_id").orderBy("n_bytes")
-    return (
-        runs.withColumn("copy", F.row_number().over(one))
-        .join(groups, ["digest", "proof", "n_bytes"])
-        .select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), F.lower(F.hex("proof")).alias("text_sha256"))
-    )
+    runs = written(digests(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "digests")
+    rows = with_groups(runs, merge_runs(runs, keep, fan_in))
+    return rows.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("proof")).alias("text_sha256"))
 
 
 def keep_one_of_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:

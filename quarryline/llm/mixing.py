@@ -6,7 +6,8 @@ since a node's own share never exceeds what its subtree holds, a shortage reache
 siblings are full. The share is water filling in closed form: children sorted by capacity / weight, the water level is
 the greatest of (budget - capacity before) / (weight not before). Each leaf then takes whole epochs and a prefix of
 one more; every epoch has its own seeded order. The prefix is found by binning the order, so no leaf is sorted whole,
-and the documents are filtered against one row for each leaf: their texts never move.
+and the documents are filtered against one row for each leaf: their texts never move. Only rows equal in id and text share a
+place in the order; where a leaf's prefix ends among such rows, they alone are written and numbered.
 """
 
 from __future__ import annotations
@@ -68,15 +69,15 @@ def budgets(leaves: DataFrame, budget: Column, levels: Sequence[str] = LEVELS, w
     return level
 
 
-def _order(seed: str, epoch: Column, id_col: Column) -> Column:
-    return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(id_col.cast("string"), F.lit(""))))
+def _order(seed: str, epoch: Column, id_col: Column, print_: Column) -> Column:
+    return F.md5(F.concat_ws("|", F.lit(seed), epoch.cast("string"), F.coalesce(id_col.cast("string"), F.lit("")), print_))
 
 
 def plan(docs: DataFrame, budget: Column, levels: dict[str, Column], weights: dict[str, float] | None = None, max_epochs: int = 1, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a leaf: its levels, ``budget``, ``epochs`` (whole ones) and, of the next one, ``cut`` (the order key of the last
-    document taken, null if none) and ``cut_take`` (tokens of it)."""
+    document taken, null if none), ``cut_take`` (tokens taken of it and its equals) and ``cut_rows`` (how many they are)."""
     names = list(levels)
-    thin = written(docs.select(F.col(id_col).alias("doc_id"), words(text_col).alias("tokens"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()]), "tokens")
+    thin = written(docs.select(F.col(id_col).alias("doc_id"), F.md5(text_of(text_col)).alias("print"), words(text_col).alias("tokens"), *[F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()]), "tokens")
     leaves = thin.groupBy(*names).agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows"))
     shares = written(
         budgets(leaves, budget, names, weights, max_epochs)
@@ -87,7 +88,7 @@ def plan(docs: DataFrame, budget: Column, levels: dict[str, Column], weights: di
     )
     n = thin.count()
     digits = max(2, math.ceil(math.log(max(1, n / 4096), 16)))
-    keyed = thin.join(small(shares.where("rest > 0")), names).withColumn("cut", _order(seed, F.col("epochs"), F.col("doc_id"))).withColumn("bin", F.substring("cut", 1, digits))
+    keyed = thin.join(small(shares.where("rest > 0")), names).withColumn("cut", _order(seed, F.col("epochs"), F.col("doc_id"), F.col("print"))).withColumn("bin", F.substring("cut", 1, digits))
     bins = keyed.groupBy(*names, "rest", "bin").agg(F.sum("tokens").alias("in_bin"))
     before = Window.partitionBy(*names).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     cuts = bins.withColumn("before", F.coalesce(F.sum("in_bin").over(before), F.lit(0))).where("before < rest and rest <= before + in_bin").select(*names, "bin", "before")
@@ -95,10 +96,10 @@ def plan(docs: DataFrame, budget: Column, levels: dict[str, Column], weights: di
     ends = (
         keyed.join(small(cuts), [*names, "bin"])
         .groupBy(*names, "rest", "before", "cut")
-        .agg(F.sum("tokens").alias("in_cut"))
+        .agg(F.sum("tokens").alias("in_cut"), F.count(F.lit(1)).alias("cut_rows"))
         .withColumn("before", F.col("before") + F.coalesce(F.sum("in_cut").over(inside), F.lit(0)))
         .where("before < rest and rest <= before + in_cut")
-        .select(*names, "cut", (F.col("rest") - F.col("before")).alias("cut_take"))
+        .select(*names, "cut", "cut_rows", (F.col("rest") - F.col("before")).alias("cut_take"))
     )
     return written(shares.drop("rest").join(ends, names, "left"), "cuts")
 
@@ -112,30 +113,47 @@ def mix(docs: DataFrame, budget: Column, levels: dict[str, Column], weights: dic
     """``docs`` with one row for each time that a document is taken and ``mix_epoch, mix_tokens, mix_take, mix_budget`` and the levels as
     ``mix_<level>``. ``mix_take`` is below ``mix_tokens`` only for the last document of a leaf.
 
-    Null levels are the empty name; a null or empty text is one token; repeated rows share one place in the order and are
-    taken together. An empty table gives no rows. Clashing columns keep their values: added ones start with ``mix_``.
+    Null levels are the empty name; a null or empty text is one token; rows equal in id and text are taken one after another, so a leaf's takes
+    never exceed its budget. An empty table gives no rows. Clashing columns keep their values: added ones start with ``mix_``.
     """
     cuts = plan(docs, budget, levels, weights, max_epochs, seed, id_col, text_col)
-    cuts = cuts.withColumnsRenamed({c: f"mix_{c}" for c in cuts.columns})
-    tokens = words(text_col)
-    placed = docs.withColumns({f"mix_{n}": F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()}).join(small(cuts), [f"mix_{n}" for n in levels])
-    key = _order(seed, F.col("mix_epochs"), F.col(id_col))
-    last = F.when(key == F.col("mix_cut"), F.least(tokens, F.col("mix_cut_take"))).when(key < F.col("mix_cut"), tokens)
+    ties = cuts.where("cut_rows > 1").limit(1).count() > 0
+    cuts = cuts.drop("cut_rows").withColumnsRenamed({c: f"mix_{c}" for c in cuts.columns})
+    names = [f"mix_{n}" for n in levels]
+    leveled = docs.withColumns({f"mix_{n}": F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()} | {"mix_tokens": words(text_col)})
+    placed = leveled.join(small(cuts), names).withColumn("mix_key", _order(seed, F.col("mix_epochs"), F.col(id_col), F.md5(text_of(text_col))))
+    at_cut = F.coalesce(F.col("mix_key") == F.col("mix_cut"), F.lit(False))
+    below = F.when(F.col("mix_key") < F.col("mix_cut"), F.col("mix_tokens"))
+    if ties:
+        met = placed.where(~at_cut).withColumn("mix_last", below).unionByName(_shared(placed.where(at_cut), names))
+    else:
+        met = placed.withColumn("mix_last", F.when(at_cut, F.col("mix_cut_take")).otherwise(below))
     takes = F.filter(
         F.concat(
             F.when(F.col("mix_epochs") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("mix_epochs") - 1, F.lit(0))), lambda e: F.struct(e.alias("epoch"), F.col("mix_tokens").alias("take")))).otherwise(F.array().cast("array<struct<epoch:int,take:bigint>>")),
-            F.array(F.struct(F.col("mix_epochs").alias("epoch"), last.alias("take"))),
+            F.array(F.struct(F.col("mix_epochs").alias("epoch"), F.col("mix_last").alias("take"))),
         ),
         lambda t: t["take"].isNotNull(),
     )
     return (
-        placed.withColumn("mix_tokens", tokens)
-        .withColumn("mix_taken", F.explode(takes))
+        met.withColumn("mix_taken", F.explode(takes))
         .withColumns({"mix_epoch": F.col("mix_taken.epoch"), "mix_take": F.col("mix_taken.take")})
-        .drop("mix_taken", "mix_epochs", "mix_cut", "mix_cut_take")
+        .drop("mix_taken", "mix_epochs", "mix_cut", "mix_cut_take", "mix_key", "mix_last")
     )
 
 
+def _shared(edge: DataFrame, names: Sequence[str]) -> DataFrame:
+    """``edge``, the rows equal to the last document of their leaf, with ``mix_last``: ``mix_cut_take`` dealt to them in turn. They are numbered by
+    the task that read them and their place in it, so equal rows of any number are numbered by many tasks."""
+    rows = written(edge.withColumn("mix_row", F.monotonically_increasing_id()).withColumn("mix_part", F.shiftright("mix_row", 33)), "edge")
+    before = Window.partitionBy(*names).orderBy("mix_part").rowsBetween(Window.unboundedPreceding, -1)
+    bases = rows.groupBy(*names, "mix_part").agg(F.count(F.lit(1)).alias("n")).select(*names, "mix_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("mix_base"))
+    own = Window.partitionBy(*names, "mix_part").orderBy("mix_row")
+    numbered = rows.withColumn("mix_nth", F.row_number().over(own)).join(small(bases), [*names, "mix_part"])
+    left = F.col("mix_cut_take") - (F.col("mix_base") + F.col("mix_nth") - 1) * F.col("mix_tokens")
+    return numbered.withColumn("mix_last", F.when(left > 0, F.least(left, F.col("mix_tokens")))).drop("mix_row", "mix_part", "mix_base", "mix_nth")
+
+
 def document_levels() -> dict[str, Column]:
     """Domain (the first digit of the MD5 of the source, by four: ``documents`` has no domain), language, source."""
     source = F.coalesce(F.col("source"), F.lit(""))
@@ -170,13 +188,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"op7_mixing": op
 SQL = {
     "op7_mixing": r"""
 WITH d AS (SELECT doc_id, 'd' || translate(md5(coalesce(source, ''))[1], '0123456789abcdef', '0123012301230123') AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
-                  greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS tokens FROM documents),
+                  greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS tokens, md5(coalesce(text, '')) AS print FROM documents),
 leaves AS (SELECT domain, lang, source, (2 * sum(tokens))::BIGINT AS capacity FROM d GROUP BY ALL),
 root AS (SELECT least(sum(capacity), sum(capacity) // 2 // 2)::BIGINT AS pb FROM leaves),"""
     + "".join(_sql_level(i) for i in range(3))
     + """
 e AS (SELECT d.*, b2.pb AS leaf_budget, unnest([0, 1]) AS epoch FROM d JOIN b2 USING (domain, lang, source)),
-k AS (SELECT *, md5(concat_ws('|', 'mix', epoch, coalesce(doc_id::VARCHAR, ''))) AS u FROM e),
+k AS (SELECT *, md5(concat_ws('|', 'mix', epoch, coalesce(doc_id::VARCHAR, ''), print)) AS u FROM e),
 c AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY epoch, u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM k)
 SELECT doc_id, epoch::BIGINT AS epoch, domain, lang, source, tokens, least(tokens, leaf_budget - before)::BIGINT AS take_tokens, leaf_budget::BIGINT AS leaf_budget FROM c WHERE before < leaf_budget
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -12,12 +13,19 @@ from pyspark.sql import DataFrame, SparkSession
 _PATHS: list[str] = []
 
 
+@lru_cache(1)
+def _own() -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path below the folder of ``spark.checkpoint.dir``; only where that is unset (tests) below a temporary one."""
+    """A new path below the folder of ``spark.checkpoint.dir``. Where that is unset, below a temporary folder if driver and executors are one process on
+    one machine (tests); on a cluster that raises an error, as executors would write to disks of their own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = _own()
     _PATHS.append(f"{base}/{name}-{uuid.uuid4().hex}")
     return _PATHS[-1]
 

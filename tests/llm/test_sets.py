@@ -30,32 +30,77 @@ def test_exact_dedup(spark, odd, none, keep, best):
     assert kept.columns == odd.columns and kept.count() == len(groups)
 
 
-def test_sharding(spark, odd, none):
-    got = sharding.shard_documents(odd, sharding.balanced_topology(8), sharding.balanced_topology(9)).collect()
-    assert len(got) == odd.count()
+def test_runs_are_merged_in_order(spark):
+    """Every round sorts what a node receives and keeps the first of equal neighbours; large groups of copies come through."""
+    docs = spark.range(3000).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('t', id % 700) END AS text").repartition(16)
+    runs = exact_dedup.digests(docs).withColumn("row", F.monotonically_increasing_id())
+    merged = exact_dedup.merge_runs(runs, fan_in=4, cells=16)
+    plan = merged._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Sort [node") == 2 and plan.count("Window [") >= 2
+    want = defaultdict(list)
+    for r in docs.collect():
+        want[r.text].append(r.doc_id)
+    got = merged.collect()
+    assert sorted((r.keep_id, r.group_size) for r in got) == sorted((min(v), len(v)) for v in want.values())
+
+
+def plain_shard(key: str, topology) -> int:
+    """The descent by hand."""
+    u = lambda node: (int(hashlib.md5(f"shards|{node}|{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+    left, path = [t for t in topology if t[3] > 0], ()
+    for level in range(3):
+        weights = defaultdict(float)
+        for t in left:
+            weights[t[level]] += t[3]
+        best = min(weights, key=lambda c: -math.log(u(".".join(map(str, (*path, c))))) / weights[c])
+        left, path = [t for t in left if t[level] == best], (*path, best)
+    return path[-1]
+
+
+def test_sharding(spark, odd, none, tmp_path):
+    """The query against plain Python, column by column."""
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = sharding.op9_sharding(spark, str(tmp_path)).collect()
+    want = Counter()
+    for r in odd.collect():
+        data, key = (r.text or "").encode(), "" if r.doc_id is None else str(r.doc_id)
+        want[r.doc_id, len(data) + 1, zlib.crc32(data), "key", plain_shard(key, sharding.EIGHT), plain_shard(key, sharding.NINE)] += 1
+    assert Counter((r.doc_id, r["size"], r.text_crc32, r.law, r.shard, r.grown_shard) for r in got) == want
     slots = defaultdict(list)
     for r in got:
         slots[r.shard].append(r.slot)
         assert r.grown_shard in (r.shard, 8)
     assert all(sorted(v) == list(range(len(v))) for v in slots.values())
-    assert sharding.shard_documents(none, sharding.balanced_topology(8)).count() == 0
+    assert sharding.shard_documents(none, sharding.EIGHT).count() == 0
+    with pytest.raises(ValueError):
+        sharding.shard_documents(odd, sharding.EIGHT, sharding.balanced_topology(9))
+
+
+def test_slots_of_equal_rows(spark):
+    rows = spark.range(30_000).selectExpr("CASE WHEN id % 3 = 0 THEN NULL ELSE id END AS doc_id", "cast(id % 3 > 0 AS int) AS shard", "1L AS size", "7L AS text_crc32")
+    got = sharding.slots(rows, rows_per_bin=64).groupBy("shard").agg(F.count_distinct("slot").alias("n"), F.min("slot").alias("lo"), F.max("slot").alias("hi")).collect()
+    assert sorted((r.shard, r.n, r.lo, r.hi) for r in got) == [(0, 10_000, 0, 9_999), (1, 20_000, 0, 19_999)]
 
 
 def test_sharding_draws(spark):
-    """The descent is the least draw of all shards; shares follow the weights; a heavier shard only gains."""
-    ids = spark.range(4000)
-    tree = [(0, 0, 0, 1.0), (0, 0, 1, 2.0), (0, 1, 2, 1.0), (1, 2, 3, 4.0), (1, 3, 4, 0.0)]
+    """Shares follow the weights; movement stays in subtrees whose weights change."""
+    ids = spark.range(6000)
+    tree = [(0, 0, 0, 1.0), (0, 0, 1, 2.0), (0, 1, 2, 1.0), (1, 2, 3, 3.0), (1, 4, 5, 1.0), (2, 3, 4, 0.0)]
     heavier = [*tree[:2], (0, 1, 2, 3.0), *tree[3:]]
     key = F.col("id").cast("string")
-    got = ids.select("id", sharding.descend(key, tree).alias("a"), sharding.descend(key, heavier).alias("b")).collect()
-
-    def plain(i, t):
-        u = lambda s: (int(hashlib.md5(f"shards|{s}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
-        return min((-math.log(u(s)) / w, s) for _, _, s, w in t if w > 0)[1]
-
-    assert all(r.a == plain(r.id, tree) and r.b == plain(r.id, heavier) for r in got)
-    assert all(r.a == r.b or r.b == 2 for r in got)
-    assert Counter(r.a for r in got)[3] == pytest.approx(2000, abs=150)
+    opened = sharding.with_region(tree, 9, 2.0)
+    got = ids.select("id", *[sharding.descend(key, t).alias(n) for n, t in (("a", tree), ("b", heavier), ("c", opened))]).collect()
+    assert all(r.a == plain_shard(str(r.id), tree) and r.b == plain_shard(str(r.id), heavier) for r in got)
+    rack = {t[2]: t[:2] for t in tree}
+    for r in got:
+        if r.a != r.b:  # into the heavier region, in it into the heavier rack
+            assert rack[r.b][0] == 0 and (rack[r.a][0] == 1 or rack[r.b] == (0, 1))
+        assert r.a == r.c or r.c == 9
+    n = Counter(r.a for r in got)
+    assert all(n[s] == pytest.approx(6000 * w / 8, abs=180) for _, _, s, w in tree)
+    # the hierarchy decides: leaf draws alone would place many documents elsewhere
+    flat = lambda i: min(((-math.log((int(hashlib.md5(f"shards|{g}.{k}.{s}|{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w), s) for g, k, s, w in tree if w)[1]
+    assert sum(flat(r.id) != r.a for r in got) > 1000
     with pytest.raises(ValueError):
         sharding.descend(key, [(0, 0, 0, 0.0)])
 
@@ -101,6 +146,15 @@ def test_mix(spark, odd, none):
     twice = mixing.mix(odd, F.expr("2 * total"), levels, max_epochs=2)
     assert twice.groupBy("mix_epoch").count().orderBy("mix_epoch").collect() == [(0, 10), (1, 10)]
     assert mixing.mix(none, F.expr("total"), levels).count() == 0
+    for budget in (1, 7, 20, 45):  # rows equal in id and text share a budget, null ids too
+        for n, doc_id in ((6, "1"), (50, "CAST(NULL AS LONG)")):
+            same = spark.range(n).selectExpr(f"{doc_id} AS doc_id", "'a b c d e f g h i j' AS text", "'en' AS lang", "'s' AS source")
+            took = mixing.mix(same, F.lit(budget), levels).agg(F.sum("mix_take"), F.max("mix_take")).first()
+            assert took[0] == budget and took[1] <= 10
+    mixed_ids = spark.range(60).selectExpr("CASE WHEN id < 40 THEN NULL ELSE id % 5 END AS doc_id", "repeat('w ', 1 + cast(id % 4 AS int)) AS text", "'en' AS lang", "concat('s', id % 2) AS source")
+    for budget in (10, 33, 90, 170):
+        rows = mixing.mix(mixed_ids, F.lit(budget), levels, max_epochs=2).groupBy("mix_source").agg(F.sum("mix_take").alias("took"), F.max("mix_budget").alias("budget")).collect()
+        assert sum(r.took for r in rows) == budget and all(r.took == r.budget for r in rows)
     half = mixing.mix(spark.range(500).selectExpr("id AS doc_id", "repeat('w ', 1 + cast(id % 7 AS int)) AS text", "'en' AS lang", "concat('s', id % 3) AS source"), F.expr("total div 2"), levels)
     leaf = half.groupBy("mix_source").agg(F.sum("mix_take").alias("took"), F.max("mix_budget").alias("budget")).collect()
     assert len(leaf) == 3 and all(r.took == r.budget for r in leaf)
@@ -111,7 +165,7 @@ def test_packing(spark, odd, none):
 
     v = packing.public_vocabulary()
     coder = Tokenizer.from_file(v["vocabulary"])
-    docs = odd.where("length(text) < 40000 OR text IS NULL").unionByName(spark.createDataFrame([(90 + i, t) for i, t in enumerate(["  two  spaces\n\n here", "a  b   c", "it's <|endoftext|> x", "\n", "tab\t x ", "end ", " x", "日本 語 　 x", "\x1c a \x1d b"])], "doc_id long, text string"), allowMissingColumns=True)
+    docs = odd.unionByName(spark.createDataFrame([(90 + i, t) for i, t in enumerate(["  two  spaces\n\n here", "a  b   c", "it's <|endoftext|> x", "\n", "tab\t x ", "end ", " x", "日本 語 　 x", "\x1c a \x1d b"])], "doc_id long, text string"), allowMissingColumns=True)
     pieces = packing.pack(docs, **v, length=16).collect()
     want = sorted((r.doc_id or -1, *coder.encode(r.text or "", add_special_tokens=False).ids, 0) for r in docs.collect())
     by_doc, by_seq = defaultdict(list), defaultdict(list)
