@@ -4,8 +4,9 @@ For each language a suffix automaton of labelled text is built. A text is parsed
 phrase ended, the longest match in the language's text is the next phrase. Phrases times the logarithm of the language's text length, over the
 text's length, estimate the cross entropy; the language of least entropy wins.
 
-All positions of a batch are parsed in step: texts are cut into segments of ``SEGMENT`` letters (a phrase ends there as well), and one
-table lookup moves every segment of every language one letter on.
+Letters are written in a code of 64 symbols, the commonest letters of all samples in one, others in two to four, so that scripts of any size are
+kept whole. All positions of a batch are parsed in step: texts are cut into segments of ``SEGMENT`` symbols (a phrase ends there as well), and one
+table lookup moves every segment of every language one symbol on.
 """
 
 from __future__ import annotations
@@ -23,7 +24,9 @@ from quarryline.llm.common import documents, held_out, text_of
 #: Letters of labelled text for each language: the bound of what is learned from.
 LETTERS = 24_000
 SEGMENT = 256
-_ALPHABET, _CODES = 62, 0x3100
+#: First symbols of letters of one, two, three and four symbols: 48 + 640 + 16,384 + 524,288 letters, more than there are.
+_LEADS = (48, 10, 4, 2)
+_CODES = 0x3100
 
 
 @lru_cache(1)
@@ -49,6 +52,23 @@ def letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out[keep], np.concatenate(([0], np.cumsum(keep)))[offsets]
 
 
+def in_symbols(rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Letters, by how common they are, as symbols 1 to 64; and of how many each is. -1, a letter of no sample, is the symbol 0."""
+    size, value = np.ones(len(rank), np.int64), rank.astype(np.int64)
+    letters_before = lead = _LEADS[0]
+    for n, leads in enumerate(_LEADS[1:], 2):
+        at = rank >= letters_before
+        size[at], value[at] = n, (lead << 6 * (n - 1)) + rank[at] - letters_before
+        letters_before, lead = letters_before + (leads << 6 * (n - 1)), lead + leads
+    ends = np.cumsum(size)
+    out = np.zeros(size.sum(), np.uint8)
+    for n in range(1, len(_LEADS) + 1):
+        at = np.flatnonzero((size == n) & (rank >= 0))
+        for k in range(n):
+            out[ends[at] - n + k] = ((value[at] >> 6 * (n - 1 - k)) & 63) + 1
+    return out, size
+
+
 def suffix_automaton(codes: list[int], width: int) -> np.ndarray:
     """Transitions of the automaton of all substrings: state x symbol, -1 where there is none; state 0 is the start."""
     step, link, length = [{}], [-1], [0]
@@ -89,14 +109,15 @@ class CrossParser:
     def __init__(self, samples: tuple[tuple[str, str], ...]) -> None:
         self.langs = [k for k, _ in samples]
         texts = [letters([t])[0] for _, t in samples]
-        seen, counts = np.unique(np.concatenate(texts), return_counts=True)
-        seen = seen[np.argsort(-counts, kind="stable")][:_ALPHABET]
-        # symbol 0 is what no sample has; after the alphabet comes one that keeps the state
-        self.known = np.sort(seen)
-        self.width, self.stay = len(seen) + 2, len(seen) + 1
+        self.known, counts = np.unique(np.concatenate(texts), return_counts=True)
+        self.rank = np.empty(len(counts), np.int64)
+        self.rank[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
+        # symbol 0 is what no sample has; after the code's comes one that keeps the state
+        self.stay = min(sum(_LEADS), len(self.known)) + 1
+        self.width = self.stay + 1
         tables, roots, base = [], [], 0
-        for t in texts:
-            own = self.symbols(t)
+        coded = [self.symbols(t)[0] for t in texts]
+        for own in coded:
             moves = suffix_automaton([int(x) for x in own], self.width)
             moves[:, 0] = -1
             root = np.where(moves[0] >= 0, moves[0], 0)
@@ -108,22 +129,24 @@ class CrossParser:
             roots.append(base * self.width)
             base += len(moves)
         self.moves, self.roots = np.concatenate(tables).ravel().astype(np.int32), np.array(roots, np.int32)
-        self.bits = np.log2([max(2, len(t)) for t in texts])
+        self.bits = np.log2([max(2, len(t)) for t in coded])
 
-    def symbols(self, codes: np.ndarray) -> np.ndarray:
+    def symbols(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         at = np.minimum(np.searchsorted(self.known, codes), len(self.known) - 1)
-        return np.where(self.known[at] == codes, at + 1, 0).astype(np.uint8)
+        return in_symbols(np.where(self.known[at] == codes, self.rank[at], -1))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Phrases (language x text), lengths, and whether a text has a letter."""
+        """Phrases (language x text), lengths in symbols, and whether a text has a letter."""
         codes, offsets = letters(texts)
+        has = np.add.reduceat(np.append(codes != 0, False), offsets[:-1]).astype(bool) & (np.diff(offsets) > 0) if len(texts) else np.zeros(0, bool)
+        symbols, each = self.symbols(codes)
+        offsets = np.concatenate(([0], np.cumsum(each)))[offsets]
         size = np.diff(offsets)
-        has = np.add.reduceat(np.append(codes != 0, False), offsets[:-1]).astype(bool) & (size > 0) if len(texts) else np.zeros(0, bool)
         pieces = -(-size // SEGMENT)
         ends = np.cumsum(pieces)
         board = np.full((int(pieces.sum()), SEGMENT), self.stay, np.uint8)
-        within = np.arange(len(codes)) - np.repeat(offsets[:-1], size)
-        board.ravel()[np.repeat((ends - pieces) * SEGMENT, size) + within] = self.symbols(codes)
+        within = np.arange(len(symbols)) - np.repeat(offsets[:-1], size)
+        board.ravel()[np.repeat((ends - pieces) * SEGMENT, size) + within] = symbols
         columns = np.ascontiguousarray(board.T)
         state = np.repeat(self.roots[:, None], len(board), 1)
         count = np.zeros(state.shape, np.int32)
