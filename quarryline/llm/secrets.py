@@ -20,8 +20,9 @@ from pyspark.sql import functions as F
 from quarryline.llm.buffers import mix64
 from quarryline.llm.common import documents, text_of
 
-#: About so many documents are learned from, chosen by a hash of their id; longer ones by their first so many characters.
-SAMPLE, SAMPLE_CHARS = 2_000, 40_000
+#: About so many documents are drawn by a hash of their id and text. Those of least hash are learned from: at most so many with base spans and so many
+#: without, each by at most so many of its first characters. Training alone is bounded; all documents are searched whole.
+SAMPLE, WITH_SPANS, WITHOUT_SPANS, SAMPLE_CHARS = 2_000, 300, 300, 40_000
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -219,16 +220,20 @@ def train(features: np.ndarray, gold: np.ndarray, doc: np.ndarray, rounds: int =
     return Field(weights, moves)
 
 
-def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, clean: int = 300) -> Field:
-    """From ``sample`` documents, about: those with base spans and ``clean`` others."""
+def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, with_spans: int = WITH_SPANS, without: int = WITHOUT_SPANS, chars: int = SAMPLE_CHARS) -> Field:
+    """From some of about ``sample`` documents drawn: the first ``with_spans`` with base spans and ``without`` others in the order of their hash, ``chars``
+    characters of each. Copies of one text and id share a hash; of all of these the first ``2 * sample`` are drawn at most."""
     n = docs.count()
-    draw = F.crc32(F.concat(F.lit("secret:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))) / float(2**32)
-    rows = docs.where(draw < min(1.0, sample / max(1, n))).select(draw.alias("draw"), F.substring(text_of(text_col), 1, SAMPLE_CHARS).alias("text")).limit(2 * sample).collect()
+    text = text_of(text_col)
+    name = F.concat_ws("|", F.lit("secret:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.crc32(text.cast("binary")))
+    draw = F.crc32(name.cast("binary")) / float(2**32)
+    drawn = docs.select(draw.alias("draw"), F.substring(text, 1, chars).alias("text")).where(F.col("draw") < min(1.0, sample / max(1, n)))
+    rows = drawn.orderBy("draw", "text").limit(2 * sample).collect()
     kept, others = [], []
     for r in sorted(rows, key=lambda r: (r.draw, r.text)):
         spans = base_spans(r.text)
         (kept if spans else others).append((r.text, spans))
-    kept = kept[:clean] + others[:clean]
+    kept = kept[:with_spans] + others[:without]
     texts = [t for t, _ in kept]
     tokens = Tokens(texts)
     if not len(tokens.starts):

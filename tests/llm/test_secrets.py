@@ -7,6 +7,7 @@ import itertools
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from quarryline.llm import secrets as sc
 
@@ -54,6 +55,14 @@ def test_find(spark, odd, none):
     got = {r.doc_id: r.found for r in sc.secret_spans(docs, field).collect()}
     assert all(any(s.kind == "assign" for s in got[i]) == (i % 3 == 0) for i, _ in rows)
     assert sum(s.kind == "crf" for f in got.values() for s in f) == 0
+    # what the base patterns don't know: other names, the same shape and signs
+    new = [f"{word()} {word()} {name} = {word()}{word()}9X{i} {word()} {word()}" for i, name in enumerate(["passphrase", "pin", "login", "credential", "key"] * 4)]
+    for t, f in zip(new, sc.find(new, field), strict=True):
+        assert [k for _, k, _ in f] == ["crf"] and re.fullmatch(r"[a-j]{10}9X\d+", t[f[0][0] : f[0][2]])
+    again = sc.learn(docs.repartition(7).unionByName(docs.where("false")))
+    assert np.array_equal(again.weights, field.weights) and np.array_equal(again.moves, field.moves)
+    # ids that say nothing: the draw takes the text too
+    assert sc.learn(docs.withColumn("doc_id", F.lit(None).cast("long")), sample=40).weights.any()
     tokens = sc.Tokens([t for _, t in rows])
     gold = sc.tags(tokens, [sc.base_spans(t) for _, t in rows], [t for _, t in rows])
     path = field.decode(field.emissions(tokens.features), tokens.doc)
