@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon.
 
-Texts are folded: lower case, look-alike letters of other scripts and digits or signs that stand for letters become the letters, the rest
-becomes white space. An Aho-Corasick automaton finds the lexicon's words and word beginnings at word starts; matches
+Texts are folded: lower case, accents and invisible signs dropped, look-alike letters of other scripts or styles and digits or signs that stand for
+letters become the letters, the rest becomes white space. An Aho-Corasick automaton finds the lexicon's words and word beginnings at word starts; matches
 inside an exception phrase don't count. The weights found, over the text's number of words, give the score through a logistic curve.
 
 The lexicon is learned: words and word beginnings of labelled texts whose rate in toxic ones exceeds that in others by far; the
@@ -25,23 +25,32 @@ from quarryline.llm.common import documents, held_out, text_of, written
 
 #: At most about so many labelled rows are learned from, chosen by a hash of their id.
 LABELLED = 20_000
-#: Beginnings of so many letters are candidates, beside whole words; a lexicon has at most so many entries.
-BEGINNINGS, ENTRIES = range(4, 9), 300
+#: Beginnings of so many letters are candidates, beside whole words.
+BEGINNINGS = range(4, 9)
+#: The least log ratio of an entry's rates in toxic texts and others, and by how many standard deviations the toxic texts that hold it exceed what's expected.
+RATIO, STRENGTH = 0.8, 5
 #: Look-alike letters, and digits and signs that stand for letters.
 LOOK_ALIKES = dict(zip("аеорсухіјѕԁһкмтвнɡɑοαρτυνικ", "aeopcyxijsdhkmtbhgaoaptuvik", strict=True))
 STANDS_FOR = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "@": "a", "$": "s", "!": "i"}
 #: Phrases in which a lexicon's word means no harm.
 EXCEPTIONS = ("trash can", "trash bin", "clown fish", "clown car", "pond scum", "trash collection")
-_PLANE = 0x10000
+#: Code points from here on are no letters; from the second on, to the third, they are invisible tags.
+_LETTERS, _TAGS, _TAGS_END = 0x33480, 0xE0000, 0xE0200
 
 
 @lru_cache(1)
 def _folds() -> np.ndarray:
-    table = np.full(_PLANE + 1, 32, np.uint32)
-    for i in range(_PLANE):
+    """What each code point becomes: a letter, a space, or nothing (0: marks and format signs)."""
+    table = np.full(_LETTERS + 1, 32, np.uint32)
+    for i in range(_LETTERS):
         if 0xD800 <= i < 0xE000:
             continue
+        if unicodedata.category(chr(i)) in ("Cf", "Mn", "Me"):
+            table[i] = 0
+            continue
         x = unicodedata.normalize("NFKC", chr(i)).lower()
+        bare = [c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c)]
+        x = bare[0] if len(bare) == 1 else x
         x = LOOK_ALIKES.get(x, STANDS_FOR.get(x, x))
         if len(x) == 1 and x.isalpha():
             table[i] = ord(x)
@@ -53,7 +62,10 @@ def fold(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray]:
     ends a word ("idiot!") stays a space."""
     code = np.frombuffer((" " + "  ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), np.uint32)
     offsets = np.concatenate(([0], np.cumsum([len(t) + 2 for t in texts]))).astype(np.int64)
-    out = _folds()[np.minimum(code, _PLANE)]
+    out = _folds()[np.minimum(code, _LETTERS)]
+    seen = (out != 0) & ((code < _TAGS) | (code >= _TAGS_END))
+    if not seen.all():
+        code, out, offsets = code[seen], out[seen], np.concatenate(([0], np.cumsum(seen)))[offsets]
     signs = np.flatnonzero((code == 33) | (code == 64) | (code == 36))
     signs = signs[(out[signs + 1] == 32) | (out[signs - 1] == 32) & (code[signs] == 33)]
     out[signs] = 32
@@ -110,52 +122,60 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> n
     return w
 
 
+def _entries(word: str) -> list[str]:
+    """A word as candidates: itself, and its beginnings with a star."""
+    return [word, *(word[:k] + "*" for k in BEGINNINGS if len(word) >= k)]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How often each word, and word beginning with a star, occurs in texts of either label; the words of all under the empty name."""
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
+    """How often each candidate occurs in texts of either label, and in how many texts; all words and texts under the empty name."""
+    total: tuple[Counter, ...] = (Counter(), Counter())
+    within: tuple[Counter, ...] = (Counter(), Counter())
     for batch in batches:
-        texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for label in (0, 1):
-            seen[label].update(fold([t for t, y in zip(texts, labels, strict=True) if y == label])[0].split())
-    words = sorted(seen[0].keys() | seen[1].keys())
-    parts: tuple[Counter, Counter] = (Counter(), Counter())
+        for text, label in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            words = Counter(fold([text])[0].split())
+            total[label].update(words)
+            within[label].update({e for w in words for e in _entries(w)})
+            within[label][""] += 1
+    parts: tuple[Counter, ...] = (Counter(), Counter())
     for label in (0, 1):
-        for w, n in seen[label].items():
+        for w, n in total[label].items():
             parts[label][""] += n
-            parts[label][w] += n
-            for k in BEGINNINGS:
-                if len(w) > k:
-                    parts[label][w[:k] + "*"] += n
-                elif len(w) == k:
-                    parts[label][w + "*"] += n
-    names = sorted(parts[0].keys() | parts[1].keys()) if words else []
-    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([parts[0][w] for w in names], pa.int64()), pa.array([parts[1][w] for w in names], pa.int64())], ["entry", "clean", "toxic"])
+            for e in _entries(w):
+                parts[label][e] += n
+    names = sorted(within[0].keys() | within[1].keys())
+    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *[pa.array([p[w] for w in names], pa.int64()) for p in (*parts, *within)]], ["entry", "clean", "toxic", "clean_texts", "toxic_texts"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = LABELLED) -> tuple:
-    """The lexicon and the curve's coefficients, from labelled rows: about ``most`` of them, by a hash of their id. Null labels are left out."""
+    """The lexicon and the curve's coefficients, from labelled rows: about ``most`` of them, by a hash of their id. Null labels are left out. All entries strong
+    enough are in the lexicon; as each occurs in the labelled rows, these bound it."""
     marked = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("label_id")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     n = marked.count()
     draw = F.crc32(F.concat(F.lit("toxic:"), F.col("label_id").cast("string"))) / float(2**32)
     chosen = written(marked.where(draw < min(1.0, most / max(1, n))), "labels")
     # about ``most`` rows of two numbers: the bound of what is broadcast
     rows = written(docs.select(F.col(id_col).alias("label_id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "label"), "labelled")
-    counts = rows.mapInArrow(_counts, "entry string, clean long, toxic long").groupBy("entry").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    kinds = ("clean", "toxic", "clean_texts", "toxic_texts")
+    counts = rows.mapInArrow(_counts, "entry string, " + ", ".join(f"{c} long" for c in kinds)).groupBy("entry").agg(*[F.sum(c).alias(c) for c in kinds])
     total = counts.where("entry = ''").first()
     if not total or not total.toxic or not total.clean:
         return ((), (-3.0, 0.0, 0.0, 0.0))
     ratio = F.log((F.col("toxic") + 0.5) / (total.toxic + 1)) - F.log((F.col("clean") + 0.5) / (total.clean + 1))
-    expected = (F.col("toxic") + F.col("clean")) * (total.toxic / (total.toxic + total.clean))
-    strong = (F.col("toxic") - expected) / F.sqrt(expected + 1)
-    best = counts.where("entry <> '' AND toxic >= 5").select("entry", ratio.alias("ratio"), strong.alias("strong")).where("ratio >= 0.8 AND strong >= 5").orderBy(F.desc("strong"), F.desc(F.length("entry")), "entry").limit(20 * ENTRIES).collect()
+    # by texts, so that a word that one text repeats doesn't count for more than one
+    expected = (F.col("toxic_texts") + F.col("clean_texts")) * (total.toxic_texts / (total.toxic_texts + total.clean_texts))
+    strong = (F.col("toxic_texts") - expected) / F.sqrt(expected + 1)
+    best = counts.where("entry <> ''").select("entry", ratio.alias("ratio"), strong.alias("strong")).where(f"ratio >= {RATIO} AND strong >= {STRENGTH}").orderBy(F.desc("strong"), F.desc(F.length("entry")), "entry").collect()
     chosen_entries: dict[str, float] = {}
+    stems: set[str] = set()
+    starts: set[str] = set()  # of the stems
     for r in best:
         stem = r.entry.rstrip("*")
-        clash = any(stem.startswith(o.rstrip("*")) or o.startswith(stem) for o in chosen_entries)
-        if not clash and len(chosen_entries) < ENTRIES:
+        own = {stem[:k] for k in range(1, len(stem) + 1)}
+        if stem not in starts and not own & stems:
             chosen_entries[r.entry] = round(r.ratio, 6)
+            stems.add(stem)
+            starts |= own
     lexicon = tuple(sorted(chosen_entries.items()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -106,6 +106,38 @@ def test_cross_parse():
                 assert got == want
 
 
+def test_symbols():
+    """Letters of any rank have codes of their own, none the beginning of another."""
+    ranks = np.array([*range(1500), 17_071, 17_072, 17_073, 140_000, -1])
+    out, size = langid.in_symbols(ranks)
+    at = np.concatenate(([0], np.cumsum(size)))
+    codes = [tuple(out[a:b].tolist()) for a, b in zip(at, at[1:], strict=False)]
+    assert len(set(codes)) == len(ranks) and codes[-1] == (0,) and set(size) == {1, 2, 3, 4}
+    assert not any(c[:k] in set(codes) for c in codes for k in range(1, len(c))) and out.max() <= 64
+
+
+def test_ideographs():
+    """Languages that share hundreds of letters are told apart, beside languages of few."""
+    ideographs = [chr(0x4E00 + i) for i in range(600)]
+    rng = random.Random(3)
+    vocabulary = {k: ["".join(rng.choices(ideographs, k=rng.randint(1, 3))) for _ in range(400)] for k in ("ja", "zh")}
+    vocabulary |= {k: [" " + "".join(rng.choices("abcdefghijklmnopqrstuvwxyzäöü"[i : i + 20], k=5)) for _ in range(400)] for i, k in enumerate(("l1", "l2", "l3"))}
+    parser = langid.CrossParser(tuple((k, "".join(rng.choices(v, k=24_000))[:24_000]) for k, v in sorted(vocabulary.items())))
+    for k, v in vocabulary.items():
+        langs, _ = parser.predict(["".join(rng.choices(v, k=20)) for _ in range(60)])
+        assert langs == [k] * 60
+    samples = (("ja", "".join(rng.choices(vocabulary["ja"], k=150))), ("zh", "".join(rng.choices(vocabulary["zh"], k=150))))
+    parser = langid.CrossParser(samples)
+    coded = lambda t: "".join(chr(32 + x) for x in parser.symbols(langid.letters([t])[0])[0])
+    texts = ["".join(rng.choices(vocabulary[k], k=30)) for k in ("ja", "zh", "ja")]
+    phrases, size, _ = parser.phrases(texts)
+    assert list(size) == [len(coded(t)) for t in texts]
+    for i, (_, sample) in enumerate(samples):
+        for j, t in enumerate(texts):
+            if not set(coded(t)) - set(coded(sample)):
+                assert phrases[i, j] == plain_parse(coded(t), coded(sample), langid.SEGMENT)
+
+
 def test_identify(spark, odd, none):
     samples = (("en", "the cat and the dog are in the house " * 20), ("fr", "le chat et le chien sont dans la maison " * 20))
     docs = spark.createDataFrame([(1, "The dog and the cat"), (2, "le chien et la maison"), (3, None), (4, "123 !"), (5, "")], "doc_id long, text string")
@@ -118,10 +150,26 @@ def test_identify(spark, odd, none):
 
 def test_fold_and_measure():
     lexicon = (("idiot", 2.0), ("stup*", 1.5), ("trash", 1.0))
-    text = ["You 1D10T!", "іdiоt", "idiots", "stupid stupor", "trash can and trash", "", "a-trash-b", "ＩＤＩＯＴ"]
+    text = ["You 1D10T!", "іdiоt", "idiots", "stupid stupor", "trash can and trash", "", "a-trash-b", "ＩＤＩＯＴ", "𝐢𝐝𝐢𝐨𝐭 you", "id\u200biot", "i\u0308dïot\U000e0041 x", "\u200b"]
     total, words = toxicity.measure(text, lexicon)
-    assert list(total) == [2.0, 2.0, 0.0, 3.0, 1.0, 0.0, 1.0, 2.0]
-    assert list(words) == [2, 1, 1, 2, 4, 0, 3, 1]
+    assert list(total) == [2.0, 2.0, 0.0, 3.0, 1.0, 0.0, 1.0, 2.0, 2.0, 2.0, 2.0, 0.0]
+    assert list(words) == [2, 1, 1, 2, 4, 0, 3, 1, 2, 1, 2, 0]
+
+
+def plain_score(text: str, model: tuple) -> float:
+    """Word by word, without an automaton: folded words, exceptions blanked, every entry tried."""
+    lexicon, weights = model
+    found = toxicity.fold([text])[0].split()
+    blank = [False] * len(found)
+    for phrase in toxicity.EXCEPTIONS:
+        parts = phrase.split(" ")
+        for i in range(len(found) - len(parts) + 1):
+            if found[i : i + len(parts)] == parts:
+                blank[i : i + len(parts)] = [True] * len(parts)
+    total = sum(w for x, b in zip(found, blank, strict=True) if not b for e, w in lexicon if (x.startswith(e[:-1]) if e.endswith("*") else x == e))
+    n = len(found)
+    at = weights[0] + weights[1] * 10 * total / (n + 10) + weights[2] * np.log1p(total) + weights[3] * np.log1p(n) / 5
+    return float(1 / (1 + np.exp(-np.clip(at, -30, 30))))
 
 
 def test_toxicity(spark, odd, none):
@@ -143,5 +191,15 @@ def test_toxicity(spark, odd, none):
     assert {r.doc_id for r in toxicity.keep_harmless(docs, model).collect()} == {i for i, r in got.items() if not r.predicted}
     assert toxicity.rate(odd, model).count() == odd.count() and toxicity.rate(none, model).count() == 0
     assert toxicity.keep_harmless(odd, model).columns == odd.columns
+    odder = [(1000, "Trash can NASTIGER vilewort-x"), (1001, "v1lew0rt trash"), (1002, None), (1003, "vilewort " * 5000)]
+    texts = {**dict(rows), **dict(odder)}
+    model = (tuple(sorted({**dict(model[0]), "trash": 1.5}.items())), model[1])
+    for r in toxicity.rate(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), model).collect():
+        want = plain_score(texts[r.doc_id] or "", model)
+        assert abs(r.score - want) < 1e-9 and r.predicted == (want >= 0.5)
+    # more strong entries than any fixed number: all are in the lexicon
+    many = [f"{chr(97 + i)}{chr(97 + j)}{chr(97 + k)}q" for i in range(20) for j in range(20) for k in range(2)]
+    bad = spark.createDataFrame([(i, 1, " ".join(many)) for i in range(60)] + [(100 + i, 0, "plain words of a kind " * 900) for i in range(200)], "doc_id long, toxic int, text string")
+    assert len(toxicity.learn(bad, bad.select("doc_id", "toxic"))[0]) == len(many)
     blank = toxicity.learn(docs, labels.where("doc_id < 0"))
     assert all(r.predicted == 0 for r in toxicity.rate(odd, blank).collect())
