@@ -5,8 +5,9 @@ and checks), a gazetteer (top-level domains, calling codes, card prefixes, addre
 Expectation-maximisation over the counts of vote patterns estimates how reliable each labeler is, and the posteriors train a logistic span
 classifier on votes and shape. Base spans stay whatever it says; of the looser candidates those that it accepts are added.
 
-Texts are scanned once, by regular expressions without unbounded backtracking. The counts of (kind, votes, shape) are at most a few hundred rows
-whatever the input, and they alone reach the driver.
+Texts are scanned once, by regular expressions without unbounded backtracking; the work on the spans of one text grows as their number (running sums are
+taken in blocks, overlaps found by halving). The counts of (kind, votes, shape) are at most a few hundred rows whatever the input, and they alone reach the
+driver. What is written on the way holds places and votes, no personal data.
 """
 
 from __future__ import annotations
@@ -20,11 +21,11 @@ from pyspark.sql import functions as F
 from quarryline.llm.common import documents, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
-#: The base patterns, with possessive repeats where giving back can't help; a match may begin where the last one ended.
+#: The base patterns, with possessive repeats where giving back can't help; a match may begin where the last one ended. Runs of digits too short for a card are passed over.
 BASE = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){12,}+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: Cheap tests that a text must pass to have a match.
@@ -60,26 +61,57 @@ CUES = {
     "phone": r"(?i)\b(?:call|phone|tel|telephone|mobile|cell|fax|ring|t[eé]l|tel[eé]fono|handy)\b",
 }
 AGAINST = r"(?i)\b(?:version|isbn|issn|section|figure|table|chapter|page|order|invoice|serial|build|release)\W*$"
-LEFT = 40
+#: Characters of context before a span, and matches before it that may be part of them: the shortest match has five characters, a phone three.
+LEFT, BEHIND = 40, 8
 LABELERS = ("pattern", "gazetteer", "context")
+#: Elements of an array that are folded one after another; blocks of so many are folded apart.
+BLOCK = 64
 
-SPAN = "array<struct<start:int,end:int,value:string,before:string>>"
+PAIRS = "array<struct<gap:int,tail:string,hit:string>>"
+
+
+def with_running(rows: DataFrame, arrays: list[str], value: Callable[[Column], Column], zero: Column, join: Callable[[Column, Column], Column]) -> DataFrame:
+    """Adds ``<array>_run`` for each of ``arrays``: for each element the fold of the values of all up to it. A block's elements are folded from its first,
+    blocks from the first of all, so that n elements take some n * BLOCK / 2 + (n / BLOCK) ** 2 / 2 steps."""
+    fold = lambda xs, f: F.aggregate(xs, zero, lambda acc, x: join(acc, f(x)))
+    none = F.filter(F.array(F.lit(0)), lambda _: F.lit(False))
+
+    def blocks(c: str) -> Column:
+        firsts = F.when(F.size(c) > 0, F.sequence(F.lit(1), F.size(c), F.lit(BLOCK))).otherwise(none)
+        return F.transform(firsts, lambda i: F.slice(c, i, F.lit(BLOCK)))
+
+    def bases(c: str) -> Column:
+        return F.transform(f"{c}_sums", lambda _, i: F.aggregate(F.slice(f"{c}_sums", 1, i), zero, join))
+
+    def run(c: str) -> Column:
+        return F.flatten(F.zip_with(f"{c}_blocks", f"{c}_bases", lambda xs, base: F.transform(xs, lambda _, i: join(base, fold(F.slice(xs, F.lit(1), i + 1), value)))))
+
+    # each array is a column of its own that is read twice, so that no lambda computes it anew
+    rows = rows.withColumns({f"{c}_blocks": blocks(c) for c in arrays})
+    rows = rows.withColumns({f"{c}_sums": F.transform(f"{c}_blocks", lambda xs: fold(xs, value)) for c in arrays})
+    rows = rows.withColumns({f"{c}_bases": bases(c) for c in arrays})
+    return rows.withColumns({f"{c}_run": run(c) for c in arrays}).drop(*[f"{c}_{x}" for c in arrays for x in ("blocks", "sums", "bases")])
 
 
 def matches(text: Column, pattern: str, first: Column) -> Column:
-    """All leftmost non-overlapping matches with the text before each: what splitting leaves between them gives their places. Code
-    points, ends exclusive."""
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() AS {SPAN})").alias("out"))
+    """All leftmost non-overlapping matches, each with the length and the end of the text between it and the one before: what splitting leaves."""
+    pairs = F.zip_with(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1), lambda h, g: F.struct(F.length(g).alias("gap"), F.right(g, F.lit(LEFT)).alias("tail"), h.alias("hit")))
+    return F.when(first, F.filter(pairs, lambda p: p["hit"].isNotNull())).otherwise(F.expr(f"cast(array() AS {PAIRS})"))
+
+
+def with_spans(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Columns from ``matches`` as start and end (code points, exclusive), value and the ``LEFT`` characters before."""
+
+    def before(c: str) -> Column:
+        behind = lambda i: F.array_join(F.transform(F.slice(c, F.greatest(i - BEHIND, F.lit(0)) + 1, F.least(i, F.lit(BEHIND))), lambda p: F.concat(p["tail"], p["hit"])), "")
+        return F.transform(c, lambda p, i: F.when(F.length(p["tail"]) >= LEFT, p["tail"]).otherwise(F.right(F.concat(behind(i), p["tail"]), F.lit(LEFT))))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"), F.right(x["gap"], F.lit(LEFT)).alias("before")))).alias("out"))
+    def placed(c: str) -> Column:
+        ends = F.arrays_zip(F.col(f"{c}_run").alias("end"), F.col(f"{c}_before").alias("before"))
+        return F.zip_with(c, ends, lambda p, at: F.struct((at["end"] - F.length(p["hit"])).alias("start"), at["end"].alias("end"), p["hit"].alias("value"), at["before"].alias("before")))
 
-    pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda h, g: F.struct(h.alias("hit"), g.alias("gap")))
-    return F.when(first, F.aggregate(pairs, zero, add)["out"]).otherwise(F.expr(f"cast(array() AS {SPAN})"))
+    rows = with_running(rows, names, lambda p: p["gap"] + F.length(p["hit"]), F.lit(0), lambda a, b: a + b).withColumns({f"{c}_before": before(c) for c in names})
+    return rows.withColumns({c: placed(c) for c in names}).drop(*[f"{c}_{x}" for c in names for x in ("run", "before")])
 
 
 def luhn(digits: Column) -> Column:
@@ -110,6 +142,7 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     rows = docs.select(F.col(id_col).alias("doc_id"), text_of(text_col).alias("text"))
     t = F.col("text")
     rows = rows.select("doc_id", *[matches(t, BASE[k], FIRST[k](t)).alias(f"base_{k}") for k in KINDS], *[matches(t, LOOSE[k], LOOSE_FIRST[k](t)).alias(f"loose_{k}") for k in LOOSE])
+    rows = with_spans(rows, rows.columns[1:])
 
     def shaped(kind: str, base: Callable[[Column], Column]) -> Callable[[Column], Column]:
         return lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), s["before"].alias("before"), base(s["value"]).alias("base"))
@@ -207,37 +240,48 @@ def classifier(counts: dict[Key, int], posterior: dict[Key, float], rounds: int
     return {key: chance(key) for key in counts}
 
 
+def _meets(span: Column, spans: str, tops: str, top: Callable[[Column], Column]) -> Column:
+    """Whether a span overlaps one of ``spans`` (by start), the greatest end of all up to each being in ``tops``: by halving."""
+    steps = F.lit([2**i for i in range(30, -1, -1)])
+    at = F.aggregate(steps, F.lit(0), lambda n, k: F.when((n + k <= F.size(spans)) & (F.try_element_at(spans, n + k)["start"] < span["end"]), n + k).otherwise(n))
+    return F.coalesce(top(F.try_element_at(tops, F.nullif(F.least(at, F.size(tops)), F.lit(0)))) > span["start"], F.lit(False))
+
+
+def without_overlaps(rows: DataFrame) -> DataFrame:
+    """``found`` without added spans that meet a base one, or an added one of an earlier kind that meets no base one; by kind, then start."""
+    rank = lambda s: F.array_position(F.lit(list(KINDS)), s["kind"])
+    added = F.filter("found", lambda s: ~s["base"])
+    by_start = lambda spans: F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), rank(s).alias("rank"), s.alias("span"))))
+    none = F.filter("found", lambda _: F.lit(False))
+    rows = rows.select("doc_id", "found", added.alias("added")).withColumn("base", by_start(F.when(F.size("added") > 0, F.filter("found", lambda s: s["base"])).otherwise(none)))
+    rows = with_running(rows, ["base"], lambda b: b["end"], F.lit(0), lambda a, b: F.greatest(a, b))
+    rows = rows.withColumn("free", by_start(F.filter("added", lambda s: ~_meets(s, "base", "base_run", lambda top: top))))
+    # the greatest end of spans of the first kind, of the first two, of the first three
+    firsts = range(1, len(KINDS))
+    ends = lambda f: F.array(*[F.when(f["rank"] <= k, f["end"]).otherwise(0) for k in firsts])
+    zero = F.array(*[F.lit(0) for _ in firsts])
+    rows = with_running(rows, ["free"], ends, zero, lambda a, b: F.zip_with(a, b, lambda x, y: F.greatest(x, y)))
+    alone = F.filter("free", lambda s: (s["rank"] == 1) | ~_meets(s, "free", "free_run", lambda top: F.try_element_at(top, F.nullif(s["rank"].cast("int") - 1, F.lit(0)))))
+    all_ = F.concat(F.filter("found", lambda s: s["base"]), F.transform(alone, lambda s: s["span"]))
+    ordered = F.transform(F.array_sort(F.transform(all_, lambda s: F.struct(rank(s).alias("rank"), s["start"].alias("start"), s.alias("span")))), lambda s: s["span"])
+    return rows.select("doc_id", F.when(F.size("found") > 1, ordered).otherwise(F.col("found")).alias("found"))
+
+
 def personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """One row a document: ``doc_id, found``, all spans (kind, start, end, value, base, chance) by kind as in ``KINDS``, then start.
+    """One row a document: ``doc_id, found``, all spans (kind, start, end, base, chance) by kind as in ``KINDS``, then start.
 
-    Added spans meet no base span, nor an added one of an earlier kind or place. Null text counts as empty; repeated rows are searched each; an empty table
+    Added spans meet no base span, nor an added one of an earlier kind. Null text counts as empty; repeated rows are searched each; an empty table
     gives no rows; other columns are not read.
     """
-    rows = written(candidates(docs, id_col, text_col).withColumn("found", F.transform("found", lambda s: s.withField("key", features(s)))), "candidates")
+    places = lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "base")], features(s).alias("key"))
+    rows = written(candidates(docs, id_col, text_col).withColumn("found", F.transform("found", places)), "candidates")
     seen = rows.where("size(found) > 0").select(F.explode("found.key").alias("key")).groupBy("key").count().collect()
     counts = {parsed(r["key"]): r["count"] for r in seen}
     _, _, posterior = reliabilities(counts)
     scores = {":".join(map(str, k)): v for k, v in classifier(counts, posterior).items()}
     table = F.create_map(*[F.lit(x) for kv in sorted(scores.items()) for x in kv]) if scores else F.expr("cast(map() AS map<string,double>)")
-    apart = lambda a, b: (a["end"] <= b["start"]) | (b["end"] <= a["start"])
-    kept = lambda found: F.filter(found, lambda s: s["base"] | (s["chance"] >= least))
-    base = F.filter("found", lambda s: s["base"])
-    added = F.filter("found", lambda s: ~s["base"])
-    free = F.filter(added, lambda s: F.forall(F.col("base"), lambda b: apart(s, b)))
-    # of added spans that overlap, the first by kind and place stays
-    rank = lambda s: F.array_position(F.lit(list(KINDS)), s["kind"])
-    ahead = lambda a, b: (rank(a) < rank(b)) | ((rank(a) == rank(b)) & (a["start"] < b["start"]))
-    alone = F.filter("free", lambda s: F.forall(F.col("free"), lambda o: apart(s, o) | ~ahead(o, s)))
-    ordered = F.transform(F.array_sort(F.transform(F.concat("base", "alone"), lambda s: F.struct(rank(s).alias("rank"), s["start"].alias("start"), s.alias("span")))), lambda s: s["span"])
-    some = F.size("found") > 0
-    chanced = F.transform("found", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "value", "base")], F.coalesce(F.try_element_at(table, s["key"]), F.lit(0.0)).alias("chance")))
-    return (
-        rows.select("doc_id", kept(chanced).alias("found"))
-        .select("doc_id", "found", base.alias("base"))
-        .select("doc_id", "found", "base", free.alias("free"))
-        .select("doc_id", "found", "base", alone.alias("alone"))
-        .select("doc_id", F.when(some, ordered).otherwise(F.col("found")).alias("found"))
-    )
+    chanced = F.transform("found", lambda s: F.struct(*[s[c].alias(c) for c in ("kind", "start", "end", "base")], F.coalesce(F.try_element_at(table, s["key"]), F.lit(0.0)).alias("chance")))
+    return without_overlaps(rows.select("doc_id", F.filter(chanced, lambda s: s["base"] | (s["chance"] >= least)).alias("found")))
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

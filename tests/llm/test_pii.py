@@ -7,6 +7,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from quarryline.llm import pii
 
@@ -73,5 +74,61 @@ def test_reliabilities():
     assert pii.classifier({}, {}) == {} and pii.reliabilities({})[2] == {}
 
 
+def test_spans(spark):
+    """Places and the forty characters before, over many blocks of matches."""
+    rng = random.Random(4)
+    texts = ["".join(rng.choice(["a@b.co ", "é@", "x.y@z.org", " tel ", "日本 ", "word " * 12]) for _ in range(n)) for n in (0, 1, 5, 64, 65, 700)]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    column = rows.select("doc_id", pii.matches(F.col("text"), pii.BASE["email"], F.lit(True)).alias("m"))
+    for r in pii.with_spans(column, ["m"]).collect():
+        t = texts[r.doc_id]
+        found = [(m.start(), m.end(), m[0]) for m in re.finditer(PLAIN["email"], t)]
+        assert [tuple(s)[:3] for s in r.m] == found
+        assert [s.before for s in r.m] == [t[max(0, a - pii.LEFT) : a] for a, _, _ in found]
+
+
+def test_without_overlaps(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(60):
+        spans = []
+        for kind in pii.KINDS:
+            for base in (True, False):
+                at = 0
+                for _ in range(rng.choice([0, 1, 3, 90])):
+                    at += rng.randint(0, 40)
+                    n = rng.randint(1, 30)
+                    spans.append((kind, at, at + n, base, 0.9))
+                    at += n
+        rows.append((i, spans))
+    frame = spark.createDataFrame(rows, "doc_id long, found array<struct<kind string, start int, end int, base boolean, chance double>>")
+    for r in pii.without_overlaps(frame).collect():
+        spans = rows[r.doc_id][1]
+        meet = lambda a, b: a[1] < b[2] and b[1] < a[2]
+        rank = lambda s: pii.KINDS.index(s[0])
+        base = [s for s in spans if s[3]]
+        free = [s for s in spans if not s[3] and not any(meet(s, b) for b in base)]
+        alone = [s for s in free if not any(rank(o) < rank(s) and meet(s, o) for o in free)]
+        assert [tuple(s) for s in r.found] == sorted(base + alone, key=lambda s: (rank(s), s[1]))
+
+
+def test_added(spark):
+    """The classifier adds what base patterns miss where cues speak for it, and nothing in plain prose."""
+    rng = random.Random(2)
+    rows = [f"please write to jane{i} [at] example [dot] org or call (555) 123-4{i:03d} now; mail a{i}@b.com, phone +1 555 010 9{i:03d}" for i in range(120)]
+    rows += [" ".join(rng.choices(["plain", "words", "of", "prose", "12", "3.5"], k=60)) for _ in range(60)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    for r in pii.personal_data(docs).collect():
+        new = [rows[r.doc_id][s.start : s.end] for s in r.found if not s.base]
+        assert new == ([f"jane{r.doc_id} [at] example [dot] org", f"(555) 123-4{r.doc_id:03d}"] if r.doc_id < 120 else [])
+
+
+def test_dense(spark):
+    """Many spans in one text."""
+    text = "a@b.co jane [at] x [dot] org 10.0.0.7 " * 4000
+    got = pii.personal_data(spark.createDataFrame([(1, text)], "doc_id long, text string")).first().found
+    assert sum(s.base for s in got) == 8000 and [text[s.start : s.end] for s in got[:2]][0] == "a@b.co"
+
+
 def test_odd(spark, odd, none):
     assert pii.personal_data(odd).count() == odd.count() and pii.personal_data(none).count() == 0
