@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.common import documents, shuffle_partitions, text_of, written
+from quarryline.llm.common import documents, shuffle_partitions, text_of, with_groups, written
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -61,22 +61,6 @@ def merge_runs(runs: DataFrame, keep: str = "smallest", fan_in: int = 4, cells:
     return level.select(*key, F.col("winner.doc_id").alias("keep_id"), F.abs("winner.row").alias("keep_row"), "group_size")
 
 
-#: Digests with more than this share of all rows are hot: fewer than its inverse, so they can be broadcast whatever the input.
-HOT_SHARE = 1 / 10_000
-
-
-def with_groups(runs: DataFrame, groups: DataFrame) -> DataFrame:
-    """``runs`` joined with ``groups`` by digest. Rows of hot digests meet them by broadcast, so no task gathers a large group of copies; the others by shuffle."""
-    key = ["digest", "proof", "n_bytes"]
-    groups = written(groups, "groups")
-    most = max(1, int(runs.count() * HOT_SHARE))
-    hot = groups.where(F.col("group_size") > most).select(*key, F.struct("keep_id", "keep_row", "group_size").alias("hot"))
-    marked = runs.join(F.broadcast(hot), key, "left")
-    met = marked.where("hot IS NOT NULL").select(*runs.columns, "hot.*")
-    rest = marked.where("hot IS NULL").drop("hot").join(groups.where(F.col("group_size") <= most), key)
-    return met.unionByName(rest)
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest", fan_in: int = 4) -> DataFrame:
     """One row a document: ``doc_id, keep_id, group_size, kept, text_sha256``.
 
@@ -85,7 +69,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ``docs`` are not read.
     """
     runs = written(digests(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()), "digests")
-    rows = with_groups(runs, merge_runs(runs, keep, fan_in))
+    rows = with_groups(runs, written(merge_runs(runs, keep, fan_in), "groups"), ["digest", "proof", "n_bytes"], "group_size")
     return rows.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("proof")).alias("text_sha256"))
 
 

@@ -7,16 +7,18 @@ A document's set is its distinct five-word shingles. Two documents link when the
    frequency, rarest first. Sets that link share k shingles of both prefixes, whatever the order; rarest first keeps what many documents share out
    of the prefixes. A set fewer than k of whose keys any other set has links with nothing. Of the rest, sets that share a key meet in the
    bucket of the least of them.
-3. Signature trees rule out what can't link in a bucket: nodes hold the OR of their sets' bitmaps and the range of their sizes, and trees are
-   traversed together, dropping pairs of nodes whose greatest possible overlap is too small.
+3. Signatures rule out what can't link in a bucket. Each set is tried against the bucket's least document first; sets that may link to it are kept.
+   The others meet all of the bucket in signature trees: nodes hold the OR of their sets' bitmaps and the range of their sizes, and trees are
+   traversed together, dropping pairs of nodes whose greatest possible overlap is too small. A large bucket is cut into blocks by size, and pairs of
+   blocks are traversed in separate tasks; blocks of sets that are all kept already don't meet.
 4. What is left is compared, whole set with whole set: with the bucket's least document first; those that link are in one component with
-   it and needn't meet each other. The rest meet all of the bucket through trees again. A large bucket is cut into blocks by size, and pairs of
-   blocks are traversed in separate tasks.
+   it and needn't meet each other. The rest meet all of the bucket through trees again.
 5. Links and equal sets are joined to components.
 6. Where links are counted, all pairs of a bucket that the trees can't rule out are compared, each pair in one of the buckets that it shares, and
    only each set's sum leaves the task.
 
-The test of a pair compares the sets whole.
+The test of a pair compares the sets whole. Keys, buckets and groups of equal sets that hold a large share of the rows are dealt to many tasks: keys by the
+sketched frequency, buckets and groups by their counted size.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.llm.buffers import as_bytes, hash_spans, mix64
-from quarryline.llm.common import documents, text_of, written
+from quarryline.llm.common import HOT_SHARE, documents, text_of, with_groups, written
 from quarryline.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -40,6 +42,10 @@ COUNTERS, PARTS = 1 << 21, 64
 GATHER = 64
 #: Sets of one block of a bucket, children of a tree's node, bits of a signature.
 BLOCK, FAN, BITS = 256, 8, 2048
+#: A key that at least so many sets have, by the sketch, is dealt to a task for each so many; so is one that holds a share of ``HOT_SHARE`` of all.
+SLICE = 4096
+#: Digests that a task remembers so as not to send a set twice.
+REMEMBERED = 100_000
 
 _BREAK = np.zeros(256, bool)
 _BREAK[[32, 9, 10, 11, 12, 13]] = True
@@ -252,23 +258,30 @@ def join_blocks(left: list[tuple[int, bool, np.ndarray]], right: list[tuple[int,
     return out
 
 
-def _prefixes(counts: np.ndarray, percent: int, words: int = WORDS) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _prefixes(counts: np.ndarray, percent: int, words: int, slice_: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()  # sets of this partition: copies needn't be sent again
+        seen: set[bytes] = set()  # of late, in this partition: copies needn't be sent again; the shuffle removes the rest
         for _, h, at in _sets(batches, words):
             # counts above, hashes below: rarest first, one order for all sets
-            key = (np.minimum(counts[_counter(h)], 65535).astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
-            taken, who, need = [], [], []
+            often = counts[_counter(h)]
+            key = (np.minimum(often, 65535).astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+            taken, who, need, part = [], [], [], []
             for a, b in zip(at.tolist(), at.tolist()[1:], strict=False):
                 digest = _digest(h[a:b])
                 if b > a and digest not in seen:
+                    if len(seen) >= REMEMBERED:
+                        seen.clear()
                     seen.add(digest)
                     k = prefix_size(b - a, percent)
-                    taken.append(h[a:b][np.argpartition(key[a:b], k - 1)[:k]])
-                    who.append(np.full(k, _sid(digest)))
+                    first = np.argpartition(key[a:b], k - 1)[:k]
+                    sid = _sid(digest)
+                    parts = -(-often[a:b][first].astype(np.int64) // slice_)
+                    taken.append(h[a:b][first])
+                    who.append(np.full(k, sid))
                     need.append(np.full(k, common_keys(b - a, percent), np.int32))
+                    part.append(np.where(parts > 1, 1 + (sid & (2**63 - 1)) % np.maximum(parts, 1), 0).astype(np.int32))
             if taken:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(taken).view(np.int64)), pa.array(np.concatenate(who)), pa.array(np.concatenate(need))], ["shingle", "sid", "need"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(taken).view(np.int64)), pa.array(np.concatenate(part)), pa.array(np.concatenate(who)), pa.array(np.concatenate(need))], ["shingle", "part", "sid", "need"])
 
     return run
 
@@ -291,14 +304,13 @@ def traversals(members: DataFrame, percent: int) -> DataFrame:
     """Which sets meet in which traversal: ``bucket, block, other, side, member, joined`` from ``bucket, member, n, joined``. A bucket of up to ``BLOCK``
     sets is one block; a larger one is cut by size, and by hash where many sets are of one size. Pairs of blocks too far apart in size, or without a
     set that hasn't joined yet, don't meet."""
-    rows = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("joined")).alias("loose")).where("loose > 0 AND rows > 1")
-    sized = written(members.join(rows, "bucket"), "members")
+    count = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("joined")).alias("loose"), F.percentile_approx("n", [i / 64 for i in range(1, 64)], F.lit(256)).alias("cuts"))
+    found = written(count.where("loose > 0 AND rows > 1").withColumn("cuts", F.when(F.col("rows") > BLOCK, F.col("cuts"))).drop("loose"), "bucket-sizes")
+    sized = written(with_groups(members, found, ["bucket"], "rows"), "members")
     one = sized.where(F.col("rows") <= BLOCK).select("bucket", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("other"), F.lit(0).alias("side"), "member", "joined")
-    many = sized.where(F.col("rows") > BLOCK)
-    span = many.groupBy("bucket").agg(F.percentile_approx("n", [i / 64 for i in range(1, 64)], F.lit(256)).alias("cuts"))
-    banded = many.join(span, "bucket").withColumn("band", F.expr(f"size(filter(cuts, c -> c < n)) * least(64, ceil(rows / {BLOCK})) div 64"))
-    in_band = banded.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("in_band"))
-    blocks = written(banded.join(in_band, ["bucket", "band"]).select("bucket", "member", "n", "joined", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("member"), F.ceil(F.col("in_band") / BLOCK))).alias("block")), "blocks")
+    banded = sized.where(F.col("rows") > BLOCK).withColumn("band", F.expr(f"size(filter(cuts, c -> c < n)) * least(64, ceil(rows / {BLOCK})) div 64")).drop("cuts", "rows")
+    in_band = written(banded.groupBy("bucket", "band").agg(F.count(F.lit(1)).alias("in_band")), "bands")
+    blocks = written(with_groups(banded, in_band, ["bucket", "band"], "in_band").select("bucket", "member", "n", "joined", (F.col("band") * 1_000_000 + F.pmod(F.xxhash64("member"), F.ceil(F.col("in_band") / BLOCK))).alias("block")), "blocks")
     ranges = blocks.groupBy("bucket", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.max(~F.col("joined")).alias("has_loose"))
     right = ranges.withColumnsRenamed({"block": "other", "lo": "lo2", "hi": "hi2", "has_loose": "loose2"})
     tasks = ranges.join(right, "bucket").where("block <= other AND (has_loose OR loose2)").where(F.expr(f"100 * least(hi, hi2) >= {percent} * greatest(lo, lo2)")).select("bucket", "block", "other")
@@ -306,10 +318,30 @@ def traversals(members: DataFrame, percent: int) -> DataFrame:
     return one.unionByName(sides.join(blocks.withColumnRenamed("block", "own"), ["bucket", "own"]).select("bucket", "block", "other", "side", "member", "joined"))
 
 
+def tried(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
+    """``bucket, member, n, joined`` for each member of a bucket and its least: whether it may link to the least, by their signatures."""
+    named = pairs.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"))
+    least = written(named.join(signs.withColumnsRenamed({"id": "bucket", "n": "to_n", "slack": "to_slack", "sign": "to_sign"}), "bucket"), "least")
+    met = with_groups(pairs.join(signs.withColumnRenamed("id", "member"), "member"), least, ["bucket"], "rows")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            levels = []
+            for n, slack, sign in ((2, 3, 4), (5, 6, 7)):
+                size = batch.column(n).to_numpy()
+                levels.append((np.frombuffer(b"".join(batch.column(sign).to_pylist()), np.uint64).reshape(len(size), -1), size, size, batch.column(slack).to_numpy()))
+            i = np.arange(batch.num_rows)
+            ok = _possible(levels[0], i, levels[1], i, percent) if len(i) else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(ok, pa.bool_())], ["bucket", "member", "n", "joined"])
+
+    tests = met.select("bucket", "member", "n", "slack", "sign", "to_n", "to_slack", "to_sign").mapInArrow(run, "bucket long, member long, n long, joined boolean")
+    return tests.unionByName(least.select("bucket", F.col("bucket").alias("member"), F.col("to_n").alias("n"), F.lit(True).alias("joined")))
+
+
 def screened(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
-    """Of ``bucket, member`` those that may link to another of the bucket, by traversal of trees over signatures alone."""
-    members = pairs.unionByName(pairs.select("bucket", F.col("bucket").alias("member")).distinct()).join(signs.select(F.col("id").alias("member"), "n"), "member")
-    loaded = traversals(members.select("bucket", "member", "n", F.lit(False).alias("joined")), percent).join(signs.withColumnRenamed("id", "member"), "member")
+    """Of ``bucket, member`` those that may link to another of the bucket by their signatures: to its least, or to one that a traversal of trees finds."""
+    first = written(tried(pairs, signs, percent), "tried")
+    loaded = traversals(first, percent).join(signs.withColumnRenamed("id", "member"), "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in groups(batches):
@@ -325,7 +357,7 @@ def screened(pairs: DataFrame, signs: DataFrame, percent: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]] * len(hits), pa.int64()), pa.array(sorted(hits), pa.int64())], ["bucket", "member"])
 
     met = loaded.select("bucket", "block", "other", "side", "member", "n", "slack", "sign").repartition("bucket", "block", "other").sortWithinPartitions("bucket", "block", "other", "n", "member")
-    return met.mapInArrow(run, "bucket long, member long").where("bucket <> member").distinct()
+    return met.mapInArrow(run, "bucket long, member long").unionByName(first.where("joined").select("bucket", "member")).where("bucket <> member").distinct()
 
 
 #: Ids of candidates are broadcast up to this number, 8 bytes each; beyond it texts are shuffled to them.
@@ -333,30 +365,36 @@ BROADCAST_IDS = 500_000
 
 
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, percent: int = PERCENT) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
-    """Profiles (``doc_id, n, digest, rep``: the least id with an equal set), the buckets (``bucket, member``) of representatives that may link, and
+    """Profiles (``doc_id, n, digest, rep, copies``: the least id with an equal set, and how many have one), the buckets (``bucket, member``) of representatives that may link, and
     their sets (``doc_id, n, digest, sets``); no buckets for an empty table."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63))).alias("doc_id"), text_of(text_col).alias("text"))
     profile = written(rows.mapInArrow(lambda batches: _profile(batches, words), "doc_id long, n long, digest binary, sid long, sign binary, slack long, part int, counts binary").withColumn("src", F.spark_partition_id().cast("long")), "profiles")
     sets = profile.where("part IS NULL")
-    reps = sets.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"))
-    known = written(sets.select("doc_id", "n", "digest", "sid").join(reps, ["n", "digest"]), "known")
+    reps = written(sets.groupBy("n", "digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "representatives")
+    known = written(with_groups(sets.select("doc_id", "n", "digest", "sid"), reps, ["n", "digest"], "copies"), "known")
     counts = _sketch(profile.where("part IS NOT NULL").select("part", "src", "counts"))
     if counts is None:
         return known, None, None
     shared = docs.sparkSession.sparkContext.broadcast(counts)
+    slice_ = max(SLICE, int(counts.sum() * HOT_SHARE))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _prefixes(shared.value, percent, words)(batches)
+        yield from _prefixes(shared.value, percent, words, slice_)(batches)
 
-    keys = rows.mapInArrow(prefixes, "shingle long, sid long, need int")
+    keys = rows.mapInArrow(prefixes, "shingle long, part int, sid long, need int")
     # equal sets of several partitions once, in the shuffle that the keys meet by
-    once = keys.repartition("shingle").groupBy("shingle", "sid").agg(F.min("need").alias("need"))
-    meet = Window.partitionBy("shingle").orderBy("sid")
-    some_other = F.lag("sid").over(meet).isNotNull() | F.lead("sid").over(meet).isNotNull()
+    once = keys.repartition("shingle", "part").groupBy("shingle", "part", "sid").agg(F.min("need").alias("need"))
+    meet = Window.partitionBy("shingle", "part").orderBy("sid")
+    # many sets have a key that is dealt in parts
+    some_other = F.lag("sid").over(meet).isNotNull() | F.lead("sid").over(meet).isNotNull() | (F.col("part") > 0)
     own = Window.partitionBy("sid")
-    enough = once.withColumn("common", some_other).where("common").withColumn("keys", F.count(F.lit(1)).over(own)).where("keys >= need").select("shingle", "sid")
+    enough = once.withColumn("common", some_other).where("common").withColumn("keys", F.count(F.lit(1)).over(own)).where("keys >= need").select("shingle", "part", "sid")
     least = F.first("sid").over(meet.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    met = enough.withColumn("least", least).where("sid <> least").select("least", "sid").distinct()
+    parts = written(enough.withColumn("least", least).where("part > 0 OR sid <> least").select(F.when(F.col("part") > 0, F.col("shingle")).alias("shingle"), "least", "sid").distinct(), "met")
+    # fewer keys are dealt in parts than HOT_SHARE's inverse, or than sets by SLICE
+    dealt = written(parts.where("shingle IS NOT NULL").groupBy("shingle").agg(F.min("least").alias("first")), "dealt")
+    dealt = F.broadcast(dealt) if dealt.count() <= BROADCAST_IDS else dealt
+    met = parts.where("shingle IS NULL").select("least", "sid").unionByName(parts.join(dealt, "shingle").where("sid <> first").select(F.col("first").alias("least"), "sid")).distinct()
     name = known.where("n > 0").select("sid", "rep").distinct()
     buckets = met.join(name.withColumnsRenamed({"sid": "least", "rep": "bucket"}), "least").join(name.withColumnRenamed("rep", "member"), "sid")
     # sets that share a sid are one bucket as well
@@ -451,7 +489,7 @@ def block_counts(bucket: int, left: list[tuple], right: list[tuple] | None, perc
 def link_counts(known: DataFrame, pairs: DataFrame, some: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``rep, digest, linked``: how many documents have another set that links to the representative's. Every pair of a bucket that the trees can't rule
     out is compared. Ids are those of one text each; repeated rows count as copies."""
-    copies = known.groupBy(F.col("rep").alias("doc_id"), "n", "digest").agg(F.count(F.lit(1)).alias("copies"))
+    copies = known.select(F.col("rep").alias("doc_id"), "n", "digest", "copies").distinct()
     members = written(pairs.unionByName(pairs.select("bucket", F.col("bucket").alias("member")).distinct()), "bucket-members")
     homes = members.groupBy("member").agg(F.collect_set("bucket").alias("homes"))
     nodes = written(some.dropDuplicates(["doc_id", "n", "digest"]).join(copies, ["doc_id", "n", "digest"]).withColumnRenamed("doc_id", "member").join(homes, "member"), "nodes")
@@ -490,14 +528,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     known, pairs, some = candidates(docs, id_col, text_col, words, percent)
     named = components(_spanned(known, pairs, some, percent))
-    joined = known.withColumn("node", F.col("rep")).join(named, "node", "left")
-    copies = known.groupBy("n", "digest").agg(F.count(F.lit(1)).alias("set_copies"))
-    rows = joined.join(copies, ["n", "digest"])
-    shown = [_id("doc_id"), F.col("n").alias("n_shingles"), _id(F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))).alias("component_id"), "set_copies"]
+    # one row for each set, so that its documents meet the answers once
+    sets = known.select("rep", "n", "digest", "copies").distinct().join(named.withColumnRenamed("node", "rep"), "rep", "left")
+    shown = [_id("doc_id"), F.col("n").alias("n_shingles"), _id(F.when(F.col("n") > 0, F.coalesce("component", "rep")).otherwise(F.col("doc_id"))).alias("component_id"), F.col("copies").alias("set_copies")]
     if count_links:
         none = known.select("rep", "digest", F.lit(0).cast("long").alias("linked")).where("false")
-        rows = rows.join(none if pairs is None else written(link_counts(known, pairs, some, percent), "link-counts"), ["rep", "digest"], "left")
-        shown.append(F.when(F.col("n") > 0, F.col("set_copies") - 1 + F.coalesce("linked", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+        sets = sets.join(none if pairs is None else link_counts(known, pairs, some, percent), ["rep", "digest"], "left")
+        shown.append(F.when(F.col("n") > 0, F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    rows = with_groups(known.select("doc_id", "rep", "n", "digest"), written(sets, "answers"), ["rep", "n", "digest"], "copies")
     return rows.select(*shown)
 
 
