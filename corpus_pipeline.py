@@ -30,9 +30,9 @@ def distinct_sets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps nine tenths of the tokens, shared alike among domains, languages and sources as far as they hold enough. The last document of
-    a leaf stays whole."""
-    return mixing.mix(docs, F.expr(KEPT), mixing.document_levels()).select(*docs.columns)
+    """Keeps nine tenths of the tokens: the domains' target weights, languages and sources alike, as far as they hold enough; what one can't fill goes to
+    its siblings. The last document of a leaf stays whole."""
+    return mixing.mix(docs, F.expr(KEPT), mixing.document_levels(), mixing.DOMAIN_WEIGHTS).select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
