@@ -94,19 +94,19 @@ def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _GATE = """docs AS (SELECT doc_id, source, text FROM documents), ret AS (SELECT doc_id, pos, CASE WHEN pos = (doc_id % 4) THEN doc_id ELSE 100000000 + pos END AS cid, ((doc_id * 13 + pos * 29) % 70)::DOUBLE / 100 AS score, 's' || ((doc_id + pos) % 2) AS sec
-  FROM (SELECT doc_id, unnest(range(1 + doc_id % 5))::INT AS pos FROM docs)),
+  FROM (SELECT doc_id, unnest(range(1 + doc_id % 9))::INT AS pos FROM docs)),
 rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, pos) AS place FROM ret),
 sig AS (SELECT doc_id, count(*) AS retrieved, max(score) AS max_score, max(CASE WHEN cid = doc_id THEN score END) AS seed_score, max(CASE WHEN cid = doc_id THEN place END) AS seed_rank, count(*) FILTER (sec = 's' || (doc_id % 2)) AS same_section_count FROM rk GROUP BY 1),
 lab AS (SELECT sig.*, CASE WHEN quality = 1 THEN 'full' WHEN quality = 0 THEN 'partial' ELSE 'no' END AS label, coalesce(toxic = 1, false) AS conflict FROM sig LEFT JOIN labels USING (doc_id)),
-gated AS (SELECT *, CASE WHEN conflict THEN 'evidence_conflict' WHEN seed_rank IS NULL THEN 'seed_not_returned' WHEN seed_score < 0.3 THEN 'low_score'
-  WHEN label = 'full' AND retrieved >= 2 AND seed_rank <= 3 AND max_score >= 0.45 AND same_section_count >= 2 THEN 'strong' WHEN label = 'full' AND retrieved < 2 AND seed_score >= 0.35 THEN 'single_chunk_full'
+gated AS (SELECT *, CASE WHEN conflict THEN 'evidence_conflict' WHEN seed_rank IS NULL OR seed_rank > 5 THEN 'seed_not_returned' WHEN seed_score < 0.3 THEN 'low_score'
+  WHEN label = 'full' AND retrieved >= 2 AND seed_rank <= 3 AND max_score >= 0.45 AND same_section_count >= 2 THEN 'strong' WHEN label = 'full' AND retrieved = 1 AND seed_score >= 0.35 THEN 'single_chunk_full'
   WHEN label = 'full' AND retrieved >= 2 THEN 'ok' WHEN label = 'partial' AND retrieved >= 2 THEN 'partial_ok' WHEN retrieved < 2 THEN 'too_few_chunks' ELSE 'insufficient_evidence' END AS verdict FROM lab)"""
 
 
 def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, p = F.col("doc_id"), F.col("pos")
     docs = t.table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.explode(F.sequence(F.lit(0), (d % 5).cast("int"))).alias("pos")).select(
+    found = docs.select("doc_id", F.explode(F.sequence(F.lit(0), (d % 9).cast("int"))).alias("pos")).select(
         d.alias("qid"), "pos", F.when(p == d % 4, d).otherwise(100_000_000 + p).alias("chunk_id"), (((d * 13 + p * 29) % 70).cast("double") / 100).alias("score"), F.concat(F.lit("s"), ((d + p) % 2).cast("string")).alias("section_path")
     )
     plan = docs.select(d.alias("qid"), d.alias("chunk_id"), F.concat(F.lit("s"), (d % 2).cast("string")).alias("section_path"))

@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
 from quarryline.jobs import tables as t
-from quarryline.operators import bm25, chunking, completion, evaluation, fusion, routing, sessions, vectors, verify
+from quarryline.operators import bm25, chunking, completion, evaluation, fusion, retrieval, routing, sessions, toc, vectors, verify
 from quarryline.operators.export import ordered
+from quarryline.sources.scratch import shared_path, written
 
 
 @t.query("bm25_stats", f"WITH {t.CHUNKS}, {t.QUESTIONS}, {t.BM25} SELECT term, df, round(idf, 6) AS idf FROM idfs")
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.chunks(spark, sf_dir)
-    return bm25.term_statistics(bm25.postings(rows), bm25.lengths(rows)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return bm25.term_statistics(rows).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @t.query("bm25_topk", f"WITH {t.CHUNKS}, {t.QUESTIONS}, {t.BM25} SELECT query_id, chunk_id, round(score, 6) AS score, rank::INT AS rank FROM btop")
@@ -22,6 +23,15 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25.search(t.questions(spark, sf_dir), t.chunks(spark, sf_dir)).select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@t.query("bm25_index_topk", t.SQL["bm25_topk"])
+def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index that was written and read back."""
+    rows, path = t.chunks(spark, sf_dir), shared_path(spark, "bm25")
+    bm25.write_index(rows, path)
+    found = bm25.search(t.questions(spark, sf_dir), rows, index=bm25.read_index(spark, path))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @t.query(
     "bm25_topk_filtered",
     f"""WITH {t.CHUNKS}, {t.QUESTIONS}, {t.BM25}, f AS (SELECT query_id, chunk_id, score, 0 AS padded, chunk_ord FROM bm JOIN chunks USING (chunk_id) WHERE doc_type = 'es'),
@@ -137,6 +147,7 @@ met AS (SELECT query_id AS case_id, coalesce(n_expected, 0) AS n_expected, coale
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t.table(spark, sf_dir, "documents").where("text IS NOT NULL")
     rows = chunking.fixed_windows(docs).select(F.concat_ws(":", "doc_id", "win_no").alias("chunk_id"), (F.col("doc_id") * 100_000 + F.col("win_no")).alias("chunk_ord"), "text", F.lit("").alias("vehicle_model"), F.lit("").alias("doc_type"), F.lit("").alias("section_path"))
+    rows = written(rows, "windows")
     asked = t.questions(spark, sf_dir)
     cases = asked.select(F.col("query_id").alias("case_id"), F.array().cast("array<string>").alias("expected_chunk_ids"))
     found = evaluation.text_lookup(asked.select(F.col("query_id").alias("case_id"), F.col("question").alias("needle")), rows)
@@ -349,3 +360,68 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("model_id"))
     models = rows.select("model_id").distinct().select("model_id", F.when(F.col("model_id").isin("src1", "src2"), F.upper("model_id")).alias("name"))
     return routing.display_names(rows, models).select("doc_id", "display")
+
+
+#: Names that questions may hold, none of which can share a letter with another in a text, and the models that they stand for.
+NAMES = [("src1", "tion"), ("src2", "der"), ("src3", "ing"), ("src4", "qu")]
+_LIST = """{0}v AS (SELECT query_id, no, chunk_id, score, rank FROM (SELECT v.query_id, no, v.chunk_id, v.score, row_number() OVER (PARTITION BY v.query_id, no ORDER BY v.score DESC, v.chunk_id) AS rank
+  FROM {1} v JOIN chunks c USING (chunk_id) JOIN aims a ON a.query_id = v.query_id AND (target IS NULL OR target = c.vehicle_model) WHERE v.rank <= 60) WHERE rank <= 20),
+{0}b AS (SELECT query_id, no, chunk_id, rank FROM (SELECT b.query_id, no, b.chunk_id, row_number() OVER (PARTITION BY b.query_id, no ORDER BY round(b.score, 9) DESC, chunk_ord) AS rank
+  FROM {2} b JOIN chunks c USING (chunk_id) JOIN aims a ON a.query_id = b.query_id AND (target IS NULL OR target = c.vehicle_model)) WHERE rank <= 20),
+{0}s AS (SELECT query_id, no, chunk_id, sum(p) AS score, min(f) AS f FROM (SELECT query_id, no, chunk_id, {3} / (60 + rank) AS p, rank AS f FROM {0}v UNION ALL SELECT query_id, no, chunk_id, {4} / (60 + rank), 1000 + rank FROM {0}b) GROUP BY ALL),
+{0}f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, no ORDER BY round(score, 9) DESC, f) AS rank FROM {0}s) WHERE rank <= {5})"""
+_JOB = rf"""{t.TOC_PATHS}, {t.CHUNKS}, {t.QUESTIONS}, {t.BM25}, {t.VECTORS},
+named AS (SELECT query_id, list_filter([{", ".join(f"CASE WHEN contains(lower(regexp_replace(question, '{t.SPACE}', '', 'g')), '{a}') THEN '{m}' END" for m, a in NAMES)}], lambda x: x IS NOT NULL) AS ms FROM questions),
+aims AS (SELECT query_id, unnest(ms) AS target, unnest(range(len(ms))) AS no FROM named UNION ALL SELECT query_id, NULL, 0 FROM named WHERE len(ms) = 0),
+kq AS (SELECT query_id, array_to_string(list_filter({t.TOKENS.format("question")}, lambda x: length(x) >= 6), ',') AS keyword FROM questions),
+kasked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({t.TOKENS.format("keyword")}) AS term FROM kq) GROUP BY ALL),
+kbm AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dls)))) AS score FROM post JOIN kasked USING (term) JOIN idfs USING (term) JOIN dls USING (chunk_id) GROUP BY ALL),
+kqv AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS e FROM benchmark JOIN embeddings ON vec_id = (item_id * 7 + 1) % (SELECT max(vec_id) + 1 FROM embeddings) WHERE item_id IN (SELECT vec_id FROM embeddings)),
+kvtop AS (SELECT * FROM (SELECT query_id, chunk_id, round(list_dot_product(kqv.e, cv.e), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(kqv.e, cv.e), 9) DESC, chunk_id) AS rank FROM kqv CROSS JOIN cv) WHERE rank <= 60),
+{_LIST.format("r", "vtop", "bm", 0.6, 0.4, 5)}, {_LIST.format("k", "kvtop", "kbm", 0.4, 0.6, 2)},
+kboost AS (SELECT kf.query_id, no, chunk_id, rank, score * CASE WHEN len(list_filter(string_split(keyword, ','), lambda w: length(w) >= 2 AND contains(lower(section_path), w))) > 0 THEN 1.1 ELSE 1 END AS score FROM kf JOIN chunks USING (chunk_id) JOIN kq USING (query_id)),
+rp AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY no, rank) AS rank FROM rf),
+kr AS (SELECT query_id, no, chunk_id, score, row_number() OVER (PARTITION BY query_id, no ORDER BY round(score, 9) DESC, rank) AS rank FROM kboost),
+kp AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY no, rank) AS rank FROM kr),
+ml AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY path_no, rank) AS nth FROM (SELECT *, 0 AS path_no FROM rp UNION ALL SELECT *, 1 FROM kp)),
+mr AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY path_no, rank) AS rank FROM ml WHERE nth = 1),
+merged AS (SELECT mr.*, coalesce(kv.score, rv.score) AS sim FROM mr JOIN named USING (query_id) LEFT JOIN (SELECT query_id, chunk_id, any_value(score) AS score FROM kv GROUP BY 1, 2) kv USING (query_id, chunk_id) LEFT JOIN (SELECT query_id, chunk_id, any_value(score) AS score FROM rv GROUP BY 1, 2) rv USING (query_id, chunk_id) WHERE mr.rank <= 7 * greatest(1, len(ms))),
+kept AS (SELECT query_id, chunk_id, rank, coalesce(sim, score) AS score, chunk_id::BIGINT % 11 = 0 OR chunk_id::BIGINT % 3 <> 0 AS yes FROM merged WHERE NOT coalesce(sim < 0.2, false)),
+vn AS (SELECT *, sum(yes::INT) OVER (PARTITION BY query_id) AS nk, row_number() OVER (PARTITION BY query_id, yes ORDER BY round(score, 9) DESC, rank) AS nth FROM kept),
+verified AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM vn WHERE yes OR nk = 0 OR nth <= 2 - nk),
+asked2 AS (SELECT query_id, question, no, target, list_distinct(list_filter({t.TOKENS.format("question")}, lambda x: length(x) >= 2)) AS words FROM questions JOIN aims USING (query_id)),
+parts2 AS (SELECT p.*, list_filter(string_split(lower(path), '>'), lambda x: x <> '') AS pp, lower(path || '>' || title) AS hay FROM paths p),
+raw2 AS (SELECT a.query_id, a.no, a.question, p.*, coalesce(list_sum(list_transform(words, lambda w: (CASE WHEN contains(hay, w) THEN 1 ELSE 0 END) + 2 * len(list_filter(pp, lambda x: contains(x, w) OR contains(w, x))))), 0)::DOUBLE AS m
+  FROM asked2 a JOIN parts2 p ON a.target IS NULL OR a.target = p.vehicle_model WHERE len(words) > 0),
+best2 AS (SELECT *, round(m + length(path) * 0.01 - CASE WHEN contains(path, 'The') AND NOT contains(question, 'The') THEN 3 ELSE 0 END, 6) AS es FROM raw2),
+sel AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY no, p0) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id, no ORDER BY es DESC, ord, source_file) AS p0 FROM best2 WHERE es > 0) WHERE p0 <= 3),
+sel2 AS (SELECT sel.*, (SELECT arg_min(page, ord) FROM toc o WHERE o.source_file = sel.source_file AND o.ord > sel.ord AND o.level <= sel.level) AS nxt FROM sel),
+ranged2 AS (SELECT *, CASE WHEN nxt IS NULL THEN (SELECT max(page) FROM toc) ELSE greatest(page, nxt - 1) END AS end_page FROM sel2),
+tc AS (SELECT r.query_id, r.position, c.chunk_id, row_number() OVER (PARTITION BY r.query_id, r.position ORDER BY CASE WHEN {{fit_title}} OR {{fit_path}} THEN 0 ELSE 1 END, c.page, chunk_ord) AS nth FROM ranged2 r JOIN chunks c USING (vehicle_model) WHERE c.page BETWEEN r.page AND r.end_page),
+listed AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY place) AS position FROM (SELECT query_id, chunk_id, min(position * 1000 + nth) AS place FROM tc WHERE nth <= 2 GROUP BY 1, 2)),
+fl AS (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY part) AS nth FROM (SELECT query_id, chunk_id, 1.0 AS score, position, 0 AS part FROM listed UNION ALL SELECT query_id, chunk_id, score, position, 1 FROM verified)),
+final AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY part, position) AS position FROM fl WHERE nth = 1),
+trace AS (SELECT query_id, 'rewritten' AS stage, rank AS position, chunk_id, score FROM rp UNION ALL SELECT query_id, 'keyword', rank, chunk_id, score FROM kp UNION ALL SELECT query_id, 'merged', rank, chunk_id, score FROM merged
+  UNION ALL SELECT query_id, 'below_floor', rank, chunk_id, sim FROM merged WHERE sim < 0.2 UNION ALL SELECT query_id, 'contents', position, chunk_id, 1.0 FROM listed UNION ALL SELECT query_id, 'verified', position, chunk_id, score FROM verified
+  UNION ALL SELECT query_id, 'final', position, chunk_id, score FROM final)"""
+_FIT = "(trim(r.{0}) <> '' AND section_path <> '' AND (contains(section_path, trim(r.{0})) OR len(list_filter(string_split(section_path, '>'), lambda x: contains(x, trim(r.{0})) OR contains(trim(r.{0}), x))) > 0))"
+_JOB = _JOB.replace("{fit_title}", _FIT.format("title")).replace("{fit_path}", _FIT.format("path"))
+
+
+def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every question of the benchmark, its long words as the keyword line, about the models that it names."""
+    vecs = t.table(spark, sf_dir, "embeddings")
+    last = vecs.agg((F.max("vec_id") + 1).alias("n"))
+    questions = t.questions(spark, sf_dir).select("query_id", "question").join(F.broadcast(last))  # one row
+    questions = questions.withColumns({"rewritten": F.col("question"), "keyword": F.array_join(F.filter(tokens(F.col("question")), lambda x: F.length(x) >= 6), ","), "models": routing.route(F.col("question"), F.lit(None).cast("string"), NAMES), "other": (F.col("query_id") * 7 + 1) % F.col("n")})
+    asked = questions.join(vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("rewritten_vector")), "query_id").join(vecs.select(F.col("vec_id").alias("other"), F.col("embedding").alias("keyword_vector")), "other").drop("other", "n")
+    entries = toc.toc_paths(t.toc(spark, sf_dir))
+    entries = toc.page_ends(entries.join(F.broadcast(entries.agg(F.max("page").alias("max_page")))), F.col("max_page"), 4).withColumn("ord", F.struct("ord", "source_file"))  # one row
+    prompt = lambda question, text: F.concat(text, F.lit("\n"), question)
+    return retrieval.retrieve(written(asked, "asked"), t.chunks(spark, sf_dir), t.corpus_vectors(spark, sf_dir), written(entries, "entries"), _verifier, prompt, settings=retrieval.Settings(general=("The",)))
+
+
+@t.query("retrieval_job", f"WITH RECURSIVE {_JOB} SELECT query_id, stage, position::INT AS position, chunk_id, round(score, 6) AS score FROM trace")
+def retrieval_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each question from its words to its evidence, stage by stage."""
+    return _job(spark, sf_dir).withColumn("score", F.round("score", 6))

@@ -2,40 +2,72 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
 
+#: Terms of queries are broadcast up to this number of (query, term) rows, some 40 bytes each; beyond it they are shuffled.
+BROADCAST_TERMS = 1_000_000
+
 
-def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """``term, <id>, tf``."""
-    return chunks.select(id_col, F.explode(tokens(F.col(text_col))).alias("term")).groupBy("term", id_col).agg(F.count(F.lit(1)).alias("tf"))
+def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text", only: DataFrame | None = None) -> DataFrame:
+    """``term, <id>, dl, tf``: how often each term is in a chunk of ``dl`` tokens; of the terms of ``only`` alone where it is given, so that others
+    are never shuffled."""
+    words = chunks.select(id_col, tokens(F.col(text_col)).alias("words")).select(id_col, F.size("words").cast("long").alias("dl"), F.explode("words").alias("term"))
+    if only is not None:
+        words = words.join(only, "term")
+    return words.groupBy("term", id_col, "dl").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def lengths(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "text") -> DataFrame:
-    """``<id>, dl``: tokens of each chunk, none included."""
-    return chunks.select(id_col, F.size(tokens(F.col(text_col))).cast("long").alias("dl"))
+def totals(chunks: DataFrame, text_col: str = "text") -> DataFrame:
+    """One row: ``n`` chunks, of ``avgdl`` tokens on average, those without any included."""
+    return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl"))
 
 
-def term_statistics(index: DataFrame, sizes: DataFrame, epsilon: float = 0.25) -> DataFrame:
-    """``term, df, idf``. An idf below 0 is replaced by ``epsilon`` times the mean of all."""
-    total = sizes.agg(F.count(F.lit(1)).alias("n"))
-    df = index.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+def term_statistics(chunks: DataFrame, epsilon: float = 0.25, text_col: str = "text") -> DataFrame:
+    """``term, df, idf``. An idf below 0 is replaced by ``epsilon`` times the mean of all. A chunk counts for each of its terms in its own row, so partial counts
+    by term are all that is shuffled."""
+    df = chunks.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    total = chunks.agg(F.count(F.lit(1)).alias("n"))
     raw = df.join(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))  # one row
 
 
-def scores(queries: DataFrame, chunks: DataFrame, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, id_col: str = "chunk_id", query_id: str = "query_id", query_text: str = "question") -> DataFrame:
-    """``<query>, <id>, score`` of every chunk that shares a term. A term that a query repeats counts each time."""
-    index, sizes = postings(chunks, id_col), lengths(chunks, id_col)
-    terms = term_statistics(index, sizes, epsilon)
+@dataclass(frozen=True)
+class Index:
+    """``postings``, ``terms`` (``term, df, idf``) and ``totals`` of a corpus."""
+
+    postings: DataFrame
+    terms: DataFrame
+    totals: DataFrame
+
+
+def write_index(chunks: DataFrame, path: str, id_col: str = "chunk_id") -> None:
+    """The index as three tables below ``path``; postings by ranges of terms, sorted, so that a query's terms are found by the files' statistics."""
+    postings(chunks, id_col).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
+    term_statistics(chunks).write.parquet(f"{path}/terms")
+    totals(chunks).write.parquet(f"{path}/totals")
+
+
+def read_index(spark: SparkSession, path: str) -> Index:
+    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")))
+
+
+def scores(queries: DataFrame, chunks: DataFrame | Index, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, id_col: str = "chunk_id", query_id: str = "query_id", query_text: str = "question") -> DataFrame:
+    """``<query>, <id>, score`` of every chunk that shares a term, from the chunks or their index. A term that a query repeats counts each time."""
     asked = queries.select(query_id, F.explode(tokens(F.col(query_text))).alias("term")).groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("times"))
-    mean = sizes.agg(F.avg("dl").alias("avgdl"))
-    # the statistics of the queries' own terms are few and go first: AQE broadcasts them where they are small enough
-    weighted = asked.join(terms, "term")
-    met = index.join(weighted, "term").join(sizes, id_col).join(F.broadcast(mean))  # one row
+    few = F.broadcast if asked.count() <= BROADCAST_TERMS else lambda df: df
+    wanted = few(asked.select("term").distinct())
+    if isinstance(chunks, Index):
+        index = Index(chunks.postings.join(wanted, "term", "left_semi"), chunks.terms, chunks.totals)
+    else:
+        index = Index(postings(chunks, id_col, only=wanted), term_statistics(chunks, epsilon), totals(chunks).select("avgdl"))
+    weighted = index.terms.join(few(asked), "term")
+    met = index.postings.join(few(weighted), "term").join(F.broadcast(index.totals.select("avgdl")))  # one row
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return met.groupBy(query_id, id_col).agg(F.sum(part).alias("score"))
 
@@ -46,13 +78,13 @@ def top_k(scored: DataFrame, k: int, order_col: str, by: list[str]) -> DataFrame
     return scored.withColumn("rank", F.row_number().over(own)).where(F.col("rank") <= k)
 
 
-def search(queries: DataFrame, chunks: DataFrame, k: int = 20, models: list[str] | None = None, doc_types: list[str] | None = None, pad_zero: bool = False) -> DataFrame:
+def search(queries: DataFrame, chunks: DataFrame, k: int = 20, models: list[str] | None = None, doc_types: list[str] | None = None, pad_zero: bool = False, index: Index | None = None) -> DataFrame:
     """``query_id, chunk_id, score, rank``. ``chunks``: ``chunk_id, chunk_ord, text, vehicle_model, doc_type``; the filter comes after statistics over all
     chunks; none or an empty one keeps all. ``pad_zero`` fills lists up with chunks that share no term, in their order."""
     from quarryline.operators.fusion import metadata_filter
 
     facts = metadata_filter(chunks.select("chunk_id", "chunk_ord", "vehicle_model", "doc_type"), models, doc_types)
-    found = scores(queries, chunks).join(facts, "chunk_id").select("query_id", "chunk_id", "chunk_ord", "score", F.lit(0).alias("padded"))
+    found = scores(queries, index or chunks).join(facts, "chunk_id").select("query_id", "chunk_id", "chunk_ord", "score", F.lit(0).alias("padded"))
     if pad_zero:
         # fewer than k rows matched, so the first 2k chunks hold enough that didn't
         first = facts.orderBy("chunk_ord").limit(2 * k).select("chunk_id", "chunk_ord")

@@ -16,15 +16,14 @@ BODY = "正文"
 
 def fixed_windows(docs: DataFrame, size: int = 800, overlap: int = 150, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``<id>, win_no, win_start, text``: windows of ``size`` characters, each with ``overlap`` more on both sides where there are; blank ones are left out."""
-    n = F.length(text_col)
-    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(size))).otherwise(F.array().cast("array<int>"))
-    lo = F.greatest(F.lit(0), F.col("at") - overlap)
-    hi = F.least(n, F.col("at") + size + overlap)
-    return (
-        docs.select(id_col, text_col, F.posexplode(starts).alias("win_no", "at"))
-        .select(id_col, "win_no", lo.alias("win_start"), strip(F.substring(text_col, lo + 1, hi - lo)).alias("text"))
-        .where("text <> ''")
-    )
+    if not 0 <= overlap <= size:
+        raise ValueError("an overlap is at most a window")
+    # cut in one pass; a window's edges are those of its neighbours
+    cut = docs.select(id_col, F.regexp_extract_all(text_col, F.lit(f"(?s).{{1,{size}}}"), F.lit(0)).alias("cuts")).select(id_col, "cuts", F.posexplode("cuts").alias("win_no", "own"))
+    before = F.when(F.col("win_no") > 0, F.right(F.get("cuts", F.col("win_no") - 1), F.lit(overlap))).otherwise("")
+    after = F.left(F.coalesce(F.get("cuts", F.col("win_no") + 1), F.lit("")), F.lit(overlap))
+    start = F.greatest(F.lit(0), F.col("win_no") * size - overlap)
+    return cut.select(id_col, "win_no", start.alias("win_start"), strip(F.concat(before, "own", after)).alias("text")).where("text <> ''")
 
 
 def window_pages(windows: DataFrame, page_starts: DataFrame, lookup: str = "exact", id_col: str = "doc_id") -> DataFrame:

@@ -83,16 +83,17 @@ def gate_signals(retrieved: DataFrame, plan: DataFrame) -> DataFrame:
     )
 
 
-def gate(label: Column, conflict: Column, min_retrieved: int = 2, seed_min: float = 0.30, seed_min_single: float = 0.35, strong_rank: int = 3, strong_max: float = 0.45, strong_section: int = 2) -> Column:
-    """The verdict, the first that applies; ``partial_ok`` is subject to the quota. Reads the columns of ``gate_signals``."""
+def gate(label: Column, conflict: Column, min_retrieved: int = 2, seed_min: float = 0.30, seed_min_single: float = 0.35, strong_rank: int = 3, strong_max: float = 0.45, strong_section: int = 2, topk: int = 5) -> Column:
+    """The verdict, the first that applies; ``partial_ok`` is subject to the quota. A seed below the first ``topk`` counts as not returned. Reads the columns of
+    ``gate_signals``."""
     n, seed, rank = F.col("retrieved"), F.col("seed_score"), F.col("seed_rank")
     strong = (n >= min_retrieved) & (rank <= strong_rank) & (F.col("max_score") >= strong_max) & (F.col("same_section_count") >= strong_section)
     return (
         F.when(conflict, "evidence_conflict")
-        .when(rank.isNull(), "seed_not_returned")
+        .when(rank.isNull() | (rank > topk), "seed_not_returned")
         .when(seed < seed_min, "low_score")
         .when((label == "full") & strong, "strong")
-        .when((label == "full") & (n < min_retrieved) & (seed >= seed_min_single), "single_chunk_full")
+        .when((label == "full") & (n == 1) & (seed >= seed_min_single), "single_chunk_full")
         .when((label == "full") & (n >= min_retrieved), "ok")
         .when((label == "partial") & (n >= min_retrieved), "partial_ok")
         .when(n < min_retrieved, "too_few_chunks")
@@ -100,6 +101,22 @@ def gate(label: Column, conflict: Column, min_retrieved: int = 2, seed_min: floa
     )
 
 
+def signals(label: Column, conflict: Column) -> Column:
+    """What a verdict rests on, as JSON text; a seed that wasn't returned has rank and score 0. Reads the columns of ``gate_signals``."""
+    none = lambda c, zero: F.coalesce(F.col(c), F.lit(zero)).alias(c)
+    parts = [none("seed_rank", 0), none("seed_score", 0.0), none("max_score", 0.0), none("same_section_count", 0), none("retrieved", 0)]
+    return F.to_json(F.struct(*parts, label.alias("judge_label"), conflict.alias("judge_conflict")))
+
+
+def instruction(qid: Column, task: Column, pools: dict[str, list[str]], default: str) -> Column:
+    """A variant of the task's instruction by a hash of the sample's id; an unknown task has the ``default`` task's pool."""
+    pick = lambda pool: F.element_at(F.lit(pool), 1 + F.pmod(F.crc32(qid.cast("binary")), F.lit(len(pool))).cast("int"))
+    out = pick(pools[default])
+    for name, pool in pools.items():
+        out = F.when(task == name, pick(pool)).otherwise(out)
+    return out
+
+
 ACCEPTED = ["strong", "single_chunk_full", "ok", "partial_ok"]
 
 

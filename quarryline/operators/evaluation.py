@@ -7,21 +7,39 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.functions.text import snippet, strip
+from quarryline.functions.text import snippet, strip, tokens
 
-#: Texts to look up are broadcast up to this number; beyond it the corpus is read once for each such block.
-NEEDLES = 10_000
+#: Texts to look up are broadcast up to this number and this many bytes in all; beyond either they are shuffled to the chunks that hold their rarest word.
+NEEDLES, NEEDLE_BYTES = 10_000, 64 << 20
 
 
 def text_lookup(needles: DataFrame, chunks: DataFrame, needle_id: str = "case_id") -> DataFrame:
-    """``<needle>, chunk_id, section_path, snippet``: chunks that hold the text, case ignored; a blank one is in none. The needles are a stated set,
-    broadcast in blocks of about ``NEEDLES``; every task goes over its own chunks once for each block."""
+    """``<needle>, chunk_id, section_path, snippet``: chunks that hold the text, case ignored; a blank one is in none.
+
+    The words of a text but its first and last are whole words of any chunk that holds it, so texts meet chunks by the rarest of these. Those of one or two words have
+    none; they are compared with every chunk, in blocks of ``NEEDLES``.
+    """
     asked = needles.select(needle_id, "needle").where(strip(F.col("needle")) != "").withColumn("_asked", F.lower("needle"))
-    blocks = max(1, -(-asked.count() // NEEDLES))
+    asked = asked.withColumn("_words", tokens(F.col("needle"))).withColumn("_words", F.array_distinct(F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))))
     low = chunks.withColumn("_low", F.lower("text"))  # once a row, not once a pair
-    block = F.pmod(F.xxhash64(F.col(needle_id), F.col("needle")), F.lit(blocks))
-    parts = [low.join(F.broadcast(asked.where(block == i) if blocks > 1 else asked), F.contains("_low", "_asked")) for i in range(blocks)]
-    met = reduce(DataFrame.unionByName, parts)
+    size = asked.groupBy((F.size("_words") > 0).alias("wordy")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("needle")).alias("size")).collect()
+    wordy, blunt = ({r.wordy: r for r in size}.get(w) for w in (True, False))
+    parts = []
+    if wordy:
+        few = F.broadcast if wordy.n <= NEEDLES and wordy.size <= NEEDLE_BYTES else lambda df: df
+        own = asked.where(F.size("_words") > 0)
+        said = own.select("_asked", F.explode("_words").alias("term")).distinct()
+        in_chunks = low.select(F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"))
+        df = in_chunks.join(few(said.select("term").distinct()), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        rarest = said.join(df, "term", "left").groupBy("_asked").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term"))["term"].alias("_term"))
+        keyed = own.join(rarest, "_asked").drop("_words")
+        parts.append(low.withColumn("_term", F.explode(F.array_distinct(tokens(F.col("text"))))).join(few(keyed), "_term").where(F.contains("_low", "_asked")).drop("_term"))
+    if blunt:
+        blocks = max(1, -(-blunt.n // NEEDLES))
+        own = asked.where(F.size("_words") == 0).drop("_words")
+        block = F.pmod(F.xxhash64(F.col(needle_id), F.col("needle")), F.lit(blocks))
+        parts += [low.join(F.broadcast(own.where(block == i) if blocks > 1 else own), F.contains("_low", "_asked")) for i in range(blocks)]
+    met = reduce(DataFrame.unionByName, parts) if parts else low.join(asked.drop("_words"), F.lit(False))
     return met.select(needle_id, "chunk_id", "section_path", snippet(F.col("text"), F.col("needle")).alias("snippet"))
 
 

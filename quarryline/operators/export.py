@@ -2,17 +2,29 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import shuffle_key
 
+#: Samples that one task numbers, about.
+PER_BIN = 65_536
+
 
 def split(samples: DataFrame, train_share: float = 0.9, seed: int | str = 0, by: str = "task_type", id_col: str = "qid") -> DataFrame:
     """Adds ``split``: of each task type the first ``bround(share * n)`` of a seeded order are ``train``, the rest ``dev``."""
-    own = Window.partitionBy(by).orderBy(shuffle_key(seed, F.col(id_col)))
-    counted = samples.groupBy(by).agg(F.count(F.lit(1)).alias("_n"))
-    return samples.withColumn("_nth", F.row_number().over(own)).join(counted, by).withColumn("split", F.when(F.col("_nth") <= F.bround(F.col("_n") * train_share, 0), "train").otherwise("dev")).drop("_n", "_nth")
+    # a type's samples are cut into bins by the order, so that no task numbers all of a large type
+    n = samples.count()
+    digits = max(1, math.ceil(math.log(max(1, n / PER_BIN), 16)))
+    keyed = samples.withColumn("_key", shuffle_key(seed, F.col(id_col))).withColumn("_bin", F.substring("_key", 1, digits))
+    upto = Window.partitionBy(by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = keyed.groupBy(by, "_bin").agg(F.count(F.lit(1)).alias("_own"))
+    bins = bins.select(by, "_bin", F.coalesce(F.sum("_own").over(upto), F.lit(0)).alias("_before"), F.sum("_own").over(Window.partitionBy(by)).alias("_n"))
+    nth = F.col("_before") + F.row_number().over(Window.partitionBy(by, "_bin").orderBy("_key", id_col))
+    rows = keyed.join(bins, [by, "_bin"]).withColumn("split", F.when(nth <= F.bround(F.col("_n") * train_share, 0), "train").otherwise("dev"))
+    return rows.select(*samples.columns, "split")
 
 
 def report(accepted: DataFrame, rejected: DataFrame) -> DataFrame:

@@ -34,9 +34,9 @@ def section_boost(ranked: DataFrame, section: Column, words: Column, boost: floa
     return ranked.withColumns({"before": F.col("rank"), "score": F.when(F.coalesce(hit, F.lit(False)), F.col("score") * boost).otherwise(F.col("score"))}).withColumn("rank", F.row_number().over(own).cast("int")).drop("before")
 
 
-def merge_paths(paths: list[DataFrame], cap: int, by: str = "query_id") -> DataFrame:
-    """``<by>, chunk_id, score, path_no, rank``: lists one after another, a chunk where it comes first, ``cap`` in all. One row past a cap that the first
-    list has filled still enters."""
+def merge_paths(paths: list[DataFrame], cap: int | DataFrame, by: str = "query_id") -> DataFrame:
+    """``<by>, chunk_id, score, path_no, rank``: lists one after another, a chunk where it comes first, ``cap`` in all (or by a table ``<by>, cap``). One row past a
+    cap that the first list has filled still enters."""
     all_: DataFrame | None = None
     for i, p in enumerate(paths):
         p = p.select(by, "chunk_id", "score", "rank").withColumn("path_no", F.lit(i))
@@ -46,8 +46,9 @@ def merge_paths(paths: list[DataFrame], cap: int, by: str = "query_id") -> DataF
     once = all_.withColumn("nth", F.row_number().over(first)).where("nth = 1")
     filled = F.sum(F.when(F.col("path_no") == 0, 1).otherwise(0)).over(Window.partitionBy(by))
     ranked = once.withColumn("rank", F.row_number().over(own).cast("int")).withColumn("filled", filled)
-    most = F.greatest(F.lit(cap), F.col("filled") + 1)
-    return ranked.where((F.col("path_no") == 0) | (F.col("rank") <= most)).drop("nth", "filled")
+    ranked = ranked.withColumn("cap", F.lit(cap)) if isinstance(cap, int) else ranked.join(cap.select(by, "cap"), by)
+    most = F.greatest("cap", F.col("filled") + 1)
+    return ranked.where((F.col("path_no") == 0) | (F.col("rank") <= most)).drop("nth", "filled", "cap")
 
 
 def similarity_floor(rows: DataFrame, floor: float) -> tuple[DataFrame, DataFrame]:

@@ -6,11 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import SPACE, strip
+from quarryline.operators.routing import route
 
 #: Phrases that give away the source, removed in this order.
 LEAKS = [r"根据手册[，,]?", r"根据(上述|以上|资料|内容)[，,]?", r"作为(一个)?\s*AI[^，。,.\n]*[，,]?", r"作为(智能)?助手[，,]?", r"参考第?\s*\p{Nd}+\s*页", r"见第?\s*\p{Nd}+\s*(章|节|页)", r"\[\p{Nd}+\]"]
 #: Units, longer ones first.
-UNITS = "kWh kW km/h km kPa MPa bar V A Nm N·m ℃ °C % 升 L 公里 千米 巴 伏 安 牛·米 分钟 小时 秒".split()
+UNITS = ["kWh", "kW", "km/h", "km", "kPa", "MPa", "bar", "V", "A", "Nm", "N·m", "℃", "°C", "%", "升", "L", "公里", "千米", "巴", "伏", "安", "牛·米", "分钟", "小时", "秒"]
+#: Promises, terms of insurance, dangers, and words that answer a danger.
 OVER_PROMISES = ["免费", "一定", "永久", "保证", "保险全赔", "绝对", "100%"]
 INSURANCE = ["保险", "质保", "三包"]
 DANGERS = ["高压", "动力电池", "电池起火", "救援", "拖车", "起火", "触电"]
@@ -28,8 +30,8 @@ def strip_leaks(text: Column, patterns: list[str] | None = None) -> Column:
 
 
 def ungrounded_numbers(output: Column, evidence: Column, units: list[str] | None = None) -> Column:
-    """Numbers with units in the output of which the evidence holds neither the whole, without spaces, nor the number. A number that lies inside a
-    longer one counts as held."""
+    """Numbers with units in the output of which the evidence holds neither the whole nor the number. A number that lies inside a longer one counts as
+    held. White space of any kind is left out of both before they are compared, so that a line break between number and unit doesn't part them."""
     tight = F.regexp_replace(evidence, SPACE, "")
     found = F.transform(F.regexp_extract_all(output, F.lit(number_pattern(units)), F.lit(0)), lambda m: F.regexp_replace(m, SPACE, ""))
     return F.filter(found, lambda m: ~F.contains(tight, m) & ~F.contains(tight, F.regexp_extract(m, r"^\p{Nd}+(?:\.\p{Nd}+)?", 0)))
@@ -56,3 +58,9 @@ def first_failure(instruction: Column, output: Column, evidence: Column, foreign
         .when((strip(instruction) == "") | (output == ""), "field_incomplete")
         .when(F.length(output) > max_chars, "length_out_of_bounds")
     )
+
+
+def foreign_models(instruction: Column, output: Column, model: Column, aliases: list[tuple[str, str]]) -> Column:
+    """The other models that a question or its cleaned output names, those of the question first."""
+    named = [F.filter(route(c, F.lit(None).cast("string"), aliases), lambda m: m != model) for c in (instruction, output)]
+    return F.concat(*named)

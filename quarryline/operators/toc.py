@@ -34,36 +34,39 @@ def page_ends(toc: DataFrame, max_page: Column, max_level: int, partition: str =
     return toc.withColumn("_after", after).withColumn("end_page", F.when(F.col("_after").isNull(), max_page).otherwise(F.greatest(F.col("page"), F.col("_after") - 1))).drop("_after")
 
 
-def entry_score(path: Column, title: Column, words: Column, question: Column | None = None, general: list[str] | None = None) -> Column:
-    """One for each word in path or title, two for each part of the path that a word lies in or that lies in a word, three less for each general section
-    that the question doesn't name (if a question is given), and a hundredth for each character of the path."""
-    parts = F.filter(F.split(F.lower(path), ">"), lambda p: p != "")
-    hay = F.lower(F.concat(path, F.lit(">"), title))
-    total = F.aggregate(words, F.lit(0.0), lambda s, t: s + F.when(F.contains(hay, t), 1.0).otherwise(0.0) + 2.0 * F.size(F.filter(parts, lambda p: F.contains(p, t) | F.contains(t, p))))
+def with_entry_score(met: DataFrame, words: Column, question: Column | None = None, general: list[str] | None = None) -> DataFrame:
+    """Adds ``match``: one for each word in path or title, two for each part of the path that a word lies in or that lies in a word, three less for each general
+    section that the question doesn't name (if a question is given)."""
+    parts = F.filter(F.split(F.lower("path"), ">"), lambda p: p != "")
+    # columns of their own that are read twice, so that no lambda computes them anew for each word
+    rows = met.withColumns({"_parts": parts, "_hay": F.lower(F.concat("path", F.lit(">"), "title")), "_words": words})
+    near = lambda t: F.size(F.filter("_parts", lambda p: F.contains(p, t) | F.contains(t, p)))
+    total = F.aggregate("_words", F.lit(0.0), lambda s, t: s + F.when(F.contains("_hay", t), 1.0).otherwise(0.0) + 2.0 * near(t))
+    total = F.when((F.size("_parts") >= 0) & (F.length("_hay") >= 0) & (F.size("_words") > 0), total).otherwise(0.0)
     if question is not None:
         for g in GENERAL if general is None else general:
-            total = total - F.when(F.contains(path, F.lit(g)) & ~F.contains(question, F.lit(g)), 3.0).otherwise(0.0)
-    return total
+            total = total - F.when(F.contains("path", F.lit(g)) & ~F.contains(question, F.lit(g)), 3.0).otherwise(0.0)
+    return rows.withColumn("match", total).drop("_parts", "_hay", "_words")
 
 
 def catalogue(met: DataFrame, words: Column, most: int = 80) -> DataFrame:
     """Of entries joined with queries (``query_id, words, path, title, level, page, ord``) the ``most`` of each query: by score where any entry matches,
     else the deepest first; in order if the query has no words."""
-    score = entry_score(F.col("path"), F.col("title"), words)
-    some = Window.partitionBy("query_id")
-    rows = met.withColumn("match", score).withColumn("any", F.max("match").over(some) > 0)
+    best = with_entry_score(met, words)
+    top = best.groupBy("query_id").agg((F.max("match") > 0).alias("any"))  # a partial maximum, so that no task gathers a query's entries
+    rows = best.join(top, "query_id")
     none = F.size(words) == 0
     kind = F.when(none, 0).when(F.col("any"), 1).otherwise(2)
     by = Window.partitionBy("query_id").orderBy(F.when(kind == 1, -F.round(F.col("match") + F.length("path") * 0.01, 6)).when(kind == 2, -F.col("level").cast("double")).otherwise(0.0), F.when(kind == 2, F.col("page")).otherwise(0), "ord")
     return rows.where((kind != 1) | (F.col("match") > 0)).withColumn("position", F.row_number().over(by)).where(F.col("position") <= most).drop("match", "any")
 
 
-def keyword_match(met: DataFrame, words: Column, question: Column, most: int = 3, general: list[str] | None = None) -> DataFrame:
-    """The ``most`` best entries for each query, with ``score``; none for a query without words. As the path's length always counts, long paths come in
+def keyword_match(met: DataFrame, words: Column, question: Column, most: int = 3, general: list[str] | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
+    """The ``most`` best entries for each query, or each of other columns, with ``score``; none for a query without words. As the path's length always counts, long paths come in
     where no word matches."""
-    score = F.round(entry_score(F.col("path"), F.col("title"), words, question, general) + F.length("path") * 0.01, 6)
-    own = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "ord")
-    return met.where(F.size(words) > 0).withColumn("score", score).where("score > 0").withColumn("position", F.row_number().over(own)).where(F.col("position") <= most)
+    own = Window.partitionBy(*by).orderBy(F.col("score").desc(), "ord")
+    scored = with_entry_score(met.where(F.size(words) > 0), words, question, general)
+    return scored.withColumn("score", F.round(F.col("match") + F.length("path") * 0.01, 6)).drop("match").where("score > 0").withColumn("position", F.row_number().over(own)).where(F.col("position") <= most)
 
 
 def title_in_section(title: Column, section: Column) -> Column:

@@ -12,6 +12,11 @@ BLOCKS = "source_file string, page int, block_no int, text string, font_size dou
 TOC = "source_file string, vehicle_model string, ord int, level int, title string, page int, path string"
 META = "struct<chunk_id:string,vehicle_model:string,doc_type:string,source_file:string,page:int,section_path:string,image_refs:array<string>>"
 CORPUS = f"chunk_ids array<string>, texts array<string>, metadatas array<{META}>"
+META_FIELDS = (
+    "qid string, model_id string, model_display string, doc_type string, section_path string, task_type string, seed_chunk_id string, seed_preview string, seed_score double, "
+    "evidence_chunk_ids array<string>, evidence_previews array<string>, retrieval_scores array<double>, max_score double, seed_rank int, same_section_count long, "
+    "evidence_sufficiency string, accept_tier string, backend string, gen_question_raw string"
+)
 SAMPLE = "instruction string, input string, output string"
 REJECTED = "qid string, model_id string, section_path string, task_type string, seed_chunk_id string, seed_preview string, reject_stage string, reject_reason string, reject_detail string, question string"
 ACCEPTED = "qid string, meta struct<model_id:string,task_type:string,accept_tier:string,gen_question_raw:string>, sample struct<instruction:string,input:string,output:string>"
@@ -46,6 +51,26 @@ def write_dataset(samples: DataFrame, path: str) -> None:
     samples.select("instruction", "input", "output").write.json(path)
 
 
+def write_meta(rows: DataFrame, path: str) -> None:
+    """What is known of each sample, a line each, lists of evidence included."""
+    rows.select(*[f.split(" ")[0] for f in META_FIELDS.split(", ")]).write.json(path)
+
+
+def write_rejected(rows: DataFrame, path: str) -> None:
+    """Rejected candidates with stage, reason and detail; a question that was never asked is the empty text."""
+    fields = [f.split(" ")[0] for f in REJECTED.split(", ")]
+    rows.withColumn("question", F.coalesce("question", F.lit(""))).select(*fields).write.json(path)
+
+
+def write_toc(entries: DataFrame, path: str) -> None:
+    """Entries of tables of contents, a line each, in the columns of ``TOC``."""
+    entries.select(*[f.split(" ")[0] for f in TOC.split(", ")]).write.json(path)
+
+
+def read_toc(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(TOC).json(path)
+
+
 def append_ledger(rows: DataFrame, path: str) -> None:
     rows.write.mode("append").json(path)
 
