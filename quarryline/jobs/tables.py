@@ -23,7 +23,11 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver's. Documents in fewer files than there are cores (a file here is one row group, which one task reads) are dealt to all cores
+    by id, as work on texts costs far more than moving them; a table of many files is read as it lies."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores, "doc_id") if name == "documents" and len(rows.inputFiles()) < cores else rows
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
