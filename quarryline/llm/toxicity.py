@@ -157,7 +157,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # about ``most`` rows of two numbers: the bound of what is broadcast
     rows = written(docs.select(F.col(id_col).alias("label_id"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "label_id").select("text", "label"), "labelled")
     kinds = ("clean", "toxic", "clean_texts", "toxic_texts")
-    counts = rows.mapInArrow(_counts, "entry string, " + ", ".join(f"{c} long" for c in kinds)).groupBy("entry").agg(*[F.sum(c).alias(c) for c in kinds])
+    counted = rows.mapInArrow(_counts, "entry string, " + ", ".join(f"{c} long" for c in kinds)).groupBy("entry").agg(*[F.sum(c).alias(c) for c in kinds])
+    counts = written(counted.where("entry = '' OR toxic_texts > 0"), "entries")
     total = counts.where("entry = ''").first()
     if not total or not total.toxic or not total.clean:
         return ((), (-3.0, 0.0, 0.0, 0.0))
