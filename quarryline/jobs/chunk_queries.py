@@ -122,12 +122,11 @@ def toc_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ranges(spark, sf_dir).select("source_file", "ord", "page", "end_page")
 
 
-def _asked(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    asked = F.col("question") if whole else F.left("question", F.lit(60))
-    return t.questions(spark, sf_dir).select("query_id", "vehicle_model", asked.alias("question")).withColumn("words", query_tokens(F.col("question"), F.lit(None).cast("string"), F.lit(None).cast("string")))
+def _asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t.questions(spark, sf_dir).select("query_id", "vehicle_model", "question").withColumn("words", query_tokens(F.col("question"), F.lit(None).cast("string"), F.lit(None).cast("string")))
 
 
-_ASKED = rf"""asked AS (SELECT query_id, vehicle_model, left(question, 60) AS question, list_distinct(list_filter({t.TOKENS.format("left(question, 60)")}, lambda x: length(x) >= 2)) AS words FROM questions),
+_ASKED = rf"""asked AS (SELECT query_id, vehicle_model, question, list_distinct(list_filter({t.TOKENS.format("question")}, lambda x: length(x) >= 2)) AS words FROM questions),
 parts AS (SELECT p.*, list_filter(string_split(lower(path), '>'), lambda x: x <> '') AS pp, lower(path || '>' || title) AS hay FROM paths p),
 raw AS (SELECT a.query_id, a.question, len(words) AS nw, p.*, coalesce(list_sum(list_transform(words, lambda w: (CASE WHEN contains(hay, w) THEN 1 ELSE 0 END) + 2 * len(list_filter(pp, lambda x: contains(x, w) OR contains(w, x))))), 0)::DOUBLE AS m
   FROM asked a JOIN parts p USING (vehicle_model)),
@@ -135,13 +134,9 @@ best AS (SELECT *, round(m + length(path) * 0.01 - CASE WHEN contains(path, 'The
 sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, source_file) AS position FROM best WHERE nw > 0 AND score > 0) WHERE position <= 3)"""
 
 
-def _whole_sql(name: str) -> str:
-    return t.SQL[name].replace("left(question, 60)", "question")
-
-
-def _selected(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     # entries of many documents share a number here, so the file decides among them
-    met = _ranges(spark, sf_dir).withColumn("ord", F.struct("ord", "source_file")).join(_asked(spark, sf_dir, whole), "vehicle_model")
+    met = _ranges(spark, sf_dir).withColumn("ord", F.struct("ord", "source_file")).join(_asked(spark, sf_dir), "vehicle_model")
     return toc.keyword_match(met, F.col("words"), F.col("question"), 3, ["The"])
 
 
@@ -150,9 +145,7 @@ def bookmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(spark, sf_dir).select("query_id", "source_file", F.col("ord.ord").alias("ord"), "score", "position")
 
 
-@t.query("bookmark_scores_whole", _whole_sql("bookmark_scores"))
-def bookmark_scores_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _selected(spark, sf_dir, True).select("query_id", "source_file", F.col("ord.ord").alias("ord"), "score", "position")
+t.query("bookmark_scores_whole", t.SQL["bookmark_scores"])(bookmark_scores)
 
 
 @t.query(
@@ -166,13 +159,11 @@ def bookmark_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(spark, sf_dir)
 
 
-@t.query("bookmark_catalogue_whole", _whole_sql("bookmark_catalogue"))
-def bookmark_catalogue_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _listed(spark, sf_dir, True)
+t.query("bookmark_catalogue_whole", t.SQL["bookmark_catalogue"])(bookmark_catalogue)
 
 
-def _listed(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    met = toc.toc_paths(t.toc(spark, sf_dir)).withColumn("ord", F.struct("ord", "source_file")).join(_asked(spark, sf_dir, whole), "vehicle_model")
+def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = toc.toc_paths(t.toc(spark, sf_dir)).withColumn("ord", F.struct("ord", "source_file")).join(_asked(spark, sf_dir), "vehicle_model")
     return toc.catalogue(met, F.col("words")).select("query_id", "source_file", F.col("ord.ord").alias("ord"), "position")
 
 
@@ -191,26 +182,21 @@ def bookmark_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc.chunks_of_entries(_selected(spark, sf_dir), t.chunks(spark, sf_dir), 2, "vehicle_model")
 
 
-@t.query("bookmark_chunks_whole", _whole_sql("bookmark_chunks"))
-def bookmark_chunks_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toc.chunks_of_entries(_selected(spark, sf_dir, True), t.chunks(spark, sf_dir), 2, "vehicle_model")
+t.query("bookmark_chunks_whole", t.SQL["bookmark_chunks"])(bookmark_chunks)
 
 
 @t.query(
     "response_paths",
-    f"""WITH RECURSIVE {t.TOC_PATHS}, r AS (SELECT doc_id::VARCHAR AS source_file, doc_id AS response_id, left(text, 400) AS response FROM documents), p AS (SELECT source_file, path, min(ord) AS ord FROM paths WHERE path <> '' GROUP BY 1, 2),
+    f"""WITH RECURSIVE {t.TOC_PATHS}, r AS (SELECT doc_id::VARCHAR AS source_file, doc_id AS response_id, text AS response FROM documents), p AS (SELECT source_file, path, min(ord) AS ord FROM paths WHERE path <> '' GROUP BY 1, 2),
 m AS (SELECT response_id, path, row_number() OVER (PARTITION BY response_id ORDER BY length(path) DESC, ord) AS position FROM r JOIN p USING (source_file) WHERE contains(response, path))
 SELECT response_id, path, position::INT AS position FROM m WHERE position <= 3""",
 )
 def response_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    responses = t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.col("doc_id").alias("response_id"), F.left("text", F.lit(400)).alias("response"))
+    responses = t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.col("doc_id").alias("response_id"), F.col("text").alias("response"))
     return toc.named_paths(responses, toc.toc_paths(t.toc(spark, sf_dir)))
 
 
-@t.query("response_paths_whole", t.SQL["response_paths"].replace("left(text, 400)", "text"))
-def response_paths_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    responses = t.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("source_file"), F.col("doc_id").alias("response_id"), F.col("text").alias("response"))
-    return toc.named_paths(responses, toc.toc_paths(t.toc(spark, sf_dir)))
+t.query("response_paths_whole", t.SQL["response_paths"])(response_paths)
 
 
 @t.query(
@@ -244,7 +230,7 @@ def _selector():  # noqa: ANN202
 def bookmark_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries that a completion names from each question's catalogue, or keywords where it names none."""
     # questions of one line
-    asked = _asked(spark, sf_dir, True).withColumn("question", F.replace("question", F.lit("\n"), F.lit(" ")))
+    asked = _asked(spark, sf_dir).withColumn("question", F.replace("question", F.lit("\n"), F.lit(" ")))
     entries = toc.toc_paths(t.toc(spark, sf_dir)).withColumn("ord", F.struct("ord", "source_file")).withColumn("path", F.replace("path", F.lit("\n"), F.lit(" ")))
     listed = toc.catalogue(entries.join(asked, "vehicle_model"), F.col("words")).select("query_id", "position", "path", "title", "ord", "words", "question")
     picked = verify.select_entries(listed, _selector)

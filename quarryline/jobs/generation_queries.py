@@ -103,12 +103,18 @@ gated AS (SELECT *, CASE WHEN conflict THEN 'evidence_conflict' WHEN seed_rank I
   WHEN label = 'full' AND retrieved >= 2 THEN 'ok' WHEN label = 'partial' AND retrieved >= 2 THEN 'partial_ok' WHEN retrieved < 2 THEN 'too_few_chunks' ELSE 'insufficient_evidence' END AS verdict FROM lab)"""
 
 
-def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _found(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, p = F.col("doc_id"), F.col("pos")
     docs = t.table(spark, sf_dir, "documents")
-    found = docs.select("doc_id", F.explode(F.sequence(F.lit(0), (d % 9).cast("int"))).alias("pos")).select(
+    return docs.select("doc_id", F.explode(F.sequence(F.lit(0), (d % 9).cast("int"))).alias("pos")).select(
         d.alias("qid"), "pos", F.when(p == d % 4, d).otherwise(100_000_000 + p).alias("chunk_id"), (((d * 13 + p * 29) % 70).cast("double") / 100).alias("score"), F.concat(F.lit("s"), ((d + p) % 2).cast("string")).alias("section_path")
     )
+
+
+def _gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    docs = t.table(spark, sf_dir, "documents")
+    found = _found(spark, sf_dir)
     plan = docs.select(d.alias("qid"), d.alias("chunk_id"), F.concat(F.lit("s"), (d % 2).cast("string")).alias("section_path"))
     judged = t.table(spark, sf_dir, "labels").select(d.alias("qid"), "quality", "toxic")
     rows = corpus_gen.gate_signals(found, plan).join(judged, "qid", "left")
@@ -139,13 +145,17 @@ def quota_and_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _NUM = r"(?i)\p{Nd}+(?:\.\p{Nd}+)?" + t.SPACE + "*(?:bar|km|%|V|er)"
 _UNGROUNDED = rf"""list_filter(list_transform(regexp_extract_all(output, '{_NUM}'), lambda m: regexp_replace(m, '{t.SPACE}', '', 'g')), lambda m: NOT contains(tight, m) AND NOT contains(tight, regexp_extract(m, '^\p{{Nd}}+(?:\.\p{{Nd}}+)?')))"""
-_ANSWERS = f"""ans AS (SELECT doc_id, left(text, 30) AS instruction, substring(text, 31, 600) AS output0, substring(text, 631, 3000) AS evidence FROM documents WHERE text IS NOT NULL),
+_ANSWERS = f"""ans AS (SELECT d.doc_id, left(d.text, 30) AS instruction, substring(d.text, 31) AS output0, coalesce(e.text, '') AS evidence FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1 WHERE d.text IS NOT NULL),
 cl AS (SELECT doc_id, instruction, evidence, {t.sql_strip("regexp_replace(regexp_replace(output0, 'the[,.]?', '', 'g'), '" + chr(92) + "[" + chr(92) + "p{Nd}+" + chr(92) + "]', '', 'g')")} AS output FROM ans), an AS (SELECT *, regexp_replace(evidence, '{t.SPACE}', '', 'g') AS tight FROM cl)"""
 
 
 def _answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t.table(spark, sf_dir, "documents").where("text IS NOT NULL")
-    return docs.select("doc_id", F.left("text", F.lit(30)).alias("instruction"), quality.strip_leaks(F.substring("text", 31, 600), [r"the[,.]?", r"\[\p{Nd}+\]"]).alias("output"), F.substring("text", 631, 3000).alias("evidence"))
+    """Whole texts as samples: the output is all that follows the instruction, the evidence the whole text of the next document."""
+    docs = t.table(spark, sf_dir, "documents")
+    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("evidence"))
+    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(after, "doc_id", "left")
+    output = quality.strip_leaks(F.expr("substring(text, 31)"), [r"the[,.]?", r"\[\p{Nd}+\]"])
+    return rows.select("doc_id", F.left("text", F.lit(30)).alias("instruction"), output.alias("output"), F.coalesce("evidence", F.lit("")).alias("evidence"))
 
 
 @t.query("leak_strip", f"WITH {_ANSWERS} SELECT doc_id, md5(output) AS output_md5 FROM an")
@@ -183,34 +193,8 @@ def _reasons(spark: SparkSession, answers: DataFrame) -> DataFrame:
     return rows.select("doc_id", reason.alias("reason"))
 
 
-#: Whole texts: the output is all that follows the instruction, the evidence the whole text of the next document.
-_WHOLE_ANSWERS = _ANSWERS.replace(
-    "SELECT doc_id, left(text, 30) AS instruction, substring(text, 31, 600) AS output0, substring(text, 631, 3000) AS evidence FROM documents WHERE text IS NOT NULL",
-    "SELECT d.doc_id, left(d.text, 30) AS instruction, substring(d.text, 31) AS output0, coalesce(e.text, '') AS evidence FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1 WHERE d.text IS NOT NULL",
-)
-
-
-def _whole_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t.table(spark, sf_dir, "documents")
-    after = docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("evidence"))
-    rows = docs.where("text IS NOT NULL").select("doc_id", "text").join(after, "doc_id", "left")
-    output = quality.strip_leaks(F.expr("substring(text, 31)"), [r"the[,.]?", r"\[\p{Nd}+\]"])
-    return rows.select("doc_id", F.left("text", F.lit(30)).alias("instruction"), output.alias("output"), F.coalesce("evidence", F.lit("")).alias("evidence"))
-
-
-@t.query("leak_strip_whole", t.SQL["leak_strip"].replace(_ANSWERS, _WHOLE_ANSWERS))
-def leak_strip_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole_answers(spark, sf_dir).select("doc_id", F.md5("output").alias("output_md5"))
-
-
-@t.query("ungrounded_numbers_whole", t.SQL["ungrounded_numbers"].replace(_ANSWERS, _WHOLE_ANSWERS))
-def ungrounded_numbers_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _ungrounded(_whole_answers(spark, sf_dir))
-
-
-@t.query("quality_gate_whole", t.SQL["quality_gate"].replace(_ANSWERS, _WHOLE_ANSWERS))
-def quality_gate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _reasons(spark, _whole_answers(spark, sf_dir))
+for _name, _same in (("leak_strip", leak_strip), ("ungrounded_numbers", ungrounded_numbers), ("quality_gate", quality_gate)):
+    t.query(f"{_name}_whole", t.SQL[_name])(_same)
 
 
 @t.query(
@@ -315,7 +299,7 @@ def _stub() -> Callable[[str], str]:
 (CASE WHEN starts_with(doc_id::VARCHAR, '7') THEN 3 ELSE 1 END)::INT AS attempts, starts_with(doc_id::VARCHAR, '7') AS failed FROM documents""",
 )
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    prompts = t.table(spark, sf_dir, "documents").select("doc_id", completion.render("{id} {lang}\n{text}", id=F.col("doc_id"), lang=F.col("lang"), text=F.left("text", F.lit(100))).alias("prompt"))
+    prompts = t.table(spark, sf_dir, "documents").select("doc_id", completion.render("{id} {lang}\n{text}", id=F.col("doc_id"), lang=F.col("lang"), text=F.col("text")).alias("prompt"))
     # responses are written before use: a replayed task would ask the model again
     asked = written(completion.complete(prompts, _stub), "responses")
     fields = F.from_json(completion.extract_json(F.col("response")), "question string, label string, conflict boolean")
@@ -331,3 +315,82 @@ def _embedder() -> Callable[[list[str]], list[list[float]]]:
 def embed_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors.embed(t.table(spark, sf_dir, "documents").select("doc_id", "text"), _embedder)
     return rows.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("embedding"))
+
+
+@t.query(
+    "gate_signals",
+    f"""WITH {_GATE} SELECT doc_id AS qid, '{{"seed_rank":' || coalesce(seed_rank, 0)::INT || ',"seed_score":' || coalesce(seed_score, 0.0)::DOUBLE || ',"max_score":' || max_score || ',"same_section_count":' || same_section_count || ',"retrieved":' || retrieved
+|| ',"judge_label":"' || label || '","judge_conflict":' || conflict::VARCHAR || '}}' AS signals FROM gated""",
+)
+def gate_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each verdict rests on, as JSON text."""
+    rows = _gated(spark, sf_dir)
+    label = F.when(F.col("quality") == 1, "full").when(F.col("quality") == 0, "partial").otherwise("no")
+    return rows.select("qid", corpus_gen.signals(label, F.coalesce(F.col("toxic") == 1, F.lit(False))).alias("signals"))
+
+
+POOLS = {"plain": ["Answer.", "Say what the text says."], "steps": ["List the steps.", "How is it done?", "Explain the procedure."], "terms": ["Define it."]}
+
+
+@t.query(
+    "instruction_variants",
+    f"""WITH {_TYPED}, p AS (SELECT qid, {"CASE task_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in POOLS.items()) + f" ELSE {POOLS['plain']} END"} AS pool FROM typed)
+SELECT qid, pool[1 + ('0x' || md5(qid)[1:8])::BIGINT % len(pool)] AS instruction FROM p""",
+)
+def instruction_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each sample's instruction, from its task's pool; tasks without a pool have that of plain questions."""
+    return _typed(spark, sf_dir).select("qid", corpus_gen.instruction(F.col("qid"), F.col("task_type"), POOLS, "plain").alias("instruction"))
+
+
+@t.query(
+    "foreign_models",
+    f"""WITH {_ANSWERS}, h AS (SELECT an.doc_id, d.source, lower(regexp_replace(instruction, '{t.SPACE}', '', 'g')) AS i, lower(regexp_replace(an.output, '{t.SPACE}', '', 'g')) AS o FROM an JOIN documents d USING (doc_id))
+SELECT doc_id, array_to_string(list_filter([CASE WHEN contains(i, 'tion') THEN 'src1' END, CASE WHEN contains(i, 'ing') THEN 'src3' END, CASE WHEN contains(o, 'tion') THEN 'src1' END, CASE WHEN contains(o, 'ing') THEN 'src3' END], lambda x: x IS NOT NULL AND x <> source), ',') AS others FROM h""",
+)
+def foreign_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The models other than its own that a sample's question or answer names."""
+    rows = _answers(spark, sf_dir).join(t.table(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
+    return rows.select("doc_id", F.array_join(quality.foreign_models(F.col("instruction"), F.col("output"), F.col("source"), [("src1", "tion"), ("src3", "ing")]), ",").alias("others"))
+
+
+_FOUND_META = """m AS (SELECT doc_id AS qid, string_agg(cid, ',' ORDER BY place) AS evidence_ids, string_agg(score::VARCHAR, ',' ORDER BY place) AS scores FROM rk GROUP BY 1)"""
+
+
+@t.query(
+    "meta_sidecar",
+    f"""WITH {_GATE}, {_FOUND_META} SELECT 'Q' || doc_id AS qid, evidence_ids, scores, coalesce(seed_rank, 0)::INT AS seed_rank, label AS evidence_sufficiency, verdict AS accept_tier, md5(substring(replace({t.sql_strip("docs.text")}, chr(10), ' '), 1, 50)) AS seed_preview
+FROM gated JOIN m ON m.qid = doc_id JOIN docs USING (doc_id)""",
+)
+def meta_sidecar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that is known of each sample, lists of evidence in the order of their scores, written and read back."""
+    d = F.col("qid")
+    gated = _gated(spark, sf_dir)
+    own = F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("by"), "pos", F.col("chunk_id").cast("string").alias("id"), "score")))
+    found = _found(spark, sf_dir).groupBy("qid").agg(own.alias("found"))
+    docs = t.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), "text", "source", "lang")
+    label = F.when(F.col("quality") == 1, "full").when(F.col("quality") == 0, "partial").otherwise("no")
+    rows = gated.join(found, "qid").join(docs, "qid").select(
+        F.concat(F.lit("Q"), d.cast("string")).alias("qid"),
+        F.col("source").alias("model_id"),
+        F.col("source").alias("model_display"),
+        F.col("lang").alias("doc_type"),
+        F.lit("").alias("section_path"),
+        F.lit("plain").alias("task_type"),
+        d.cast("string").alias("seed_chunk_id"),
+        preview(F.col("text")).alias("seed_preview"),
+        F.coalesce("seed_score", F.lit(0.0)).alias("seed_score"),
+        F.transform("found", lambda x: x["id"]).alias("evidence_chunk_ids"),
+        F.transform("found", lambda x: F.concat(F.lit("chunk "), x["id"])).alias("evidence_previews"),
+        F.transform("found", lambda x: x["score"]).alias("retrieval_scores"),
+        "max_score",
+        F.coalesce("seed_rank", F.lit(0)).cast("int").alias("seed_rank"),
+        "same_section_count",
+        label.alias("evidence_sufficiency"),
+        F.col("verdict").alias("accept_tier"),
+        F.lit("stub").alias("backend"),
+        F.lit("").alias("gen_question_raw"),
+    )
+    path = shared_path(spark, "meta")
+    corpus.write_meta(rows, path)
+    back = spark.read.schema(corpus.META_FIELDS).json(path)
+    return back.select("qid", F.array_join("evidence_chunk_ids", ",").alias("evidence_ids"), F.array_join(F.col("retrieval_scores").cast("array<string>"), ",").alias("scores"), "seed_rank", "evidence_sufficiency", "accept_tier", F.md5("seed_preview").alias("seed_preview"))

@@ -179,7 +179,7 @@ ALIASES = [("m1", "the the"), ("m1", "that"), ("m2", "tion"), ("m2", "ation the"
 
 def _route_sql() -> str:
     """The same by one step for each alias, longest first."""
-    steps, last = ["r0 AS (SELECT doc_id, lower(regexp_replace(left(text, 200) || ' ', '" + t.SPACE + "', '', 'g')) AS hay, [] ::VARCHAR[] AS found FROM documents)"], "r0"
+    steps, last = ["r0 AS (SELECT doc_id, lower(regexp_replace(text || ' ', '" + t.SPACE + "', '', 'g')) AS hay, [] ::VARCHAR[] AS found FROM documents)"], "r0"
     order = sorted(((m, a.replace(" ", "")) for m, a in ALIASES), key=lambda x: -len(x[1]))
     for i, (m, a) in enumerate(order, 1):
         hit = f"strpos(hay, '{a}') > 0 AND NOT list_contains(found, '{m}')"
@@ -190,14 +190,11 @@ def _route_sql() -> str:
 
 @t.query("route_models", _route_sql())
 def route_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = routing.route(F.left("text", F.lit(200)), F.lit(None).cast("string"), ALIASES)
+    found = routing.route(F.col("text"), F.lit(None).cast("string"), ALIASES)
     return t.table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("models"))
 
 
-@t.query("route_models_whole", t.SQL["route_models"].replace("left(text, 200)", "text"))
-def route_models_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = routing.route(F.col("text"), F.lit(None).cast("string"), ALIASES)
-    return t.table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("models"))
+t.query("route_models_whole", t.SQL["route_models"])(route_models)
 
 
 @t.query(

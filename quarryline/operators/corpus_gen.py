@@ -110,7 +110,7 @@ def signals(label: Column, conflict: Column) -> Column:
 
 def instruction(qid: Column, task: Column, pools: dict[str, list[str]], default: str) -> Column:
     """A variant of the task's instruction by a hash of the sample's id; an unknown task has the ``default`` task's pool."""
-    pick = lambda pool: F.element_at(F.lit(pool), 1 + F.pmod(F.crc32(qid.cast("binary")), F.lit(len(pool))).cast("int"))
+    pick = lambda pool: F.element_at(F.lit(pool), 1 + (F.conv(F.substring(F.md5(qid), 1, 8), 16, 10).cast("long") % len(pool)).cast("int"))
     out = pick(pools[default])
     for name, pool in pools.items():
         out = F.when(task == name, pick(pool)).otherwise(out)
