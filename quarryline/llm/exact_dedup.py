@@ -74,13 +74,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_one_of_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """``docs`` with one row for each text, all columns as they were."""
+    """``docs`` with one row for each text, all columns as they were, whatever their names. Null text counts as empty and equals other empty ones; of repeated rows
+    one stays; a null id stays only where every copy has one; an empty table gives no rows."""
     lowest = F.lit(-(2**63))
-    kept = exact_dedup(docs, keep=keep).where("kept").select(F.coalesce("doc_id", lowest).alias("_order"), F.unhex("text_sha256").alias("_proof"))
-    keyed = docs.withColumns({"_order": F.coalesce(F.col("doc_id").cast("long"), lowest), "_proof": F.unhex(F.sha2(text_of(), 256))})
+    kept = exact_dedup(docs, keep=keep).where("kept").select(F.coalesce("doc_id", lowest).alias("order"), F.unhex("text_sha256").alias("proof"))
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("order"), F.unhex(F.sha2(text_of(), 256)).alias("proof"))
     # the window needs no shuffle beyond the join's
-    one = Window.partitionBy("_order", "_proof").orderBy("_order")
-    return keyed.join(kept, ["_order", "_proof"], "left_semi").withColumn("_copy", F.row_number().over(one)).where("_copy = 1").select(*docs.columns)
+    one = Window.partitionBy("order", "proof").orderBy("order")
+    return keyed.join(kept, ["order", "proof"], "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1").select("doc.*")
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -114,14 +114,22 @@ def mix(docs: DataFrame, budget: Column, levels: dict[str, Column], weights: dic
     ``mix_<level>``. ``mix_take`` is below ``mix_tokens`` only for the last document of a leaf.
 
     Null levels are the empty name; a null or empty text is one token; rows equal in id and text are taken one after another, so a leaf's takes
-    never exceed its budget. An empty table gives no rows. Clashing columns keep their values: added ones start with ``mix_``.
+    never exceed its budget. An empty table gives no rows. Columns of ``docs`` keep names and values; an added column whose name is taken gets underscores
+    at its end.
     """
     cuts = plan(docs, budget, levels, weights, max_epochs, seed, id_col, text_col)
     ties = cuts.where("cut_rows > 1").limit(1).count() > 0
     cuts = cuts.drop("cut_rows").withColumnsRenamed({c: f"mix_{c}" for c in cuts.columns})
     names = [f"mix_{n}" for n in levels]
-    leveled = docs.withColumns({f"mix_{n}": F.coalesce(c.cast("string"), F.lit("")) for n, c in levels.items()} | {"mix_tokens": words(text_col)})
-    placed = leveled.join(small(cuts), names).withColumn("mix_key", _order(seed, F.col("mix_epochs"), F.col(id_col), F.md5(text_of(text_col))))
+    # the documents' own columns are numbered, so that none has a name that is added
+    leveled = docs.select(
+        *[F.col(f"`{c}`").alias(f"own_{i}") for i, c in enumerate(docs.columns)],
+        *[F.coalesce(c.cast("string"), F.lit("")).alias(f"mix_{n}") for n, c in levels.items()],
+        words(text_col).alias("mix_tokens"),
+        F.col(id_col).alias("id"),
+        F.md5(text_of(text_col)).alias("print"),
+    )
+    placed = leveled.join(small(cuts), names).withColumn("mix_key", _order(seed, F.col("mix_epochs"), F.col("id"), F.col("print"))).drop("id", "print")
     at_cut = F.coalesce(F.col("mix_key") == F.col("mix_cut"), F.lit(False))
     below = F.when(F.col("mix_key") < F.col("mix_cut"), F.col("mix_tokens"))
     if ties:
@@ -135,11 +143,14 @@ def mix(docs: DataFrame, budget: Column, levels: dict[str, Column], weights: dic
         ),
         lambda t: t["take"].isNotNull(),
     )
-    return (
-        met.withColumn("mix_taken", F.explode(takes))
-        .withColumns({"mix_epoch": F.col("mix_taken.epoch"), "mix_take": F.col("mix_taken.take")})
-        .drop("mix_taken", "mix_epochs", "mix_cut", "mix_cut_take", "mix_key", "mix_last")
-    )
+    taken = met.withColumn("mix_taken", F.explode(takes)).withColumns({"mix_epoch": F.col("mix_taken.epoch"), "mix_take": F.col("mix_taken.take")})
+    added = [*names, "mix_tokens", "mix_budget", "mix_epoch", "mix_take"]
+    own = [F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)]
+    return taken.select(*own, *[F.col(c).alias(_free(c, docs.columns)) for c in added])
+
+
+def _free(name: str, taken: Sequence[str]) -> str:
+    return name if name not in taken else _free(name + "_", taken)
 
 
 def _shared(edge: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.buffers import as_bytes, hash_spans
+from quarryline.llm.buffers import as_bytes, batches_of, hash_lanes, lanes
 from quarryline.llm.common import documents, text_of, written
 
 #: White space of one byte; and lead bytes of characters that may be wider white space.
@@ -29,6 +29,8 @@ _WIDE = np.zeros(256, bool)
 _WIDE[[0xC2, 0xE1, 0xE2, 0xE3]] = True
 #: Longer pieces aren't remembered; the memory of pieces starts anew beyond this number.
 _LONGEST, _MOST = 64, 500_000
+#: Bytes of text encoded at once.
+_BATCH = 2 << 20
 
 
 class Pieces:
@@ -49,7 +51,7 @@ class Pieces:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.begin, self.size, self.flat = array("q"), array("q"), array("I")
 
     def _learn(self, piece: bytes) -> int:
@@ -59,6 +61,22 @@ class Pieces:
         self.flat.extend(ids)
         return len(self.begin) - 1
 
+    @staticmethod
+    def _alike(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Some pieces, and for each piece the place among them of one of equal bytes. Pieces of one hash are compared whole; one that differs from
+        the first of its hash stands for itself."""
+        values, at = lanes(data, starts, ends)
+        _, first, inverse = np.unique(hash_lanes(values, at, ends - starts), return_index=True, return_inverse=True)
+        to = first[inverse]
+        same = ends - starts == ends[to] - starts[to]
+        if same.all():
+            place = np.repeat(at[to] - at[:-1], np.diff(at)) + np.arange(len(values))
+            same = np.ones(len(to), bool)
+            same[np.searchsorted(at, np.flatnonzero(values != values[place]), "right") - 1] = False
+        other = np.flatnonzero(~same)
+        inverse[other] = len(first) + np.arange(len(other))
+        return np.concatenate((first, other)), inverse
+
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the number of ids of each text."""
         if len(self.begin) > _MOST:
@@ -81,19 +99,18 @@ class Pieces:
         starts = np.flatnonzero(cut)
         starts = starts[starts < len(data)]
         ends = np.append(starts[1:], len(data))
-        hashes = hash_spans(data, starts, ends)
-        short = ends - starts <= _LONGEST
-        _, first, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+        first, inverse = self._alike(data, starts, ends)
         raw = data.tobytes()
         place = np.empty(len(first), np.int64)
         special = {int(offsets[i]): i for i, kind in whole.items() if kind}
         known = self.known
-        for k, (h, a, b, keep) in enumerate(zip(hashes[first].tolist(), starts[first].tolist(), ends[first].tolist(), short[first].tolist(), strict=True)):
-            at = known.get(h) if keep else None
+        for k, (a, b) in enumerate(zip(starts[first].tolist(), ends[first].tolist(), strict=True)):
+            piece = raw[a:b]
+            at = known.get(piece)
             if at is None:
-                at = self._learn(raw[a:b])
-                if keep:
-                    known[h] = at
+                at = self._learn(piece)
+                if b - a <= _LONGEST:
+                    known[piece] = at
             place[k] = at
         begin, size, flat = np.frombuffer(self.begin, np.int64), np.frombuffer(self.size, np.int64), np.frombuffer(self.flat, np.uint32)
         at = place[inverse]
@@ -122,19 +139,17 @@ def tokenize(docs: DataFrame, vocabulary: str, ranks: str | None = None, pattern
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, start = _pieces(vocabulary, ranks, pattern), 0
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                some = batch.slice(lo, 512)
-                ids, sizes = coder.encode(some.column(1))
-                ends = np.cumsum(sizes + 1)
-                out = np.full(int(ends[-1]), end_id, "<u4")
-                keep = np.ones(len(out), bool)
-                keep[ends - 1] = False
-                out[keep] = ids
-                places = np.concatenate(([0], ends)).astype(np.int64) * 4
-                blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(out)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([some.column(0), blob, pa.array(sizes + 1), some.column(2), pa.array(start + ends - sizes - 1)], ["doc_id", "ids", "doc_tokens", "part", "part_start"])
-                start += int(ends[-1])
+        for some in batches_of(batches, most=_BATCH):
+            ids, sizes = coder.encode(some.column(1))
+            ends = np.cumsum(sizes + 1)
+            out = np.full(int(ends[-1]), end_id, "<u4")
+            keep = np.ones(len(out), bool)
+            keep[ends - 1] = False
+            out[keep] = ids
+            places = np.concatenate(([0], ends)).astype(np.int64) * 4
+            blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(places), pa.py_buffer(out)]).cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([some.column(0), blob, pa.array(sizes + 1), some.column(2), pa.array(start + ends - sizes - 1)], ["doc_id", "ids", "doc_tokens", "part", "part_start"])
+            start += int(ends[-1])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"), F.spark_partition_id().alias("part"))
     return rows.mapInArrow(run, "doc_id long, ids binary, doc_tokens long, part int, part_start long")

@@ -17,7 +17,7 @@ A document's set is its distinct five-word shingles. Two documents link when the
 6. Where links are counted, all pairs of a bucket that the trees can't rule out are compared, each pair in one of the buckets that it shares, and
    only each set's sum leaves the task.
 
-The test of a pair compares the sets whole. Keys, buckets and groups of equal sets that hold a large share of the rows are dealt to many tasks: keys by the
+The test of a pair compares the sets whole, as sets of 64-bit hashes of shingles; words are hashed by ``buffers.hash_lanes``. Keys, buckets and groups of equal sets that hold a large share of the rows are dealt to many tasks: keys by the
 sketched frequency, buckets and groups by their counted size.
 """
 
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarryline.llm.buffers import as_bytes, hash_spans, mix64
+from quarryline.llm.buffers import as_bytes, batches_of, hash_spans, mix64
 from quarryline.llm.common import HOT_SHARE, documents, text_of, with_groups, written
 from quarryline.llm.components import components
 
@@ -44,6 +44,8 @@ GATHER = 64
 BLOCK, FAN, BITS = 256, 8, 2048
 #: A key that at least so many sets have, by the sketch, is dealt to a task for each so many; so is one that holds a share of ``HOT_SHARE`` of all.
 SLICE = 4096
+#: Bytes of text whose shingles are made at once.
+BATCH = 4 << 20
 #: Digests that a task remembers so as not to send a set twice.
 REMEMBERED = 100_000
 
@@ -88,11 +90,9 @@ def shingles(texts: pa.Array, words: int = WORDS) -> tuple[np.ndarray, np.ndarra
     return np.concatenate([h[:0], *out]), np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int64)
 
 
-def _sets(batches: Iterator[pa.RecordBatch], words: int = WORDS, rows: int = 1024) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-    for batch in batches:
-        for lo in range(0, batch.num_rows, rows):
-            some = batch.slice(lo, rows)
-            yield some.column(0).to_pylist(), *shingles(some.column(1), words)
+def _sets(batches: Iterator[pa.RecordBatch], words: int = WORDS) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    for some in batches_of(batches, most=BATCH):
+        yield some.column(0).to_pylist(), *shingles(some.column(1), words)
 
 
 def _counter(h: np.ndarray) -> np.ndarray:
@@ -540,13 +540,14 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_one_of_group(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row for each group of near copies, that of least id; all columns as they were. Documents without a set stay;
-    of repeated rows one stays; rows of one id with different texts stay or go together."""
-    kept = jaccard_components(docs).where("doc_id <=> component_id").select(F.coalesce("doc_id", F.lit(-(2**63))).alias("_kept_id")).distinct()
-    one = Window.partitionBy("_order", F.xxhash64(text_of())).orderBy("_order")
-    rows = docs.withColumn("_order", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))).join(kept, F.col("_order") == F.col("_kept_id"), "left_semi")
-    empty = F.length(text_of()) == 0
-    return rows.withColumn("_copy", F.row_number().over(one)).where(F.expr("_copy = 1") | empty).select(*docs.columns)
+    """``docs`` with one row for each group of near copies, that of least id; all columns as they were, whatever their names. Documents without a set (null or
+    empty texts, white space alone) stay; of repeated rows one stays; rows of one id (null ids are one) with different texts stay or go together; an
+    empty table gives no rows."""
+    lowest = F.lit(-(2**63))
+    kept = jaccard_components(docs).where("doc_id <=> component_id").select(F.coalesce("doc_id", lowest).alias("order")).distinct()
+    rows = docs.select(F.struct(*docs.columns).alias("doc"), F.coalesce(F.col("doc_id").cast("long"), lowest).alias("order"), F.xxhash64(text_of()).alias("print"), (F.length(text_of()) == 0).alias("empty"))
+    one = Window.partitionBy("order", "print").orderBy("order")
+    return rows.join(kept, "order", "left_semi").withColumn("nth", F.row_number().over(one)).where("nth = 1 OR empty").select("doc.*")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -211,7 +211,8 @@ def rate(docs: DataFrame, model: tuple, id_col: str = "doc_id", text_col: str =
 
 
 def keep_harmless(docs: DataFrame, model: tuple) -> DataFrame:
-    """``docs`` without those that are predicted toxic, all columns as they were."""
+    """``docs`` without those that are predicted toxic, all columns as they were, whatever their names. Null text counts as empty and stays, as an empty text is
+    never predicted toxic unless most labelled ones are; repeated rows stay or go together; an empty table gives no rows."""
     return docs.where(score(text_of(), model) < 0.5)
 
 

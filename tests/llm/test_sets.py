@@ -192,3 +192,57 @@ def test_packing(spark, odd, none):
     one = next(iter(packing.digest(packing.pack(docs, **v, length=16)).where("doc_id = 92 AND start = 0").collect()))
     assert one.ids_crc32 == zlib.crc32(next(bytes(p.ids) for p in pieces if p.doc_id == 92 and p.start == 0))
     assert packing.pack(none, **v).count() == 0
+
+
+def structured(n: int) -> tuple[str, str]:
+    """A sequence of two letters in which every part repeats with letters changed about, and its complement."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 8192])
+def test_structured_texts_are_told_apart(spark, n):
+    from tokenizers import Tokenizer
+
+    from quarryline.llm import signature_join
+
+    texts = dict(enumerate([*structured(n), *structured(n)]))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").coalesce(1)
+    coder = Tokenizer.from_file(packing.public_vocabulary()["vocabulary"])
+    got = defaultdict(list)
+    for r in packing.digest(packing.pack(docs, **packing.public_vocabulary())).collect():
+        got[r.doc_id].append(r)
+    for i, text in texts.items():
+        ids = [*coder.encode(text, add_special_tokens=False).ids, 0]
+        for r in got[i]:
+            assert r.ids_crc32 == zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids[r.start : r.start + r.length]))
+        assert sum(r.length for r in got[i]) == len(ids) == got[i][0].doc_tokens
+    groups = {r.doc_id: (r.component_id, r.n_links) for r in signature_join.jaccard_components(docs, count_links=True).collect()}
+    assert groups == {0: (0, 1), 1: (1, 1), 2: (0, 1), 3: (1, 1)}
+
+
+def test_pieces_of_one_hash_are_compared(monkeypatch):
+    """Where all pieces have one hash, each still gets its own ids."""
+    import numpy as np
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "hash_lanes", lambda values, at, lengths: np.zeros(len(lengths), np.uint64))
+    coder = packing.Pieces(**packing.public_vocabulary())
+    texts = ["one two three", "", "one two two", "\u4f60\u597d one", "three"]
+    ids, sizes = coder.encode(pa.array(texts))
+    want = [coder.exact.encode(t, add_special_tokens=False).ids for t in texts]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+
+
+def test_clashing_names_keep_their_values(spark):
+    from quarryline.llm import signature_join
+
+    names = ["_order", "_copy", "_proof", "_kept_id", "order", "nth", "print", "empty", "doc", "own_0", "mix_take", "mix_tokens", "id", "proof"]
+    rows = [(i, "a b c d e f g" if i < 2 else f"text {i} of its own here", "en", f"s{i % 2}", *[f"{n}-{i}" for n in names]) for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    mixed = mixing.mix(docs, F.expr("total"), mixing.document_levels())
+    for got, want in ((exact_dedup.keep_one_of_copies(docs, "smallest"), 5), (signature_join.keep_one_of_group(docs), 5), (mixed.select(*docs.columns), 6)):
+        assert got.columns == docs.columns and got.count() == want
+        for r in got.collect():
+            assert all(r[n] == f"{n}-{r.doc_id}" for n in names)
+    assert {"mix_take_", "mix_tokens_", "mix_budget"} <= set(mixed.columns)
