@@ -50,6 +50,8 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 _MASKS = np.array([0, *((1 << 8 * k) - 1 for k in range(1, 9))], np.uint64)
 
 
@@ -78,6 +80,32 @@ def hash_spans(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return hash_lanes(*lanes(data, starts, ends), ends - starts)
 
 
+def tokens(texts: pa.Array, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of all texts, A to Z in lower case; where each maximal run of bytes that are ``inside`` begins and ends; and each text's first run (one
+    more than texts). No nulls."""
+    data, offsets = as_bytes(texts)
+    data = _LOWER[data]
+    own = np.zeros(len(data) + 2, bool)
+    own[1:-1] = inside[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(own[1:-1] & (~own[:-2] | edge[:-1]))
+    ends = np.flatnonzero(own[1:-1] & (~own[2:] | edge[1:])) + 1
+    return data, starts, ends, np.searchsorted(starts, offsets)
+
+
+def same_spans(values: np.ndarray, at: np.ndarray, i: np.ndarray, others: np.ndarray, other_at: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether span ``i`` and span ``j`` of other ``lanes`` have equal lanes, pair by pair."""
+    count = at[i + 1] - at[i]
+    same = count == other_at[j + 1] - other_at[j]
+    k = np.flatnonzero(same)
+    count = count[k]
+    step = np.arange(count.sum()) - np.repeat(np.concatenate(([0], np.cumsum(count)[:-1])), count)
+    differ = values[np.repeat(at[i[k]], count) + step] != others[np.repeat(other_at[j[k]], count) + step]
+    same[k[np.repeat(np.arange(len(k)), count)[differ]]] = False
+    return same
+
+
 def batches_of(batches: Iterator[pa.RecordBatch], column: int = 1, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The rows again, cut where a column's texts come to about ``most`` bytes, so that rows of any length need like memory; a longer text is alone."""
     for batch in batches:
