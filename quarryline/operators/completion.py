@@ -54,32 +54,50 @@ def render(template: str, **columns: Column) -> Column:
     return F.concat(*[F.coalesce(columns[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
-def complete(rows: DataFrame, make: Callable[[], Callable[[str], str]], prompt: str = "prompt", retries: int = 2) -> DataFrame:
-    """Adds ``response, error, attempts``: ``make`` gives the completion function once in each task; a call that fails is tried ``retries`` times more."""
+def complete(rows: DataFrame, make: Callable[[], Callable[[str], str]], prompt: str = "prompt", retries: int = 2, parse: Callable[[str], str | None] | None = None) -> DataFrame:
+    """Adds ``response, error, attempts``: ``make`` gives the completion function once in each task; a call that fails is tried ``retries`` times more. With ``parse`` an answer of which
+    it makes nothing has failed too, and what it makes of the last good one is added as ``found``; the last answer stays in ``response``."""
     kept = rows.columns
+    added = ["response", "error", "attempts", *(["found"] if parse else [])]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = make()
 
-        def one(text: str) -> tuple[str | None, str | None, int]:
-            error = None
+        def one(text: str) -> tuple:
+            response = error = None
             for n in range(1, retries + 2):
                 try:
-                    return ask(text), None, n
+                    response = ask(text)
+                    found = parse(response) if parse else None
+                    if parse is None or found is not None:
+                        return response, None, n, found
+                    error = "no JSON object in the answer"
                 except Exception as x:  # noqa: BLE001  what a user's function raises goes to the row
                     error = f"{type(x).__name__}: {x}"
-            return None, error, retries + 1
+            return response, error, retries + 1, None
 
         for frame in frames:
             answers = [one(t) for t in frame[prompt]]
-            yield frame.assign(response=[a[0] for a in answers], error=[a[1] for a in answers], attempts=[a[2] for a in answers])[[*kept, "response", "error", "attempts"]]
+            columns = {name: pd.Series([a[i] for a in answers], index=frame.index, dtype="int32" if name == "attempts" else object) for i, name in enumerate(added)}
+            yield frame.assign(**columns)[[*kept, *added]]
 
     fields = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes)
-    return rows.mapInPandas(run, f"{fields}, response string, error string, attempts int")
+    return rows.mapInPandas(run, f"{fields}, response string, error string, attempts int" + (", found string" if parse else ""))
+
+
+def complete_json(rows: DataFrame, make: Callable[[], Callable[[str], str]], prompt: str = "prompt", retries: int = 2) -> DataFrame:
+    """``complete`` with ``found``, the first JSON object of the answer; an answer without one is asked for again."""
+    return complete(rows, make, prompt, retries, first_object)
+
+
+def clean_rewrite(response: Column, question: Column) -> Column:
+    """The first line of a rewritten question; the question if it is blank or there is no answer."""
+    first = strip(F.get(F.split(strip(response), "\n"), F.lit(0)))
+    return F.coalesce(F.nullif(first, F.lit("")), question)
 
 
 def clean_keyword(response: Column, question: Column) -> Column:
-    """The first line without its label; the question if nothing is left."""
+    """The first line without its label (a fixed value); the question if nothing is left."""
     first = strip(F.get(F.split(strip(response), "\n"), F.lit(0)))
     bare = strip(F.regexp_replace(first, f"^关键词(?:[：:]|{SPACE})*", ""))
     return F.coalesce(F.nullif(bare, F.lit("")), question)

@@ -137,7 +137,7 @@ def quota_and_stop(candidates: DataFrame, target: int, partial_share: float = 0.
     outcome = F.when(full, "partial_quota_full").when(F.col("verdict").isin(ACCEPTED) & ~F.col("quality_ok"), "quality").otherwise(F.col("verdict"))
     rows = rows.withColumn("outcome", outcome).withColumn("accepted", accepted)
     rows = rows.withColumn("had", F.coalesce(F.sum(F.when(F.col("accepted"), 1).otherwise(0)).over(before), F.lit(0)) + prior_accepted)
-    return rows.withColumn("live", F.col("had") < target).select(*candidates.columns, F.when(F.col("live"), F.col("outcome")).alias("outcome"), (F.col("accepted") & F.col("live")).alias("accepted"))
+    return rows.withColumn("live", F.col("had") < target).select(*[c for c in candidates.columns if c not in ("outcome", "accepted")], F.when(F.col("live"), F.col("outcome")).alias("outcome"), (F.col("accepted") & F.col("live")).alias("accepted"))
 
 
 def verify_floor(judged: DataFrame, min_keep: int) -> DataFrame:

@@ -47,19 +47,49 @@ def unguarded(output: Column, dangers: list[str] | None = None, guards: list[str
     return has(DANGERS if dangers is None else dangers) & ~has(GUARDS if guards is None else guards)
 
 
-def first_failure(instruction: Column, output: Column, evidence: Column, foreign: Column, max_chars: Column, promises: list[str] | None = None, insurance: list[str] | None = None, dangers: list[str] | None = None, guards: list[str] | None = None, units: list[str] | None = None) -> Column:
-    """The name of the first rule that a cleaned output fails, else null. ``foreign``: other models that question or output name."""
+def failure(
+    instruction: Column,
+    output: Column,
+    evidence: Column,
+    foreign: Column,
+    max_chars: Column,
+    promises: list[str] | None = None,
+    insurance: list[str] | None = None,
+    dangers: list[str] | None = None,
+    guards: list[str] | None = None,
+    units: list[str] | None = None,
+    question: Column | None = None,
+) -> Column:
+    """``struct<reason, detail>`` of the first rule that a cleaned output fails, null if it fails none; the detail lists what was found. ``foreign``: other models that question or
+    output name. A blank question, if one is given, is as bad as a blank instruction or output."""
+    numbers = ungrounded_numbers(output, evidence, units)
+    promised = absent_words(output, evidence, OVER_PROMISES if promises is None else promises)
+    blank = (F.coalesce(strip(instruction), F.lit("")) == "") | (F.coalesce(output, F.lit("")) == "")
+    if question is not None:
+        blank = blank | (F.coalesce(strip(question), F.lit("")) == "")
+
+    def found(reason: str, detail: Column | None = None) -> Column:
+        return F.struct(F.lit(reason).alias("reason"), (F.lit("") if detail is None else detail).alias("detail"))
+
+    def listed(name: str, values: Column) -> Column:
+        return F.concat(F.lit(f"{name}=['"), F.array_join(values, "', '"), F.lit("']"))
+
     return (
-        F.when(F.size(foreign) > 0, "vehicle_conflict")
-        .when(F.size(ungrounded_numbers(output, evidence, units)) > 0, "ungrounded_number")
-        .when(F.size(absent_words(output, evidence, INSURANCE if insurance is None else insurance)) > 0, "insurance_warranty_mix")
-        .when(unguarded(output, dangers, guards), "unsafe_danger_advice")
-        .when(F.size(absent_words(output, evidence, OVER_PROMISES if promises is None else promises)) > 0, "over_promise")
-        .when((strip(instruction) == "") | (output == ""), "field_incomplete")
-        .when(F.length(output) > max_chars, "length_out_of_bounds")
+        F.when(F.size(foreign) > 0, found("vehicle_conflict", listed("foreign", foreign)))
+        .when(F.size(numbers) > 0, found("ungrounded_number", listed("nums", numbers)))
+        .when(F.size(absent_words(output, evidence, INSURANCE if insurance is None else insurance)) > 0, found("insurance_warranty_mix"))
+        .when(unguarded(output, dangers, guards), found("unsafe_danger_advice"))
+        .when(F.size(promised) > 0, found("over_promise", listed("words", promised)))
+        .when(blank, found("field_incomplete"))
+        .when(F.length(output) > max_chars, found("length_out_of_bounds", F.concat(F.lit("len="), F.length(output).cast("string"))))
     )
 
 
+def first_failure(*columns: Column, **options) -> Column:  # noqa: ANN003
+    """The name alone of what ``failure`` finds."""
+    return failure(*columns, **options)["reason"]
+
+
 def foreign_models(instruction: Column, output: Column, model: Column, aliases: list[tuple[str, str]]) -> Column:
     """The other models that a question or its cleaned output names, those of the question first."""
     named = [F.filter(route(c, F.lit(None).cast("string"), aliases), lambda m: m != model) for c in (instruction, output)]

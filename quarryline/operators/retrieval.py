@@ -29,6 +29,9 @@ class Settings:
     chunks_per_entry: int = 2
     min_keep: int = 2
     general: tuple[str, ...] = tuple(toc.GENERAL)
+    use_words: bool = True
+    leaf_only: bool = True
+    doc_types: tuple[str, ...] = ()
 
 
 def targets(asked: DataFrame) -> DataFrame:
@@ -48,20 +51,26 @@ def _ranked(rows: DataFrame, k: int, *order: Column) -> DataFrame:
 
 
 def hybrid(asked: DataFrame, aims: DataFrame, chunks: DataFrame, corpus: DataFrame, k: int, weight: float, settings: Settings, index: bm25.Index | None = None, use_words: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(``query_id, target_no, chunk_id, score, rank``, the ``k`` best for each target; ``query_id, chunk_id, similarity`` of what the vectors found). ``asked``: ``query_id, question, embedding``. The
-    vectors' filter by model comes after a cut to ``over_fetch`` times the candidates, that of words after scoring all chunks. Without ``use_words`` vectors alone count."""
-    facts = chunks.select("chunk_id", "chunk_ord", "vehicle_model")
-    most = settings.over_fetch * settings.candidates
+    """(``query_id, target_no, chunk_id, score, rank``, the ``k`` best for each target; ``query_id, chunk_id, similarity`` of what the vectors found). ``asked``: ``query_id, question, embedding``; where
+    the vector is null words alone answer. The vectors' filter by model comes after a cut to ``over_fetch`` times the candidates, that of words after scoring all chunks. Without
+    ``use_words`` the scores are similarities, cut to ``over_fetch`` times ``k``."""
+    facts = _of_types(chunks, settings).select("chunk_id", "chunk_ord", "vehicle_model")
+    wanted = settings.candidates if use_words else k
+    most = settings.over_fetch * wanted
     cut = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "chunk_id")
-    near = vectors.nearest(asked.select("query_id", "embedding"), corpus.select("chunk_id", "embedding"), most).withColumn("nth", F.row_number().over(cut)).where(F.col("nth") <= most).drop("nth")
-    lists = [written(_ranked(of_targets(near, facts, aims), settings.candidates, F.col("score").desc(), F.col("chunk_id")), "near")]
-    weights = [1.0]
-    if use_words:
-        scored = bm25.scores(asked.select("query_id", "question"), index or chunks)
-        lists.append(_ranked(of_targets(scored, facts, aims), settings.candidates, F.round("score", 9).desc(), F.col("chunk_ord")))
-        weights = [1 - weight, weight]
-    fused = fusion.reciprocal_rank_fusion(lists, weights, k, by=("query_id", "target_no"))
-    return fused, lists[0].select("query_id", "chunk_id", F.col("score").alias("similarity"))
+    near = vectors.nearest(asked.where("embedding IS NOT NULL").select("query_id", "embedding"), corpus.select("chunk_id", "embedding"), most).withColumn("nth", F.row_number().over(cut)).where(F.col("nth") <= most).drop("nth")
+    by_vector = written(_ranked(of_targets(near, facts, aims), wanted, F.col("score").desc(), F.col("chunk_id")), "near")
+    known = by_vector.select("query_id", "chunk_id", F.col("score").alias("similarity"))
+    if not use_words:
+        return by_vector, known
+    scored = bm25.scores(asked.select("query_id", "question"), index or chunks)
+    by_word = _ranked(of_targets(scored, facts, aims), settings.candidates, F.round("score", 9).desc(), F.col("chunk_ord"))
+    return fusion.reciprocal_rank_fusion([by_vector, by_word], [1 - weight, weight], k, by=("query_id", "target_no")), known
+
+
+def _of_types(chunks: DataFrame, settings: Settings) -> DataFrame:
+    """The chunks that may be found: of all types where none are asked for. Statistics and the vectors' cut cover the others as well."""
+    return fusion.metadata_filter(chunks, None, list(settings.doc_types))
 
 
 def _in_line(paths: DataFrame) -> DataFrame:
@@ -70,15 +79,23 @@ def _in_line(paths: DataFrame) -> DataFrame:
     return paths.withColumn("rank", F.row_number().over(own).cast("int")).select("query_id", "chunk_id", "score", "rank")
 
 
-def contents(asked: DataFrame, aims: DataFrame, entries: DataFrame, chunks: DataFrame, settings: Settings) -> DataFrame:
-    """``query_id, chunk_id, position``: chunks of the contents entries that fit a question's words best, ``entries`` of them for each target."""
-    words = asked.withColumn("words", query_tokens(F.col("question"), F.col("keyword"), F.col("rewritten"))).join(aims, "query_id")
-    # scoring a pair costs far more than moving an entry, so entries are dealt to all tasks first
-    dealt = entries.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    met = dealt.join(words.where("target IS NOT NULL"), F.col("target") == F.col("vehicle_model")).unionByName(dealt.join(words.where("target IS NULL")))  # questions about no model ask of all
-    best = toc.keyword_match(met, F.col("words"), F.col("question"), settings.entries, list(settings.general), by=("query_id", "target_no"))
+def contents(asked: DataFrame, aims: DataFrame, entries: DataFrame, chunks: DataFrame, settings: Settings, make: Callable[[], Callable[[str], str]] | None = None) -> DataFrame:
+    """``query_id, chunk_id, position``: chunks of the contents entries that fit a question best, ``entries`` of them for each model that it is about, or for each model there is where it names
+    none. With ``make`` a completion chooses from the catalogue, see ``verify.select_entries``; else words alone do. Keyword lines and rewritten questions that equal the question count as
+    empty. With ``leaf_only`` entries that have others below them aren't chosen."""
+    other = lambda c: F.when(~F.col(c).eqNullSafe(F.col("question")), F.col(c))
+    words = asked.select("query_id", "question", query_tokens(F.col("question"), other("keyword"), other("rewritten")).alias("words"))
+    listed = entries.where("is_leaf") if settings.leaf_only else entries
+    models = listed.select(F.col("vehicle_model").alias("target")).distinct()
+    # a question about no model asks each model's contents apart: one row for each of the models, which are few
+    every = aims.where("target IS NULL").select("query_id").join(F.broadcast(models)).withColumn("target_no", F.dense_rank().over(Window.partitionBy("query_id").orderBy("target")) - 1)
+    each = written(words.join(aims.where("target IS NOT NULL").select("query_id", "target_no", "target").unionByName(every.select("query_id", "target_no", "target")), "query_id").withColumnRenamed("target", "vehicle_model"), "entry-questions")
+    if make is None:
+        best = toc.matched_entries(each, listed, settings.entries, list(settings.general))
+    else:
+        best = verify.select_entries(each, listed, make, settings.entries, general=list(settings.general))
     own = Window.partitionBy("query_id").orderBy("target_no", "position")
-    return toc.chunks_of_entries(best.withColumn("position", F.row_number().over(own)), chunks, settings.chunks_per_entry, "vehicle_model")
+    return toc.chunks_of_entries(best.withColumn("position", F.row_number().over(own)), _of_types(chunks, settings), settings.chunks_per_entry, "vehicle_model")
 
 
 def retrieve(
@@ -102,10 +119,11 @@ def retrieve(
     s = settings or Settings()
     aims = targets(asked)
     side = lambda text, vector: asked.select("query_id", F.col(text).alias("question"), F.col(vector).alias("embedding"))
-    rewritten, near = hybrid(side("rewritten", "rewritten_vector"), aims, chunks, corpus, s.rewritten_k, s.rewritten_bm25, s, index)
-    keyword, near2 = hybrid(side("keyword", "keyword_vector"), aims, chunks, corpus, s.keyword_k, s.keyword_bm25, s, index)
+    rewritten, near = hybrid(side("rewritten", "rewritten_vector"), aims, chunks, corpus, s.rewritten_k, s.rewritten_bm25, s, index, s.use_words)
+    keyword, near2 = hybrid(side("keyword", "keyword_vector"), aims, chunks, corpus, s.keyword_k, s.keyword_bm25, s, index, s.use_words)
+    boost = s.section_boost if s.use_words else 1.0
     said = keyword.join(chunks.select("chunk_id", "section_path"), "chunk_id").join(asked.select("query_id", query_tokens(F.lit(""), F.col("keyword"), F.lit("")).alias("_words")), "query_id")
-    keyword = fusion.section_boost(said, F.col("section_path"), F.col("_words"), s.section_boost, by=("query_id", "target_no"))
+    keyword = fusion.section_boost(said, F.col("section_path"), F.col("_words"), boost, by=("query_id", "target_no"))
     paths = [written(_in_line(p), name) for p, name in ((rewritten, "rewritten"), (keyword, "keyword"))]
     cap = asked.select("query_id", (F.lit(s.rewritten_k + s.keyword_k) * F.greatest(F.lit(1), F.coalesce(F.size("models"), F.lit(0)))).alias("cap"))
     merged = written(fusion.merge_paths(([cached] if cached is not None else []) + paths, cap), "merged")

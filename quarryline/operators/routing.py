@@ -23,6 +23,8 @@ def route(question: Column, rewritten: Column, aliases: list[tuple[str, str]]) -
     registry, which decides among aliases of one length. The registry is a parameter, some dozens of names."""
     hay = routing_key(F.concat(F.coalesce(question, F.lit("")), F.lit(" "), F.coalesce(rewritten, F.lit(""))))
     ordered = sorted({(m, "".join(a.split()).lower()): i for i, (m, a) in reversed(list(enumerate(aliases))) if a.strip()}.items(), key=lambda kv: (-len(kv[0][1]), kv[1]))
+    if not ordered:
+        return F.array().cast("array<string>")
     table = F.array(*[F.struct(F.lit(m).alias("model"), F.lit(a).alias("alias")) for (m, a), _ in ordered])
     start = F.struct(hay.alias("hay"), F.array().cast("array<string>").alias("found"))
 

@@ -37,6 +37,19 @@ def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def done(spark: SparkSession, path: str) -> bool:
+    """Whether a table was written there to its end."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+
+
+def once(df: DataFrame, path: str) -> DataFrame:
+    """The table at ``path``, written from ``df`` unless an earlier run has written it to its end."""
+    if not done(df.sparkSession, path):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def drop_written(spark: SparkSession) -> int:
     """Deletes the intermediate tables of this process, once results that read them have been written; gives their number."""
     conf, n = spark._jsc.hadoopConfiguration(), 0
