@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import query_tokens, strip
 from quarryline.jobs import tables as t
-from quarryline.operators import chunking, export, toc, verify
+from quarryline.operators import chunking, export, matching, toc, verify
 
 
 def _page_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,10 +134,13 @@ best AS (SELECT *, round(m + length(path) * 0.01 - CASE WHEN contains(path, 'The
 sel AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, source_file) AS position FROM best WHERE nw > 0 AND score > 0) WHERE position <= 3)"""
 
 
+def _entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With page ranges; as entries of many documents share a number here, the file decides among them."""
+    return _ranges(spark, sf_dir).withColumn("ord", F.struct("ord", "source_file"))
+
+
 def _selected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # entries of many documents share a number here, so the file decides among them
-    met = _ranges(spark, sf_dir).withColumn("ord", F.struct("ord", "source_file")).join(_asked(spark, sf_dir), "vehicle_model")
-    return toc.keyword_match(met, F.col("words"), F.col("question"), 3, ["The"])
+    return matching.matched_entries(_asked(spark, sf_dir), _entries(spark, sf_dir), 3, ["The"])
 
 
 @t.query("bookmark_scores", f"WITH RECURSIVE {t.TOC_PATHS}, {t.QUESTIONS}, {_ASKED} SELECT query_id, source_file, ord, score, position::INT AS position FROM sel")
@@ -145,9 +148,6 @@ def bookmark_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _selected(spark, sf_dir).select("query_id", "source_file", F.col("ord.ord").alias("ord"), "score", "position")
 
 
-t.query("bookmark_scores_whole", t.SQL["bookmark_scores"])(bookmark_scores)
-
-
 @t.query(
     "bookmark_catalogue",
     f"""WITH RECURSIVE {t.TOC_PATHS}, {t.QUESTIONS}, {_ASKED}, flag AS (SELECT *, max(m) OVER (PARTITION BY query_id) > 0 AS any_hit FROM raw),
@@ -159,12 +159,8 @@ def bookmark_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _listed(spark, sf_dir)
 
 
-t.query("bookmark_catalogue_whole", t.SQL["bookmark_catalogue"])(bookmark_catalogue)
-
-
 def _listed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = toc.toc_paths(t.toc(spark, sf_dir)).withColumn("ord", F.struct("ord", "source_file")).join(_asked(spark, sf_dir), "vehicle_model")
-    return toc.catalogue(met, F.col("words")).select("query_id", "source_file", F.col("ord.ord").alias("ord"), "position")
+    return matching.catalogue(_asked(spark, sf_dir), _entries(spark, sf_dir)).select("query_id", "source_file", F.col("ord.ord").alias("ord"), "position")
 
 
 _FIT = "(trim({0}) <> '' AND section_path <> '' AND (contains(section_path, trim({0})) OR len(list_filter(string_split(section_path, '>'), lambda x: contains(x, trim({0})) OR contains(trim({0}), x))) > 0))"
@@ -182,9 +178,6 @@ def bookmark_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc.chunks_of_entries(_selected(spark, sf_dir), t.chunks(spark, sf_dir), 2, "vehicle_model")
 
 
-t.query("bookmark_chunks_whole", t.SQL["bookmark_chunks"])(bookmark_chunks)
-
-
 @t.query(
     "response_paths",
     f"""WITH RECURSIVE {t.TOC_PATHS}, r AS (SELECT doc_id::VARCHAR AS source_file, doc_id AS response_id, text AS response FROM documents), p AS (SELECT source_file, path, min(ord) AS ord FROM paths WHERE path <> '' GROUP BY 1, 2),
@@ -196,9 +189,6 @@ def response_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toc.named_paths(responses, toc.toc_paths(t.toc(spark, sf_dir)))
 
 
-t.query("response_paths_whole", t.SQL["response_paths"])(response_paths)
-
-
 @t.query(
     "response_indices",
     r"""WITH r AS (SELECT doc_id, (doc_id % 23)::VARCHAR AS a, (doc_id % 9)::VARCHAR AS b, (doc_id % 17)::VARCHAR AS c, doc_id % 4 AS k FROM documents),
@@ -215,23 +205,38 @@ def response_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "documents").select("doc_id", F.array_join(picked.cast("array<string>"), ",").alias("picked"))
 
 
+#: Of the catalogue by position: the path of every third question, numbers of the next, nothing of the others, of which some calls fail.
+_PICKED = f"""WITH RECURSIVE {t.TOC_PATHS}, {t.QUESTIONS}, {_ASKED}, flag AS (SELECT *, max(m) OVER (PARTITION BY query_id) > 0 AS any_hit FROM raw JOIN (SELECT query_id, words FROM asked) USING (query_id)),
+k AS (SELECT *, CASE WHEN nw = 0 THEN 0 WHEN any_hit THEN 1 ELSE 2 END AS kind FROM flag),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE kind WHEN 1 THEN -round(m + length(path) * 0.01, 6) WHEN 2 THEN -level::DOUBLE ELSE 0.0 END, CASE WHEN kind = 2 THEN page ELSE 0 END, ord, source_file) AS position FROM k WHERE kind <> 1 OR m > 0),
+shown AS MATERIALIZED (SELECT *, CASE WHEN length(question) % 5 = 4 THEN 'fails' WHEN length(question) % 5 = 3 THEN 'none' WHEN length(question) % 5 >= 1 THEN 'path' ELSE 'number' END AS how FROM o WHERE position <= 80),
+said AS (SELECT query_id, 'see ' || path || ' now' AS response FROM shown WHERE how = 'path' AND position = 1),
+np AS (SELECT query_id, path, arg_min(ord, (ord, source_file)) AS ord, arg_min(source_file, (ord, source_file)) AS source_file FROM shown JOIN said USING (query_id) WHERE path <> '' AND contains(response, path) GROUP BY 1, 2),
+pr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY length(path) DESC, ord, source_file) AS position FROM np),
+w AS (SELECT s.query_id, s.path, s.ord, s.source_file, round(m + length(path) * 0.01 - CASE WHEN contains(path, 'The') AND NOT contains(question, 'The') THEN 3 ELSE 0 END, 6) AS score FROM shown s WHERE how = 'none' AND nw > 0),
+wr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ord, source_file) AS position FROM w WHERE score > 0)
+SELECT query_id, source_file, ord, 'path' AS picked_by, position::INT AS position FROM pr WHERE position <= 3
+UNION ALL SELECT query_id, source_file, ord, 'number', (CASE position WHEN 2 THEN 1 ELSE 2 END)::INT FROM shown WHERE how = 'number' AND position IN (2, 3)
+UNION ALL SELECT query_id, source_file, ord, 'keyword', position::INT FROM wr WHERE position <= 3
+UNION ALL SELECT query_id, source_file, ord, 'whole catalogue', position::INT FROM sel WHERE length(question) % 5 = 4 OR (length(question) % 5 = 3 AND query_id NOT IN (SELECT query_id FROM wr))"""
+
+
 def _selector():  # noqa: ANN202
-    """A completion function for tests: by the question's length it names the first path, two numbers or nothing."""
+    """A completion function for tests: by the question's length it names the first path, two numbers or nothing, or fails."""
 
     def ask(prompt: str) -> str:
-        question, *rest = prompt.split("\n")
-        kind = len(question) % 3
-        return f"see {rest[0].split('. ', 1)[1]}" if kind == 0 else "2,3" if kind == 1 else "unsure"
+        length, rest = prompt.split("\n", 1)
+        kind = int(length) % 5
+        if kind == 4:
+            raise ValueError("no answer")
+        return "unsure" if kind == 3 else "2,3" if kind == 0 else f"see {rest.split('. ', 1)[1].split(chr(10) + '2. ', 1)[0]} now"
 
     return ask
 
 
-@t.query("bookmark_evidence")
+@t.query("bookmark_evidence", _PICKED)
 def bookmark_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Entries that a completion names from each question's catalogue, or keywords where it names none."""
-    # questions of one line
-    asked = _asked(spark, sf_dir).withColumn("question", F.replace("question", F.lit("\n"), F.lit(" ")))
-    entries = toc.toc_paths(t.toc(spark, sf_dir)).withColumn("ord", F.struct("ord", "source_file")).withColumn("path", F.replace("path", F.lit("\n"), F.lit(" ")))
-    listed = toc.catalogue(entries.join(asked, "vehicle_model"), F.col("words")).select("query_id", "position", "path", "title", "ord", "words", "question")
-    picked = verify.select_entries(listed, _selector)
-    return picked.select("query_id", "path", F.col("ord.ord").alias("ord"), F.col("ord.source_file").alias("source_file"), "picked_by")
+    """Entries that a completion names from each question's catalogue; where it names none keywords choose from it, and from all entries where it fails."""
+    prompt = lambda question, catalogue: F.concat_ws("\n", F.length(question).cast("string"), catalogue)
+    picked = verify.select_entries(_asked(spark, sf_dir), _entries(spark, sf_dir), _selector, general=["The"], prompt=prompt)
+    return picked.select("query_id", F.col("ord.source_file").alias("source_file"), F.col("ord.ord").alias("ord"), "picked_by", F.col("position").cast("int").alias("position"))

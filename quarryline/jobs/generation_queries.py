@@ -19,7 +19,7 @@ BLACKLIST = ["Of>", "La>", "Token"]
 PROMISES, INSURANCE, DANGERS, GUARDS, UNITS = ["worthless", "always", "tionly"], ["token", "stupid"], ["Apache", "License", "clown"], ["Version", "scum"], ["bar", "km", "%", "V", "er"]
 
 _TASK = "CASE WHEN contains(section_path, 'The') OR contains(section_path, 'Le') THEN 'steps' WHEN contains(section_path, 'ing') OR contains(section_path, 'tion') THEN 'terms' WHEN contains(section_path, 'er') OR contains(section_path, 'que') THEN 'faults' ELSE 'plain' END"
-_BAD = "(contains(section_path, 'Of>') OR contains(section_path, 'La>') OR contains(section_path, 'Token'))"
+BAD = "(contains(section_path, 'Of>') OR contains(section_path, 'La>') OR contains(section_path, 'Token'))"
 _QID = "'Q' || substring(sha1(concat_ws('|', vehicle_model, chunk_id, task_type)), 1, 10)"
 
 
@@ -31,20 +31,20 @@ def _typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.chunks(spark, sf_dir).withColumn("task_type", _task()).withColumn("qid", sample_id(F.col("vehicle_model"), F.col("chunk_id"), F.col("task_type")))
 
 
-_TYPED = f"{t.CHUNKS}, typed0 AS (SELECT *, {_TASK} AS task_type FROM chunks), typed AS (SELECT *, {_QID} AS qid FROM typed0)"
+TYPED = f"{t.CHUNKS}, typed0 AS (SELECT *, {_TASK} AS task_type FROM chunks), typed AS (SELECT *, {_QID} AS qid FROM typed0)"
 
 
-@t.query("usable_chunks", f"WITH {t.CHUNKS} SELECT chunk_id, length({t.sql_strip('text')}) >= 200 AND NOT {_BAD} AS usable FROM chunks")
+@t.query("usable_chunks", f"WITH {t.CHUNKS} SELECT chunk_id, length({t.sql_strip('text')}) >= 200 AND NOT {BAD} AS usable FROM chunks")
 def usable_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.chunks(spark, sf_dir).select("chunk_id", corpus_gen.usable(F.col("text"), F.col("section_path"), 200, BLACKLIST).alias("usable"))
 
 
-@t.query("task_types", f"WITH {_TYPED} SELECT chunk_id, task_type, qid FROM typed")
+@t.query("task_types", f"WITH {TYPED} SELECT chunk_id, task_type, qid FROM typed")
 def task_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir).select("chunk_id", "task_type", "qid")
 
 
-_PLAN = f"""{_TYPED}, ok AS (SELECT * FROM typed WHERE length({t.sql_strip("text")}) >= 200 AND NOT {_BAD}),
+_PLAN = f"""{TYPED}, ok AS (SELECT * FROM typed WHERE length({t.sql_strip("text")}) >= 200 AND NOT {BAD}),
 rd AS (SELECT *, row_number() OVER (PARTITION BY vehicle_model ORDER BY sha256('7|' || chunk_id)) AS rnd FROM ok),
 plan AS (SELECT row_number() OVER (ORDER BY rnd, vehicle_model) AS plan_ord, vehicle_model AS model_id, chunk_id, section_path FROM rd WHERE rnd <= 10 ORDER BY plan_ord LIMIT 150)"""
 
@@ -65,12 +65,12 @@ def under_min(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_gen.under_minimum(_plan(spark, sf_dir), models, 8)
 
 
-_KEY = f"translate(lower(regexp_replace(q, '{t.SPACE}', '', 'g')), '？！，。：；（）', '?!,.:;()')"
+KEY = f"translate(lower(regexp_replace(q, '{t.SPACE}', '', 'g')), '？！，。：；（）', '?!,.:;()')"
 
 
 @t.query(
     "question_dedup",
-    f"""WITH d AS (SELECT doc_id AS plan_ord, string_split(text, chr(10))[1] AS q FROM documents), k AS (SELECT plan_ord, {_KEY} AS question_key FROM d),
+    f"""WITH d AS (SELECT doc_id AS plan_ord, string_split(text, chr(10))[1] AS q FROM documents), k AS (SELECT plan_ord, {KEY} AS question_key FROM d),
 s AS (SELECT DISTINCT question_key FROM k WHERE plan_ord % 50 = 0 AND plan_ord % 100 = 50)
 SELECT plan_ord, md5(question_key) AS question_key, (question_key IN (SELECT question_key FROM s)) OR row_number() OVER (PARTITION BY question_key ORDER BY plan_ord) > 1 AS duplicate FROM k""",
 )
@@ -80,7 +80,7 @@ def question_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_gen.first_questions(asked, seen).select("plan_ord", F.md5("question_key").alias("question_key"), "duplicate")
 
 
-@t.query("resume_pending", f"WITH {_TYPED} SELECT chunk_id, qid FROM typed WHERE chunk_ord % 5 <> 0 AND chunk_ord % 7 <> 0")
+@t.query("resume_pending", f"WITH {TYPED} SELECT chunk_id, qid FROM typed WHERE chunk_ord % 5 <> 0 AND chunk_ord % 7 <> 0")
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a second run has left to do after ledgers of the first one were written and read back."""
     rows = _typed(spark, sf_dir)
@@ -144,7 +144,7 @@ def quota_and_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NUM = r"(?i)\p{Nd}+(?:\.\p{Nd}+)?" + t.SPACE + "*(?:bar|km|%|V|er)"
-_UNGROUNDED = rf"""list_filter(list_transform(regexp_extract_all(output, '{_NUM}'), lambda m: regexp_replace(m, '{t.SPACE}', '', 'g')), lambda m: NOT contains(tight, m) AND NOT contains(tight, regexp_extract(m, '^\p{{Nd}}+(?:\.\p{{Nd}}+)?')))"""
+UNGROUNDED = rf"""list_filter(list_transform(regexp_extract_all(output, '{_NUM}'), lambda m: regexp_replace(m, '{t.SPACE}', '', 'g')), lambda m: NOT contains(tight, m) AND NOT contains(tight, regexp_extract(m, '^\p{{Nd}}+(?:\.\p{{Nd}}+)?')))"""
 _ANSWERS = f"""ans AS (SELECT d.doc_id, left(d.text, 30) AS instruction, substring(d.text, 31) AS output0, coalesce(e.text, '') AS evidence FROM documents d LEFT JOIN documents e ON e.doc_id = d.doc_id + 1 WHERE d.text IS NOT NULL),
 cl AS (SELECT doc_id, instruction, evidence, {t.sql_strip("regexp_replace(regexp_replace(output0, 'the[,.]?', '', 'g'), '" + chr(92) + "[" + chr(92) + "p{Nd}+" + chr(92) + "]', '', 'g')")} AS output FROM ans), an AS (SELECT *, regexp_replace(evidence, '{t.SPACE}', '', 'g') AS tight FROM cl)"""
 
@@ -163,7 +163,7 @@ def leak_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("doc_id", F.md5("output").alias("output_md5"))
 
 
-@t.query("ungrounded_numbers", f"WITH {_ANSWERS} SELECT doc_id, array_to_string({_UNGROUNDED}, '|') AS numbers FROM an")
+@t.query("ungrounded_numbers", f"WITH {_ANSWERS} SELECT doc_id, array_to_string({UNGROUNDED}, '|') AS numbers FROM an")
 def ungrounded_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ungrounded(_answers(spark, sf_dir))
 
@@ -174,12 +174,14 @@ def _ungrounded(answers: DataFrame) -> DataFrame:
 
 @t.query(
     "quality_gate",
-    f"""WITH {_ANSWERS}, q AS (SELECT doc_id, CASE WHEN contains(lower(regexp_replace(instruction, '{t.SPACE}', '', 'g')), 'thatthe') THEN 'vehicle_conflict' WHEN len({_UNGROUNDED}) > 0 THEN 'ungrounded_number'
+    f"""WITH {_ANSWERS}, q AS (SELECT doc_id, CASE WHEN contains(lower(regexp_replace(instruction, '{t.SPACE}', '', 'g')), 'thatthe') THEN 'vehicle_conflict' WHEN len({UNGROUNDED}) > 0 THEN 'ungrounded_number'
  WHEN len(list_filter(['token', 'stupid'], lambda w: contains(output, w) AND NOT contains(evidence, w))) > 0 THEN 'insurance_warranty_mix'
  WHEN (contains(output, 'Apache') OR contains(output, 'License') OR contains(output, 'clown')) AND NOT (contains(output, 'Version') OR contains(output, 'scum')) THEN 'unsafe_danger_advice'
  WHEN len(list_filter(['worthless', 'always', 'tionly'], lambda w: contains(output, w) AND NOT contains(evidence, w))) > 0 THEN 'over_promise'
- WHEN {t.sql_strip("instruction")} = '' OR output = '' THEN 'field_incomplete' WHEN length(output) > coalesce(CASE doc_id % 3 WHEN 0 THEN 400 WHEN 1 THEN 500 END, 800) THEN 'length_out_of_bounds' END AS reason FROM an)
-SELECT doc_id, reason FROM q""",
+ WHEN {t.sql_strip("instruction")} = '' OR output = '' OR doc_id % 29 = 0 THEN 'field_incomplete' WHEN length(output) > coalesce(CASE doc_id % 3 WHEN 0 THEN 400 WHEN 1 THEN 500 END, 800) THEN 'length_out_of_bounds' END AS reason,
+ {UNGROUNDED} AS nums, list_filter({PROMISES}, lambda w: contains(output, w) AND NOT contains(evidence, w)) AS words, length(output) AS size FROM an)
+SELECT doc_id, reason, CASE reason WHEN 'vehicle_conflict' THEN 'foreign=[''other'']' WHEN 'ungrounded_number' THEN 'nums=[''' || array_to_string(nums, ''', ''') || ''']' WHEN 'over_promise' THEN 'words=[''' || array_to_string(words, ''', ''') || ''']'
+ WHEN 'length_out_of_bounds' THEN 'len=' || size ELSE CASE WHEN reason IS NOT NULL THEN '' END END AS detail FROM q""",
 )
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _reasons(spark, _answers(spark, sf_dir))
@@ -189,12 +191,9 @@ def _reasons(spark: SparkSession, answers: DataFrame) -> DataFrame:
     most = spark.createDataFrame([(0, 400), (1, 500)], "task long, max_chars int")
     rows = answers.withColumn("task", F.col("doc_id") % 3).join(F.broadcast(most), "task", "left")  # a setting for each task
     foreign = routing.route(F.col("instruction"), F.lit(None).cast("string"), [("other", "that the")])
-    reason = quality.first_failure(F.col("instruction"), F.col("output"), F.col("evidence"), foreign, F.coalesce("max_chars", F.lit(800)), PROMISES, INSURANCE, DANGERS, GUARDS, UNITS)
-    return rows.select("doc_id", reason.alias("reason"))
-
-
-for _name, _same in (("leak_strip", leak_strip), ("ungrounded_numbers", ungrounded_numbers), ("quality_gate", quality_gate)):
-    t.query(f"{_name}_whole", t.SQL[_name])(_same)
+    question = F.when(F.col("doc_id") % 29 == 0, " \n").otherwise(F.col("instruction"))
+    bad = quality.failure(F.col("instruction"), F.col("output"), F.col("evidence"), foreign, F.coalesce("max_chars", F.lit(800)), PROMISES, INSURANCE, DANGERS, GUARDS, UNITS, question)
+    return rows.select("doc_id", bad.alias("bad")).select("doc_id", "bad.reason", "bad.detail")
 
 
 @t.query(
@@ -213,36 +212,23 @@ def verify_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @t.query(
     "train_dev_split",
-    f"""WITH {_TYPED}, n AS (SELECT chunk_id, task_type, row_number() OVER (PARTITION BY task_type ORDER BY sha256('3|' || qid)) AS nth, count(*) OVER (PARTITION BY task_type) AS n FROM typed)
+    f"""WITH {TYPED}, n AS (SELECT chunk_id, task_type, row_number() OVER (PARTITION BY task_type ORDER BY sha256('3|' || qid)) AS nth, count(*) OVER (PARTITION BY task_type) AS n FROM typed)
 SELECT chunk_id, task_type, CASE WHEN nth <= round_even(n * 0.9::DOUBLE, 0) THEN 'train' ELSE 'dev' END AS split FROM n""",
 )
 def train_dev_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.split(_typed(spark, sf_dir), 0.9, 3).select("chunk_id", "task_type", "split")
 
 
-@t.query(
-    "generation_report",
-    f"""WITH {_TYPED}, a AS (SELECT *, CASE chunk_ord % 3 WHEN 0 THEN 'strong' WHEN 1 THEN 'ok' ELSE 'partial_ok' END AS tier FROM typed WHERE chunk_ord % 5 = 0), r AS (SELECT *, CASE chunk_ord % 2 WHEN 0 THEN 'low_score' ELSE 'duplicate' END AS why FROM typed WHERE chunk_ord % 7 = 0)
-SELECT 'accept_tier' AS dimension, tier AS value, count(*) AS n, NULL::DOUBLE AS rate FROM a GROUP BY 2 UNION ALL SELECT 'task_type', task_type, count(*), NULL FROM a GROUP BY 2 UNION ALL SELECT 'vehicle', vehicle_model, count(*), NULL FROM a GROUP BY 2
-UNION ALL SELECT 'reject_reason', why, count(*), NULL FROM r GROUP BY 2 UNION ALL SELECT 'pass_rate', 'all', (SELECT count(*) FROM a), round((SELECT count(*) FROM a)::DOUBLE / ((SELECT count(*) FROM a) + (SELECT count(*) FROM r)), 6)""",
-)
-def generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, n = _typed(spark, sf_dir), F.col("chunk_ord")
-    accepted = rows.where("chunk_ord % 5 = 0").select(F.when(n % 3 == 0, "strong").when(n % 3 == 1, "ok").otherwise("partial_ok").alias("accept_tier"), "task_type", F.col("vehicle_model").alias("model_id"))
-    rejected = rows.where("chunk_ord % 7 = 0").select(F.when(n % 2 == 0, "low_score").otherwise("duplicate").alias("reject_reason"))
-    return export.report(accepted, rejected).withColumn("rate", F.round("rate", 6))
-
-
 _ACCEPT = ["strong", "single_chunk_full", "ok", "partial_ok"]
 
 
 @t.query(
-    "generation_report_whole",
-    f"""WITH {_TYPED}, {_GATE}, j AS (SELECT typed.*, verdict FROM typed JOIN gated ON doc_id = chunk_ord), a AS (SELECT * FROM j WHERE verdict IN ('strong', 'single_chunk_full', 'ok', 'partial_ok')), r AS (SELECT * FROM j WHERE verdict NOT IN ('strong', 'single_chunk_full', 'ok', 'partial_ok'))
+    "generation_report",
+    f"""WITH {TYPED}, {_GATE}, j AS (SELECT typed.*, verdict FROM typed JOIN gated ON doc_id = chunk_ord), a AS (SELECT * FROM j WHERE verdict IN ('strong', 'single_chunk_full', 'ok', 'partial_ok')), r AS (SELECT * FROM j WHERE verdict NOT IN ('strong', 'single_chunk_full', 'ok', 'partial_ok'))
 SELECT 'accept_tier' AS dimension, verdict AS value, count(*) AS n, NULL::DOUBLE AS rate FROM a GROUP BY 2 UNION ALL SELECT 'task_type', task_type, count(*), NULL FROM a GROUP BY 2 UNION ALL SELECT 'vehicle', vehicle_model, count(*), NULL FROM a GROUP BY 2
 UNION ALL SELECT 'reject_reason', verdict, count(*), NULL FROM r GROUP BY 2 UNION ALL SELECT 'pass_rate', 'all', (SELECT count(*) FROM a), round((SELECT count(*) FROM a)::DOUBLE / (SELECT count(*) FROM j), 6)""",
 )
-def generation_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+def generation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every row is accepted or rejected, by its verdict."""
     rows = _typed(spark, sf_dir).join(_gated(spark, sf_dir).select(F.col("qid").alias("chunk_ord"), "verdict"), "chunk_ord")
     good = F.col("verdict").isin(_ACCEPT)
@@ -251,7 +237,7 @@ def generation_report_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return export.report(accepted, rejected).withColumn("rate", F.round("rate", 6))
 
 
-@t.query("sample_meta", f"WITH {_TYPED} SELECT qid, chunk_id AS seed_chunk_id, md5(substring(replace({t.sql_strip('text')}, chr(10), ' '), 1, 50)) AS seed_preview, substring(sha256(text), 1, 12) AS text_print FROM typed")
+@t.query("sample_meta", f"WITH {TYPED} SELECT qid, chunk_id AS seed_chunk_id, md5(substring(replace({t.sql_strip('text')}, chr(10), ' '), 1, 50)) AS seed_preview, substring(sha256(text), 1, 12) AS text_print FROM typed")
 def sample_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _typed(spark, sf_dir).select("qid", F.col("chunk_id").alias("seed_chunk_id"), F.md5(preview(F.col("text"))).alias("seed_preview"), fingerprint(F.col("text")).alias("text_print"))
 
@@ -283,27 +269,33 @@ def corpus_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stub() -> Callable[[str], str]:
-    """A completion function for tests: echoes the prompt's first words as JSON in prose; fails on some prompts."""
+    """A completion function for tests: echoes the prompt's first words as JSON in prose, for even numbers once it is asked again; fails on some prompts, and has no JSON for others."""
+    seen: dict[str, int] = {}
 
     def ask(prompt: str) -> str:
-        if prompt.startswith("7"):
+        first = prompt.split("\n")[0]
+        seen[first] = seen.get(first, 0) + 1
+        if first.startswith("7"):
             raise ValueError("no answer")
-        return f'Sure: {{"question": "{prompt.split(chr(10))[0][:40]}", "label": "full"}} done'
+        if first.startswith("9") or (int(first.split(" ")[0]) % 2 == 0 and seen[first] == 1):
+            return "let me think {"
+        return f'Sure: {{"question": "{first[:40]}", "label": "full"}} done'
 
     return ask
 
 
 @t.query(
     "parse_responses",
-    r"""SELECT doc_id, CASE WHEN starts_with(doc_id::VARCHAR, '7') THEN NULL ELSE doc_id::VARCHAR || ' ' || lang END AS question, CASE WHEN starts_with(doc_id::VARCHAR, '7') THEN 'no' ELSE 'full' END AS label,
-(CASE WHEN starts_with(doc_id::VARCHAR, '7') THEN 3 ELSE 1 END)::INT AS attempts, starts_with(doc_id::VARCHAR, '7') AS failed FROM documents""",
+    r"""WITH k AS (SELECT doc_id, lang, starts_with(doc_id::VARCHAR, '7') AS dead, starts_with(doc_id::VARCHAR, '9') AS bare FROM documents)
+SELECT doc_id, CASE WHEN NOT dead AND NOT bare THEN doc_id::VARCHAR || ' ' || lang END AS question, CASE WHEN dead OR bare THEN 'no' ELSE 'full' END AS label, (CASE WHEN dead OR bare THEN 3 WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END)::INT AS attempts,
+CASE WHEN dead THEN 'ValueError: no answer' WHEN bare THEN 'no JSON object in the answer' END AS error FROM k""",
 )
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = t.table(spark, sf_dir, "documents").select("doc_id", completion.render("{id} {lang}\n{text}", id=F.col("doc_id"), lang=F.col("lang"), text=F.col("text")).alias("prompt"))
     # responses are written before use: a replayed task would ask the model again
-    asked = written(completion.complete(prompts, _stub), "responses")
-    fields = F.from_json(completion.extract_json(F.col("response")), "question string, label string, conflict boolean")
-    return asked.withColumn("found", fields).select("doc_id", F.col("found.question").alias("question"), F.coalesce("found.label", F.lit("no")).alias("label"), "attempts", F.col("error").isNotNull().alias("failed"))
+    asked = written(completion.complete_json(prompts, _stub), "responses")
+    fields = F.from_json("found", "question string, label string, conflict boolean")
+    return asked.withColumn("said", fields).select("doc_id", F.col("said.question").alias("question"), F.coalesce("said.label", F.lit("no")).alias("label"), "attempts", "error")
 
 
 def _embedder() -> Callable[[list[str]], list[list[float]]]:
@@ -334,7 +326,7 @@ POOLS = {"plain": ["Answer.", "Say what the text says."], "steps": ["List the st
 
 @t.query(
     "instruction_variants",
-    f"""WITH {_TYPED}, p AS (SELECT qid, {"CASE task_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in POOLS.items()) + f" ELSE {POOLS['plain']} END"} AS pool FROM typed)
+    f"""WITH {TYPED}, p AS (SELECT qid, {"CASE task_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in POOLS.items()) + f" ELSE {POOLS['plain']} END"} AS pool FROM typed)
 SELECT qid, pool[1 + ('0x' || md5(qid)[1:8])::BIGINT % len(pool)] AS instruction FROM p""",
 )
 def instruction_variants(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,12 @@ from quarryline.operators.export import ordered
 from quarryline.sources.scratch import shared_path, written
 
 
-@t.query("bm25_stats", f"WITH {t.CHUNKS}, {t.QUESTIONS}, {t.BM25} SELECT term, df, round(idf, 6) AS idf FROM idfs")
+@t.query(
+    "bm25_stats",
+    f"""WITH {t.CHUNKS}, dfs AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({t.TOKENS.format("text")})) AS term FROM chunks) GROUP BY term),
+raws AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM chunks) - df + 0.5) - ln(df + 0.5) AS r FROM dfs)
+SELECT term, df, round(CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raws) ELSE r END, 6) AS idf FROM raws""",
+)
 def bm25_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = t.chunks(spark, sf_dir)
     return bm25.term_statistics(rows).select("term", "df", F.round("idf", 6).alias("idf"))
@@ -78,17 +83,11 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @t.query(
     "hybrid_boosted",
-    f"""WITH {_FUSED}, w AS (SELECT query_id, list_filter({t.TOKENS.format("question")}[1:4], lambda x: length(x) >= 2) AS ws FROM questions),
+    f"""WITH {_FUSED}, w AS (SELECT query_id, list_filter({t.TOKENS.format("question")}, lambda x: length(x) >= 2) AS ws FROM questions),
 b AS (SELECT query_id, chunk_id, rank AS was, score * CASE WHEN len(list_filter(ws, lambda x: contains(lower(section_path), x))) > 0 THEN 1.5 ELSE 1 END AS score FROM fused JOIN chunks USING (chunk_id) JOIN w USING (query_id))
 SELECT query_id, chunk_id, round(score, 9) AS score, (row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, was))::INT AS rank FROM b""",
 )
 def hybrid_boosted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _boosted(spark, sf_dir, F.slice(tokens(F.col("question")), 1, 4))
-
-
-@t.query("hybrid_boosted_whole", t.SQL["hybrid_boosted"].replace("[1:4]", ""))
-def hybrid_boosted_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All words of a question count."""
     return _boosted(spark, sf_dir, tokens(F.col("question")))
 
 
@@ -194,9 +193,6 @@ def route_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.table(spark, sf_dir, "documents").select("doc_id", F.array_join(found, ",").alias("models"))
 
 
-t.query("route_models_whole", t.SQL["route_models"])(route_models)
-
-
 @t.query(
     "file_models",
     "SELECT source AS file, count(*) AS docs, CASE WHEN source IN ('src3', 'src7') THEN NULL ELSE 'M-' || source END AS model_id FROM documents GROUP BY 1",
@@ -210,7 +206,7 @@ def file_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TURNS = """said AS (SELECT conv_id, turn, role, text, lead(role) OVER w AS after, lead(text) OVER w AS answer FROM conversations WHERE role IN ('user', 'assistant') WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 turns AS (SELECT conv_id AS session_id, turn, text AS question, answer FROM said WHERE role = 'user' AND after = 'assistant'),
-uses AS (SELECT session_id, turn, unnest(range(4))::INT AS pos FROM turns), used AS (SELECT session_id, turn, pos, ((session_id * 7 + turn * 3 + pos * 5) % 30)::VARCHAR AS chunk_id FROM uses)"""
+uses AS (SELECT session_id, turn, unnest(range(4))::INT AS pos FROM turns), used AS (SELECT session_id, turn, pos, ((session_id * 7919 + turn * 104729 + pos * 1299709) % (SELECT max(doc_id) + 1 FROM documents WHERE text IS NOT NULL))::VARCHAR AS chunk_id FROM uses)"""
 _CACHE = (
     _TURNS
     + """, lst AS (SELECT t.session_id, t.turn, chunk_id, max(u.turn * 100 + pos) AS at0 FROM turns t JOIN used u ON u.session_id = t.session_id AND u.turn < t.turn GROUP BY ALL),
@@ -224,8 +220,11 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of chunks of the whole table: ids are multiplied by primes, so that few sessions too use chunks from all of it."""
+    n = t.chunks(spark, sf_dir).agg((F.max("chunk_ord") + 1).alias("n_chunks"))
     turns = _turns(spark, sf_dir)
-    uses = turns.select("session_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).withColumn("chunk_id", ((F.col("session_id") * 7 + F.col("turn") * 3 + F.col("pos") * 5) % 30).cast("string"))
+    used = (F.col("session_id") * 7919 + F.col("turn") * 104_729 + F.col("pos") * 1_299_709) % F.col("n_chunks")
+    uses = turns.select("session_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).join(F.broadcast(n)).withColumn("chunk_id", used.cast("string")).drop("n_chunks")  # n has one row
     return sessions.cache_before(turns, uses, 6)
 
 
@@ -267,50 +266,16 @@ def section_hints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @t.query(
     "cache_reuse",
-    f"""WITH {_CACHE}, q AS (SELECT session_id, turn, embedding::DOUBLE[] AS e FROM turns JOIN embeddings ON vec_id = (session_id * 13 + turn) % 200),
+    f"""WITH {_CACHE}, q AS (SELECT session_id, turn, embedding::DOUBLE[] AS e FROM turns JOIN embeddings ON vec_id = (session_id * 7919 + turn * 104729) % (SELECT max(vec_id) + 1 FROM embeddings)),
 s AS (SELECT session_id, turn, chunk_id, cache_pos, round(list_dot_product(v.embedding::DOUBLE[], q.e), 9) AS score FROM cache JOIN embeddings v ON v.vec_id::VARCHAR = chunk_id JOIN q USING (session_id, turn)),
 r AS (SELECT *, row_number() OVER (PARTITION BY session_id, turn ORDER BY score DESC, cache_pos) AS rank FROM s WHERE score >= 0.1) SELECT session_id, turn, chunk_id, score, rank::INT AS rank FROM r WHERE rank <= 3""",
 )
 def cache_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vecs = t.table(spark, sf_dir, "embeddings")
-    asked = _turns(spark, sf_dir).withColumn("vec_id", (F.col("session_id") * 13 + F.col("turn")) % 200).join(vecs, "vec_id").select("session_id", "turn", "embedding")
-    return sessions.cache_reuse(_cache(spark, sf_dir), asked, vecs.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), 0.1)
-
-
-#: Ids over the whole table: multiplied by primes, so that few sessions too use chunks from all of it.
-_USED = "((session_id * 7919 + turn * 104729 + pos * 1299709) % (SELECT max(doc_id) + 1 FROM documents WHERE text IS NOT NULL))"
-
-
-def _whole_sql(name: str) -> str:
-    sql = t.SQL[name].replace("((session_id * 7 + turn * 3 + pos * 5) % 30)", _USED)
-    return sql.replace("(session_id * 13 + turn) % 200", "(session_id * 7919 + turn * 104729) % (SELECT max(vec_id) + 1 FROM embeddings)")
-
-
-def _whole_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = t.chunks(spark, sf_dir).agg((F.max("chunk_ord") + 1).alias("n_chunks"))
-    turns = _turns(spark, sf_dir)
-    used = (F.col("session_id") * 7919 + F.col("turn") * 104_729 + F.col("pos") * 1_299_709) % F.col("n_chunks")
-    uses = turns.select("session_id", "turn", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("pos")).join(F.broadcast(n)).withColumn("chunk_id", used.cast("string")).drop("n_chunks")  # n has one row
-    return sessions.cache_before(turns, uses, 6)
-
-
-@t.query("lru_cache_whole", _whole_sql("lru_cache"))
-def lru_cache_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _whole_cache(spark, sf_dir)
-
-
-@t.query("section_hints_whole", _whole_sql("section_hints"))
-def section_hints_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sessions.section_hints(_whole_cache(spark, sf_dir), t.chunks(spark, sf_dir)).withColumn("hints", F.array_join("hints", "|"))
-
-
-@t.query("cache_reuse_whole", _whole_sql("cache_reuse"))
-def cache_reuse_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     vecs = t.table(spark, sf_dir, "embeddings")
     n = vecs.agg((F.max("vec_id") + 1).alias("n_vectors"))
     asked = _turns(spark, sf_dir).join(F.broadcast(n)).withColumn("vec_id", (F.col("session_id") * 7919 + F.col("turn") * 104_729) % F.col("n_vectors"))  # n has one row
     asked = asked.join(vecs, "vec_id").select("session_id", "turn", "embedding")
-    return sessions.cache_reuse(_whole_cache(spark, sf_dir), asked, vecs.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), 0.1)
+    return sessions.cache_reuse(_cache(spark, sf_dir), asked, vecs.select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding"), 0.1)
 
 
 def _verifier():  # noqa: ANN202
@@ -361,7 +326,8 @@ def model_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Names that questions may hold, none of which can share a letter with another in a text, and the models that they stand for.
 NAMES = [("src1", "tion"), ("src2", "der"), ("src3", "ing"), ("src4", "qu")]
-_LIST = """{0}v AS (SELECT query_id, no, chunk_id, score, rank FROM (SELECT v.query_id, no, v.chunk_id, v.score, row_number() OVER (PARTITION BY v.query_id, no ORDER BY v.score DESC, v.chunk_id) AS rank
+#: The fused list of one path for each target, in SQL: name, vectors' list, words' scores, both weights, size.
+LISTS = """{0}v AS (SELECT query_id, no, chunk_id, score, rank FROM (SELECT v.query_id, no, v.chunk_id, v.score, row_number() OVER (PARTITION BY v.query_id, no ORDER BY v.score DESC, v.chunk_id) AS rank
   FROM {1} v JOIN chunks c USING (chunk_id) JOIN aims a ON a.query_id = v.query_id AND (target IS NULL OR target = c.vehicle_model) WHERE v.rank <= 60) WHERE rank <= 20),
 {0}b AS (SELECT query_id, no, chunk_id, rank FROM (SELECT b.query_id, no, b.chunk_id, row_number() OVER (PARTITION BY b.query_id, no ORDER BY round(b.score, 9) DESC, chunk_ord) AS rank
   FROM {2} b JOIN chunks c USING (chunk_id) JOIN aims a ON a.query_id = b.query_id AND (target IS NULL OR target = c.vehicle_model)) WHERE rank <= 20),
@@ -373,9 +339,9 @@ aims AS (SELECT query_id, unnest(ms) AS target, unnest(range(len(ms))) AS no FRO
 kq AS (SELECT query_id, array_to_string(list_filter({t.TOKENS.format("question")}, lambda x: length(x) >= 6), ',') AS keyword FROM questions),
 kasked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({t.TOKENS.format("keyword")}) AS term FROM kq) GROUP BY ALL),
 kbm AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dls)))) AS score FROM post JOIN kasked USING (term) JOIN idfs USING (term) JOIN dls USING (chunk_id) GROUP BY ALL),
-kqv AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS e FROM benchmark JOIN embeddings ON vec_id = (item_id * 7 + 1) % (SELECT max(vec_id) + 1 FROM embeddings) WHERE item_id IN (SELECT vec_id FROM embeddings)),
+kqv AS (SELECT item_id AS query_id, embedding::DOUBLE[] AS e FROM benchmark JOIN embeddings ON vec_id = (item_id * 7 + 1) % (SELECT max(vec_id) + 1 FROM embeddings)),
 kvtop AS (SELECT * FROM (SELECT query_id, chunk_id, round(list_dot_product(kqv.e, cv.e), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(list_dot_product(kqv.e, cv.e), 9) DESC, chunk_id) AS rank FROM kqv CROSS JOIN cv) WHERE rank <= 60),
-{_LIST.format("r", "vtop", "bm", 0.6, 0.4, 5)}, {_LIST.format("k", "kvtop", "kbm", 0.4, 0.6, 2)},
+{LISTS.format("r", "vtop", "bm", 0.6, 0.4, 5)}, {LISTS.format("k", "kvtop", "kbm", 0.4, 0.6, 2)},
 kboost AS (SELECT kf.query_id, no, chunk_id, rank, score * CASE WHEN len(list_filter(string_split(keyword, ','), lambda w: length(w) >= 2 AND contains(lower(section_path), w))) > 0 THEN 1.1 ELSE 1 END AS score FROM kf JOIN chunks USING (chunk_id) JOIN kq USING (query_id)),
 rp AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY no, rank) AS rank FROM rf),
 kr AS (SELECT query_id, no, chunk_id, score, row_number() OVER (PARTITION BY query_id, no ORDER BY round(score, 9) DESC, rank) AS rank FROM kboost),
@@ -386,10 +352,12 @@ merged AS (SELECT mr.*, coalesce(kv.score, rv.score) AS sim FROM mr JOIN named U
 kept AS (SELECT query_id, chunk_id, rank, coalesce(sim, score) AS score, chunk_id::BIGINT % 11 = 0 OR chunk_id::BIGINT % 3 <> 0 AS yes FROM merged WHERE NOT coalesce(sim < 0.2, false)),
 vn AS (SELECT *, sum(yes::INT) OVER (PARTITION BY query_id) AS nk, row_number() OVER (PARTITION BY query_id, yes ORDER BY round(score, 9) DESC, rank) AS nth FROM kept),
 verified AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM vn WHERE yes OR nk = 0 OR nth <= 2 - nk),
-asked2 AS (SELECT query_id, question, no, target, list_distinct(list_filter({t.TOKENS.format("question")}, lambda x: length(x) >= 2)) AS words FROM questions JOIN aims USING (query_id)),
-parts2 AS (SELECT p.*, list_filter(string_split(lower(path), '>'), lambda x: x <> '') AS pp, lower(path || '>' || title) AS hay FROM paths p),
+parts2 AS (SELECT p.*, list_filter(string_split(lower(path), '>'), lambda x: x <> '') AS pp, lower(path || '>' || title) AS hay FROM (SELECT *, lead(level) OVER (PARTITION BY source_file ORDER BY ord) AS after FROM paths) p WHERE after IS NULL OR after <= level),
+every AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS mno FROM (SELECT DISTINCT vehicle_model AS m FROM parts2 WHERE vehicle_model IS NOT NULL)),
+caims AS (SELECT query_id, target, no FROM aims WHERE target IS NOT NULL UNION ALL SELECT query_id, m, mno FROM aims CROSS JOIN every WHERE target IS NULL),
+asked2 AS (SELECT query_id, question, no, target, list_distinct(list_filter({t.TOKENS.format("question")}, lambda x: length(x) >= 2)) AS words FROM questions JOIN caims USING (query_id)),
 raw2 AS (SELECT a.query_id, a.no, a.question, p.*, coalesce(list_sum(list_transform(words, lambda w: (CASE WHEN contains(hay, w) THEN 1 ELSE 0 END) + 2 * len(list_filter(pp, lambda x: contains(x, w) OR contains(w, x))))), 0)::DOUBLE AS m
-  FROM asked2 a JOIN parts2 p ON a.target IS NULL OR a.target = p.vehicle_model WHERE len(words) > 0),
+  FROM asked2 a JOIN parts2 p ON a.target = p.vehicle_model WHERE len(words) > 0),
 best2 AS (SELECT *, round(m + length(path) * 0.01 - CASE WHEN contains(path, 'The') AND NOT contains(question, 'The') THEN 3 ELSE 0 END, 6) AS es FROM raw2),
 sel AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY no, p0) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id, no ORDER BY es DESC, ord, source_file) AS p0 FROM best2 WHERE es > 0) WHERE p0 <= 3),
 sel2 AS (SELECT sel.*, (SELECT arg_min(page, ord) FROM toc o WHERE o.source_file = sel.source_file AND o.ord > sel.ord AND o.level <= sel.level) AS nxt FROM sel),
@@ -411,8 +379,8 @@ def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
     last = vecs.agg((F.max("vec_id") + 1).alias("n"))
     questions = t.questions(spark, sf_dir).select("query_id", "question").join(F.broadcast(last))  # one row
     questions = questions.withColumns({"rewritten": F.col("question"), "keyword": F.array_join(F.filter(tokens(F.col("question")), lambda x: F.length(x) >= 6), ","), "models": routing.route(F.col("question"), F.lit(None).cast("string"), NAMES), "other": (F.col("query_id") * 7 + 1) % F.col("n")})
-    asked = questions.join(vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("rewritten_vector")), "query_id").join(vecs.select(F.col("vec_id").alias("other"), F.col("embedding").alias("keyword_vector")), "other").drop("other", "n")
-    entries = toc.toc_paths(t.toc(spark, sf_dir))
+    asked = questions.join(vecs.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("rewritten_vector")), "query_id", "left").join(vecs.select(F.col("vec_id").alias("other"), F.col("embedding").alias("keyword_vector")), "other", "left").drop("other", "n")
+    entries = toc.with_leaves(toc.toc_paths(t.toc(spark, sf_dir)))
     entries = toc.page_ends(entries.join(F.broadcast(entries.agg(F.max("page").alias("max_page")))), F.col("max_page"), 4).withColumn("ord", F.struct("ord", "source_file"))  # one row
     prompt = lambda question, text: F.concat(text, F.lit("\n"), question)
     return retrieval.retrieve(written(asked, "asked"), t.chunks(spark, sf_dir), t.corpus_vectors(spark, sf_dir), written(entries, "entries"), _verifier, prompt, settings=retrieval.Settings(general=("The",)))

@@ -83,14 +83,14 @@ def toc(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("source").alias("vehicle_model"),
         n.alias("ord"),
         (1 + (5 * d + 3 * n) % 4).cast("int").alias("level"),
-        F.left("line", F.lit(20)).alias("title"),
+        F.col("line").alias("title"),
         (1 + F.floor(n / 2)).cast("int").alias("page"),
     )
 
 
 TOC = (
     LINES
-    + """, toc AS (SELECT doc_id::VARCHAR AS source_file, source AS vehicle_model, line_no AS ord, (1 + (5 * doc_id + 3 * line_no) % 4)::INT AS level, left(line, 20) AS title,
+    + """, toc AS (SELECT doc_id::VARCHAR AS source_file, source AS vehicle_model, line_no AS ord, (1 + (5 * doc_id + 3 * line_no) % 4)::INT AS level, line AS title,
   (1 + line_no // 2)::INT AS page FROM lines WHERE line <> '')"""
 )
 #: The stack of titles by recursion, row by row.
@@ -136,11 +136,11 @@ def sql_strip(x: str) -> str:
 
 TOKENS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
 BM25 = f"""tok AS (SELECT chunk_id, unnest({TOKENS.format("text")}) AS term FROM chunks),
-post AS (SELECT term, chunk_id, count(*) AS tf FROM tok GROUP BY ALL),
+post AS MATERIALIZED (SELECT term, chunk_id, count(*) AS tf FROM tok GROUP BY ALL),
 dls AS (SELECT chunk_id, len({TOKENS.format("text")}) AS dl FROM chunks),
 dfs AS (SELECT term, count(*) AS df FROM post GROUP BY term),
-raws AS (SELECT term, df, ln((SELECT count(*) FROM chunks) - df + 0.5) - ln(df + 0.5) AS r FROM dfs),
-idfs AS (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raws) ELSE r END AS idf FROM raws),
+raws AS MATERIALIZED (SELECT term, df, ln((SELECT count(*) FROM chunks) - df + 0.5) - ln(df + 0.5) AS r FROM dfs),
+idfs AS MATERIALIZED (SELECT term, df, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raws) ELSE r END AS idf FROM raws),
 asked AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({TOKENS.format("question")}) AS term FROM questions) GROUP BY ALL),
 bm AS (SELECT query_id, chunk_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avg(dl) FROM dls)))) AS score
   FROM post JOIN asked USING (term) JOIN idfs USING (term) JOIN dls USING (chunk_id) GROUP BY ALL),

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import query_tokens
-from quarryline.operators import bm25, fusion, toc, vectors, verify
+from quarryline.operators import bm25, fusion, matching, toc, vectors, verify
 from quarryline.sources.scratch import written
 
 
@@ -85,13 +85,13 @@ def contents(asked: DataFrame, aims: DataFrame, entries: DataFrame, chunks: Data
     empty. With ``leaf_only`` entries that have others below them aren't chosen."""
     other = lambda c: F.when(~F.col(c).eqNullSafe(F.col("question")), F.col(c))
     words = asked.select("query_id", "question", query_tokens(F.col("question"), other("keyword"), other("rewritten")).alias("words"))
-    listed = entries.where("is_leaf") if settings.leaf_only else entries
+    listed = entries.where("is_leaf") if settings.leaf_only else entries  # ``is_leaf``: see ``toc.leaves``
     models = listed.select(F.col("vehicle_model").alias("target")).distinct()
     # a question about no model asks each model's contents apart: one row for each of the models, which are few
     every = aims.where("target IS NULL").select("query_id").join(F.broadcast(models)).withColumn("target_no", F.dense_rank().over(Window.partitionBy("query_id").orderBy("target")) - 1)
     each = written(words.join(aims.where("target IS NOT NULL").select("query_id", "target_no", "target").unionByName(every.select("query_id", "target_no", "target")), "query_id").withColumnRenamed("target", "vehicle_model"), "entry-questions")
     if make is None:
-        best = toc.matched_entries(each, listed, settings.entries, list(settings.general))
+        best = matching.matched_entries(each, listed, settings.entries, list(settings.general))
     else:
         best = verify.select_entries(each, listed, make, settings.entries, general=list(settings.general))
     own = Window.partitionBy("query_id").orderBy("target_no", "position")

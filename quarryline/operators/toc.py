@@ -19,10 +19,15 @@ def toc_paths(toc: DataFrame, partition: str = "source_file", max_depth: int = 8
     return stack_paths(toc, partition, ["ord"], "level", "title", max_depth).drop("depth")
 
 
+def with_leaves(toc: DataFrame, partition: str = "source_file") -> DataFrame:
+    """Adds ``is_leaf``: whether the next entry isn't deeper."""
+    after = F.lead("level").over(Window.partitionBy(partition).orderBy("ord"))
+    return toc.withColumn("is_leaf", F.coalesce(after <= F.col("level"), F.lit(True)))
+
+
 def leaves(toc: DataFrame, partition: str = "source_file") -> DataFrame:
     """Entries whose next one isn't deeper."""
-    after = F.lead("level").over(Window.partitionBy(partition).orderBy("ord"))
-    return toc.withColumn("_leaf", F.coalesce(after <= F.col("level"), F.lit(True))).where("_leaf").drop("_leaf")
+    return with_leaves(toc, partition).where("is_leaf").drop("is_leaf")
 
 
 def page_ends(toc: DataFrame, max_page: Column, max_level: int, partition: str = "source_file") -> DataFrame:
@@ -34,53 +39,31 @@ def page_ends(toc: DataFrame, max_page: Column, max_level: int, partition: str =
     return toc.withColumn("_after", after).withColumn("end_page", F.when(F.col("_after").isNull(), max_page).otherwise(F.greatest(F.col("page"), F.col("_after") - 1))).drop("_after")
 
 
-def with_entry_score(met: DataFrame, words: Column, question: Column | None = None, general: list[str] | None = None) -> DataFrame:
-    """Adds ``match``: one for each word in path or title, two for each part of the path that a word lies in or that lies in a word, three less for each general
-    section that the question doesn't name (if a question is given)."""
-    parts = F.filter(F.split(F.lower("path"), ">"), lambda p: p != "")
-    # columns of their own that are read twice, so that no lambda computes them anew for each word
-    rows = met.withColumns({"_parts": parts, "_hay": F.lower(F.concat("path", F.lit(">"), "title")), "_words": words})
-    near = lambda t: F.size(F.filter("_parts", lambda p: F.contains(p, t) | F.contains(t, p)))
-    total = F.aggregate("_words", F.lit(0.0), lambda s, t: s + F.when(F.contains("_hay", t), 1.0).otherwise(0.0) + 2.0 * near(t))
-    total = F.when((F.size("_parts") >= 0) & (F.length("_hay") >= 0) & (F.size("_words") > 0), total).otherwise(0.0)
-    if question is not None:
-        for g in GENERAL if general is None else general:
-            total = total - F.when(F.contains("path", F.lit(g)) & ~F.contains(question, F.lit(g)), 3.0).otherwise(0.0)
-    return rows.withColumn("match", total).drop("_parts", "_hay", "_words")
-
-
-def catalogue(met: DataFrame, words: Column, most: int = 80) -> DataFrame:
-    """Of entries joined with queries (``query_id, words, path, title, level, page, ord``) the ``most`` of each query: by score where any entry matches,
-    else the deepest first; in order if the query has no words."""
-    best = with_entry_score(met, words)
-    top = best.groupBy("query_id").agg((F.max("match") > 0).alias("any"))  # a partial maximum, so that no task gathers a query's entries
-    rows = best.join(top, "query_id")
-    none = F.size(words) == 0
-    kind = F.when(none, 0).when(F.col("any"), 1).otherwise(2)
-    by = Window.partitionBy("query_id").orderBy(F.when(kind == 1, -F.round(F.col("match") + F.length("path") * 0.01, 6)).when(kind == 2, -F.col("level").cast("double")).otherwise(0.0), F.when(kind == 2, F.col("page")).otherwise(0), "ord")
-    return rows.where((kind != 1) | (F.col("match") > 0)).withColumn("position", F.row_number().over(by)).where(F.col("position") <= most).drop("match", "any")
-
-
-def keyword_match(met: DataFrame, words: Column, question: Column, most: int = 3, general: list[str] | None = None, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
-    """The ``most`` best entries for each query, or each of other columns, with ``score``; none for a query without words. As the path's length always counts, long paths come in
-    where no word matches."""
-    own = Window.partitionBy(*by).orderBy(F.col("score").desc(), "ord")
-    scored = with_entry_score(met.where(F.size(words) > 0), words, question, general)
-    return scored.withColumn("score", F.round(F.col("match") + F.length("path") * 0.01, 6)).drop("match").where("score > 0").withColumn("position", F.row_number().over(own)).where(F.col("position") <= most)
-
-
 def title_in_section(title: Column, section: Column) -> Column:
     t = strip(title)
     return (t != "") & (section != "") & (F.contains(section, t) | F.exists(F.split(section, ">"), lambda p: F.contains(p, t) | F.contains(t, p)))
 
 
+#: Bins of pages that an entry's range is cut into at most.
+BINS = 16
+
+
 def chunks_of_entries(selected: DataFrame, chunks: DataFrame, each: int = 2, partition: str = "source_file") -> DataFrame:
     """``query_id, chunk_id, position``: for each selected entry (``query_id, position, path, title, page, end_page``) the ``each`` best chunks in its
-    page range, those whose section fits the title or path first, then by page; cut first, then each chunk once."""
-    met = selected.join(chunks.select(partition, "chunk_id", "chunk_ord", F.col("page").alias("chunk_page"), "section_path"), partition).where("chunk_page BETWEEN page AND end_page")
+    page range, those whose section fits the title or path first, then by page; cut first, then each chunk once.
+
+    An entry is spread over the bins of pages that its range covers, of a width of its own, and meets the chunks of these bins alone; a chunk is in one bin of each
+    width that entries have, so each pair meets once.
+    """
+    width = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2((F.col("end_page") - F.col("page") + 1) / BINS)))).cast("long")
+    bins = F.sequence(F.expr("page div width"), F.expr("end_page div width"))
+    spread = selected.where("end_page >= page").withColumn("width", width).withColumn("bin", F.explode(bins))
+    widths = spread.select("width").distinct()  # powers of two: some dozens of rows at most
+    own = chunks.where("page IS NOT NULL").select(partition, "chunk_id", "chunk_ord", F.col("page").alias("chunk_page"), "section_path").join(F.broadcast(widths)).withColumn("bin", F.expr("chunk_page div width"))
+    met = spread.join(own, [partition, "width", "bin"]).where("chunk_page BETWEEN page AND end_page")
     fits = title_in_section(F.col("title"), F.col("section_path")) | title_in_section(F.col("path"), F.col("section_path"))
-    own = Window.partitionBy("query_id", "position").orderBy(F.when(fits, 0).otherwise(1), "chunk_page", "chunk_ord")
-    cut = met.withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= each)
+    best = Window.partitionBy("query_id", "position").orderBy(F.when(fits, 0).otherwise(1), "chunk_page", "chunk_ord")
+    cut = met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= each)
     return cut.groupBy("query_id", "chunk_id").agg(F.min(F.struct("position", "nth")).alias("place")).select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).alias("position"))
 
 

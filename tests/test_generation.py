@@ -87,6 +87,11 @@ def test_quality(spark):
     assert one(quality.unguarded(F.lit("高压部件"))) and not one(quality.unguarded(F.lit("高压部件，请联系服务中心")))
     fail = lambda out, ev="证据", foreign=(), ins="问", n=100: one(quality.first_failure(F.lit(ins), F.lit(out), F.lit(ev), F.lit(list(foreign)) if foreign else F.array().cast("array<string>"), F.lit(n)))
     assert fail("好") is None and fail("好", foreign=["m2"]) == "vehicle_conflict" and fail("9 bar") == "ungrounded_number" and fail("保险") == "insurance_warranty_mix"
+    none = F.array().cast("array<string>")
+    whole = lambda out, q, foreign=none, n=100: one(quality.failure(F.lit("问"), F.lit(out), F.lit("证据"), foreign, F.lit(n), question=F.lit(q)))
+    assert whole("好", " ") == ("field_incomplete", "") and whole("好", "问") is None and whole("好", None) == ("field_incomplete", "")
+    assert whole("9 bar", "q") == ("ungrounded_number", "nums=['9bar']") and whole("好", "q", F.array(F.lit("m2"))) == ("vehicle_conflict", "foreign=['m2']")
+    assert whole("永久", "q") == ("over_promise", "words=['永久']") and whole("好" * 9, "q", n=8) == ("length_out_of_bounds", "len=9")
     assert fail("起火") == "unsafe_danger_advice" and fail("永久") == "over_promise" and fail("") == "field_incomplete" and fail("好" * 9, n=8) == "length_out_of_bounds"
 
 
@@ -158,6 +163,20 @@ def test_complete(spark):
     for prompt, want in (("good", ("GOOD", None, 1)), ("bad", (None, "ValueError: no", 3)), ("flaky", ("FLAKY", None, 2))):
         r = completion.complete(spark.createDataFrame([(prompt,)], "prompt string"), make).first()
         assert (r.response, r.error, r.attempts) == want
+    def plain_first():
+        state = {"n": 0}
+
+        def ask(prompt):
+            state["n"] += 1
+            return "no idea" if prompt == "never" or state["n"] == 1 else 'well: {"a": "}"} so'
+
+        return ask
+
+    for prompt, want in (("later", ('{"a": "}"}', None, 2)), ("never", (None, "no JSON object in the answer", 3))):
+        r = completion.complete_json(spark.createDataFrame([(prompt,)], "prompt string"), plain_first).first()
+        assert (r.found, r.error, r.attempts) == want
+    rewritten = [completion.clean_rewrite(F.lit(x), F.lit("q")) for x in ("\n what else \nmore", " \n", None)]
+    assert tuple(spark.range(1).select(*rewritten).first()) == ("what else", "q", "q")
     shown = completion.render("a {x} b {y}.", x=F.lit(1), y=F.lit(None).cast("string"))
     entry = completion.context(F.lit(1), F.lit("m"), F.lit(None).cast("int"), F.lit("s"), F.lit("t"))
     clean = completion.clean_keyword(F.lit("关键词： tyre, oil\nmore"), F.lit("q"))

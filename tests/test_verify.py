@@ -31,19 +31,25 @@ def test_verify_chunks(spark):
 
 
 def test_select_entries(spark):
-    entries = [(1, "A", "A"), (2, "A>Oil", "Oil"), (3, "B>Tyres", "Tyres")]
-    questions = {"p": "which oil", "n": "tyres now", "k": "tyres", "x": "zzz"}
-    rows = [(q, i, path, title, i, text.split(), text) for q, text in questions.items() for i, path, title in entries]
-    listed = spark.createDataFrame(rows, "query_id string, position int, path string, title string, ord int, words array<string>, question string")
-    catalogue = "1. A\n2. A>Oil\n3. B>Tyres"
-    table = {f"which oil\n{catalogue}": "it is A>Oil", f"tyres now\n{catalogue}": "3, 1, 9", f"tyres\n{catalogue}": "无"}
-    got = {}
-    for r in verify.select_entries(listed, answers(table), 2).collect():
-        got.setdefault(r.query_id, set()).add((r.path, r.picked_by))
-    assert got["p"] == {("A>Oil", "path"), ("A", "path")} and got["n"] == {("A", "number"), ("B>Tyres", "number")}
-    # nothing named: by words, and as the path's length always counts two come for each
-    assert ("B>Tyres", "keyword") in got["k"] and len(got["k"]) == 2 and len(got["x"]) == 2
-    assert verify.select_entries(listed.where(F.lit(False)), answers(table)).count() == 0
+    """Path, number, keywords among what was shown, keywords among all: each stage takes what those before left."""
+    paths = ["A", "A>Oil", "B>Tyres", "C>Old tyres of all kinds"]
+    entries = spark.createDataFrame([(m, p, p.split(">")[-1], i, 1 + p.count(">"), i, i + 1) for m in ("m", "n") for i, p in enumerate(paths)], "vehicle_model string, path string, title string, ord int, level int, page int, end_page int")
+    questions = {"p": "which oil", "n": "tyres now", "k": "tyres", "x": "zzz", "f": "tyres fail", "e": ""}
+    asked = spark.createDataFrame([(q, "m", text.split(), text) for q, text in questions.items()], "query_id string, vehicle_model string, words array<string>, question string")
+    catalogue = {"which oil": "1. A>Oil\n2. C>Old tyres of all kinds", "tyres now": "1. C>Old tyres of all kinds\n2. B>Tyres", "tyres": "1. C>Old tyres of all kinds\n2. B>Tyres", "zzz": "1. A>Oil\n2. B>Tyres"}
+    table = {f"which oil\n{catalogue['which oil']}": "it is A>Oil", f"tyres now\n{catalogue['tyres now']}": "2, 1, 9", f"tyres\n{catalogue['tyres']}": "无", f"zzz\n{catalogue['zzz']}": "?"}
+    got: dict = {}
+    for r in verify.select_entries(asked, entries, answers(table), 2, listed=2).collect():  # "c" lies in "which"
+        got.setdefault(r.query_id, []).append((r.position, r.path, r.picked_by))
+        assert r.vehicle_model == "m" and r.end_page == r.page + 1
+    got = {q: sorted(v) for q, v in got.items()}
+    assert got["p"] == [(1, "A>Oil", "path")]
+    assert got["n"] == [(1, "B>Tyres", "number"), (2, "C>Old tyres of all kinds", "number")]
+    assert got["k"] == [(1, "C>Old tyres of all kinds", "keyword"), (2, "B>Tyres", "keyword")]
+    assert [x[1:] for x in got["x"]] == [("B>Tyres", "keyword"), ("A>Oil", "keyword")]  # only lengths count
+    assert got["f"] == [(1, "C>Old tyres of all kinds", "whole catalogue"), (2, "B>Tyres", "whole catalogue")]  # the call failed
+    assert "e" not in got
+    assert verify.select_entries(asked.where(F.lit(False)), entries, answers(table)).count() == 0
 
 
 def test_scratch(spark):
