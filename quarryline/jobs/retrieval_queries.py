@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
 from quarryline.jobs import tables as t
-from quarryline.operators import bm25, chunking, completion, evaluation, fusion, retrieval, routing, sessions, toc, vectors, verify
+from quarryline.operators import blockmax, bm25, chunking, completion, evaluation, fusion, retrieval, routing, sessions, toc, vectors, verify
 from quarryline.operators.export import ordered
 from quarryline.sources.scratch import shared_path, written
 
@@ -104,9 +104,11 @@ FROM (SELECT bm.*, doc_type, row_number() OVER (PARTITION BY query_id, doc_type
 )
 def hybrid_per_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every language is covered by two chunks, as every model of a question would be."""
-    rows = t.chunks(spark, sf_dir)
-    scored = bm25.scores(t.questions(spark, sf_dir), rows).join(rows.select("chunk_id", "chunk_ord", "doc_type"), "chunk_id")
-    return bm25.top_k(scored, 2, "chunk_ord", ["query_id", "doc_type"]).select("query_id", "doc_type", "chunk_id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+    rows, asked = t.chunks(spark, sf_dir), t.questions(spark, sf_dir)
+    kinds = rows.select(F.col("doc_type").alias("target")).distinct()
+    aims = asked.select("query_id").join(F.broadcast(kinds)).withColumn("target_no", F.dense_rank().over(Window.partitionBy("query_id").orderBy("target")))  # some languages
+    found = blockmax.best_chunks(asked, rows, 2, aims, group="doc_type").join(aims, ["query_id", "target_no"])
+    return found.select("query_id", F.col("target").alias("doc_type"), "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 @t.query(

@@ -81,8 +81,11 @@ def top_k(scored: DataFrame, k: int, order_col: str, by: list[str]) -> DataFrame
 def search(queries: DataFrame, chunks: DataFrame, k: int = 20, models: list[str] | None = None, doc_types: list[str] | None = None, pad_zero: bool = False, index: Index | None = None) -> DataFrame:
     """``query_id, chunk_id, score, rank``. ``chunks``: ``chunk_id, chunk_ord, text, vehicle_model, doc_type``; the filter comes after statistics over all
     chunks; none or an empty one keeps all. ``pad_zero`` fills lists up with chunks that share no term, in their order."""
+    from quarryline.operators.blockmax import best_chunks
     from quarryline.operators.fusion import metadata_filter
 
+    if index is None and not pad_zero:
+        return best_chunks(queries, metadata_filter(chunks, models, doc_types), k, statistics=chunks).drop("chunk_ord")
     facts = metadata_filter(chunks.select("chunk_id", "chunk_ord", "vehicle_model", "doc_type"), models, doc_types)
     found = scores(queries, index or chunks).join(facts, "chunk_id").select("query_id", "chunk_id", "chunk_ord", "score", F.lit(0).alias("padded"))
     if pad_zero:

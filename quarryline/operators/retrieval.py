@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import query_tokens
-from quarryline.operators import bm25, fusion, matching, toc, vectors, verify
+from quarryline.operators import blockmax, bm25, fusion, matching, toc, vectors, verify
 from quarryline.sources.scratch import written
 
 
@@ -63,8 +63,11 @@ def hybrid(asked: DataFrame, aims: DataFrame, chunks: DataFrame, corpus: DataFra
     known = by_vector.select("query_id", "chunk_id", F.col("score").alias("similarity"))
     if not use_words:
         return by_vector, known
-    scored = bm25.scores(asked.select("query_id", "question"), index or chunks)
-    by_word = _ranked(of_targets(scored, facts, aims), settings.candidates, F.round("score", 9).desc(), F.col("chunk_ord"))
+    if index is None:
+        by_word = blockmax.best_chunks(asked.select("query_id", "question"), _of_types(chunks, settings), settings.candidates, aims, chunks).drop("chunk_ord")
+    else:
+        scored = bm25.scores(asked.select("query_id", "question"), index)
+        by_word = _ranked(of_targets(scored, facts, aims), settings.candidates, F.round("score", 9).desc(), F.col("chunk_ord"))
     return fusion.reciprocal_rank_fusion([by_vector, by_word], [1 - weight, weight], k, by=("query_id", "target_no")), known
 
 
