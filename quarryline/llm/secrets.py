@@ -10,14 +10,16 @@ tokens need the recursion; all stretches of a batch are decoded in step. The res
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarryline.llm.buffers import mix64
+from quarryline.llm.buffers import batches_of, mix64
 from quarryline.llm.common import documents, text_of
 
 #: About so many documents are drawn by a hash of their id and text. Those of least hash are learned from: at most so many with base spans and so many
@@ -29,6 +31,8 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "crf")
 #: A text without any of these, in lower case, has no assignment.
 _KEYS = (b"passw", b"secret", b"token", b"api")
+#: Bytes of text searched at once.
+BATCH = 1 << 20
 _TAGS, _BUCKETS, _FEATURES = 3, 4096, 8
 BEGIN, INSIDE, OUTSIDE = 0, 1, 2
 
@@ -252,14 +256,22 @@ def find(texts: list[str], field: Field) -> list[list[tuple[int, str, int]]]:
     new = np.ones(len(hot), bool)
     new[1:] = (np.diff(hot) > 1) | (path[hot[1:]] == BEGIN) | (tokens.doc[hot[1:]] != tokens.doc[hot[:-1]])
     at = np.append(np.flatnonzero(new), len(hot))
+    added: dict[int, list[tuple[int, str, int]]] = {}
     for a, b in zip(at, at[1:], strict=False):
-        i = tokens.doc[hot[a]]
-        span = (int(tokens.starts[hot[a]] - tokens.offsets[i]), "crf", int(tokens.ends[hot[b - 1]] - tokens.offsets[i]))
-        if all(span[2] <= s or e <= span[0] for s, _, e in found[i]):
-            found[i].append(span)
+        i = int(tokens.doc[hot[a]])
+        added.setdefault(i, []).append((int(tokens.starts[hot[a]] - tokens.offsets[i]), "crf", int(tokens.ends[hot[b - 1]] - tokens.offsets[i])))
+    for i, spans in added.items():
+        found[i] += apart(spans, found[i])
     return [sorted(f, key=lambda s: (s[0], KINDS.index(s[1]))) for f in found]
 
 
+def apart(spans: list[tuple[int, str, int]], others: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """Those of ``spans``, which don't meet each other, that meet none of ``others``: of the others that begin before a span's end none ends after its start."""
+    others = sorted(others)
+    starts, ends = [s for s, _, _ in others], list(accumulate((e for _, _, e in others), max))
+    return [x for x in spans if not (k := bisect_left(starts, x[2])) or ends[k - 1] <= x[0]]
+
+
 def secret_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: ``doc_id, found`` (kind, start, end in code points, value), by start, then kind.
 
@@ -268,12 +280,10 @@ def secret_spans(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("value", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                some = batch.slice(lo, 256)
-                texts = some.column(1).to_pylist()
-                rows = [[{"kind": k, "start": a, "end": b, "value": t[a:b]} for a, k, b in f] for t, f in zip(texts, find(texts, field), strict=True)]
-                yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, kind)], ["doc_id", "found"])
+        for some in batches_of(batches, most=BATCH):
+            texts = some.column(1).to_pylist()
+            rows = [[{"kind": k, "start": a, "end": b, "value": t[a:b]} for a, k, b in f] for t, f in zip(texts, find(texts, field), strict=True)]
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(rows, kind)], ["doc_id", "found"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return rows.mapInArrow(run, "doc_id long, found array<struct<kind string, start long, end long, value string>>")

@@ -77,3 +77,12 @@ def test_query(spark, tmp_path):
         base = ",".join(x for _, _, x in plain_base(TEXTS[r.doc_id] if r.doc_id < 99 else ""))
         assert r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
         assert set(base.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_added_spans_meet_no_base_span():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        others = [(int(a), "hex", int(a + n)) for a, n in zip(rng.integers(0, 200, 12), rng.integers(1, 30, 12), strict=True)]
+        spans = [(k, "crf", k + int(rng.integers(1, 4))) for k in range(0, 240, 5)]
+        assert sc.apart(spans, others) == [x for x in spans if all(x[2] <= a or b <= x[0] for a, _, b in others)]
+    assert sc.apart([(0, "crf", 3)], []) == [(0, "crf", 3)]
