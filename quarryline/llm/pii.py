@@ -61,8 +61,8 @@ CUES = {
     "phone": r"(?i)\b(?:call|phone|tel|telephone|mobile|cell|fax|ring|t[eé]l|tel[eé]fono|handy)\b",
 }
 AGAINST = r"(?i)\b(?:version|isbn|issn|section|figure|table|chapter|page|order|invoice|serial|build|release)\W*$"
-#: Characters of context before a span, and matches before it that may be part of them: the shortest match has five characters, a phone three.
-LEFT, BEHIND = 40, 8
+#: Characters of context before a span, and matches before it that may be part of them: the shortest match, a phone, has four characters.
+LEFT, BEHIND = 40, 10
 LABELERS = ("pattern", "gazetteer", "context")
 #: Elements of an array that are folded one after another; blocks of so many are folded apart.
 BLOCK = 64

@@ -132,3 +132,13 @@ def test_dense(spark):
 
 def test_odd(spark, odd, none):
     assert pii.personal_data(odd).count() == odd.count() and pii.personal_data(none).count() == 0
+
+
+def test_context_is_whole_behind_many_short_matches(spark):
+    """Each match's 40 characters before it, however short the matches in them are."""
+    text = "".join(f"+{i % 10} {(i * 7) % 10}" for i in range(30))
+    hits = [(m.start(), m.end()) for m in re.finditer(r"\+[0-9] [0-9]", text)]
+    rows = pii.matches(F.col("text"), r"\+[0-9] [0-9]", F.lit(True))
+    frame = spark.createDataFrame([(text,)], "text string").withColumn("p", rows)
+    behind = F.transform("p", lambda _, i: F.right(F.array_join(F.transform(F.slice("p", F.greatest(i - pii.BEHIND, F.lit(0)) + 1, F.least(i, F.lit(pii.BEHIND))), lambda p: F.concat(p["tail"], p["hit"])), ""), F.lit(pii.LEFT)))
+    assert frame.select(behind).first()[0] == [text[max(0, a - 40) : a] for a, _ in hits]
