@@ -53,19 +53,38 @@ def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.heading_levels(t.blocks(spark, sf_dir)).select("source_file", "page", "block_no", "heading_level")
 
 
-@t.query(
-    "section_paths",
-    f"""WITH RECURSIVE {_LEVELS}, heads AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY page, block_no) AS rn FROM lev WHERE heading_level IS NOT NULL),
+_SECTIONS = f"""{_LEVELS}, heads AS (SELECT *, row_number() OVER (PARTITION BY source_file ORDER BY page, block_no) AS rn FROM lev WHERE heading_level IS NOT NULL),
 st AS (SELECT source_file, rn, block_no, [text] AS s FROM heads WHERE rn = 1
   UNION ALL SELECT h.source_file, h.rn, h.block_no, list_append(st.s[1:h.heading_level - 1], h.text) FROM st JOIN heads h ON h.source_file = st.source_file AND h.rn = st.rn + 1),
-lasth AS (SELECT l.source_file, l.page, l.block_no, max(h.block_no) AS hb FROM lev l LEFT JOIN heads h ON h.source_file = l.source_file AND h.block_no < l.block_no WHERE l.heading_level IS NULL GROUP BY ALL)
-SELECT l.source_file, l.page, l.block_no, coalesce(array_to_string(st.s, '>'), '正文') AS section_path FROM lasth l LEFT JOIN st ON st.source_file = l.source_file AND st.block_no = l.hb""",
-)
+lasth AS (SELECT l.source_file, l.page, l.block_no, l.text, max(h.block_no) AS hb FROM lev l LEFT JOIN heads h ON h.source_file = l.source_file AND h.block_no < l.block_no WHERE l.heading_level IS NULL GROUP BY ALL),
+sections AS (SELECT l.source_file, l.page, l.block_no, l.text, coalesce(array_to_string(st.s, '>'), '正文') AS section_path FROM lasth l LEFT JOIN st ON st.source_file = l.source_file AND st.block_no = l.hb)"""
+
+
+@t.query("section_paths", f"WITH RECURSIVE {_SECTIONS} SELECT source_file, page, block_no, section_path FROM sections")
 def section_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.section_paths(chunking.heading_levels(t.blocks(spark, sf_dir))).select("source_file", "page", "block_no", "section_path")
 
 
-@t.query("hierarchy_chunks")
+#: Block by block, then line by line: the group so far, and what ended at this step.
+_PACKED = f"""{_SECTIONS}, body AS MATERIALIZED (SELECT source_file, page, text, section_path AS path, row_number() OVER (PARTITION BY source_file ORDER BY page, block_no) AS rn FROM sections),
+steps AS (SELECT source_file, rn, page, path, text, NULL::INT AS end_page, NULL::VARCHAR AS end_path, NULL::VARCHAR AS end_text FROM body WHERE rn = 1
+  UNION ALL SELECT source_file, rn, CASE WHEN stays THEN least(was_page, page) ELSE page END, CASE WHEN stays THEN was_path ELSE path END, CASE WHEN stays THEN joined ELSE text END,
+   CASE WHEN stays THEN NULL WHEN meets THEN least(was_page, page) ELSE was_page END, CASE WHEN NOT stays THEN was_path END, CASE WHEN stays THEN NULL WHEN meets THEN joined ELSE was_text END
+  FROM (SELECT *, meets AND length(joined) <= 1500 AS stays FROM (SELECT b.*, s.page AS was_page, s.path AS was_path, s.text AS was_text, s.text || chr(10) || b.text AS joined, (b.path = s.path AND length(s.text) + 1 + length(b.text) <= 1500) OR length(s.text) < 200 AS meets
+   FROM steps s JOIN body b ON b.source_file = s.source_file AND b.rn = s.rn + 1))),
+made AS MATERIALIZED (SELECT source_file, 2 * rn AS seq, end_page AS page, end_path AS path, end_text AS text FROM steps WHERE end_text IS NOT NULL
+  UNION ALL SELECT source_file, 2 * rn + 1, page, path, text FROM steps JOIN (SELECT source_file, max(rn) AS rn FROM body GROUP BY 1) USING (source_file, rn)),
+rows_ AS MATERIALIZED (SELECT source_file, seq, unnest(range(len(ls))) AS ln, unnest(ls) AS line, len(ls) - 1 AS last FROM (SELECT *, string_split(text, chr(10)) AS ls FROM made WHERE length(text) > 1500)),
+cuts AS (SELECT source_file, seq, ln, line AS held, NULL::VARCHAR AS part FROM rows_ WHERE ln = 0
+  UNION ALL SELECT r.source_file, r.seq, r.ln, CASE WHEN c.held = '' OR length(c.held) + 1 + length(r.line) > 1500 THEN r.line ELSE c.held || chr(10) || r.line END, CASE WHEN c.held <> '' AND length(c.held) + 1 + length(r.line) > 1500 THEN c.held END
+  FROM cuts c JOIN rows_ r ON r.source_file = c.source_file AND r.seq = c.seq AND r.ln = c.ln + 1),
+parts_ AS (SELECT source_file, seq, 2 * ln AS nth, part AS text FROM cuts WHERE part IS NOT NULL UNION ALL SELECT source_file, seq, 2 * ln + 1, held FROM cuts JOIN (SELECT DISTINCT source_file, seq, last AS ln FROM rows_) USING (source_file, seq, ln)),
+packed AS (SELECT source_file, seq, 0 AS nth, page, path, text FROM made WHERE length(text) <= 1500
+  UNION ALL SELECT * FROM (SELECT p.source_file, p.seq, nth, page, path, {t.sql_strip("p.text")} AS text FROM parts_ p JOIN made m ON m.source_file = p.source_file AND m.seq = p.seq) WHERE text <> ''),
+numbered AS (SELECT *, (row_number() OVER (PARTITION BY source_file ORDER BY seq, nth) - 1)::INT AS chunk_no FROM packed)"""
+
+
+@t.query("hierarchy_chunks", f"WITH RECURSIVE {_PACKED} SELECT sha1(source_file || '|hierarchy|' || chunk_no) AS chunk_id, source_file, chunk_no, page, path AS section_path, length(text)::INT AS n_chars, md5(text) AS text_md5 FROM numbered")
 def hierarchy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = chunking.hierarchy_chunks(t.blocks(spark, sf_dir))
     return made.select(chunking.chunk_id(F.col("source_file"), "hierarchy", F.col("chunk_no")).alias("chunk_id"), "source_file", "chunk_no", "page", "section_path", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
