@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import matching, retrieval, sessions, toc
+from quarryline.operators import matching, retrieval, sessions, toc, vectors
 
 
 def plain_score(words, path, title):
@@ -121,3 +121,19 @@ def test_vectors_alone(spark):
     assert {r.chunk_id for r in both if r.query_id == 3} == {"2"}  # words alone, as it has no vector
     typed = retrieval.retrieve(asked, chunks.withColumn("doc_type", F.when(F.col("chunk_id") == "0", "u").otherwise("t")), corpus, settings=retrieval.Settings(doc_types=("u",))).where("stage = 'final'").collect()
     assert {r.chunk_id for r in typed} == {"0"}
+
+
+@pytest.mark.parametrize("block,held", [(4096, 100_000), (5, 30)])
+def test_nearest_in_one_block_or_on_a_grid(spark, monkeypatch, block, held):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", block)
+    monkeypatch.setattr(vectors, "VECTOR_BLOCK", held)
+    rng = random.Random(5)
+    corpus = [(f"c{i}", [rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)]) for i in range(150)]  # many ties
+    asked = [(i, [rng.choice([-1.0, 0.5, 1.0]) for _ in range(4)]) for i in range(17)]
+    got = vectors.search(spark.createDataFrame(asked, "query_id long, embedding array<float>"), spark.createDataFrame([(c, e, "m", "t") for c, e in corpus], "chunk_id string, embedding array<float>, vehicle_model string, doc_type string").repartition(4), 5)
+    want = set()
+    for q, a in asked:
+        best = sorted((-round(sum(x * y for x, y in zip(a, e, strict=True)), 9), c) for c, e in corpus)[:5]
+        want |= {(q, c, -s, i) for i, (s, c) in enumerate(best, 1)}
+    assert {tuple(r) for r in got.collect()} == want
+    assert vectors.nearest(spark.createDataFrame([], "query_id long, embedding array<float>"), spark.createDataFrame([("c", [1.0])], "chunk_id string, embedding array<float>"), 3).count() == 0
