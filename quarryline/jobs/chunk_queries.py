@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from quarryline.functions.text import query_tokens, strip
 from quarryline.jobs import tables as t
 from quarryline.operators import chunking, export, matching, toc, verify
+from quarryline.sources import corpus
+from quarryline.sources.scratch import shared_path
 
 
 def _page_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -259,3 +261,37 @@ def bookmark_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompt = lambda question, catalogue: F.concat_ws("\n", F.length(question).cast("string"), catalogue)
     picked = verify.select_entries(_asked(spark, sf_dir), _entries(spark, sf_dir), _selector, general=["The"], prompt=prompt)
     return picked.select("query_id", F.col("ord.source_file").alias("source_file"), F.col("ord.ord").alias("ord"), "picked_by", F.col("position").cast("int").alias("position"))
+
+
+@t.query("blocks_read", f"WITH {t.BLOCKS} SELECT source_file, page, block_no, md5(text) AS text_md5, font_size, is_bold FROM blocks WHERE {t.sql_strip("text")} <> ''")
+def blocks_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parsed blocks written and read back without the blank ones."""
+    path = shared_path(spark, "blocks")
+    t.blocks(spark, sf_dir).select("source_file", "page", "block_no", "text", "font_size", "is_bold").write.parquet(path)
+    return corpus.read_blocks(spark, path).withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@t.query(
+    "corpus_json",
+    f"""WITH {t.LINES} SELECT doc_id || ':' || line_no AS chunk_id, md5(line) AS text_md5, coalesce(source, '') AS vehicle_model, '' AS doc_type, CASE WHEN line_no % 3 > 0 THEN (1 + line_no)::INT END AS page, 's' || line_no % 7 AS section_path FROM lines""",
+)
+def corpus_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column-oriented corpora, one for each document, of its lines; missing facts are empty."""
+    n = F.col("line_no")
+    fact = {"chunk_id": F.lit(None), "vehicle_model": F.col("source"), "doc_type": F.lit(None), "source_file": F.lit(None), "page": F.when(n % 3 > 0, 1 + n), "section_path": F.concat(F.lit("s"), (n % 7).cast("string"))}
+    meta = F.struct(*[c.cast("int" if k == "page" else "string").alias(k) for k, c in fact.items()], F.array().cast("array<string>").alias("image_refs"))
+    rows = t.lines(spark, sf_dir).select("doc_id", F.struct(n, F.concat_ws(":", "doc_id", "line_no").alias("id"), "line", meta.alias("meta")).alias("r"))
+    one = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rs"))  # a document's lines
+    path = shared_path(spark, "corpora")
+    one.select(F.col("rs.id").alias("chunk_ids"), F.col("rs.line").alias("texts"), F.col("rs.meta").alias("metadatas")).write.json(path)
+    return corpus.read_corpus_json(spark, path, lines=True).withColumn("text_md5", F.md5("text")).drop("text")
+
+
+@t.query("toc_roundtrip", f"WITH RECURSIVE {t.TOC_PATHS} SELECT source_file, vehicle_model, ord, level, title, page, path FROM paths")
+def toc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contents written to two folders, as of two runs, and read back one after another."""
+    rows = toc.toc_paths(t.toc(spark, sf_dir))
+    paths = [shared_path(spark, "toc") for _ in range(2)]
+    for i, path in enumerate(paths):
+        corpus.write_toc(rows.where(F.pmod(F.crc32("source_file"), F.lit(2)) == i), path)
+    return corpus.read_toc(spark, paths)

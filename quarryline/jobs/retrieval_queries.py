@@ -392,3 +392,49 @@ def _job(spark: SparkSession, sf_dir: str) -> DataFrame:
 def retrieval_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each question from its words to its evidence, stage by stage."""
     return _job(spark, sf_dir).withColumn("score", F.round("score", 6))
+
+
+@t.query(
+    "retrieval_vectors",
+    f"""WITH {t.CHUNKS}, {t.VECTORS}, {t.QUESTIONS},
+named AS (SELECT query_id, list_filter([{", ".join(f"CASE WHEN contains(lower(regexp_replace(question, '{t.SPACE}', '', 'g')), '{a}') THEN '{m}' END" for m, a in NAMES)}], lambda x: x IS NOT NULL) AS ms FROM questions),
+aims AS (SELECT query_id, unnest(ms) AS target, unnest(range(len(ms)))::INT AS no FROM named UNION ALL SELECT query_id, NULL, 0 FROM named WHERE len(ms) = 0)
+SELECT query_id, target_no, chunk_id, score, rank::INT AS rank FROM (SELECT v.query_id, no AS target_no, v.chunk_id, v.score, row_number() OVER (PARTITION BY v.query_id, no ORDER BY v.score DESC, v.chunk_id) AS rank
+  FROM vtop v JOIN chunks c USING (chunk_id) JOIN aims a ON a.query_id = v.query_id AND (target IS NULL OR target = c.vehicle_model) WHERE v.rank <= 15) WHERE rank <= 5""",
+)
+def retrieval_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rewritten path without words: similarities, for each model that a question names."""
+    vecs = t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
+    asked = t.questions(spark, sf_dir).withColumn("models", routing.route(F.col("question"), F.lit(None).cast("string"), NAMES)).join(vecs, "query_id", "left")
+    found, _ = retrieval.hybrid(asked.select("query_id", "question", "embedding"), retrieval.targets(asked), t.chunks(spark, sf_dir), t.corpus_vectors(spark, sf_dir), 5, 0.4, retrieval.Settings(), use_words=False)
+    return found.select("query_id", F.col("target_no").cast("int").alias("target_no"), "chunk_id", "score", "rank")
+
+
+@t.query(
+    "first_seen_chunks",
+    f"""WITH {t.CHUNKS}, m AS (SELECT chunk_id, min((item_id, chunk_id)) AS f FROM chunks JOIN benchmark b ON contains(lower(chunks.text), lower(b.text)) GROUP BY 1) SELECT chunk_id, row_number() OVER (ORDER BY f) AS place FROM m""",
+)
+def first_seen_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that hold any of the benchmark's texts, in the order in which they are found."""
+    found = evaluation.text_lookup(t.table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("case_id"), F.col("text").alias("needle")), t.chunks(spark, sf_dir))
+    return evaluation.first_seen(found, ["case_id", "chunk_id"])
+
+
+_PROMPTS = {"verify": "Question: {source}\n{text}\nRelevant?", "rewrite": "Said: {text}\nAsked: {lang} {doc_id}\nRewritten:"}
+
+
+@t.query(
+    "prompts",
+    r"""SELECT doc_id, md5('Question: ' || coalesce(source, '') || chr(10) || s || chr(10) || 'Relevant?') AS verify, md5('Said: ' || s || chr(10) || 'Asked: ' || coalesce(lang, '') || ' ' || doc_id || chr(10) || 'Rewritten:') AS rewrite
+FROM (SELECT *, CASE WHEN length(coalesce(text, '')) > 400 THEN left(text, 400) || '……' ELSE coalesce(text, '') END AS s FROM documents)""",
+)
+def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two prompts for each document, long texts shortened."""
+    rows = completion.prompts(t.table(spark, sf_dir, "documents"), _PROMPTS, {"text": (400, "……")})
+    return rows.select("doc_id", *[F.md5(c).alias(c) for c in _PROMPTS])
+
+
+@t.query("rewritten_lines", f"SELECT doc_id, md5(CASE WHEN s = '' THEN coalesce(source, '') ELSE s END) AS rewritten FROM (SELECT doc_id, source, coalesce({t.sql_strip("string_split(" + t.sql_strip("text") + ", chr(10))[1]")}, '') AS s FROM documents)")
+def rewritten_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A text as the answer to a request for a rewritten question: its first line, or the question."""
+    return t.table(spark, sf_dir, "documents").select("doc_id", F.md5(completion.clean_rewrite(F.col("text"), F.coalesce("source", F.lit("")))).alias("rewritten"))

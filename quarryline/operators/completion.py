@@ -54,6 +54,22 @@ def render(template: str, **columns: Column) -> Column:
     return F.concat(*[F.coalesce(columns[p].cast("string"), F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
 
 
+def shortened(text: Column, most: int, mark: str = "") -> Column:
+    """The first ``most`` characters, with ``mark`` where something is cut; nothing for null."""
+    text = F.coalesce(text, F.lit(""))
+    return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(mark))).otherwise(text)
+
+
+def prompts(rows: DataFrame, templates: dict[str, str], limits: dict[str, tuple[int, str]] | None = None) -> DataFrame:
+    """Adds a column for each of ``templates`` (name and text), of the columns that it names; those in ``limits`` (most characters, mark of a cut) are shortened."""
+    limits = limits or {}
+    out = rows
+    for name, template in templates.items():
+        used = {c for c in re.findall(r"\{(\w+)\}", template)}
+        out = out.withColumn(name, render(template, **{c: shortened(F.col(c).cast("string"), *limits[c]) if c in limits else F.col(c) for c in used}))
+    return out
+
+
 def complete(rows: DataFrame, make: Callable[[], Callable[[str], str]], prompt: str = "prompt", retries: int = 2, parse: Callable[[str], str | None] | None = None) -> DataFrame:
     """Adds ``response, error, attempts``: ``make`` gives the completion function once in each task; a call that fails is tried ``retries`` times more. With ``parse`` an answer of which
     it makes nothing has failed too, and what it makes of the last good one is added as ``found``; the last answer stays in ``response``."""

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import snippet, strip, tokens
+from quarryline.sources.scratch import written
 
 #: Texts to look up are broadcast up to this number and this many bytes in all; beyond either they are shuffled to the chunks that hold their rarest word.
 NEEDLES, NEEDLE_BYTES = 10_000, 64 << 20
@@ -43,6 +44,16 @@ def text_lookup(needles: DataFrame, chunks: DataFrame, needle_id: str = "case_id
     return met.select(needle_id, "chunk_id", "section_path", snippet(F.col("text"), F.col("needle")).alias("snippet"))
 
 
+def first_seen(found: DataFrame, order: list[str]) -> DataFrame:
+    """``chunk_id, place``: each chunk once, numbered in the order in which it is first seen (by the columns of ``order``). Only the chunks' first places are numbered, by range, so no task holds all."""
+    first = found.groupBy("chunk_id").agg(F.min(F.struct(*order)).alias("first"))
+    ranged = written(first.repartitionByRange("first", "chunk_id").sortWithinPartitions("first", "chunk_id").withColumn("part", F.spark_partition_id()), "first-seen")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each task
+    bases = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    nth = F.row_number().over(Window.partitionBy("part").orderBy("first", "chunk_id"))
+    return ranged.join(F.broadcast(bases), "part").select("chunk_id", (F.col("base") + nth).alias("place"))
+
+
 def expected_ids(cases: DataFrame, found: DataFrame) -> DataFrame:
     """``case_id, chunk_id``, each once: the ids that a case names, else those found by its texts."""
     named = cases.where(F.size("expected_chunk_ids") > 0).select("case_id", F.explode("expected_chunk_ids").alias("chunk_id"))

@@ -27,9 +27,9 @@ def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(BLOCKS).parquet(path).where(strip(F.col("text")) != "")
 
 
-def read_corpus_json(spark: SparkSession, path: str) -> DataFrame:
-    """Chunks of a column-oriented corpus file: three arrays of one length. Other lengths raise an error."""
-    raw = spark.read.schema(CORPUS).option("multiLine", True).json(path)
+def read_corpus_json(spark: SparkSession, path: str | list[str], lines: bool = False) -> DataFrame:
+    """Chunks of column-oriented corpora, three arrays of one length each: one object a file, or with ``lines`` one a line. Other lengths raise an error."""
+    raw = spark.read.schema(CORPUS).option("multiLine", not lines).json(path)
     same = (F.size("chunk_ids") == F.size("texts")) & (F.size("texts") == F.size("metadatas"))
     checked = raw.withColumn("chunk_ids", F.when(same, F.col("chunk_ids")).otherwise(F.raise_error(F.lit("the arrays of a corpus differ in length")).cast("array<string>")))
     rows = checked.select(F.inline(F.arrays_zip("chunk_ids", "texts", "metadatas")))
@@ -67,7 +67,8 @@ def write_toc(entries: DataFrame, path: str) -> None:
     entries.select(*[f.split(" ")[0] for f in TOC.split(", ")]).write.json(path)
 
 
-def read_toc(spark: SparkSession, path: str) -> DataFrame:
+def read_toc(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """The entries of one folder, or of several one after another."""
     return spark.read.schema(TOC).json(path)
 
 
