@@ -37,6 +37,18 @@ def bm25_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
+@t.query("bm25_index_delta", t.SQL["bm25_topk"])
+def bm25_index_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same from an index that grew: a third of the chunks came later, a fifth had other texts at first."""
+    rows, path = t.chunks(spark, sf_dir), shared_path(spark, "bm25")
+    changed, later = F.col("chunk_ord") % 5 == 0, F.col("chunk_ord") % 3 == 0
+    bm25.write_index(rows.where(~later).withColumn("text", F.when(changed, F.concat(F.lit("old words "), F.col("section_path"))).otherwise(F.col("text"))), path)
+    bm25.update_index(spark, path, added=rows.where(later))
+    bm25.update_index(spark, path, added=rows.where(~later & changed), removed=rows.where(~later & changed).select("chunk_id"))
+    found = bm25.search(t.questions(spark, sf_dir), rows, index=bm25.read_index(spark, path, rows))
+    return found.select("query_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 @t.query(
     "bm25_topk_filtered",
     f"""WITH {t.CHUNKS}, {t.QUESTIONS}, {t.BM25}, f AS (SELECT query_id, chunk_id, score, 0 AS padded, chunk_ord FROM bm JOIN chunks USING (chunk_id) WHERE doc_type = 'es'),

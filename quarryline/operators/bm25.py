@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions.text import tokens
+from quarryline.sources.scratch import done
 
 #: Terms of queries are broadcast up to this number of (query, term) rows, some 40 bytes each; beyond it they are shuffled.
 BROADCAST_TERMS = 1_000_000
@@ -27,34 +28,128 @@ def totals(chunks: DataFrame, text_col: str = "text") -> DataFrame:
     return chunks.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokens(F.col(text_col)))).alias("avgdl"))
 
 
+def _with_idf(df: DataFrame, total: DataFrame, epsilon: float) -> DataFrame:
+    """``term, df, idf`` from ``term, df`` of all terms and one row with ``n``."""
+    raw = df.join(F.broadcast(total.select("n"))).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
+    mean = raw.agg(F.avg("raw").alias("mean_idf"))
+    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))  # one row
+
+
 def term_statistics(chunks: DataFrame, epsilon: float = 0.25, text_col: str = "text") -> DataFrame:
     """``term, df, idf``. An idf below 0 is replaced by ``epsilon`` times the mean of all. A chunk counts for each of its terms in its own row, so partial counts
     by term are all that is shuffled."""
     df = chunks.select(F.explode(F.array_distinct(tokens(F.col(text_col)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    total = chunks.agg(F.count(F.lit(1)).alias("n"))
-    raw = df.join(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))  # one row
-    mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, epsilon * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))  # one row
+    return _with_idf(df, chunks.agg(F.count(F.lit(1)).alias("n")), epsilon)
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings``, ``terms`` (``term, df, idf``) and ``totals`` of a corpus."""
+    """``postings``, ``terms`` (``term, df``) and ``totals`` (``n, avgdl``) of a corpus."""
 
     postings: DataFrame
     terms: DataFrame
     totals: DataFrame
 
 
-def write_index(chunks: DataFrame, path: str, id_col: str = "chunk_id") -> None:
-    """The index as three tables below ``path``; postings by ranges of terms, sorted, so that a query's terms are found by the files' statistics."""
-    postings(chunks, id_col).repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{path}/postings")
-    term_statistics(chunks).write.parquet(f"{path}/terms")
-    totals(chunks).write.parquet(f"{path}/totals")
+#: Sums of digests of chunks, which tell a set of chunks in any order; they add up over segments.
+_PARTS = [f"p{i}" for i in range(4)]
+
 
+def _chunks_of(chunks: DataFrame, id_col: str) -> DataFrame:
+    """``<id>, dl`` and the parts of the chunk's digest."""
+    digest = F.sha2(F.concat_ws("|", F.col(id_col).cast("string"), "text"), 256)
+    parts = [F.conv(F.substring(digest, 1 + 8 * i, 8), 16, 10).cast("long").alias(p) for i, p in enumerate(_PARTS)]
+    return chunks.select(id_col, F.size(tokens(F.col("text"))).cast("long").alias("dl"), *parts)
 
-def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(*(spark.read.parquet(f"{path}/{name}") for name in ("postings", "terms", "totals")))
+
+def _summed(held: DataFrame) -> DataFrame:
+    """One row: ``n, tokens`` and the parts, from rows with a ``sign``."""
+    return held.agg(F.coalesce(F.sum("sign"), F.lit(0)).alias("n"), *[F.coalesce(F.sum(F.col("sign") * F.col(c)), F.lit(0)).alias(name) for c, name in [("dl", "tokens"), *zip(_PARTS, _PARTS, strict=True)]])
+
+
+def _segments(spark: SparkSession, path: str) -> list[str]:
+    out: list[str] = []
+    while done(spark, f"{(at := f'{path}/segment-{len(out):06d}')}/totals"):
+        out.append(at)
+    return out
+
+
+def _tables(spark: SparkSession, segments: list[str]) -> dict[str, DataFrame]:
+    """All segments' tables; a chunk counts in the last segment that has it, unless a later one takes it out."""
+    read = lambda name: spark.read.parquet(*[f"{s}/{name}" for s in segments])
+    return {name: read(name) for name in ("postings", "terms", "chunks", "gone", "totals")}
+
+
+def write_index(chunks: DataFrame, path: str, id_col: str = "chunk_id") -> None:
+    """The index below ``path`` as its first segment: postings by ranges of terms, sorted, so that a query's terms are found by the files' statistics; documents of each term;
+    chunks with their digests; totals, which are written last and make the segment valid."""
+    if _segments(chunks.sparkSession, path):
+        raise ValueError(f"there is an index already: {path}")
+    _write_segment(chunks, None, path, 0, id_col)
+
+
+def update_index(spark: SparkSession, path: str, added: DataFrame | None = None, removed: DataFrame | None = None, id_col: str = "chunk_id") -> None:
+    """A further segment: ``added`` chunks, and the ids of ``removed`` ones. Counts of what goes are taken away; what stays isn't read again. A chunk that is changed is removed and added; ids to remove that no
+    segment has, and ids to add that one has already, raise an error."""
+    segments = _segments(spark, path)
+    if not segments:
+        raise ValueError(f"no index: {path}")
+    held = _held(_tables(spark, segments))
+    gone = None if removed is None else removed.select(id_col).distinct()
+    if gone is not None and gone.join(held, id_col, "left_anti").limit(1).count():
+        raise ValueError("chunks to remove are not in the index")
+    if added is not None:
+        left = held if gone is None else held.join(gone, id_col, "left_anti")
+        if added.select(id_col).join(left, id_col, "left_semi").limit(1).count():
+            raise ValueError("chunks to add are in the index already")
+    _write_segment(added, gone, path, len(segments), id_col)
+
+
+def _held(tables: dict[str, DataFrame]) -> DataFrame:
+    """The chunks that the index has: those not taken out by a later segment."""
+    id_col = tables["chunks"].columns[0]
+    last = tables["gone"].groupBy(id_col).agg(F.max("segment").alias("out"))
+    return tables["chunks"].join(last, id_col, "left").where("out IS NULL OR segment >= out").drop("out")
+
+
+def _write_segment(added: DataFrame | None, gone: DataFrame | None, path: str, n: int, id_col: str) -> None:
+    spark = (added if added is not None else gone).sparkSession
+    at, no = f"{path}/segment-{n:06d}", F.lit(n).alias("segment")
+    save = lambda df, name: df.write.mode("overwrite").parquet(f"{at}/{name}")
+    if added is None:
+        added = spark.createDataFrame([], f"{id_col} {gone.schema[id_col].dataType.simpleString()}, text string")
+    save(postings(added, id_col).select("term", id_col, "dl", "tf", no).repartitionByRange("term").sortWithinPartitions("term"), "postings")
+    save(_chunks_of(added, id_col).select("*", no), "chunks")
+    save((added.select(id_col).where("false") if gone is None else gone).select(id_col, no), "gone")
+    plus = spark.read.parquet(f"{at}/postings").select("term", F.lit(1).alias("sign"))
+    rows = spark.read.parquet(f"{at}/chunks").withColumn("sign", F.lit(1))
+    if gone is not None:
+        before = _tables(spark, [f"{path}/segment-{i:06d}" for i in range(n)])
+        out = _held(before).join(spark.read.parquet(f"{at}/gone").select(id_col), id_col, "left_semi")
+        rows = rows.unionByName(out.withColumn("sign", F.lit(-1)))
+        plus = plus.unionByName(before["postings"].join(out.select(id_col, "segment"), [id_col, "segment"], "left_semi").select("term", F.lit(-1).alias("sign")))
+    save(plus.groupBy("term").agg(F.sum("sign").alias("df")), "terms")
+    save(_summed(rows), "totals")
+
+
+def read_index(spark: SparkSession, path: str, chunks: DataFrame | None = None) -> Index:
+    """The index of all segments. Where ``chunks`` are given, an index of other chunks or other texts raises an error."""
+    segments = _segments(spark, path)
+    if not segments:
+        raise ValueError(f"no index: {path}")
+    tables = _tables(spark, segments)
+    id_col = tables["chunks"].columns[0]
+    total = tables["totals"].agg(*[F.sum(c).alias(c) for c in tables["totals"].columns])
+    if chunks is not None:
+        now = _summed(_chunks_of(chunks, id_col).withColumn("sign", F.lit(1))).first()
+        if tuple(int(now[c]) for c in now.asDict()) != tuple(int(total.first()[c]) for c in now.asDict()):
+            raise ValueError(f"the index is of other chunks: {path}")
+    kept = tables["postings"]
+    if len(segments) > 1:
+        last = tables["gone"].groupBy(id_col).agg(F.max("segment").alias("out"))
+        kept = kept.join(last, id_col, "left").where("out IS NULL OR segment >= out").drop("out")
+    terms = tables["terms"].groupBy("term").agg(F.sum("df").alias("df")).where("df > 0")
+    return Index(kept.drop("segment"), terms, total.select("n", F.try_divide("tokens", "n").alias("avgdl")))
 
 
 def scores(queries: DataFrame, chunks: DataFrame | Index, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25, id_col: str = "chunk_id", query_id: str = "query_id", query_text: str = "question") -> DataFrame:
@@ -63,7 +158,7 @@ def scores(queries: DataFrame, chunks: DataFrame | Index, k1: float = 1.5, b: fl
     few = F.broadcast if asked.count() <= BROADCAST_TERMS else lambda df: df
     wanted = few(asked.select("term").distinct())
     if isinstance(chunks, Index):
-        index = Index(chunks.postings.join(wanted, "term", "left_semi"), chunks.terms, chunks.totals)
+        index = Index(chunks.postings.join(wanted, "term", "left_semi"), _with_idf(chunks.terms, chunks.totals, epsilon), chunks.totals)
     else:
         index = Index(postings(chunks, id_col, only=wanted), term_statistics(chunks, epsilon), totals(chunks).select("avgdl"))
     weighted = index.terms.join(few(asked), "term")

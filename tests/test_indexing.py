@@ -22,6 +22,40 @@ def test_index(spark, tmp_path):
     assert plain and key(bm25.search(asked, chunks, 7, index=bm25.read_index(spark, f"{tmp_path}/index"))) == plain
 
 
+def test_index_in_segments(spark, tmp_path):
+    """An index and what came later equal one built anew; another corpus, or none, raises an error."""
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(25)]
+    text = lambda: " ".join(rng.choices(words, k=rng.randint(0, 20)))
+    now = {str(i): text() for i in range(60)}
+    frame = lambda d: spark.createDataFrame([(c, int(c), x, "m", "t") for c, x in d.items()], "chunk_id string, chunk_ord long, text string, vehicle_model string, doc_type string")
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=4))) for q in range(6)], "query_id long, question string")
+    key = lambda df: sorted((r.query_id, r.chunk_id, r.rank, round(r.score, 9)) for r in df.collect())
+    path = f"{tmp_path}/grown"
+    with pytest.raises(ValueError):
+        bm25.read_index(spark, path)
+    bm25.write_index(frame(now), path)
+    with pytest.raises(ValueError):
+        bm25.write_index(frame(now), path)
+    for step in range(3):
+        gone = rng.sample(sorted(now), 7)
+        more = {str(100 * (step + 1) + i): text() for i in range(5)} | {c: text() for c in gone[:3]}  # three are changed
+        now = {c: x for c, x in now.items() if c not in gone} | more
+        bm25.update_index(spark, path, frame(more), spark.createDataFrame([(c,) for c in gone], "chunk_id string"))
+        rows = frame(now)
+        got = bm25.read_index(spark, path, rows)
+        assert key(bm25.search(asked, rows, 7, index=got)) == key(bm25.search(asked, rows, 7))
+        assert {(r.term, r.df) for r in got.terms.collect()} == {(r.term, r.df) for r in bm25.term_statistics(rows).collect()}
+    with pytest.raises(ValueError):
+        bm25.read_index(spark, path, frame(now | {"0": "other"}))
+    with pytest.raises(ValueError):
+        bm25.update_index(spark, path, removed=spark.createDataFrame([("none",)], "chunk_id string"))
+    with pytest.raises(ValueError):
+        bm25.update_index(spark, path, added=frame({next(iter(now)): "again"}))
+    flat = bm25.scores(asked, bm25.read_index(spark, path), epsilon=0.0).collect()  # the index doesn't fix it
+    assert sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in flat) == sorted((r.query_id, r.chunk_id, round(r.score, 9)) for r in bm25.scores(asked, rows, epsilon=0.0).collect())
+
+
 @pytest.mark.parametrize("few", [1, 10_000])
 def test_lookup(spark, monkeypatch, few):
     """Against every pair; texts of one, two and many words, of repeated ids, in blocks or by shuffle."""

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from quarryline.operators import matching, retrieval, sessions, toc, vectors
+from quarryline.operators import matching, retrieval, routing, sessions, toc, vectors
 
 
 def plain_score(words, path, title):
@@ -137,3 +137,19 @@ def test_nearest_in_one_block_or_on_a_grid(spark, monkeypatch, block, held):
         want |= {(q, c, -s, i) for i, (s, c) in enumerate(best, 1)}
     assert {tuple(r) for r in got.collect()} == want
     assert vectors.nearest(spark.createDataFrame([], "query_id long, embedding array<float>"), spark.createDataFrame([("c", [1.0])], "chunk_id string, embedding array<float>"), 3).count() == 0
+
+
+def test_names_by_automaton(spark, monkeypatch):
+    """The same rows as names tried one by one, on texts in which names overlap; and a registry of thousands."""
+    rng = random.Random(11)
+    names = [(f"m{rng.randint(0, 9)}", "".join(rng.choices("ab ", k=rng.randint(1, 5)))) for _ in range(40)]
+    texts = ["".join(rng.choices("ABab \n", k=rng.randint(0, 25))) for _ in range(200)]
+    frame = spark.createDataFrame([(i, x, texts[-1 - i] if i % 2 else None) for i, x in enumerate(texts)], "id long, t string, r string")
+    got = []
+    for most in (1000, 0):
+        monkeypatch.setattr(routing, "FEW_NAMES", most)
+        got.append({r.id: r.m for r in frame.select("id", routing.route(F.col("t"), F.col("r"), names).alias("m")).collect()})
+    assert got[0] == got[1] and any(len(m) > 2 for m in got[0].values())
+    many = [(f"n{i}", f"name{i}x") for i in range(5000)]
+    one = spark.createDataFrame([("tell of name17x and Name 4321 X, not name9",)], "t string").select(routing.route(F.col("t"), F.lit(None).cast("string"), many).alias("m")).first().m
+    assert one == ["n4321", "n17"]
