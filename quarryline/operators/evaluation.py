@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,11 @@ def text_lookup(needles: DataFrame, chunks: DataFrame, needle_id: str = "case_id
     """``<needle>, chunk_id, section_path, snippet``: chunks that hold the text, case ignored; a blank one is in none.
 
     The words of a text but its first and last are whole words of any chunk that holds it, so texts meet chunks by the rarest of these. Those of one or two words have
-    none; they are compared with every chunk, in blocks of ``NEEDLES``.
+    none; they are found by one automaton that reads each chunk once, in blocks of ``NEEDLES`` texts.
     """
     asked = needles.select(needle_id, "needle").where(strip(F.col("needle")) != "").withColumn("_asked", F.lower("needle"))
     asked = asked.withColumn("_words", tokens(F.col("needle"))).withColumn("_words", F.array_distinct(F.slice("_words", 2, F.greatest(F.size("_words") - 2, F.lit(0)))))
-    low = chunks.withColumn("_low", F.lower("text"))  # once a row, not once a pair
+    low = chunks.select("chunk_id", "section_path", "text", F.lower("text").alias("_low"))  # once a row, not once a pair
     size = asked.groupBy((F.size("_words") > 0).alias("wordy")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("needle")).alias("size")).collect()
     wordy, blunt = ({r.wordy: r for r in size}.get(w) for w in (True, False))
     parts = []
@@ -36,14 +38,40 @@ def text_lookup(needles: DataFrame, chunks: DataFrame, needle_id: str = "case_id
         keyed = own.join(rarest, "_asked").drop("_words")
         parts.append(low.withColumn("_term", F.explode(F.array_distinct(tokens(F.col("text"))))).join(few(keyed), "_term").where(F.contains("_low", "_asked")).drop("_term"))
     if blunt:
-        blocks = max(1, -(-blunt.n // NEEDLES))
+        blocks = max(1, -(-blunt.n // NEEDLES), -(-blunt.size // NEEDLE_BYTES))
         own = asked.where(F.size("_words") == 0).drop("_words")
         block = F.pmod(F.xxhash64(F.col(needle_id), F.col("needle")), F.lit(blocks))
-        parts += [low.join(F.broadcast(own.where(block == i) if blocks > 1 else own), F.contains("_low", "_asked")) for i in range(blocks)]
+        for i in range(blocks):
+            some = own.where(block == i) if blocks > 1 else own
+            parts.append(_holding(low, [r[0] for r in some.select("_asked").distinct().collect()]).join(F.broadcast(some), "_asked"))  # of one block
     met = reduce(DataFrame.unionByName, parts) if parts else low.join(asked.drop("_words"), F.lit(False))
     return met.select(needle_id, "chunk_id", "section_path", snippet(F.col("text"), F.col("needle")).alias("snippet"))
 
 
+def _holding(low: DataFrame, texts: list[str]) -> DataFrame:
+    """``low`` with ``_asked``: a row for each of ``texts`` that ``_low`` holds."""
+    kinds = [*((c, k) for c, k in low.dtypes), ("_asked", "string")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for text in texts:
+            found.add_word(text, text)
+        found.make_automaton()
+        at = [c for c, _ in kinds].index("_low")
+        for batch in batches:
+            rows, held = [], []
+            for i, hay in enumerate(batch.column(at).to_pylist() if texts else []):
+                own = sorted({x for _, x in found.iter(hay or "")})
+                rows += [i] * len(own)
+                held += own
+            if rows:
+                yield pa.RecordBatch.from_arrays([*batch.take(pa.array(rows)).columns, pa.array(held, pa.string())], [c for c, _ in kinds])
+
+    return low.mapInArrow(run, ", ".join(f"`{c}` {k}" for c, k in kinds))
+
+
 def first_seen(found: DataFrame, order: list[str]) -> DataFrame:
     """``chunk_id, place``: each chunk once, numbered in the order in which it is first seen (by the columns of ``order``). Only the chunks' first places are numbered, by range, so no task holds all."""
     first = found.groupBy("chunk_id").agg(F.min(F.struct(*order)).alias("first"))
