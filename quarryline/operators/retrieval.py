@@ -111,12 +111,13 @@ def retrieve(
     cached: DataFrame | None = None,
     settings: Settings | None = None,
     index: bm25.Index | None = None,
+    choose: Callable[[], Callable[[str], str]] | None = None,
 ) -> DataFrame:
     """The trace of every question: ``query_id, stage, position, chunk_id, score``, stages ``rewritten``, ``keyword``, ``merged``, ``below_floor``, ``contents``,
     ``verified`` and ``final``.
 
     ``asked``: ``query_id, question, rewritten, keyword, models`` (array; null or empty: any) ``, rewritten_vector, keyword_vector``. ``chunks``: with ``chunk_ord, vehicle_model, section_path, page, text``.
-    ``corpus``: ``chunk_id, embedding``. ``entries``: a table of contents with ``path`` and ``end_page``. ``make`` and ``prompt`` (of question and text) ask about each chunk left; without them none is
+    ``corpus``: ``chunk_id, embedding``. ``entries``: a table of contents with ``path``, ``end_page`` and ``is_leaf``; ``choose`` picks from its catalogue, words alone without it. ``make`` and ``prompt`` (of question and text) ask about each chunk left; without them none is
     asked about. ``cached``: ``query_id, chunk_id, score, rank`` of a session's earlier chunks, which go first. Intermediate lists are written, as each is read by several stages.
     """
     s = settings or Settings()
@@ -134,7 +135,7 @@ def retrieve(
     known = near.withColumn("path", F.lit(0)).unionByName(near2.withColumn("path", F.lit(1))).groupBy("query_id", "chunk_id").agg(F.max_by("similarity", "path").alias("similarity"))
     kept, low = fusion.similarity_floor(merged.join(known, ["query_id", "chunk_id"], "left"), s.floor)
     kept = written(kept, "kept")
-    listed = None if entries is None else written(contents(asked, aims, entries, chunks, s), "contents")
+    listed = None if entries is None else written(contents(asked, aims, entries, chunks, s, choose), "contents")
     if make is not None:
         texts = chunks.select("chunk_id", "text")
         asks = kept.join(texts, "chunk_id").join(asked.select("query_id", "question"), "query_id")

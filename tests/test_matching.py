@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,3 +154,28 @@ def test_names_by_automaton(spark, monkeypatch):
     many = [(f"n{i}", f"name{i}x") for i in range(5000)]
     one = spark.createDataFrame([("tell of name17x and Name 4321 X, not name9",)], "t string").select(routing.route(F.col("t"), F.lit(None).cast("string"), many).alias("m")).first().m
     assert one == ["n4321", "n17"]
+
+
+def test_contents_in_retrieval(spark):
+    """Leaves of each model apart, by words or by a completion, go before what the paths found."""
+    chunks = spark.createDataFrame([(f"{m}{i}", 10 * k + i, m, "t", "s", i, f"w{i}") for k, m in enumerate("ab") for i in range(6)], "chunk_id string, chunk_ord long, vehicle_model string, doc_type string, section_path string, page int, text string")
+    rows = [(m, p, p.split(">")[-1], i, 1 + p.count(">"), 2 * i, 2 * i + 1, leaf) for m in "ab" for i, (p, leaf) in enumerate([("oil and lamp", False), ("oil and lamp>oil", True), ("lamp", True)])]
+    entries = spark.createDataFrame(rows, "vehicle_model string, path string, title string, ord int, level int, page int, end_page int, is_leaf boolean")
+    corpus = spark.createDataFrame([("none", [0.0])], "chunk_id string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "oil lamp", "oil lamp", "oil lamp", ["b"], None, None), (2, "lamp", "lamp", "", None, None, None)], "query_id long, question string, rewritten string, keyword string, models array<string>, rewritten_vector array<float>, keyword_vector array<float>")
+    s = retrieval.Settings(entries=1, chunks_per_entry=2)
+
+    def listed(**more):
+        out: dict = {}
+        for r in retrieval.retrieve(asked, chunks, corpus, entries, settings=more.pop("settings", s), **more).where("stage = 'contents'").collect():
+            out.setdefault(r.query_id, []).append((r.position, r.chunk_id))
+        return {q: [c for _, c in sorted(v)] for q, v in out.items()}
+
+    assert listed() == {1: ["b2", "b3"], 2: ["a2", "a3", "b2", "b3"]}
+    # an entry that has others below it: its range is chosen where leaves alone aren't asked for
+    assert listed(settings=replace(s, leaf_only=False, entries=2))[2] == ["a2", "a3", "a0", "a1", "b2", "b3", "b0", "b1"]
+
+    def choose():
+        return lambda prompt: "2"
+
+    assert listed(choose=choose) == {1: ["b4", "b5"], 2: ["a4", "a5", "b4", "b5"]}
