@@ -2,7 +2,8 @@
 
 The job runs in waves over the plan. A wave takes the next items that no ledger has, asks for their questions, drops those asked before, retrieves their evidence, has it
 judged, decides by the signals, asks for answers and checks them; then it commits its rows to the ledger, and the next wave begins. What a model answers is
-written before it is used, in the wave's own folder: a wave that was cut off is run again from what it had written, and no model is asked twice. Quota, target and
+written before it is used, in the wave's own folder: a wave that was cut off is run again from what it had written whole, and only a stage that was cut off in the middle asks
+its model again. Quota, target and
 questions asked before carry over from all committed waves, as if the plan had been gone through item by item; attempts count anew in each run.
 """
 
