@@ -76,27 +76,28 @@ def _key(value: object) -> object:
 
 
 class _Lists:
-    """Of each question about a model: the best entries by score, and the first ones of an order."""
+    """Of each key the first ``most`` entries by an order, as (order, score, row of the batch's columns)."""
 
     def __init__(self, most: int) -> None:
         self.most, self.best = most, {}
 
-    def add(self, q: int, rows: list[tuple]) -> None:
-        self.best[q] = sorted([*self.best.get(q, []), *rows], key=lambda r: r[0])[: self.most]
+    def add(self, key: object, rows: list[tuple]) -> None:
+        self.best[key] = sorted([*self.best.get(key, []), *rows], key=lambda r: r[0])[: self.most]
 
 
-def _matched(asked: list, entries: DataFrame, most: int, general: list[str] | None, catalogue: bool) -> DataFrame:
-    """The candidates of each task: ``no`` (of the question), ``kind``, ``score`` and the entry's columns."""
+def _matched(asked: list, models: list[str], entries: DataFrame, most: int, general: list[str] | None, catalogue: bool) -> DataFrame:
+    """The candidates of each task, without their texts: ``no, kind, score, entry`` and what entries are ordered by. Kind 1 are the best of a question, ``no`` its number; of a catalogue kind 2 are the deepest and kind 3 the
+    first entries of a model whatever the question, ``no`` the model's number."""
     words = sorted({w for r in asked for w in r.words or ()})
     place = {w: i for i, w in enumerate(words)}
-    by_model: dict[str, list[int]] = {}
+    by_model: dict[str, list[int]] = {m: [] for m in models}
     for i, r in enumerate(asked):
-        by_model.setdefault(r.vehicle_model, []).append(i)
+        if r.vehicle_model is not None:
+            by_model[r.vehicle_model].append(i)
     lists_of = [[place[w] for w in r.words or ()] for r in asked]
     names = general or []
     unnamed = np.array([[0.0 if g in (r.question or "") else 3.0 for g in names] for r in asked]).reshape(len(asked), len(names))
-    columns = entries.columns
-    at = {c: i for i, c in enumerate(columns)}
+    small = ["entry", "ord", *(["level", "page"] if catalogue else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Words(words)
@@ -105,76 +106,82 @@ def _matched(asked: list, entries: DataFrame, most: int, general: list[str] | No
             weights[model] = np.zeros((len(words), len(qs)), np.float32)
             for k, q in enumerate(qs):
                 np.add.at(weights[model][:, k], lists_of[q], 1)
-        scored, first = _Lists(most), _Lists(most)
+        lists, types = {kind: _Lists(most) for kind in (1, 2, 3)}, {}
         for batch in batches:
-            rows = batch.to_pylist()
+            types = {c: batch.column(c).type for c in small}
+            held = {c: batch.column(c).to_pylist() for c in ("vehicle_model", "path", "title", *small)}
+            own = list(zip(*(held[c] for c in small), strict=True))
+            keys = [_key(o) for o in held["ord"]]
+            paths = [x or "" for x in held["path"]]
             groups: dict[str, list[int]] = {}
-            for i, r in enumerate(rows):
-                if r["vehicle_model"] in by_model:
-                    groups.setdefault(r["vehicle_model"], []).append(i)
+            for i, m in enumerate(held["vehicle_model"]):
+                if m in by_model:
+                    groups.setdefault(m, []).append(i)
             for model, members in groups.items():
                 qs = by_model[model]
+                if catalogue:
+                    lists[2].add(models.index(model), [((-held["level"][i], held["page"][i], keys[i]), 0.0, own[i]) for i in members])
+                    lists[3].add(models.index(model), [((keys[i],), 0.0, own[i]) for i in members])
                 match = np.zeros((len(members), len(qs)))
                 for k, i in enumerate(members):
-                    ids, n = known.counts(rows[i]["path"] or "", rows[i]["title"] or "")
+                    ids, n = known.counts(paths[i], held["title"][i] or "")
                     if len(ids):
                         match[k] = n @ weights[model][ids]
-                size = np.array([len(rows[i]["path"] or "") for i in members]) * 0.01
-                has = np.array([[g in (rows[i]["path"] or "") for g in names] for i in members], float).reshape(len(members), len(names))
+                size = np.array([len(paths[i]) for i in members]) * 0.01
+                has = np.array([[g in paths[i] for g in names] for i in members], float).reshape(len(members), len(names))
                 score = np.round(match + size[:, None] - has @ unnamed[qs].T, 6)
                 for k, q in enumerate(qs):
-                    empty = not lists_of[q]
-                    if catalogue:
-                        ok = np.flatnonzero(match[:, k] > 0) if not empty else np.zeros(0, np.int64)
-                        # in order if there are no words, else the deepest first
-                        order = sorted(((() if empty else (-rows[i]["level"], rows[i]["page"])) + (_key(rows[i]["ord"]),), i) for i in members)[:most]
-                        first.add(q, [(o, 0.0, rows[i]) for o, i in order])
-                    else:
-                        ok = np.flatnonzero(score[:, k] > 0) if not empty else np.zeros(0, np.int64)
+                    if not lists_of[q]:
+                        continue
+                    ok = np.flatnonzero((match if catalogue else score)[:, k] > 0)
                     if len(ok) > most:
                         ok = ok[score[ok, k] >= np.partition(score[ok, k], -most)[-most]]
-                    scored.add(q, [((-score[j, k], _key(rows[members[j]]["ord"])), float(score[j, k]), rows[members[j]]) for j in ok.tolist()])
-        out = [(q, kind, s, r) for kind, lists in ((1, scored), (2, first)) for q, found in lists.best.items() for _, s, r in found]
+                    lists[1].add(q, [((-score[j, k], keys[members[j]]), float(score[j, k]), own[members[j]]) for j in ok.tolist()])
+        out = [(no, kind, s, *r) for kind, found in lists.items() for no, rows in found.best.items() for _, s, r in rows]
         if out:
-            extra = [pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int32()), pa.array([o[2] for o in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*extra, *[pa.array([o[3][c] for o in out], batch.schema.field(at[c]).type) for c in columns]], ["no", "kind", "score", *columns])
+            columns = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.int32(), pa.float64(), *types.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["no", "kind", "score", *small])
 
-    kinds = ", ".join(f"`{c}` {k}" for c, k in entries.dtypes)
-    return entries.mapInArrow(run, f"no long, kind int, score double, {kinds}")
+    of = dict(entries.dtypes)
+    return entries.select("vehicle_model", "path", "title", *small).mapInArrow(run, "no long, kind int, score double, " + ", ".join(f"`{c}` {of[c]}" for c in small))
 
 
 def _in_blocks(asked: DataFrame, entries: DataFrame, most: int, general: list[str] | None, catalogue: bool) -> DataFrame:
+    """The ``most`` entries of each row of ``asked`` with ``score`` and ``position``. Texts stay where they are until the lists are cut: tasks give numbers of entries, which meet the entries at the end."""
+    spark = entries.sparkSession
     asked = written(asked, "asked-of-contents")
     blocks = max(1, -(-asked.count() // QUESTIONS))
-    dealt = entries.repartition(int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions")))  # matching an entry costs more than moving it
+    # matching an entry costs more than moving it; numbers hold once they are written
+    dealt = written(entries.repartition(int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("entry", F.monotonically_increasing_id()), "entries-numbered")
     keep = [c for c in asked.columns if c not in entries.columns]
     out: DataFrame | None = None
     for b in range(blocks):
         some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect() if blocks > 1 else asked.collect()
-        part = _matched(some, dealt, most, general, catalogue)
-        names = asked.sparkSession.createDataFrame([(i, *[r[c] for c in keep]) for i, r in enumerate(some)], "no long, " + ", ".join(f"`{c}` {k}" for c, k in asked.dtypes if c in keep))
-        part = part.join(F.broadcast(names), "no")  # the block's questions
+        models = sorted({r.vehicle_model for r in some} - {None})
+        found = written(_matched(some, models, dealt, most, general, catalogue), "candidates")
+        numbers = spark.createDataFrame([(i, *[r[c] for c in keep], models.index(r.vehicle_model) if r.vehicle_model in models else None, 2 if r.words else 3) for i, r in enumerate(some)], "no long, " + "".join(f"`{c}` {k}, " for c, k in asked.dtypes if c in keep) + "_model long, _kind int")
+        best = found.where("kind = 1").drop("kind")
+        own = Window.partitionBy("no").orderBy(F.col("score").desc(), "ord")
+        cut = best.withColumn("position", F.row_number().over(own)).where(F.col("position") <= most).select("no", "entry", "score", "position")
+        if catalogue:
+            order = [F.when(F.col("kind") == 2, -F.col("level").cast("double")), F.when(F.col("kind") == 2, F.col("page")), "ord"]
+            plain = found.where("kind > 1").withColumn("position", F.row_number().over(Window.partitionBy("no", "kind").orderBy(*order))).where(F.col("position") <= most)
+            unmet = numbers.select("no", "_model", "_kind").join(best.select("no").distinct(), "no", "left_anti")
+            cut = cut.unionByName(unmet.join(plain.select(F.col("no").alias("_model"), F.col("kind").alias("_kind"), "entry", "score", "position"), ["_model", "_kind"]).select("no", "entry", "score", "position"))
+        part = cut.join(F.broadcast(numbers.drop("_model", "_kind")), "no").drop("no")  # the block's questions
         out = part if out is None else out.unionByName(part)
-    return out
+    return out.join(dealt, "entry").drop("entry")
 
 
 def matched_entries(asked: DataFrame, entries: DataFrame, most: int = 3, general: list[str] | None = None) -> DataFrame:
     """The ``most`` best entries of a question's model for each row of ``asked`` (``query_id, vehicle_model, words, question`` and others), with ``score`` and ``position``: columns of both sides. General
     sections that the question doesn't name count three less. As the path's length always counts, long paths come in where no word matches; none come for a question without words. ``entries``: ``vehicle_model, path, title, ord`` and
     others; ``ord`` decides among equal scores. Null models meet nothing."""
-    found = _in_blocks(asked, entries, most, general, False).drop("kind")
-    by = [c for c in ("query_id", "target_no") if c in asked.columns]
-    own = Window.partitionBy(*by, "vehicle_model").orderBy(F.col("score").desc(), "ord")
-    return found.withColumn("position", F.row_number().over(own)).where(F.col("position") <= most).drop("no")
+    return _in_blocks(asked, entries, most, general, False)
 
 
 def catalogue(asked: DataFrame, entries: DataFrame, most: int = 80) -> DataFrame:
     """The ``most`` entries of a question's model that a completion chooses from, with ``position``: by score where any entry matches, else the deepest first, then by page; in order for a question without
     words. Columns as for ``matched_entries``; ``entries`` with ``level`` and ``page`` too."""
-    found = _in_blocks(asked, entries, most, None, True)
-    by = [c for c in ("query_id", "target_no") if c in asked.columns] + ["vehicle_model"]
-    rows = found.withColumn("best", F.min("kind").over(Window.partitionBy(*by))).where("kind = best").drop("best")
-    none = F.size("words") == 0
-    second = F.col("kind") == 2
-    order = [F.when(second & ~none, -F.col("level").cast("double")).when(second, 0.0).otherwise(-F.col("score")), F.when(second & ~none, F.col("page")).otherwise(0), "ord"]
-    return rows.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("position") <= most).drop("no", "kind", "score")
+    return _in_blocks(asked, entries, most, None, True).drop("score")

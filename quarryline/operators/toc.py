@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions.text import strip
 from quarryline.operators.chunking import stack_paths
+from quarryline.sources.scratch import written
 
 #: General sections, which count less unless the question names them.
 GENERAL = ["重要提示", "前言", "用户指南", "车辆介绍", "目录", "免责声明"]
@@ -40,8 +41,12 @@ def page_ends(toc: DataFrame, max_page: Column, max_level: int, partition: str =
 
 
 def title_in_section(title: Column, section: Column) -> Column:
-    t = strip(title)
-    return (t != "") & (section != "") & (F.contains(section, t) | F.exists(F.split(section, ">"), lambda p: F.contains(p, t) | F.contains(t, p)))
+    return stripped_in_section(strip(title), section, F.split(section, ">"))
+
+
+def stripped_in_section(title: Column, section: Column, parts: Column) -> Column:
+    """The same for a title without white space at its ends, and the section with its parts."""
+    return (title != "") & (section != "") & (F.contains(section, title) | F.exists(parts, lambda p: F.contains(p, title) | F.contains(title, p)))
 
 
 #: Bins of pages that an entry's range is cut into at most.
@@ -53,18 +58,24 @@ def chunks_of_entries(selected: DataFrame, chunks: DataFrame, each: int = 2, par
     page range, those whose section fits the title or path first, then by page; cut first, then each chunk once.
 
     An entry is spread over the bins of pages that its range covers, of a width of its own, and meets the chunks of these bins alone; a chunk is in one bin of each
-    width that entries have, so each pair meets once.
+    width that entries have, so each pair meets once. An entry that many questions select meets the chunks once.
     """
+    facts = [partition, "page", "end_page", "title", "path"]
+    selected = written(selected.where("end_page >= page").select("query_id", "position", *facts).withColumn("entry", F.sha2(F.to_json(F.struct(*facts)), 256)), "selected-entries")
     width = F.pow(F.lit(2.0), F.greatest(F.lit(0), F.ceil(F.log2((F.col("end_page") - F.col("page") + 1) / BINS)))).cast("long")
     bins = F.sequence(F.expr("page div width"), F.expr("end_page div width"))
-    spread = selected.where("end_page >= page").withColumn("width", width).withColumn("bin", F.explode(bins))
-    widths = spread.select("width").distinct()  # powers of two: some dozens of rows at most
-    own = chunks.where("page IS NOT NULL").select(partition, "chunk_id", "chunk_ord", F.col("page").alias("chunk_page"), "section_path").join(F.broadcast(widths)).withColumn("bin", F.expr("chunk_page div width"))
-    met = spread.join(own, [partition, "width", "bin"]).where("chunk_page BETWEEN page AND end_page")
-    fits = title_in_section(F.col("title"), F.col("section_path")) | title_in_section(F.col("path"), F.col("section_path"))
-    best = Window.partitionBy("query_id", "position").orderBy(F.when(fits, 0).otherwise(1), "chunk_page", "chunk_ord")
-    cut = met.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= each)
-    return cut.groupBy("query_id", "chunk_id").agg(F.min(F.struct("position", "nth")).alias("place")).select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).alias("position"))
+    # texts are prepared once an entry, before they meet many chunks
+    once = written(selected.drop("query_id", "position").dropDuplicates(["entry"]).withColumns({"title": strip(F.col("title")), "path": strip(F.col("path")), "width": width}), "distinct-entries")
+    widths = once.select("width").distinct()  # powers of two: some dozens of rows at most
+    own = chunks.where("page IS NOT NULL").select(partition, "chunk_id", "chunk_ord", F.col("page").alias("chunk_page"), "section_path").withColumn("parts", F.split("section_path", ">"))
+    own = own.join(F.broadcast(widths)).withColumn("bin", F.expr("chunk_page div width"))
+    met = once.withColumn("bin", F.explode(bins)).join(own, [partition, "width", "bin"]).where("chunk_page BETWEEN page AND end_page")
+    fits = stripped_in_section(F.col("title"), F.col("section_path"), F.col("parts")) | stripped_in_section(F.col("path"), F.col("section_path"), F.col("parts"))
+    rows = met.select("entry", "chunk_id", "chunk_page", "chunk_ord", F.when(fits, 0).otherwise(1).alias("unfit"))
+    best = Window.partitionBy("entry").orderBy("unfit", "chunk_page", "chunk_ord")
+    cut = rows.withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= each).select("entry", "chunk_id", "nth")
+    places = selected.select("query_id", "position", "entry").join(cut, "entry").groupBy("query_id", "chunk_id").agg(F.min(F.struct("position", "nth")).alias("place"))
+    return places.select("query_id", "chunk_id", F.row_number().over(Window.partitionBy("query_id").orderBy("place")).alias("position"))
 
 
 def named_paths(responses: DataFrame, entries: DataFrame, most: int = 3, partition: str = "source_file") -> DataFrame:
