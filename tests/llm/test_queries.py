@@ -56,7 +56,8 @@ def test_fingerprints(spark, sf_dir):
     assert plain_sketch(b"some bytes of a text", 8, 1.0) == {plain_hash(b"some bytes of a text"[i : i + 8]) for i in range(13)}
 
     def near(a: str, b: str) -> float:
-        x, y = (plain_sketch(t.encode(), fp.WIDTH, fp.FRACTION) for t in (a, b))
+        fraction = min(next(f for most, f in ((512, 1 / 4), (4_096, 1 / 16), (10**12, 1 / 48)) if len(t.encode()) - 7 <= most) for t in (a, b))
+        x, y = (plain_sketch(t.encode(), 8, fraction) for t in (a, b))
         return 1.0 if a == b else len(x & y) / min(len(x), len(y)) if x and y else 0.0
 
     order = sorted(texts)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import random
 
@@ -27,15 +28,29 @@ def plain_sketch(text: bytes, width: int, fraction: float) -> set[int]:
 def test_sketches():
     rng = random.Random(3)
     texts = [b"", b"ab", b"same same same same", *[bytes(rng.choices(b"abc de", k=n)) for n in (15, 16, 17, 400, 70_000)]]
-    got = fp.sketches(*fp._batch(texts), 16, 1 / 4)
+    got = fp.sketches(*fp._batch(texts), 16, ((None, 1 / 4),))
     for t, s in zip(texts, got, strict=True):
         assert list(s) == sorted(set(map(int, s)))
         if len(t) < 1000:
             assert set(map(int, s)) == plain_sketch(t, 16, 1 / 4)
     big, part = bytes(rng.choices(range(97, 123), k=60_000)), slice(1000, 6000)
-    a, b, c = fp.sketches(*fp._batch([big, big[part], big[3000:9000]]))
-    assert fp.containment(a, b) > 0.99 and 0.4 < fp.containment(b, c) < 0.8
-    assert fp.containment(fp.merged(b, c), a) > 0.99 and fp.containment(a, a[:0]) == 0
+    a, b, c, d = fp.sketches(*fp._batch([big, big[part], big[3000:9000], big[5000:5300]]))
+    least = fp.FRACTIONS[-1][1]
+    assert fp.containment(a, b, least) > 0.99 and 0.4 < fp.containment(b, c, least) < 0.8
+    assert fp.containment(fp.merged(b, c, least), a, least) > 0.99 and fp.containment(a, a[:0], least) == 0
+    # of a short text more is retained than of a long one, whose threshold both are compared at
+    assert len(d) > 50 and len(fp.cut(d, least)) < 20 and fp.containment(a, d, least) == 1
+
+
+def test_fractions():
+    """Each text retains what lies below its own fraction; a long text's fingerprint is below an eighth of it."""
+    rng = random.Random(5)
+    for n, fraction in ((8, 1 / 4), (519, 1 / 4), (520, 1 / 16), (4_103, 1 / 16), (4_104, 1 / 48), (14_000, 1 / 48)):
+        text = bytes(rng.choices(range(97, 123), k=n))
+        (s,) = fp.sketches(*fp._batch([text]))
+        assert fp.fraction_of(fp.n_shingles(n)) == fraction and set(map(int, s)) == plain_sketch(text, fp.WIDTH, fraction)
+    shown = fp._shown(text, s, fp.WIDTH)
+    assert len(shown) < len(text) / 8 and len(base64.b64decode(shown.split(":")[2])) == 4 * len(s)
 
 
 def test_compare_with_edits(spark, odd, none):
@@ -62,7 +77,7 @@ def test_short_texts():
     texts = ["".join(rng.choices("abcdefghij klmnop", k=rng.randint(32, 64))) for _ in range(400)]
     after = [fp.edited(a, b) for a, b in zip(texts, texts[1:] + texts[:1], strict=True)]
     own, new = (fp.sketches(*fp._batch([t.encode() for t in some])) for some in (texts, after))
-    near = [fp.containment(a, b) for a, b in zip(own, new, strict=True)]
+    near = [fp.containment(a, b, fp.FRACTIONS[0][1]) for a, b in zip(own, new, strict=True)]
     assert sum(n == 0 for n in near) < 20 and not any(len(s) == 0 for s in own)
 
 
