@@ -75,6 +75,7 @@ def test_chunks_meet_entries_by_bins(spark):
     for i in range(40):
         a = rng.randint(1, 3000)
         entries.append((i % 5, i, f"m{i % 2}", "A>B", "B", a, a + rng.choice([0, 1, 15, 16, 17, 400, 3000])))
+    entries += [(q, 50 + q, "m0", "A>B", " B ", 10, 900) for q in range(5)]  # one entry of several questions
     got = toc.chunks_of_entries(
         spark.createDataFrame(entries, "query_id long, position int, vehicle_model string, path string, title string, page int, end_page int"),
         spark.createDataFrame(chunks, "chunk_id string, chunk_ord long, vehicle_model string, page int, section_path string"),
