@@ -63,11 +63,7 @@ def hybrid(asked: DataFrame, aims: DataFrame, chunks: DataFrame, corpus: DataFra
     known = by_vector.select("query_id", "chunk_id", F.col("score").alias("similarity"))
     if not use_words:
         return by_vector, known
-    if index is None:
-        by_word = blockmax.best_chunks(asked.select("query_id", "question"), _of_types(chunks, settings), settings.candidates, aims, chunks).drop("chunk_ord")
-    else:
-        scored = bm25.scores(asked.select("query_id", "question"), index)
-        by_word = _ranked(of_targets(scored, facts, aims), settings.candidates, F.round("score", 9).desc(), F.col("chunk_ord"))
+    by_word = blockmax.best_chunks(asked.select("query_id", "question"), _of_types(chunks, settings), settings.candidates, aims, chunks, index=index).drop("chunk_ord")
     return fusion.reciprocal_rank_fusion([by_vector, by_word], [1 - weight, weight], k, by=("query_id", "target_no")), known
 
 
@@ -122,6 +118,8 @@ def retrieve(
     """
     s = settings or Settings()
     aims = targets(asked)
+    if index is None and s.use_words:
+        index = bm25.index_of(chunks, others=() if s.doc_types else (F.col("chunk_ord").cast("long").alias("chunk_ord"), F.col("vehicle_model").cast("string").alias("group")))
     side = lambda text, vector: asked.select("query_id", F.col(text).alias("question"), F.col(vector).alias("embedding"))
     rewritten, near = hybrid(side("rewritten", "rewritten_vector"), aims, chunks, corpus, s.rewritten_k, s.rewritten_bm25, s, index, s.use_words)
     keyword, near2 = hybrid(side("keyword", "keyword_vector"), aims, chunks, corpus, s.keyword_k, s.keyword_bm25, s, index, s.use_words)
