@@ -107,8 +107,8 @@ def semantic_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = t.table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     n = vectors.agg((F.max("vec_id") + 1).alias("n_vectors"))
     rows = t.lines(spark, sf_dir).select("doc_id", F.col("line_no").alias("para_no"), (1 + F.floor(F.col("line_no") / 5)).cast("int").alias("page"), strip(F.col("line")).alias("text")).where("text <> ''")
-    para = rows.join(F.broadcast(n)).withColumn("vec_id", (F.col("doc_id") * 31 + F.col("para_no")) % F.col("n_vectors")).join(vectors, "vec_id")  # n has one row
-    made = chunking.chunker("semantic")(para.select("doc_id", "para_no", "page", "text", "embedding"))
+    numbered = rows.join(F.broadcast(n)).select("doc_id", "para_no", ((F.col("doc_id") * 31 + F.col("para_no")) % F.col("n_vectors")).alias("vec_id"))  # n has one row
+    made = chunking.chunker("semantic")(rows, vectors=numbered.join(vectors, "vec_id").select("doc_id", "para_no", "embedding"))
     return made.select("doc_id", F.col("group_no").cast("long").alias("group_no"), "slice_no", "page", F.md5("text").alias("text_md5"))
 
 
