@@ -20,8 +20,8 @@ from quarryline.sources.scratch import written
 QUESTIONS = 2_000
 #: Pieces of words up to this length are in the table; longer parts are looked for in longer words alone.
 PIECE = 24
-#: Parts whose words a task remembers.
-REMEMBERED = 200_000
+#: Bytes of parts and their words that a task remembers, about; and entries that it scores at once.
+REMEMBERED, ROWS = 16_000_000, 1_000
 
 
 class Words:
@@ -45,30 +45,37 @@ class Words:
         #: Words that may lie across two parts.
         self.across = [(i, w) for i, w in enumerate(words) if ">" in w]
         self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        self.size = 0
 
     def of(self, part: str) -> tuple[np.ndarray, np.ndarray]:
         """Words in the part; and these with the words that the part lies in."""
         found = self.known.get(part)
         if found is None:
-            held = {i for _, i in self.inside.iter(part)} if self.words else set()
-            around = self.pieces.get(part, []) if len(part) <= PIECE else [i for i, w in self.long if part in w]
-            found = np.array(sorted(held), np.int64), np.array(sorted(held.union(around)), np.int64)
-            if len(self.known) >= REMEMBERED:
+            inside = {i for _, i in self.inside.iter(part)} if self.words else set()
+            around = self.pieces.get(part, ()) if len(part) <= PIECE else [i for i, w in self.long if part in w]
+            held = np.fromiter(inside, np.int32, len(inside))
+            more = [i for i in around if i not in inside]
+            found = held, np.concatenate([held, np.array(more, np.int32)]) if more else held
+            own = 2 * len(part) + 8 * len(found[1]) + 300
+            if self.size + own > REMEMBERED:
                 self.known.clear()
-            self.known[part] = found
+                self.size = 0
+            if own <= REMEMBERED:
+                self.known[part] = found
+                self.size += own
         return found
 
-    def counts(self, path: str, title: str) -> tuple[np.ndarray, np.ndarray]:
-        """The words that an entry scores by, and how much for each."""
+    def count(self, row: np.ndarray, path: str, title: str) -> None:
+        """Sets ``row`` (of zeros, by words) to how much an entry scores for each word."""
         path, title = path.lower(), title.lower()
-        near = [self.of(p)[1] for p in path.split(">") if p]
-        held = [self.of(p)[0] for p in {*path.split(">"), *title.split(">")} if p]
-        own = np.unique(np.concatenate([np.zeros(0, np.int64), *held]))
+        parts = [p for p in path.split(">") if p]
+        for part in {*parts, *(p for p in title.split(">") if p)}:
+            row[self.of(part)[0]] = 1
         if self.across:
             hay = f"{path}>{title}"
-            own = np.union1d(own, np.array([i for i, w in self.across if w in hay], np.int64))
-        ids = np.concatenate([own, *near])
-        return ids, np.concatenate([np.ones(len(own)), np.full(len(ids) - len(own), 2.0)])
+            row[[i for i, w in self.across if w in hay]] = 1
+        for part in parts:
+            row[self.of(part)[1]] += 2
 
 
 def _key(value: object) -> object:
@@ -107,7 +114,7 @@ def _matched(asked: list, models: list[str], entries: DataFrame, most: int, gene
             for k, q in enumerate(qs):
                 np.add.at(weights[model][:, k], lists_of[q], 1)
         lists, types = {kind: _Lists(most) for kind in (1, 2, 3)}, {}
-        for batch in batches:
+        for batch in (whole.slice(lo, ROWS) for whole in batches for lo in range(0, whole.num_rows, ROWS)):
             types = {c: batch.column(c).type for c in small}
             held = {c: batch.column(c).to_pylist() for c in ("vehicle_model", "path", "title", *small)}
             own = list(zip(*(held[c] for c in small), strict=True))
@@ -122,11 +129,10 @@ def _matched(asked: list, models: list[str], entries: DataFrame, most: int, gene
                 if catalogue:
                     lists[2].add(models.index(model), [((-held["level"][i], held["page"][i], keys[i]), 0.0, own[i]) for i in members])
                     lists[3].add(models.index(model), [((keys[i],), 0.0, own[i]) for i in members])
-                match = np.zeros((len(members), len(qs)))
+                counts = np.zeros((len(members), len(words)), np.float32)
                 for k, i in enumerate(members):
-                    ids, n = known.counts(paths[i], held["title"][i] or "")
-                    if len(ids):
-                        match[k] = n @ weights[model][ids]
+                    known.count(counts[k], paths[i], held["title"][i] or "")
+                match = (counts @ weights[model]).astype(float)  # whole numbers
                 size = np.array([len(paths[i]) for i in members]) * 0.01
                 has = np.array([[g in paths[i] for g in names] for i in members], float).reshape(len(members), len(names))
                 score = np.round(match + size[:, None] - has @ unnamed[qs].T, 6)
