@@ -293,7 +293,7 @@ CASE WHEN dead THEN 'ValueError: no answer' WHEN bare THEN 'no JSON object in th
 def parse_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     prompts = t.table(spark, sf_dir, "documents").select("doc_id", completion.render("{id} {lang}\n{text}", id=F.col("doc_id"), lang=F.col("lang"), text=F.col("text")).alias("prompt"))
     # responses are written before use: a replayed task would ask the model again
-    asked = written(completion.complete_json(prompts, _stub), "responses")
+    asked = written(completion.complete_json(prompts, _stub).drop("prompt", "response"), "responses")
     fields = F.from_json("found", "question string, label string, conflict boolean")
     return asked.withColumn("said", fields).select("doc_id", F.col("said.question").alias("question"), F.coalesce("said.label", F.lit("no")).alias("label"), "attempts", "error")
 
