@@ -58,9 +58,12 @@ def _models() -> generation.Models:
 def _generate(spark: SparkSession, sf_dir: str, path: str, wave: int, dies_at: int | None = None) -> DataFrame:
     """The job over all chunks; evidence comes from the whole retrieval job, for the item's own model. A question's vector is its seed's."""
     rows, vecs = t.chunks(spark, sf_dir), t.table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("string").alias("chunk_id"), "embedding")
-    folder = shared_path(spark, "bm25")
-    bm25.write_index(rows, folder)
-    index = bm25.read_index(spark, folder)
+    # beside the ledger: a run that goes on reads the index of the one before
+    folder = f"{path}-bm25"
+    there = bm25.exists(spark, folder)
+    if not there:
+        bm25.write_index(rows, folder)
+    index = bm25.with_facts(bm25.read_index(spark, folder, rows if there else None), rows)
     vectors = written(t.corpus_vectors(spark, sf_dir), "corpus-vectors")
     calls = {"n": 0}
 
